@@ -79,3 +79,85 @@ def skip_processed(spark, sf_dir):
                            .otherwise(""), F.lit(".txt")).alias("file_name"))
     return SEG.skip_processed(d).select("doc_id", "file_name",
                                         SEG.segmented_name(F.col("file_name")).alias("out_name"))
+
+
+# ---------------------------------------------------------------- vocabularies and encoding
+from ..operators import encode as ENC   # noqa: E402
+from ..operators import vocab as VOC    # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _word_vocab(spark, sf_dir):
+    return VOC.word_vocab(_docs(spark, sf_dir))
+
+
+@register("word_vocab")
+def word_vocab(spark, sf_dir):
+    """TXT4, AGG1, SRT4, VOC1: word-level vocabulary of the documents."""
+    return _word_vocab(spark, sf_dir)
+
+
+@register("char_vocab")
+def char_vocab(spark, sf_dir):
+    """TXT6, SET2, VOC2: character vocabulary of the documents."""
+    return VOC.char_vocab(_docs(spark, sf_dir))
+
+
+def _doc_digest(tokens, keys):
+    ids = ENC.collect_ids(tokens, keys)
+    return ids.select(*keys, F.size("ids").cast("long").alias("n_tokens"),
+                      F.size(F.filter("ids", lambda i: i == C.UNK_ID)).cast("long").alias("n_unk"),
+                      ENC.ids_digest(F.col("ids")).alias("ids_md5"))
+
+
+@register("word_encode")
+def word_encode(spark, sf_dir):
+    """ENC1, JN2, TXT7: word-level encode of every document, digest per document."""
+    toks = ENC.word_encode(_docs(spark, sf_dir), ["doc_id"], "text", _word_vocab(spark, sf_dir))
+    return _doc_digest(toks, ["doc_id"])
+
+
+@register("char_encode")
+def char_encode(spark, sf_dir):
+    """ENC2: character-level encode with the character vocabulary."""
+    docs = _docs(spark, sf_dir)
+    toks = ENC.char_encode(docs, ["doc_id"], "text", VOC.char_vocab(docs))
+    return _doc_digest(toks, ["doc_id"])
+
+
+@register("decode_roundtrip")
+def decode_roundtrip(spark, sf_dir):
+    """ENC5: word-level decode (reserved skipped, space-joined) of the encoded documents."""
+    docs = _docs(spark, sf_dir)
+    vocab = _word_vocab(spark, sf_dir)
+    toks = ENC.word_encode(docs, ["doc_id"], "text", vocab)
+    dec = ENC.decode_joined(toks, ["doc_id"], vocab)
+    return dec.select("doc_id", F.length("text").cast("long").alias("n_chars"),
+                      F.md5("text").alias("text_md5"))
+
+
+def _turn_ids(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    toks = ENC.word_encode(conv, ["conv_id", "turn"], "text", _word_vocab(spark, sf_dir))
+    return ENC.collect_ids(toks, ["conv_id", "turn"])
+
+
+@register("left_pad")
+def left_pad(spark, sf_dir):
+    """ENC7: every turn as a prompt, left-padded with id 2 to the context length."""
+    ids = _turn_ids(spark, sf_dir)
+    padded = ENC.left_pad(F.col("ids"), C.CONTEXT_LENGTH)
+    return ids.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"),
+                      F.size(padded).cast("long").alias("n_padded"),
+                      ENC.ids_digest(padded).alias("padded_md5"))
+
+
+@register("batch_pad")
+def batch_pad(spark, sf_dir):
+    """ENC6: turns batched per conversation, right-padded with id 2 to the batch maximum."""
+    p = ENC.batch_right_pad(_turn_ids(spark, sf_dir), "conv_id", "ids")
+    return p.select("conv_id", "turn", F.size("padded").cast("long").alias("n_padded"),
+                    ENC.ids_digest(F.col("padded")).alias("padded_md5"))

@@ -85,3 +85,81 @@ SELECT doc_id, file_name, replace(file_name, '.txt', '_segmented.txt') AS out_na
 FROM (SELECT doc_id, source || CASE WHEN doc_id % 7 = 0 THEN '_segmented' ELSE '' END || '.txt' AS file_name
       FROM documents)
 WHERE NOT contains(file_name, 'segmented')"""
+
+# ---------------------------------------------------------------- vocabularies and encoding
+WORD_SPECIALS_SQL = ", ".join(lit(s) for s in C.WORD_SPECIALS)
+SPECIAL_ROWS = " UNION ALL ".join(
+    f"SELECT {i}::INTEGER AS id, {lit(s)} AS token, true AS special"
+    for i, s in enumerate(C.WORD_SPECIALS))
+MARKER_ALT = "|".join(lit(s)[1:-1].replace("|", r"\|") for s in C.WORD_SPECIALS)
+
+WORD_VOCAB = f"""
+wtok AS (SELECT unnest(regexp_extract_all(text, {lit(WORD_RE2)})) AS token FROM documents),
+wcnt AS (SELECT token, count(*) AS cnt FROM wtok WHERE token NOT IN ({WORD_SPECIALS_SQL}) GROUP BY token),
+wrank AS (SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + {len(C.WORD_SPECIALS) - 1})::INTEGER AS id
+          FROM wcnt),
+vocab AS (
+  {SPECIAL_ROWS}
+  UNION ALL SELECT id, token, false AS special FROM wrank WHERE id < {C.WORD_VOCAB_LIMIT})"""
+
+
+def encoded(src: str, keys: str, pattern: str) -> str:
+    return f"""
+pieces AS (
+  SELECT {keys}, regexp_extract_all(text, {lit(MARKER_ALT + '|' + pattern)}) AS ts FROM {src}),
+toks AS (
+  SELECT {keys}, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos FROM pieces),
+enc AS (
+  SELECT t.*, coalesce(v.id, {C.UNK_ID})::INTEGER AS id, coalesce(v.special, false) AS special,
+         v.token AS vtok
+  FROM toks t LEFT JOIN vocab v USING (token))"""
+
+
+DIGEST = f"""
+SELECT {{keys}}, count(*)::BIGINT AS n_tokens,
+       count(*) FILTER (WHERE id = {C.UNK_ID})::BIGINT AS n_unk,
+       md5(string_agg(id::VARCHAR, ',' ORDER BY pos)) AS ids_md5
+FROM enc GROUP BY {{keys}}"""
+
+ORACLES["word_vocab"] = f"WITH {WORD_VOCAB}\nSELECT id, token, special FROM vocab"
+
+ORACLES["char_vocab"] = f"""
+WITH ch AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS token FROM documents
+            WHERE true),
+r AS (SELECT (row_number() OVER (ORDER BY token) + 2)::INTEGER AS id, token, false AS special
+      FROM ch WHERE token NOT IN ({WORD_SPECIALS_SQL}))
+{SPECIAL_ROWS} UNION ALL SELECT * FROM r"""
+
+ORACLES["word_encode"] = (f"WITH {WORD_VOCAB},{encoded('documents', 'doc_id', WORD_RE2)}"
+                          + DIGEST.format(keys="doc_id"))
+
+ORACLES["char_encode"] = f"""WITH
+ch AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS token FROM documents),
+vocab AS ({SPECIAL_ROWS} UNION ALL
+  SELECT (row_number() OVER (ORDER BY token) + 2)::INTEGER AS id, token, false FROM ch
+  WHERE token NOT IN ({WORD_SPECIALS_SQL})),
+{encoded('documents', 'doc_id', '(?s).')}""" + DIGEST.format(keys="doc_id")
+
+ORACLES["decode_roundtrip"] = f"""WITH {WORD_VOCAB},{encoded('documents', 'doc_id', WORD_RE2)},
+dec AS (SELECT doc_id, string_agg(vtok, ' ' ORDER BY pos) AS text FROM enc
+        WHERE vtok IS NOT NULL AND NOT special GROUP BY doc_id)
+SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM dec"""
+
+TURN_IDS = f"""WITH {WORD_VOCAB},{encoded('conversations', 'conv_id, turn', WORD_RE2)},
+turns AS (SELECT conv_id, turn, count(*) AS n,
+                 string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids_all FROM enc GROUP BY conv_id, turn)"""
+
+ORACLES["left_pad"] = TURN_IDS + f""",
+lastk AS (SELECT e.conv_id, e.turn,
+                 string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids_last
+          FROM enc e JOIN turns t USING (conv_id, turn)
+          WHERE e.pos >= t.n - {C.CONTEXT_LENGTH} GROUP BY e.conv_id, e.turn)
+SELECT conv_id, turn, n::BIGINT AS n_ids, {C.CONTEXT_LENGTH}::BIGINT AS n_padded,
+       md5(repeat('{C.PAD_ID},', greatest({C.CONTEXT_LENGTH} - n, 0)::INTEGER) || ids_last) AS padded_md5
+FROM turns JOIN lastk USING (conv_id, turn)"""
+
+ORACLES["batch_pad"] = TURN_IDS + f""",
+mx AS (SELECT conv_id, max(n) AS L FROM turns GROUP BY conv_id)
+SELECT conv_id, turn, L::BIGINT AS n_padded,
+       md5(ids_all || repeat(',{C.PAD_ID}', (L - n)::INTEGER)) AS padded_md5
+FROM turns JOIN mx USING (conv_id)"""
