@@ -300,4 +300,19 @@ def bpe_decode(ids_df: DataFrame, keys: list[str], ids_col: str, vocab: DataFram
     j = ex.join(v, "_id")
     s = (j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "_hx"))).alias("_s")))
     hexed = F.array_join(F.transform("_s", lambda x: x["_hx"]), "")
-    return s.select(*keys, F.decode(F.unhex(hexed), "UTF-8").alias("text"))
+    # Invalid byte runs (a token cut inside a character) become U+FFFD, as a lossy
+    # UTF-8 decode would do, instead of failing the job.
+    return s.select(*keys, F.make_valid_utf8(F.unhex(hexed).cast("string")).alias("text"))
+
+
+def pair_counts(words: DataFrame, model: BpeModel) -> DataFrame:
+    """AGG2 as a table: (left, right, count) over the words' current symbols."""
+    hex_to_id = {t.hex().upper(): i for i, t in enumerate(model.tokens)
+                 if i >= len(model.specials) and len(t) == 1}
+    sym = _sym_string(T.byte_hex_symbols(F.col("word")), hex_to_id)
+    pairs = (words.select(F.explode(F.regexp_extract_all(sym, F.lit(_PAIR_RE), F.lit(1))).alias("p"),
+                          "count")
+                  .groupBy("p").agg(F.sum("count").alias("count")))
+    return pairs.select(F.regexp_extract("p", r"^<(\d+)>", 1).cast("int").alias("left"),
+                        F.regexp_extract("p", r"<(\d+)>$", 1).cast("int").alias("right"),
+                        F.col("count").cast("long").alias("count"))

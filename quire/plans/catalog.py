@@ -161,3 +161,61 @@ def batch_pad(spark, sf_dir):
     p = ENC.batch_right_pad(_turn_ids(spark, sf_dir), "conv_id", "ids")
     return p.select("conv_id", "turn", F.size("padded").cast("long").alias("n_padded"),
                     ENC.ids_digest(F.col("padded")).alias("padded_md5"))
+
+
+# ---------------------------------------------------------------- byte-level BPE
+from ..operators import bpe as BPE   # noqa: E402
+
+BPE_QUERY_MERGES = 8
+
+
+@register("byte_pretoken_counts")
+def byte_pretoken_counts(spark, sf_dir):
+    """TXT1, TXT2, AGG1: NFC, byte-level pre-tokens per line (newline kept), counted."""
+    return BPE.byte_level_words(_docs(spark, sf_dir))
+
+
+@register("byte_alphabet")
+def byte_alphabet(spark, sf_dir):
+    """TXT3, SET2: seen bytes in alphabet order, ids after the three reserved tokens."""
+    from pyspark.sql import Window
+    a = BPE.byte_alphabet(BPE.byte_level_words(_docs(spark, sf_dir)))
+    w = Window.orderBy("akey")   # at most 256 rows
+    return a.select((F.row_number().over(w) + len(C.BPE_SPECIALS) - 1).cast("int").alias("id"),
+                    F.col("byte").cast("int").alias("byte"))
+
+
+@register("bpe_pair_counts")
+def bpe_pair_counts(spark, sf_dir):
+    """AGG2: weighted adjacent-pair counts of the alphabet ids over all pre-tokens."""
+    model = BPE.train_bpe(_docs(spark, sf_dir), max_merges=0)
+    words = BPE.byte_level_words(_docs(spark, sf_dir))
+    return BPE.pair_counts(words, model)
+
+
+@register(f"bpe_merges_{BPE_QUERY_MERGES}")
+def bpe_merges(spark, sf_dir):
+    """VOC5, SRT3: the first merges of the byte-level trainer over all documents."""
+    model = BPE.train_bpe(_docs(spark, sf_dir), max_merges=BPE_QUERY_MERGES)
+    return model.merges_df(spark)
+
+
+@register("bpe_vocab_4096")
+def bpe_vocab_4096(spark, sf_dir):
+    """VOC3: the example byte-level vocabulary (4096 entries, reserved S and E)."""
+    model = BPE.train_bpe(_docs(spark, sf_dir), vocab_size=C.BPE_VOCAB_EXAMPLE,
+                          specials=C.BPE_SPECIALS_EXAMPLE)
+    return model.vocab_df(spark).select("id", F.hex("token").alias("token_hex"), "special")
+
+
+def _bpe_model_small(spark, sf_dir, vocab_size=512):
+    return BPE.train_bpe(_docs(spark, sf_dir), vocab_size=vocab_size)
+
+
+@register("bpe_encode")
+def bpe_encode(spark, sf_dir):
+    """ENC3, TXT7: every document encoded with a byte-level BPE model learnt on them."""
+    model = _bpe_model_small(spark, sf_dir)
+    ids = BPE.bpe_encode(_docs(spark, sf_dir), ["doc_id"], "text", model)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      ENC.ids_digest(F.col("ids")).alias("ids_md5"))

@@ -163,3 +163,68 @@ mx AS (SELECT conv_id, max(n) AS L FROM turns GROUP BY conv_id)
 SELECT conv_id, turn, L::BIGINT AS n_padded,
        md5(ids_all || repeat(',{C.PAD_ID}', (L - n)::INTEGER)) AS padded_md5
 FROM turns JOIN mx USING (conv_id)"""
+
+# ---------------------------------------------------------------- byte-level BPE
+from .sqltext import UNI_WS   # noqa: E402
+
+BYTE_RE2 = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + UNI_WS + r"\p{L}\p{N}\x01]+"
+            r"|[" + UNI_WS + "]+")
+SENTINEL_FIND = "([" + UNI_WS + "])([^" + UNI_WS + "])"
+N_BPE_SPECIALS = len(C.BPE_SPECIALS)
+
+BYTE_WORDS = f"""
+dl AS (SELECT doc_id, string_split(nfc_normalize(text), {NL}) AS parts FROM documents),
+dl2 AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM dl),
+lines AS (SELECT CASE WHEN i < n THEN part || {NL} ELSE part END AS line FROM dl2
+          WHERE i < n OR part <> ''),
+sent AS (SELECT regexp_replace(line, {lit(SENTINEL_FIND)}, chr(1) || '\\1\\2', 'g') AS s FROM lines),
+bw AS (SELECT unnest(regexp_extract_all(s, {lit(BYTE_RE2)})) AS word FROM sent),
+words AS (SELECT word, count(*) AS cnt FROM bw GROUP BY word)"""
+
+ALPHABET = BYTE_WORDS + f""",
+wb AS (SELECT DISTINCT unnest(regexp_extract_all(hex(encode(word)), '..')) AS h FROM words),
+bytes AS (SELECT ('0x' || h)::INTEGER AS byte FROM wb),
+alphabet AS (
+  SELECT byte, (row_number() OVER (ORDER BY CASE WHEN (byte BETWEEN 33 AND 126) OR (byte BETWEEN 161 AND 172)
+                                             OR (byte BETWEEN 174 AND 255) THEN byte ELSE byte + 256 END)
+                + {N_BPE_SPECIALS - 1})::INTEGER AS id
+  FROM bytes)"""
+
+SYMS = ALPHABET + """,
+wbytes AS (SELECT word, cnt, unnest(regexp_extract_all(hex(encode(word)), '..')) AS h,
+                  generate_subscripts(regexp_extract_all(hex(encode(word)), '..'), 1) AS i FROM words),
+wid AS (SELECT w.word, w.cnt, w.i, a.id FROM wbytes w JOIN alphabet a ON a.byte = ('0x' || w.h)::INTEGER),
+wsym AS (SELECT word, any_value(cnt) AS cnt, string_agg('<' || id || '>', '' ORDER BY i) AS sym
+         FROM wid GROUP BY word)"""
+
+ORACLES["byte_pretoken_counts"] = f"WITH {BYTE_WORDS}\nSELECT word, cnt::BIGINT AS count FROM words"
+
+ORACLES["byte_alphabet"] = f"WITH {ALPHABET}\nSELECT id, byte FROM alphabet"
+
+ORACLES["bpe_pair_counts"] = f"""WITH {SYMS.replace('wid AS', 'wid0 AS').replace('FROM wid GROUP', 'FROM wid0 GROUP')}
+, wid AS (SELECT * FROM wid0)
+SELECT a.id AS "left", b.id AS "right", sum(a.cnt)::BIGINT AS count
+FROM wid a JOIN wid b ON a.word = b.word AND b.i = a.i + 1
+GROUP BY a.id, b.id"""
+
+
+def _merges_sql(k: int) -> str:
+    parts = [SYMS + ",\nw0 AS (SELECT sym, cnt FROM wsym),\nbase AS (SELECT count(*) + "
+             f"{N_BPE_SPECIALS} AS b FROM alphabet)"]
+    sel = []
+    for i in range(k):
+        parts.append(f"""p{i} AS (
+  SELECT split_part(pr, ',', 1)::INTEGER AS l, split_part(pr, ',', 2)::INTEGER AS r, sum(cnt) AS c
+  FROM (SELECT unnest(list_transform(range(1, len(ids)), lambda j: ids[j] || ',' || ids[j + 1])) AS pr, cnt
+        FROM (SELECT string_split(trim(sym, '<>'), '><') AS ids, cnt FROM w{i}))
+  GROUP BY pr),
+m{i} AS (SELECT {i} AS rank, l, r, (SELECT b FROM base) + {i} AS out FROM p{i}
+         ORDER BY c DESC, l, r LIMIT 1),
+w{i + 1} AS (SELECT replace(sym, '<' || l || '><' || r || '>', '<' || out || '>') AS sym, cnt
+          FROM w{i}, m{i})""")
+        sel.append(f"SELECT * FROM m{i}")
+    return ("WITH " + ",\n".join(parts) + "\nSELECT rank::INTEGER AS rank, l::INTEGER AS \"left\", "
+            "r::INTEGER AS \"right\", out::INTEGER AS out FROM (" + " UNION ALL ".join(sel) + ")")
+
+
+ORACLES["bpe_merges_8"] = _merges_sql(8)
