@@ -219,3 +219,56 @@ def bpe_encode(spark, sf_dir):
     ids = BPE.bpe_encode(_docs(spark, sf_dir), ["doc_id"], "text", model)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       ENC.ids_digest(F.col("ids")).alias("ids_md5"))
+
+
+# ---------------------------------------------------------------- token streams and windows
+from ..operators import windows as WIN   # noqa: E402
+
+PACK_T = C.CONTEXT_LENGTH
+SAMPLE_T = 64
+SAMPLE_WINDOWS = 4 * C.BATCH_SIZE
+
+
+def _doc_word_ids(spark, sf_dir):
+    """Documents split 0.8/0.1/rest, word-level encoded with the vocabulary of all documents."""
+    docs = _docs(spark, sf_dir)
+    sp = SPL.exact_split(docs.select("doc_id"), ["doc_id"])
+    toks = ENC.word_encode(docs, ["doc_id"], "text", _word_vocab(spark, sf_dir))
+    ids = ENC.collect_ids(toks, ["doc_id"])
+    return ids.join(sp, "doc_id")
+
+
+def _word_stream(spark, sf_dir):
+    return WIN.token_stream(_doc_word_ids(spark, sf_dir))
+
+
+@register("token_stream")
+def token_stream(spark, sf_dir):
+    """ENC4 + SRT5: per split, stream length and the first 100 ids (head preview)."""
+    s = _word_stream(spark, sf_dir)
+    head = (s.where(F.col("pos") < 100).groupBy("split")
+             .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_h")))
+    n = WIN.stream_sizes(s)
+    return (n.join(head, "split")
+             .select("split", F.col("n_tokens").cast("long").alias("n_tokens"),
+                     ENC.ids_digest(F.transform("_h", lambda e: e["id"])).alias("head_md5")))
+
+
+def _arr_digests(df, *cols):
+    return [ENC.ids_digest(F.col(c)).alias(f"{c}_md5") for c in cols]
+
+
+@register("packed_windows")
+def packed_windows(spark, sf_dir):
+    """WIN6 + WIN3: non-overlapping context windows with next-token targets."""
+    w = WIN.packed_windows(_word_stream(spark, sf_dir), PACK_T)
+    return w.select("split", "win_id", "start", *_arr_digests(w, "x", "y"))
+
+
+@register("random_windows")
+def random_windows(spark, sf_dir):
+    """SMP1 + SMP2 + JN3: hash-seeded random windows per split, batched."""
+    s = _word_stream(spark, sf_dir)
+    starts = WIN.window_starts(WIN.stream_sizes(s), SAMPLE_WINDOWS, SAMPLE_T)
+    w = WIN.gather_windows(s, starts, SAMPLE_T)
+    return w.select("split", "win_id", "batch", "start", *_arr_digests(w, "x", "y"))

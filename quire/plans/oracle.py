@@ -228,3 +228,43 @@ w{i + 1} AS (SELECT replace(sym, '<' || l || '><' || r || '>', '<' || out || '>'
 
 
 ORACLES["bpe_merges_8"] = _merges_sql(8)
+
+# ---------------------------------------------------------------- token streams and windows
+WORD_STREAM = f"""WITH {WORD_VOCAB},{encoded('documents', 'doc_id', WORD_RE2)},
+{split_cte('documents', 'doc_id', 'doc_id')},
+dn AS (SELECT e.doc_id, s.split, md5('{C.DEFAULT_SEED}:' || e.doc_id) AS h, count(*) AS n
+       FROM enc e JOIN splitted s USING (doc_id) GROUP BY e.doc_id, s.split),
+doff AS (SELECT doc_id, split, sum(n) OVER (PARTITION BY split ORDER BY h, doc_id
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS off
+         FROM dn),
+stream AS (SELECT d.split, (coalesce(d.off, 0) + e.pos)::BIGINT AS pos, e.id
+           FROM enc e JOIN doff d USING (doc_id)),
+sizes AS (SELECT split, count(*) AS n_tokens FROM stream GROUP BY split)"""
+
+ORACLES["token_stream"] = WORD_STREAM + """
+SELECT s.split, s.n_tokens::BIGINT AS n_tokens,
+       md5(string_agg(t.id::VARCHAR, ',' ORDER BY t.pos)) AS head_md5
+FROM sizes s JOIN stream t ON t.split = s.split AND t.pos < 100
+GROUP BY s.split, s.n_tokens"""
+
+ORACLES["packed_windows"] = WORD_STREAM + f""",
+xw AS (SELECT split, pos // {C.CONTEXT_LENGTH} AS win_id, string_agg(id::VARCHAR, ',' ORDER BY pos) AS x, count(*) AS nx
+       FROM stream GROUP BY split, pos // {C.CONTEXT_LENGTH}),
+yw AS (SELECT split, (pos - 1) // {C.CONTEXT_LENGTH} AS win_id, string_agg(id::VARCHAR, ',' ORDER BY pos) AS y, count(*) AS ny
+       FROM stream WHERE pos >= 1 GROUP BY split, (pos - 1) // {C.CONTEXT_LENGTH})
+SELECT split, win_id::BIGINT AS win_id, (win_id * {C.CONTEXT_LENGTH})::BIGINT AS start,
+       md5(x) AS x_md5, md5(y) AS y_md5
+FROM xw JOIN yw USING (split, win_id)
+WHERE nx = {C.CONTEXT_LENGTH} AND ny = {C.CONTEXT_LENGTH}"""
+
+ORACLES["random_windows"] = WORD_STREAM + f""",
+idx AS (SELECT range AS i FROM range({4 * C.BATCH_SIZE})),
+starts AS (SELECT s.split, i AS win_id, i // {C.BATCH_SIZE} AS batch,
+                  ('0x' || substr(md5('{C.DEFAULT_SEED}:' || s.split || ':' || i), 1, 15))::BIGINT
+                    % (s.n_tokens - 64) AS start
+           FROM sizes s, idx WHERE s.n_tokens > 64)
+SELECT w.split, w.win_id::BIGINT AS win_id, w.batch::BIGINT AS batch, w.start::BIGINT AS start,
+       md5(string_agg(t.id::VARCHAR, ',' ORDER BY t.pos) FILTER (WHERE t.pos < w.start + 64)) AS x_md5,
+       md5(string_agg(t.id::VARCHAR, ',' ORDER BY t.pos) FILTER (WHERE t.pos > w.start)) AS y_md5
+FROM starts w JOIN stream t ON t.split = w.split AND t.pos BETWEEN w.start AND w.start + 64
+GROUP BY w.split, w.win_id, w.batch, w.start"""
