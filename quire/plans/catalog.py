@@ -272,3 +272,123 @@ def random_windows(spark, sf_dir):
     starts = WIN.window_starts(WIN.stream_sizes(s), SAMPLE_WINDOWS, SAMPLE_T)
     w = WIN.gather_windows(s, starts, SAMPLE_T)
     return w.select("split", "win_id", "batch", "start", *_arr_digests(w, "x", "y"))
+
+
+# ---------------------------------------------------------------- vector jobs
+from ..operators import vectors as VEC   # noqa: E402
+
+N_CLASSES = 10
+PROJ_OUT = 16
+
+
+def _emb(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings")
+
+
+def _r(c, d=9):
+    return F.round(c, d)
+
+
+@register("cross_entropy")
+def cross_entropy(spark, sf_dir):
+    """AGG6 + JN4: embeddings as logits, label as target; clipped (reference) and
+    standard loss, averaged per label and overall (label -1)."""
+    e = _emb(spark, sf_dir).select(
+        "label", VEC.cross_entropy_row(F.col("embedding"), F.col("label")).alias("ce_clip"),
+        VEC.cross_entropy_row(F.col("embedding"), F.col("label"), clipped=False).alias("ce"))
+    per = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("ce_clip").alias("ce_clip"),
+                                 F.avg("ce").alias("ce"))
+    tot = e.agg(F.lit(-1).alias("label"), F.count(F.lit(1)).alias("n"),
+                F.avg("ce_clip").alias("ce_clip"), F.avg("ce").alias("ce"))
+    u = per.unionByName(tot)
+    return u.select(F.col("label").cast("int").alias("label"), F.col("n").cast("long").alias("n"),
+                    _r(F.col("ce_clip")).alias("ce_clip"), _r(F.col("ce")).alias("ce"))
+
+
+@register("softmax_scores")
+def softmax_scores(spark, sf_dir):
+    """VEC1: softmax of every vector (max-shifted and unshifted), long form."""
+    e = _emb(spark, sf_dir).select("vec_id", F.arrays_zip(
+        VEC.softmax(F.col("embedding")).alias("p"),
+        VEC.softmax(F.col("embedding"), shifted=False).alias("q")).alias("z"))
+    ex = e.select("vec_id", F.posexplode("z").alias("dim", "s"))
+    return ex.select("vec_id", F.col("dim").cast("int").alias("dim"),
+                     _r(F.col("s.p")).alias("prob"), _r(F.col("s.q")).alias("prob_unshifted"))
+
+
+def _gamma(i):
+    return F.lit(1.0) + (i % 5).cast("double") / F.lit(10.0)
+
+
+def _beta(i):
+    return ((i % 3) - 1).cast("double") / F.lit(10.0)
+
+
+@register("layer_norm")
+def layer_norm(spark, sf_dir):
+    """VEC3 + AGG8: per-vector standardisation, scale and shift (rule-derived weights)."""
+    e = _emb(spark, sf_dir).select("vec_id", VEC.layer_norm(F.col("embedding"), _gamma, _beta)
+                                   .alias("y"))
+    ex = e.select("vec_id", F.posexplode("y").alias("dim", "v"))
+    return ex.select("vec_id", F.col("dim").cast("int").alias("dim"), _r(F.col("v")).alias("value"))
+
+
+@register("one_hot_counts")
+def one_hot_counts(spark, sf_dir):
+    """VEC2: one-hot targets summed per predicted class (argmax): a confusion table."""
+    e = _emb(spark, sf_dir).select(VEC.argmax(F.col("embedding")).alias("pred"),
+                                   VEC.one_hot(F.col("label"), N_CLASSES).alias("oh"))
+    ex = e.select("pred", F.posexplode("oh").alias("k", "v"))
+    p = ex.groupBy("pred").pivot("k", list(range(N_CLASSES))).agg(F.sum("v"))
+    return p.select(F.col("pred").cast("int").alias("pred"),
+                    *[F.col(str(k)).cast("long").alias(f"c{k}") for k in range(N_CLASSES)])
+
+
+@register("residual_by_class")
+def residual_by_class(spark, sf_dir):
+    """AGG9: mean (prediction - one_hot(target)) per class and dimension."""
+    e = _emb(spark, sf_dir).select("label", VEC.residual(F.col("embedding"), F.col("label"))
+                                   .alias("r"))
+    m = VEC.elementwise_mean(e, ["label"], "r")
+    return m.select(F.col("label").cast("int").alias("label"), F.col("dim").cast("int").alias("dim"),
+                    _r(F.col("mean")).alias("mean_residual"))
+
+
+@register("label_centroids")
+def label_centroids(spark, sf_dir):
+    """AGG7: elementwise mean vector per label."""
+    m = VEC.elementwise_mean(_emb(spark, sf_dir), ["label"], "embedding")
+    return m.select(F.col("label").cast("int").alias("label"), F.col("dim").cast("int").alias("dim"),
+                    _r(F.col("mean")).alias("mean"))
+
+
+def projection_weights(spark, in_dim=64, out_dim=PROJ_OUT):
+    """A rule-derived weight table (i, j, w) and bias (j, b) for VEC4."""
+    w = (spark.range(in_dim * out_dim)
+              .select((F.col("id") / out_dim).cast("int").alias("i"),
+                      (F.col("id") % out_dim).cast("int").alias("j"))
+              .withColumn("w", (((F.col("i") * 7 + F.col("j") * 13) % 17) - 8).cast("double") / 8.0))
+    b = spark.range(out_dim).select(F.col("id").cast("int").alias("j"),
+                                    (F.col("id") % 4).cast("double") / 4.0)
+    return w, b.toDF("j", "b")
+
+
+@register("linear_projection")
+def linear_projection(spark, sf_dir):
+    """VEC4: every vector times a 64 x 16 weight plus bias, long form."""
+    w, b = projection_weights(spark)
+    out = VEC.linear(_emb(spark, sf_dir), ["vec_id"], "embedding", w, b)
+    return out.select("vec_id", F.col("j").cast("int").alias("j"), _r(F.col("value")).alias("value"))
+
+
+@register("embedding_lookup")
+def embedding_lookup(spark, sf_dir):
+    """PRJ6 + JN1: last event of every user (run) -> vector of the user id plus the
+    vector of the last position, long form."""
+    ev = table(spark, sf_dir, "events")
+    last = VEC.last_per_sequence(ev, ["user_id"], ["ts", "event_id"], ["value"])
+    last = last.withColumn("last_pos", F.col("length") - 1)
+    j = VEC.lookup_add(last, "user_id", "last_pos", _emb(spark, sf_dir), "vec_id", "embedding")
+    ex = j.select("user_id", "event_id", F.posexplode("vec").alias("dim", "v"))
+    return ex.select("user_id", "event_id", F.col("dim").cast("int").alias("dim"),
+                     _r(F.col("v").cast("double"), 6).alias("value"))

@@ -268,3 +268,76 @@ SELECT w.split, w.win_id::BIGINT AS win_id, w.batch::BIGINT AS batch, w.start::B
        md5(string_agg(t.id::VARCHAR, ',' ORDER BY t.pos) FILTER (WHERE t.pos > w.start)) AS y_md5
 FROM starts w JOIN stream t ON t.split = w.split AND t.pos BETWEEN w.start AND w.start + 64
 GROUP BY w.split, w.win_id, w.batch, w.start"""
+
+# ---------------------------------------------------------------- vector jobs
+EPS = C.CLIP_EPS
+CE_ROWS = f"""
+WITH e AS (
+  SELECT label,
+         ln(list_sum(list_transform(embedding, lambda x: exp(greatest(least(x::DOUBLE, {1 - EPS}), {EPS})))))
+           - greatest(least(embedding[label + 1]::DOUBLE, {1 - EPS}), {EPS}) AS ce_clip,
+         ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))))
+           + list_max(embedding)::DOUBLE - embedding[label + 1]::DOUBLE AS ce
+  FROM embeddings)"""
+
+ORACLES["cross_entropy"] = CE_ROWS + """
+SELECT label::INTEGER AS label, count(*)::BIGINT AS n, round(avg(ce_clip), 9) AS ce_clip, round(avg(ce), 9) AS ce
+FROM e GROUP BY label
+UNION ALL
+SELECT -1, count(*)::BIGINT, round(avg(ce_clip), 9), round(avg(ce), 9) FROM e"""
+
+ORACLES["softmax_scores"] = """
+WITH s AS (
+  SELECT vec_id, embedding AS v, list_max(embedding)::DOUBLE AS m,
+         list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))) AS z,
+         list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE))) AS zu
+  FROM embeddings),
+x AS (SELECT vec_id, m, z, zu, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM s)
+SELECT vec_id, dim::INTEGER AS dim, round(exp(x::DOUBLE - m) / z, 9) AS prob,
+       round(exp(x::DOUBLE) / zu, 9) AS prob_unshifted
+FROM x"""
+
+ORACLES["layer_norm"] = f"""
+WITH s AS (
+  SELECT vec_id, embedding AS v, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS mu
+  FROM embeddings),
+s2 AS (SELECT vec_id, v, mu,
+              list_sum(list_transform(v, lambda x: (x::DOUBLE - mu) * (x::DOUBLE - mu))) / len(v) AS var
+       FROM s),
+x AS (SELECT vec_id, mu, var, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM s2)
+SELECT vec_id, dim::INTEGER AS dim,
+       round((x::DOUBLE - mu) / sqrt(var + {C.LAYER_NORM_EPS}) * (1.0 + (dim % 5)::DOUBLE / 10.0)
+             + ((dim % 3) - 1)::DOUBLE / 10.0, 9) AS value
+FROM x"""
+
+ORACLES["one_hot_counts"] = """
+WITH p AS (SELECT list_position(embedding, list_max(embedding)) - 1 AS pred, label FROM embeddings)
+SELECT pred::INTEGER AS pred, """ + ", ".join(
+    f"sum(CASE WHEN label = {k} THEN 1 ELSE 0 END)::BIGINT AS c{k}" for k in range(10)) + """
+FROM p GROUP BY pred"""
+
+ORACLES["residual_by_class"] = """
+WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT label::INTEGER AS label, dim::INTEGER AS dim,
+       round(avg(x::DOUBLE - CASE WHEN dim = label THEN 1.0 ELSE 0.0 END), 9) AS mean_residual
+FROM x GROUP BY label, dim"""
+
+ORACLES["label_centroids"] = """
+WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT label::INTEGER AS label, dim::INTEGER AS dim, round(avg(x::DOUBLE), 9) AS mean
+FROM x GROUP BY label, dim"""
+
+ORACLES["linear_projection"] = """
+WITH x AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+w AS (SELECT i, j, (((i * 7 + j * 13) % 17) - 8)::DOUBLE / 8.0 AS w
+      FROM range(64) a(i), range(16) b(j))
+SELECT vec_id, j::INTEGER AS j, round(sum(x::DOUBLE * w) + (j % 4)::DOUBLE / 4.0, 9) AS value
+FROM x JOIN w USING (i) GROUP BY vec_id, j"""
+
+ORACLES["embedding_lookup"] = """
+WITH l AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) - 1 AS last_pos
+           FROM events GROUP BY user_id),
+j AS (SELECT l.user_id, l.event_id, list_transform(list_zip(a.embedding, b.embedding), lambda t: t[1] + t[2]) AS v
+      FROM l JOIN embeddings a ON a.vec_id = l.user_id JOIN embeddings b ON b.vec_id = l.last_pos),
+x AS (SELECT user_id, event_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM j)
+SELECT user_id, event_id, dim::INTEGER AS dim, round(x::DOUBLE, 6) AS value FROM x"""
