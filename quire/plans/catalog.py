@@ -392,3 +392,122 @@ def embedding_lookup(spark, sf_dir):
     ex = j.select("user_id", "event_id", F.posexplode("vec").alias("dim", "v"))
     return ex.select("user_id", "event_id", F.col("dim").cast("int").alias("dim"),
                      _r(F.col("v").cast("double"), 6).alias("value"))
+
+
+# ---------------------------------------------------------------- run metrics
+from ..operators import runs as RUNS   # noqa: E402
+
+EVERY_N = 10
+
+
+def _run_metrics(spark, sf_dir):
+    """events as run metrics: run = user_id, split = event_type, loss = value."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    return RUNS.run_scan(ev, "user_id", "ts", "event_id", "value")
+
+
+@register("running_best")
+def running_best(spark, sf_dir):
+    """WIN4: iteration number, strict best-so-far flag and checkpoint rule per run."""
+    m = _run_metrics(spark, sf_dir)
+    return m.select("user_id", "event_id", "iter", "is_best", "save_checkpoint")
+
+
+@register("step_duration")
+def step_duration(spark, sf_dir):
+    """WIN5: time since the previous step of the same run, in milliseconds."""
+    m = _run_metrics(spark, sf_dir)
+    return m.select("user_id", "event_id", F.round("dt_ms", 3).alias("dt_ms"))
+
+
+@register("mean_loss")
+def mean_loss(spark, sf_dir):
+    """AGG5: mean loss per run and split."""
+    ev = table(spark, sf_dir, "events")
+    m = RUNS.mean_loss(ev, ["user_id", "event_type"], "value")
+    return m.select("user_id", "event_type", F.round("mean_loss", 9).alias("mean_loss"),
+                    F.col("n").cast("long").alias("n"))
+
+
+@register("every_n")
+def every_n(spark, sf_dir):
+    """PRJ5: every 10th iteration of every run."""
+    m = RUNS.every_n(_run_metrics(spark, sf_dir), "iter", EVERY_N)
+    return m.select("user_id", "iter", "event_id", "value")
+
+
+# ---------------------------------------------------------------- sampling
+from ..operators import sampling as SMP   # noqa: E402
+
+P_DROP = 0.1
+
+
+@register("weighted_sample")
+def weighted_sample(spark, sf_dir):
+    """SMP4: hash-Bernoulli row sample of orders with inverse-probability weights."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return SMP.bernoulli_keep(o, ["o_orderkey"], P_DROP).select("o_orderkey", "o_orderstatus",
+                                                                "weight")
+
+
+@register("sample_estimate")
+def sample_estimate(spark, sf_dir):
+    """SMP4: weighted totals from the sample next to the true totals, per status."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    s = SMP.bernoulli_keep(o, ["o_orderkey"], P_DROP)
+    est = s.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_kept"),
+                                         F.sum(F.col("weight") * F.col("o_totalprice")).alias("est"))
+    tru = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_all"),
+                                         F.sum("o_totalprice").alias("total"))
+    return est.join(tru, "o_orderstatus").select(
+        "o_orderstatus", F.col("n_kept").cast("long").alias("n_kept"),
+        F.col("n_all").cast("long").alias("n_all"), F.round("est", 2).alias("est_total"),
+        F.round("total", 2).alias("true_total"))
+
+
+@register("weighted_draw")
+def weighted_draw(spark, sf_dir):
+    """SMP3: one order per customer, drawn with probability proportional to its price."""
+    o = table(spark, sf_dir, "orders")
+    return SMP.weighted_draw(o, ["o_custkey"], "o_orderkey", "o_totalprice", out="o_orderkey")
+
+
+# ---------------------------------------------------------------- bigram language model
+from ..operators import lm as LM   # noqa: E402
+
+
+def _lm_inputs(spark, sf_dir):
+    ids = _doc_word_ids(spark, sf_dir)
+    counts = LM.fit_bigram(ids.where(F.col("split") == "train"), ["doc_id"])
+    v = _word_vocab(spark, sf_dir).count()   # a scalar, bounded by the vocabulary limit
+    return ids, counts, v
+
+
+@register("bigram_model")
+def bigram_model(spark, sf_dir):
+    """LM1: bigram counts on the train split with add-one probabilities."""
+    _, counts, v = _lm_inputs(spark, sf_dir)
+    m = LM.smoothed(counts, v)
+    return m.select("w", "nx", F.col("count").cast("long").alias("count"),
+                    F.round("prob", 12).alias("prob"))
+
+
+@register("bigram_cross_entropy")
+def bigram_cross_entropy(spark, sf_dir):
+    """LM2: per-document mean cross-entropy (perplexity = exp) under the train model."""
+    ids, counts, v = _lm_inputs(spark, sf_dir)
+    ce = LM.cross_entropy(ids, ["doc_id", "split"], counts, v)
+    return ce.select("doc_id", "split", F.col("n_bigrams").cast("long").alias("n_bigrams"),
+                     F.round("cross_entropy", 9).alias("cross_entropy"))
+
+
+@register("next_token_draw")
+def next_token_draw(spark, sf_dir):
+    """LM3 + SMP3: for every conversation turn as a prompt, draw the next token after its
+    last word from the train bigram counts."""
+    _, counts, _ = _lm_inputs(spark, sf_dir)
+    turns = _turn_ids(spark, sf_dir).where(F.size("ids") > 0)
+    prompts = turns.select("conv_id", "turn", F.element_at("ids", -1).alias("last_id"))
+    d = LM.next_token_draw(prompts, ["conv_id", "turn"], "last_id", counts)
+    return d.select("conv_id", "turn", F.col("last_id").cast("int").alias("last_id"),
+                    F.col("next_id").cast("int").alias("next_id"))

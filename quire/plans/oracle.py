@@ -341,3 +341,79 @@ j AS (SELECT l.user_id, l.event_id, list_transform(list_zip(a.embedding, b.embed
       FROM l JOIN embeddings a ON a.vec_id = l.user_id JOIN embeddings b ON b.vec_id = l.last_pos),
 x AS (SELECT user_id, event_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM j)
 SELECT user_id, event_id, dim::INTEGER AS dim, round(x::DOUBLE, 6) AS value FROM x"""
+
+# ---------------------------------------------------------------- run metrics
+RUN_ROWS = f"""
+WITH r AS (
+  SELECT user_id, event_id, ts, value,
+         (row_number() OVER w - 1)::BIGINT AS iter,
+         coalesce(min(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {C.BEST_LOSS_INIT}) AS best_before,
+         lag(ts) OVER w AS prev_ts
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+ORACLES["running_best"] = RUN_ROWS + """
+SELECT user_id, event_id, iter, value < best_before AS is_best,
+       value < best_before AND iter > 0 AS save_checkpoint FROM r"""
+
+ORACLES["step_duration"] = RUN_ROWS + """
+SELECT user_id, event_id, round(date_diff('microsecond', prev_ts, ts) / 1000.0, 3) AS dt_ms FROM r"""
+
+ORACLES["mean_loss"] = """
+SELECT user_id, event_type, round(avg(value), 9) AS mean_loss, count(*)::BIGINT AS n
+FROM events GROUP BY user_id, event_type"""
+
+ORACLES["every_n"] = RUN_ROWS + """
+SELECT user_id, iter, event_id, value FROM r WHERE iter % 10 = 0"""
+
+# ---------------------------------------------------------------- sampling
+U52 = "((('0x' || substr(md5({k}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+ORACLES["weighted_sample"] = f"""
+SELECT o_orderkey, o_orderstatus, 1.0 / (1.0 - 0.1) AS weight FROM orders
+WHERE {U52.format(k="'42:' || o_orderkey")} >= 0.1"""
+
+ORACLES["sample_estimate"] = f"""
+WITH s AS (SELECT * FROM orders WHERE {U52.format(k="'42:' || o_orderkey")} >= 0.1),
+e AS (SELECT o_orderstatus, count(*) AS n_kept, sum((1.0 / (1.0 - 0.1)) * o_totalprice) AS est
+      FROM s GROUP BY o_orderstatus),
+t AS (SELECT o_orderstatus, count(*) AS n_all, sum(o_totalprice) AS total FROM orders GROUP BY o_orderstatus)
+SELECT o_orderstatus, n_kept::BIGINT AS n_kept, n_all::BIGINT AS n_all, round(est, 2) AS est_total,
+       round(total, 2) AS true_total
+FROM e JOIN t USING (o_orderstatus)"""
+
+ORACLES["weighted_draw"] = f"""
+SELECT o_custkey, arg_min(o_orderkey, -ln({U52.format(k="'42:' || o_custkey || ':' || o_orderkey")}) / o_totalprice::DOUBLE) AS o_orderkey
+FROM orders WHERE o_totalprice > 0 GROUP BY o_custkey"""
+
+# ---------------------------------------------------------------- bigram language model
+LM_BASE = f"""WITH {WORD_VOCAB},{encoded('documents', 'doc_id', WORD_RE2)},
+{split_cte('documents', 'doc_id', 'doc_id')},
+big AS (SELECT a.doc_id, s.split, a.id AS w, b.id AS nx
+        FROM enc a JOIN enc b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+        JOIN splitted s ON s.doc_id = a.doc_id),
+cnt AS (SELECT w, nx, count(*) AS c FROM big WHERE split = 'train' GROUP BY w, nx),
+ctx AS (SELECT w, sum(c) AS ctx, count(*) AS n_next FROM cnt GROUP BY w),
+vs AS (SELECT count(*) AS V FROM vocab)"""
+
+ORACLES["bigram_model"] = LM_BASE + """
+SELECT w, nx, c::BIGINT AS count, round((c + 1.0) / (ctx + (SELECT V FROM vs)), 12) AS prob
+FROM cnt JOIN ctx USING (w)"""
+
+ORACLES["bigram_cross_entropy"] = LM_BASE + """
+SELECT b.doc_id, b.split, count(*)::BIGINT AS n_bigrams,
+       round(avg(-ln((coalesce(c.c, 0) + 1.0) / (coalesce(x.ctx, 0) + (SELECT V FROM vs)))), 9) AS cross_entropy
+FROM big b LEFT JOIN cnt c USING (w, nx) LEFT JOIN ctx x USING (w)
+GROUP BY b.doc_id, b.split"""
+
+ORACLES["next_token_draw"] = LM_BASE.replace(
+    encoded('documents', 'doc_id', WORD_RE2),
+    encoded('documents', 'doc_id', WORD_RE2) + ",\n" + encoded('conversations', 'conv_id, turn', WORD_RE2)
+    .replace("pieces AS", "cpieces AS").replace("toks AS", "ctoks AS").replace("enc AS", "cenc AS")
+    .replace("FROM pieces", "FROM cpieces").replace("FROM toks", "FROM ctoks")) + """,
+iv AS (SELECT w, nx, coalesce(sum(c) OVER (PARTITION BY w ORDER BY nx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
+              c FROM cnt),
+last AS (SELECT conv_id, turn, arg_max(id, pos) AS last_id FROM cenc GROUP BY conv_id, turn),
+pr AS (SELECT l.conv_id, l.turn, l.last_id, ('0x' || substr(md5('42:' || l.conv_id || ':' || l.turn), 1, 15))::BIGINT % x.ctx AS r
+       FROM last l JOIN ctx x ON x.w = l.last_id)
+SELECT p.conv_id, p.turn, p.last_id::INTEGER AS last_id, i.nx::INTEGER AS next_id
+FROM pr p JOIN iv i ON i.w = p.last_id AND p.r >= i.lo AND p.r < i.lo + i.c"""
