@@ -97,3 +97,22 @@ def batch_right_pad(df: DataFrame, batch_col: str, ids_col: str, pad_id: int = C
 def wrap_template(ids: Column, start_id: int = 0, end_id: int = 1) -> Column:
     """ENC10: <|S|> $A <|E|> around an id sequence."""
     return F.concat(F.array(F.lit(start_id)), ids, F.array(F.lit(end_id)))
+
+
+SPAN_PATTERN = r"(?U)\s*(?:\w+|[^\w\s]+)"
+
+
+def word_spans(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """ENC8: (keys, pos, token, start, end) character offsets of word-level tokens.
+
+    Each token is extracted together with the whitespace before it, so a running
+    sum of piece lengths gives every token's end offset; start = end - length.
+    The running sum is a window over one document's tokens."""
+    ex = df.select(*keys, F.posexplode(T.extract_all(F.col(text_col), SPAN_PATTERN))
+                   .alias("pos", "_piece"))
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    tok = F.regexp_replace("_piece", r"^(?U)\s+", "")
+    return (ex.withColumn("token", tok)
+              .withColumn("end", F.sum(F.length("_piece")).over(w).cast("long"))
+              .withColumn("start", F.col("end") - F.length("token"))
+              .select(*keys, F.col("pos").cast("long").alias("pos"), "token", "start", "end"))

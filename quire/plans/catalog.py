@@ -511,3 +511,24 @@ def next_token_draw(spark, sf_dir):
     d = LM.next_token_draw(prompts, ["conv_id", "turn"], "last_id", counts)
     return d.select("conv_id", "turn", F.col("last_id").cast("int").alias("last_id"),
                     F.col("next_id").cast("int").alias("next_id"))
+
+
+@register("token_spans")
+def token_spans(spark, sf_dir):
+    """ENC8: character spans of word-level tokens, digested per document."""
+    sp = ENC.word_spans(_docs(spark, sf_dir), ["doc_id"])
+    g = (sp.groupBy("doc_id")
+           .agg(F.count(F.lit(1)).alias("n_tokens"), F.max("end").alias("last_end"),
+                F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("-", "start", "end")
+                                                     .alias("s")))).alias("_s")))
+    return g.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"),
+                    F.col("last_end").cast("long").alias("last_end"),
+                    F.md5(F.array_join(F.transform("_s", lambda x: x["s"]), ",")).alias("spans_md5"))
+
+
+@register("nfc_text")
+def nfc_text(spark, sf_dir):
+    """TXT1: NFC of every document (JVM check first; only candidate rows reach Python)."""
+    d = T.nfc_normalize(_docs(spark, sf_dir), "text")
+    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"),
+                    F.md5("text").alias("text_md5"))

@@ -417,3 +417,17 @@ pr AS (SELECT l.conv_id, l.turn, l.last_id, ('0x' || substr(md5('42:' || l.conv_
        FROM last l JOIN ctx x ON x.w = l.last_id)
 SELECT p.conv_id, p.turn, p.last_id::INTEGER AS last_id, i.nx::INTEGER AS next_id
 FROM pr p JOIN iv i ON i.w = p.last_id AND p.r >= i.lo AND p.r < i.lo + i.c"""
+
+SPAN_RE2 = "[" + UNI_WS + "]*(?:" + WORD_RE2 + ")"
+ORACLES["token_spans"] = f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, {lit(SPAN_RE2)}) AS ps FROM documents),
+x AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS pos FROM p),
+e AS (SELECT doc_id, pos, piece, regexp_replace(piece, {lit('^[' + UNI_WS + ']+')}, '') AS token,
+             sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS "end" FROM x)
+SELECT doc_id, count(*)::BIGINT AS n_tokens, max("end")::BIGINT AS last_end,
+       md5(string_agg(("end" - length(token)) || '-' || "end", ',' ORDER BY pos)) AS spans_md5
+FROM e GROUP BY doc_id"""
+
+ORACLES["nfc_text"] = """
+SELECT doc_id, length(nfc_normalize(text))::BIGINT AS n_chars, md5(nfc_normalize(text)) AS text_md5
+FROM documents"""
