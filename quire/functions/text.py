@@ -36,6 +36,14 @@ WORD_PATTERN = r"(?U)\w+|[^\w\s]+"
 MAYBE_NOT_NFC = r"[^\x{0}-\x{17F}]"
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body``.
+
+    An expression referenced inside an element lambda is otherwise evaluated
+    again for every element (quadratic work on long arrays)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def quote_regex(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch for ch in s)
 

@@ -21,19 +21,22 @@ from ..functions import text as T
 
 def mark_segments_col(text: Column, start: str = C.START_MARKER,
                       end: str = C.END_MARKER) -> Column:
-    stripped = T.py_strip(text)
-    lines = T.split_lines(stripped)
-    blank = F.transform(lines, lambda l: T.is_blank(l))
-
-    def closer(i):
-        return (F.get(blank, i) & (i >= 3) & ~F.get(blank, i - 1)
-                & ~F.get(blank, i - 2) & ~F.get(blank, i - 3))
-
-    marked = F.transform(lines, lambda l, i: F.when(closer(i), F.lit(f"{end}\n{start}"))
-                         .otherwise(l))
-    return (F.when(stripped == "", F.lit(f"{start}\n{end}\n"))
-            .otherwise(F.concat(F.lit(f"{start}\n"), F.array_join(marked, "\n"),
-                                F.lit(f"\n{end}\n"))))
+    def mark(stripped):
+        def per_lines(lines):
+            def per_flags(blank):
+                def closer(i):
+                    return (F.get(blank, i) & (i >= 3) & ~F.get(blank, i - 1)
+                            & ~F.get(blank, i - 2) & ~F.get(blank, i - 3))
+                return F.transform(lines, lambda l, i: F.when(closer(i), F.lit(f"{end}\n{start}"))
+                                   .otherwise(l))
+            return T.bind(F.transform(lines, lambda l: T.is_blank(l)), per_flags)
+
+        marked = T.bind(T.split_lines(stripped), per_lines)
+        return (F.when(stripped == "", F.lit(f"{start}\n{end}\n"))
+                .otherwise(F.concat(F.lit(f"{start}\n"), F.array_join(marked, "\n"),
+                                    F.lit(f"\n{end}\n"))))
+
+    return T.bind(T.py_strip(text), mark)
 
 
 def mark_segments(df: DataFrame, text_col: str = "text", out_col: str = "segmented",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import text as T
 
 
 def _d(c: Column) -> Column:
@@ -21,11 +22,7 @@ def vsum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + _d(x))
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body`` (a one-element array
-    lambda).  Scalars referenced inside an element lambda would otherwise be
-    re-evaluated for every element."""
-    return F.get(F.transform(F.array(value), body), 0)
+_bind = T.bind
 
 
 def softmax(arr: Column, shifted: bool = True) -> Column:
