@@ -116,6 +116,26 @@ def _top_pairs(words: DataFrame, k: int):
     return [(r.l, r.r, r.c) for r in top.collect()]
 
 
+def _sym_pairs(sym):
+    """Adjacent (l, r) pairs of a delimited id string, as an array of structs."""
+    ids = F.split(F.substr(sym, F.lit(2), F.length(sym) - 2), "><")
+    n = F.size(ids)
+    return F.zip_with(F.slice(ids, 1, F.greatest(n - 1, F.lit(0))),
+                      F.slice(ids, 2, F.greatest(n - 1, F.lit(0))),
+                      lambda a, b: F.struct(a.cast("int").alias("l"), b.cast("int").alias("r")))
+
+
+def _count_pairs(words: DataFrame, sym_col: str = "sym", weight=None) -> DataFrame:
+    w = F.col("count") if weight is None else weight
+    return (words.select(F.explode(_sym_pairs(F.col(sym_col))).alias("p"), w.alias("_w"))
+                 .groupBy("p.l", "p.r").agg(F.sum("_w").alias("c")))
+
+
+def _top_from_table(pairs: DataFrame, k: int):
+    top = pairs.where(F.col("c") > 0).orderBy(F.desc("c"), "l", "r").limit(k)
+    return [(r.l, r.r, r.c) for r in top.collect()]
+
+
 def choose_batch(top, complete: bool, tokens: list[bytes], index: dict[bytes, int]):
     """Longest prefix of the ranked pairs that sequential greedy merging would also
     take, in this order.  ``top`` is sorted by count desc, (left, right) asc.
@@ -159,11 +179,14 @@ def choose_batch(top, complete: bool, tokens: list[bytes], index: dict[bytes, in
 def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = C.BPE_VOCAB,
               specials: list[str] = C.BPE_SPECIALS, top_k: int = 512,
               checkpoint_every: int = 16, batched: bool = True, log=None,
-              max_merges: int | None = None) -> BpeModel:
+              max_merges: int | None = None, incremental: bool = False) -> BpeModel:
     """VOC3/VOC4: learn a byte-level BPE vocabulary and merge list.
 
     Stops at ``vocab_size`` entries (reserved + alphabet + merges), when no pair
-    is left, or after ``max_merges`` merges when given."""
+    is left, or after ``max_merges`` merges when given.  ``incremental=True``
+    keeps the pair table and re-counts only words touched by a merge; it does
+    less work per round on very large word tables, but runs more stages per
+    round, so the full recount is the default."""
     max_merges = float("inf") if max_merges is None else max_merges
     from ..session import ensure_checkpoint_dir
     spark = df.sparkSession
@@ -192,8 +215,9 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = C.BPE_VOC
     aqe = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        _loop(spark, cur, model, index, specials, vocab_size, top_k, checkpoint_every,
-              batched, cached, log, max_merges)
+        (_loop_incremental if incremental else _loop)(
+            spark, cur, model, index, specials, vocab_size, top_k, checkpoint_every,
+            batched, cached, log, max_merges)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", aqe)
         for c in cached:
@@ -201,6 +225,60 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = C.BPE_VOC
     return model
 
 
+def _loop_incremental(spark, cur, model, index, specials, vocab_size, top_k, checkpoint_every,
+                      batched, cached, log, max_merges):
+    """Same rounds as ``_loop``, but the pair-count table is kept and updated:
+    only words that contain a merged pair are re-counted (old pairs out, new
+    pairs in).  Per round the work is one narrow pass over the words plus a
+    small aggregation, instead of re-exploding every word."""
+    pairs = _count_pairs(cur).checkpoint(eager=True)
+    while len(index) + len(specials) < vocab_size and len(model.merges) < max_merges:
+        top = _top_from_table(pairs, top_k)
+        batch = (choose_batch(top, len(top) < top_k, model.tokens, index) if batched
+                 else top[:1] if top and top[0][2] >= 1 else [])
+        if not batch:
+            break
+        model.rounds += 1
+        sym = F.col("sym")
+        touched = F.lit(False)
+        for l, r, _ in batch:
+            if len(index) + len(specials) >= vocab_size or len(model.merges) >= max_merges:
+                break
+            tok = model.tokens[l] + model.tokens[r]
+            out = index.get(tok)
+            if out is None:
+                out = len(model.tokens)
+                model.tokens.append(tok)
+                index[tok] = out
+            model.merges.append((l, r, out))
+            pat = f"<{l}><{r}>"
+            touched = touched | F.col("sym").contains(pat)
+            sym = F.replace(sym, F.lit(pat), F.lit(f"<{out}>"))
+        hit = cur.where(touched).select("sym", sym.alias("new"), "count")
+        delta = (_count_pairs(hit, "sym", -F.col("count"))
+                 .unionByName(_count_pairs(hit, "new")))
+        nxt_pairs = (pairs.unionByName(delta).groupBy("l", "r").agg(F.sum("c").alias("c"))
+                          .where(F.col("c") != 0))
+        nxt = cur.select(sym.alias("sym"), "count").where(F.col("sym").contains("><"))
+        if model.rounds % checkpoint_every == 0:
+            nxt_pairs = nxt_pairs.checkpoint(eager=True)
+            nxt = nxt.checkpoint(eager=True)
+            for c in cached:
+                c.unpersist()
+            cached.clear()
+        else:
+            nxt_pairs = nxt_pairs.persist()
+            nxt = nxt.persist()
+            cached.extend([nxt_pairs, nxt])
+            if len(cached) > 8:      # the two previous rounds stay cached for the lineage
+                for c in cached[:-4]:
+                    c.unpersist()
+                del cached[:-4]
+        pairs, cur = nxt_pairs, nxt
+        if log:
+            log(model.rounds, len(model.merges), batch[0][2])
+
+
 def _loop(spark, cur, model, index, specials, vocab_size, top_k, checkpoint_every, batched,
           cached, log, max_merges):
     while len(index) + len(specials) < vocab_size and len(model.merges) < max_merges:
@@ -305,14 +383,25 @@ def bpe_decode(ids_df: DataFrame, keys: list[str], ids_col: str, vocab: DataFram
     return s.select(*keys, F.make_valid_utf8(F.unhex(hexed).cast("string")).alias("text"))
 
 
-def pair_counts(words: DataFrame, model: BpeModel) -> DataFrame:
-    """AGG2 as a table: (left, right, count) over the words' current symbols."""
-    hex_to_id = {t.hex().upper(): i for i, t in enumerate(model.tokens)
-                 if i >= len(model.specials) and len(t) == 1}
-    sym = _sym_string(T.byte_hex_symbols(F.col("word")), hex_to_id)
-    pairs = (words.select(F.explode(F.regexp_extract_all(sym, F.lit(_PAIR_RE), F.lit(1))).alias("p"),
-                          "count")
-                  .groupBy("p").agg(F.sum("count").alias("count")))
-    return pairs.select(F.regexp_extract("p", r"^<(\d+)>", 1).cast("int").alias("left"),
-                        F.regexp_extract("p", r"<(\d+)>$", 1).cast("int").alias("right"),
-                        F.col("count").cast("long").alias("count"))
+def alphabet_ids(words: DataFrame, n_specials: int) -> DataFrame:
+    """(byte, id): the seen bytes numbered after the reserved tokens (<= 256 rows)."""
+    from pyspark.sql import Window
+    w = Window.orderBy("akey")
+    return byte_alphabet(words).select("byte", (F.row_number().over(w) + n_specials - 1)
+                                       .cast("int").alias("id"))
+
+
+def pair_counts(words: DataFrame, n_specials: int) -> DataFrame:
+    """AGG2 as a table: (left, right, count) of adjacent bytes over all pre-tokens,
+    in alphabet ids.  Bytes are paired first; the 256-row alphabet is joined last."""
+    hx = T.byte_hex_symbols(F.col("word"))
+    n = F.size(hx)
+    pairs = F.zip_with(F.slice(hx, 1, F.greatest(n - 1, F.lit(0))),
+                       F.slice(hx, 2, F.greatest(n - 1, F.lit(0))),
+                       lambda a, b: F.struct(F.conv(a, 16, 10).cast("int").alias("l"),
+                                             F.conv(b, 16, 10).cast("int").alias("r")))
+    c = (words.select(F.explode(pairs).alias("p"), "count")
+              .groupBy("p.l", "p.r").agg(F.sum("count").alias("count")))
+    a = F.broadcast(alphabet_ids(words, n_specials))          # at most 256 rows
+    return (c.join(a.toDF("l", "left"), "l").join(a.toDF("r", "right"), "r")
+             .select("left", "right", F.col("count").cast("long").alias("count")))

@@ -15,11 +15,20 @@ from ..functions import text as T
 from . import vocab as V
 
 
+def has_special(text: Column, specials: list[str]) -> Column:
+    cond = F.lit(False)
+    for s in specials:
+        cond = cond | text.contains(s)
+    return cond
+
+
 def _pieces(text: Column, specials: list[str], pretok) -> Column:
-    """TXT7: reserved tokens are cut out first and kept whole; the rest is pre-tokenised."""
+    """TXT7: reserved tokens are cut out first and kept whole; the rest is pre-tokenised.
+    The (costlier) isolation only runs on rows that contain a reserved token."""
     parts = T.isolate_specials(text, specials)
-    return F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials), F.array(p))
-                                 .otherwise(pretok(p))))
+    isolated = F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials), F.array(p))
+                                     .otherwise(pretok(p))))
+    return F.when(has_special(text, specials), isolated).otherwise(pretok(text))
 
 
 def encode_with_vocab(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame,
@@ -45,12 +54,16 @@ def char_encode(df, keys, text_col, vocab, specials=C.CHAR_SPECIALS):
 
 def collect_ids(tokens: DataFrame, keys: list[str], pos_col: str = "pos",
                 id_col: str = "id", out: str = "ids") -> DataFrame:
-    """Ordered id array per key (sorted by position, never bare collect_list order)."""
+    """Ordered id array per key (sorted by position, never bare collect_list order).
+
+    (pos, id) is packed into one long, pos in the high 32 bits, so the sort is a
+    primitive array sort; ids are non-negative ints."""
+    packed = F.shiftleft(F.col(pos_col).cast("long"), 32).bitwiseOR(
+        F.col(id_col).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     return (tokens.groupBy(*keys)
-                  .agg(F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"),
-                                                            F.col(id_col).alias("i"))))
-                       .alias("_s"))
-                  .select(*keys, F.transform("_s", lambda s: s["i"]).alias(out)))
+                  .agg(F.sort_array(F.collect_list(packed)).alias("_s"))
+                  .select(*keys, F.transform("_s", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+                                             .cast("int")).alias(out)))
 
 
 def ids_digest(ids: Column) -> Column:
@@ -116,3 +129,42 @@ def word_spans(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
               .withColumn("end", F.sum(F.length("_piece")).over(w).cast("long"))
               .withColumn("start", F.col("end") - F.length("token"))
               .select(*keys, F.col("pos").cast("long").alias("pos"), "token", "start", "end"))
+
+
+# Private-use code points carry ids through translate(): id k <-> U+100000 + k.
+_ID_BASE = 0x100000
+_ID_LIMIT = 0x10FFFD - _ID_BASE
+
+
+def char_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame,
+                    specials: list[str] = C.CHAR_SPECIALS, unk_id: int = C.UNK_ID,
+                    out: str = "ids") -> DataFrame:
+    """ENC2 without exploding characters: each document becomes its id array in place.
+
+    Every vocabulary character is translated (``translate``, a cached lookup
+    table) to the private-use code point U+100000 + id, and ``ascii`` reads the
+    id back; a character that translate leaves unchanged is unknown -> UNK.
+    The character table is the alphabet, bounded by the vocabulary."""
+    rows = [(r.id, r.token) for r in vocab.where(~F.col("special")).collect()]
+    if len(rows) > _ID_LIMIT:
+        raise ValueError("character vocabulary too large for the id carrier")
+    src = "".join(t for _, t in rows)
+    dst = "".join(chr(_ID_BASE + i) for i, _ in rows)
+    fixed = [t for i, t in rows if chr(_ID_BASE + i) == t]      # maps to itself
+    spec_id = F.create_map(*[x for i, s in enumerate(specials) for x in (F.lit(s), F.lit(i))])
+
+    def char_id(c):
+        t = F.translate(c, src, dst)
+        known = (t != c) | (c.isin(fixed) if fixed else F.lit(False))
+        return F.when(known, F.ascii(t) - F.lit(_ID_BASE)).otherwise(F.lit(unk_id)).cast("int")
+
+    def plain(p):
+        return F.transform(V.char_pretokens(p), char_id)
+
+    text = F.col(text_col)
+    parts = T.isolate_specials(text, specials)
+    isolated = F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials),
+                                                             F.array(spec_id[p].cast("int")))
+                                     .otherwise(plain(p))))
+    ids = F.when(has_special(text, specials), isolated).otherwise(plain(text))
+    return df.select(*keys, ids.alias(out))

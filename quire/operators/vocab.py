@@ -52,7 +52,8 @@ def char_vocab(df: DataFrame, text_col: str = "text",
                specials: list[str] = C.CHAR_SPECIALS) -> DataFrame:
     """VOC2: reserved tokens, then distinct characters ascending by code point (SET2)."""
     spark = df.sparkSession
-    chars = (df.select(F.explode(char_pretokens(F.col(text_col))).alias("token"))
+    # distinct within each row first: one row per character kind, not per character
+    chars = (df.select(F.explode(F.array_distinct(char_pretokens(F.col(text_col)))).alias("token"))
                .distinct().where(~F.col("token").isin(specials)))
     w = Window.orderBy("token")   # the alphabet: a few thousand rows at most for real text
     ranked = chars.select((F.row_number().over(w) + len(specials) - 1).cast("int").alias("id"),

@@ -124,8 +124,10 @@ def word_encode(spark, sf_dir):
 def char_encode(spark, sf_dir):
     """ENC2: character-level encode with the character vocabulary."""
     docs = _docs(spark, sf_dir)
-    toks = ENC.char_encode(docs, ["doc_id"], "text", VOC.char_vocab(docs))
-    return _doc_digest(toks, ["doc_id"])
+    ids = ENC.char_encode_ids(docs, ["doc_id"], "text", VOC.char_vocab(docs))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.size(F.filter("ids", lambda i: i == C.UNK_ID)).cast("long").alias("n_unk"),
+                      ENC.ids_digest(F.col("ids")).alias("ids_md5"))
 
 
 @register("decode_roundtrip")
@@ -178,19 +180,15 @@ def byte_pretoken_counts(spark, sf_dir):
 @register("byte_alphabet")
 def byte_alphabet(spark, sf_dir):
     """TXT3, SET2: seen bytes in alphabet order, ids after the three reserved tokens."""
-    from pyspark.sql import Window
-    a = BPE.byte_alphabet(BPE.byte_level_words(_docs(spark, sf_dir)))
-    w = Window.orderBy("akey")   # at most 256 rows
-    return a.select((F.row_number().over(w) + len(C.BPE_SPECIALS) - 1).cast("int").alias("id"),
-                    F.col("byte").cast("int").alias("byte"))
+    a = BPE.alphabet_ids(BPE.byte_level_words(_docs(spark, sf_dir)), len(C.BPE_SPECIALS))
+    return a.select("id", F.col("byte").cast("int").alias("byte"))
 
 
 @register("bpe_pair_counts")
 def bpe_pair_counts(spark, sf_dir):
     """AGG2: weighted adjacent-pair counts of the alphabet ids over all pre-tokens."""
-    model = BPE.train_bpe(_docs(spark, sf_dir), max_merges=0)
     words = BPE.byte_level_words(_docs(spark, sf_dir))
-    return BPE.pair_counts(words, model)
+    return BPE.pair_counts(words, len(C.BPE_SPECIALS))
 
 
 @register(f"bpe_merges_{BPE_QUERY_MERGES}")

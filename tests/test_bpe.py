@@ -90,3 +90,11 @@ def test_batched_equals_sequential(spark, trained):
     seq = B.train_bpe(small, vocab_size=200, specials=C.BPE_SPECIALS, batched=False)
     assert seq.merges == model.merges[:len(seq.merges)]
     assert seq.rounds == len(seq.merges)
+
+
+def test_incremental_equals_full(spark, trained):
+    from quire import config as C
+    from quire.operators import bpe as B
+    small, _, model, _ = trained
+    inc = B.train_bpe(small, vocab_size=260, specials=C.BPE_SPECIALS, incremental=True)
+    assert inc.merges == model.merges[:len(inc.merges)]

@@ -67,6 +67,14 @@ def test_char_level(spark, texts, tmp_path):
     assert list(ids) == tk.encode(SAMPLE).ids
     dec = ENC.decode_joined(toks, ["doc_id"], vocab).collect()[0].text
     assert dec == tk.decode(tk.encode(SAMPLE).ids)
+    fast = ENC.char_encode_ids(probe, ["doc_id"], "text", vocab).collect()[0].ids
+    assert list(fast) == tk.encode(SAMPLE).ids
+    both = spark.createDataFrame(list(enumerate(texts + ["😀 <|E|>x" + chr(0x100003)])),
+                                 "doc_id long, text string")
+    slow = {r.doc_id: list(r.ids) for r in
+            ENC.collect_ids(ENC.char_encode(both, ["doc_id"], "text", vocab), ["doc_id"]).collect()}
+    quick = {r.doc_id: list(r.ids) for r in ENC.char_encode_ids(both, ["doc_id"], "text", vocab).collect()}
+    assert slow == quick
 
 
 def test_nfc_only_where_needed(spark):
