@@ -104,6 +104,7 @@ def _sym_string(hex_arr, hex_to_id: dict[str, int]):
 
 
 _PAIR_RE = r"(?=(<\d+><\d+>))"
+WORDS_PER_PART = 20_000
 
 
 def _top_pairs(words: DataFrame, k: int):
@@ -201,9 +202,12 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = C.BPE_VOC
         model.tokens.append(bytes([b]))
     index = model.token_index()
 
-    # Spread the word table over the cluster: the aggregation that made it may
-    # have been coalesced to very few partitions.
-    parts = max(spark.sparkContext.defaultParallelism, 1)
+    # Size the word table's partitions from its row count (about WORDS_PER_PART
+    # words each, at most the cluster's parallelism): every round is a small job
+    # whose cost is mostly per-task overhead when the table is small.
+    n_words = words.count()
+    parts = int(min(max(spark.sparkContext.defaultParallelism, 1),
+                    max(1, n_words // WORDS_PER_PART)))
     cur = (words.select(_sym_string(T.byte_hex_symbols(F.col("word")), hex_to_id).alias("sym"),
                         "count")
                 .where(F.col("sym").contains("><"))
@@ -213,13 +217,16 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = C.BPE_VOC
     # Each round is a small job whose shape never changes; re-planning it at run
     # time (AQE) costs more than it saves, so it is off for the loop only.
     aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    shuffle_parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
         (_loop_incremental if incremental else _loop)(
             spark, cur, model, index, specials, vocab_size, top_k, checkpoint_every,
             batched, cached, log, max_merges)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle_parts)
         for c in cached:
             c.unpersist()
     return model
