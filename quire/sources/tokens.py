@@ -20,9 +20,10 @@ UINT16_LIMIT = 65536
 
 def to_chunks(stream: DataFrame, chunk: int = CHUNK, split_col: str = "split") -> DataFrame:
     """Group a long (split, pos, id) stream into fixed-size chunk rows."""
-    checked = stream.withColumn(
-        "_ok", F.assert_true((F.col("id") >= 0) & (F.col("id") < UINT16_LIMIT),
-                             F.lit("token id outside uint16")))
+    # the check is part of the id expression itself, so column pruning keeps it
+    ok = F.assert_true((F.col("id") >= 0) & (F.col("id") < UINT16_LIMIT),
+                       F.lit("token id outside uint16"))
+    checked = stream.withColumn("id", F.coalesce(ok.cast("int"), F.col("id")))
     g = (checked.groupBy(split_col, (F.col("pos") / chunk).cast("long").alias("_c"))
                 .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_e")))
     return g.select(split_col, (F.col("_c") * chunk).alias("start"),

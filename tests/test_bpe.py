@@ -98,3 +98,25 @@ def test_incremental_equals_full(spark, trained):
     small, _, model, _ = trained
     inc = B.train_bpe(small, vocab_size=260, specials=C.BPE_SPECIALS, incremental=True)
     assert inc.merges == model.merges[:len(inc.merges)]
+
+
+def test_segment_encode_template_and_roundtrip(spark, trained):
+    """ENC9 (per-segment encode: split on S, drop E), ENC10 (S ... E template),
+    and decode(encode(x)) == NFC(x) when every byte is in the alphabet."""
+    import unicodedata
+    from pyspark.sql import functions as F
+    from quire.operators import bpe as B, encode as ENC, segment as SEG
+    small, texts, model, lib = trained
+    marked = SEG.mark_segments(small.limit(5))
+    segs = SEG.load_segments(marked, "doc_id").withColumn(
+        "body", F.trim(F.regexp_replace("body", r"<\|S\|>|<\|E\|>", "")))
+    enc = B.bpe_encode(segs, ["doc_id", "seg_id"], "body", model)
+    wrapped = enc.select("doc_id", "seg_id", "ids", ENC.wrap_template(F.col("ids")).alias("w"))
+    for r in wrapped.collect():
+        assert list(r.w) == [0] + list(r.ids) + [1]
+    body = {(r.doc_id, r.seg_id): r.body for r in segs.collect()}
+    for r in enc.collect():
+        assert list(r.ids) == lib.encode(body[(r.doc_id, r.seg_id)]).ids
+    dec = B.bpe_decode(enc, ["doc_id", "seg_id"], "ids", model.vocab_df(spark)).collect()
+    for r in dec:
+        assert r.text == unicodedata.normalize("NFC", body[(r.doc_id, r.seg_id)])

@@ -131,3 +131,11 @@ def test_clipped_cross_entropy_case(spark):
     got = df.select(V.cross_entropy_row(F.col("logits"), F.col("t")).alias("ce")).collect()[0].ce
     want = -math.log(math.exp(0.999999) / (math.exp(0.2) + math.exp(0.999999)))
     assert abs(got - want) < 1e-12
+
+
+def test_token_sink_rejects_ids_outside_uint16(spark, scratch):
+    import pytest
+    from quire.sources import tokens as TK
+    bad = spark.createDataFrame([("train", 0, 70000)], "split string, pos long, id int")
+    with pytest.raises(Exception):
+        TK.write_token_stream(bad, os.path.join(scratch, "bad"))
