@@ -7,6 +7,7 @@ vocabulary; the vocabulary is bounded by its size limit, so it is broadcast.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,40 +132,45 @@ def word_spans(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
               .select(*keys, F.col("pos").cast("long").alias("pos"), "token", "start", "end"))
 
 
-# Private-use code points carry ids through translate(): id k <-> U+100000 + k.
-_ID_BASE = 0x100000
-_ID_LIMIT = 0x10FFFD - _ID_BASE
-
-
 def char_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame,
                     specials: list[str] = C.CHAR_SPECIALS, unk_id: int = C.UNK_ID,
                     out: str = "ids") -> DataFrame:
     """ENC2 without exploding characters: each document becomes its id array in place.
 
-    Every vocabulary character is translated (``translate``, a cached lookup
-    table) to the private-use code point U+100000 + id, and ``ascii`` reads the
-    id back; a character that translate leaves unchanged is unknown -> UNK.
-    The character table is the alphabet, bounded by the vocabulary."""
-    rows = [(r.id, r.token) for r in vocab.where(~F.col("special")).collect()]
-    if len(rows) > _ID_LIMIT:
-        raise ValueError("character vocabulary too large for the id carrier")
-    src = "".join(t for _, t in rows)
-    dst = "".join(chr(_ID_BASE + i) for i, _ in rows)
-    fixed = [t for i, t in rows if chr(_ID_BASE + i) == t]      # maps to itself
-    spec_id = F.create_map(*[x for i, s in enumerate(specials) for x in (F.lit(s), F.lit(i))])
-
-    def char_id(c):
-        t = F.translate(c, src, dst)
-        known = (t != c) | (c.isin(fixed) if fixed else F.lit(False))
-        return F.when(known, F.ascii(t) - F.lit(_ID_BASE)).otherwise(F.lit(unk_id)).cast("int")
-
-    def plain(p):
-        return F.transform(V.char_pretokens(p), char_id)
-
-    text = F.col(text_col)
-    parts = T.isolate_specials(text, specials)
-    isolated = F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials),
-                                                             F.array(spec_id[p].cast("int")))
-                                     .otherwise(plain(p))))
-    ids = F.when(has_special(text, specials), isolated).otherwise(plain(text))
-    return df.select(*keys, ids.alias(out))
+    An Arrow UDF turns a batch of texts into code points (``np.frombuffer`` on
+    UTF-32) and looks them up with ``np.searchsorted`` in the sorted alphabet;
+    misses become UNK, reserved tokens are matched whole first.  The alphabet
+    (the vocabulary's characters) travels in the closure and is bounded by the
+    vocabulary.  No row explosion, no shuffle."""
+    import re
+
+    import numpy as np
+
+    rows = sorted((ord(r.token), r.id) for r in vocab.where(~F.col("special")).collect()
+                  if len(r.token) == 1)
+    cps = np.array([c for c, _ in rows], dtype=np.uint32)
+    ids = np.array([i for _, i in rows], dtype=np.int32)
+    spec = {s: i for i, s in enumerate(specials)}
+    splitter = re.compile("(" + "|".join(re.escape(s) for s in specials) + ")")
+
+    def encode_plain(t: str) -> np.ndarray:
+        cp = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+        if len(cps) == 0:
+            return np.full(len(cp), unk_id, dtype=np.int32)
+        pos = np.minimum(np.searchsorted(cps, cp), len(cps) - 1)
+        return np.where(cps[pos] == cp, ids[pos], unk_id).astype(np.int32)
+
+    def encode(t):
+        if t is None:
+            return None
+        if not any(s in t for s in specials):
+            return encode_plain(t)
+        parts = [np.array([spec[p]], dtype=np.int32) if p in spec else encode_plain(p)
+                 for p in splitter.split(t) if p]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+
+    @F.pandas_udf("array<int>")
+    def udf(texts: pd.Series) -> pd.Series:
+        return texts.map(encode)
+
+    return df.select(*keys, udf(F.col(text_col)).alias(out))

@@ -48,23 +48,29 @@ def stream_sizes(stream: DataFrame, split_col: str = "split") -> DataFrame:
     return stream.groupBy(split_col).agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
+def _packed(pos, id_):
+    """(pos, id) as one long, pos high: sorting the longs sorts by position."""
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(id_.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def _unpack_ids(arr):
+    return F.transform(arr, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+
+
 def packed_windows(stream: DataFrame, T_: int, split_col: str = "split") -> DataFrame:
     """WIN6 + WIN3: non-overlapping windows x = [cT, cT+T), y = x shifted by one.
 
-    Each token feeds window ``pos div T`` as x and window ``(pos-1) div T`` as y;
-    only windows with T x-tokens and T y-tokens are kept."""
-    xs = stream.select(split_col, (F.col("pos") / T_).cast("long").alias("win_id"),
-                       F.lit(0).alias("role"), "pos", "id")
-    ys = (stream.where(F.col("pos") >= 1)
-                .select(split_col, ((F.col("pos") - 1) / T_).cast("long").alias("win_id"),
-                        F.lit(1).alias("role"), "pos", "id"))
-    g = (xs.unionByName(ys).groupBy(split_col, "win_id")
-           .agg(F.array_sort(F.collect_list(F.struct("role", "pos", "id"))).alias("_e")))
-    x = F.transform(F.filter("_e", lambda e: e["role"] == 0), lambda e: e["id"])
-    y = F.transform(F.filter("_e", lambda e: e["role"] == 1), lambda e: e["id"])
-    return (g.select(split_col, "win_id", (F.col("win_id") * T_).alias("start"), x.alias("x"),
-                     y.alias("y"))
-             .where((F.size("x") == T_) & (F.size("y") == T_)))
+    Tokens are grouped once by ``pos div T`` (one shuffled row per token); y is
+    x without its first id plus the first id of the next window, taken from a
+    one-row-per-window table.  Only windows with T x-ids and a successor id are
+    kept."""
+    g = (stream.groupBy(split_col, (F.col("pos") / T_).cast("long").alias("win_id"))
+               .agg(F.sort_array(F.collect_list(_packed(F.col("pos"), F.col("id")))).alias("_e")))
+    w = g.select(split_col, "win_id", _unpack_ids(F.col("_e")).alias("x"))
+    nxt = w.select(split_col, (F.col("win_id") - 1).alias("win_id"), F.col("x")[0].alias("_n"))
+    return (w.where(F.size("x") == T_).join(nxt, [split_col, "win_id"])
+             .select(split_col, "win_id", (F.col("win_id") * T_).alias("start"), "x",
+                     F.concat(F.slice("x", 2, T_ - 1), F.array("_n")).alias("y")))
 
 
 def window_starts(sizes: DataFrame, n_windows: int, T_: int, seed: int = C.DEFAULT_SEED,
@@ -94,7 +100,7 @@ def gather_windows(stream: DataFrame, starts: DataFrame, T_: int,
     j = (s.join(F.broadcast(w), [split_col, "_bk"])
           .where((F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("start") + T_)))
     g = (j.groupBy(split_col, "win_id", "batch", "start")
-          .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_e")))
-    ids = F.transform("_e", lambda e: e["id"])
+          .agg(F.sort_array(F.collect_list(_packed(F.col("pos"), F.col("id")))).alias("_e")))
+    ids = _unpack_ids(F.col("_e"))
     return g.select(split_col, "win_id", "batch", "start",
                     F.slice(ids, 1, T_).alias("x"), F.slice(ids, 2, T_).alias("y"))

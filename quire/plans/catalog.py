@@ -530,3 +530,10 @@ def nfc_text(spark, sf_dir):
     d = T.nfc_normalize(_docs(spark, sf_dir), "text")
     return d.select("doc_id", F.length("text").cast("long").alias("n_chars"),
                     F.md5("text").alias("text_md5"))
+
+
+@register("vector_stats")
+def vector_stats(spark, sf_dir):
+    """AGG8: mean and population variance of every vector."""
+    e = _emb(spark, sf_dir).select("vec_id", VEC.mean_var(F.col("embedding")).alias("mv"))
+    return e.select("vec_id", _r(F.col("mv.mean")).alias("mean"), _r(F.col("mv.var")).alias("var"))

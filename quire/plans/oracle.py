@@ -431,3 +431,11 @@ FROM e GROUP BY doc_id"""
 ORACLES["nfc_text"] = """
 SELECT doc_id, length(nfc_normalize(text))::BIGINT AS n_chars, md5(nfc_normalize(text)) AS text_md5
 FROM documents"""
+
+ORACLES["vector_stats"] = """
+WITH s AS (SELECT vec_id, embedding AS v,
+                  list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS mu
+           FROM embeddings)
+SELECT vec_id, round(mu, 9) AS mean,
+       round(list_sum(list_transform(v, lambda x: (x::DOUBLE - mu) * (x::DOUBLE - mu))) / len(v), 9) AS var
+FROM s"""
