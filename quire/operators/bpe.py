@@ -107,13 +107,22 @@ _PAIR_RE = r"(?=(<\d+><\d+>))"
 WORDS_PER_PART = 20_000
 
 
-def _top_pairs(words: DataFrame, k: int):
-    pairs = (words.select(F.explode(F.regexp_extract_all("sym", F.lit(_PAIR_RE), F.lit(1)))
-                          .alias("p"), "count")
-                  .groupBy("p").agg(F.sum("count").alias("c")))
-    top = (pairs.select(F.regexp_extract("p", r"^<(\d+)>", 1).cast("int").alias("l"),
-                        F.regexp_extract("p", r"<(\d+)>$", 1).cast("int").alias("r"), "c")
-                .orderBy(F.desc("c"), "l", "r").limit(k))
+class _PairExprs:
+    """Column expressions of a round, built once per training run (each PySpark
+    expression is a round trip to the JVM; the loop reuses them)."""
+
+    def __init__(self):
+        self.explode = F.explode(F.regexp_extract_all("sym", F.lit(_PAIR_RE), F.lit(1))).alias("p")
+        self.total = F.sum("count").alias("c")
+        self.left = F.regexp_extract("p", r"^<(\d+)>", 1).cast("int").alias("l")
+        self.right = F.regexp_extract("p", r"<(\d+)>$", 1).cast("int").alias("r")
+        self.order = [F.desc("c"), F.col("l"), F.col("r")]
+
+
+def _top_pairs(words: DataFrame, k: int, ex: "_PairExprs | None" = None):
+    ex = ex or _PairExprs()
+    pairs = words.select(ex.explode, "count").groupBy("p").agg(ex.total)
+    top = pairs.select(ex.left, ex.right, "c").orderBy(*ex.order).limit(k)
     return [(r.l, r.r, r.c) for r in top.collect()]
 
 
@@ -288,8 +297,9 @@ def _loop_incremental(spark, cur, model, index, specials, vocab_size, top_k, che
 
 def _loop(spark, cur, model, index, specials, vocab_size, top_k, checkpoint_every, batched,
           cached, log, max_merges):
+    ex = _PairExprs()
     while len(index) + len(specials) < vocab_size and len(model.merges) < max_merges:
-        top = _top_pairs(cur, top_k)
+        top = _top_pairs(cur, top_k, ex)
         batch = (choose_batch(top, len(top) < top_k, model.tokens, index) if batched
                  else top[:1] if top and top[0][2] >= 1 else [])
         if not batch:
