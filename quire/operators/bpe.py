@@ -105,6 +105,7 @@ def _sym_string(hex_arr, hex_to_id: dict[str, int]):
 
 _PAIR_RE = r"(?=(<\d+><\d+>))"
 WORDS_PER_PART = 20_000
+CACHE_ROUNDS = True   # cache each round's word table (else merges chain until the checkpoint)
 
 
 class _PairExprs:
@@ -322,8 +323,8 @@ def _loop(spark, cur, model, index, specials, vocab_size, top_k, checkpoint_ever
             nxt = nxt.checkpoint(eager=True)
             for c in cached:
                 c.unpersist()
-            cached = []
-        else:
+            cached.clear()
+        elif CACHE_ROUNDS:
             nxt = nxt.persist()
             cached.append(nxt)
         cur = nxt
