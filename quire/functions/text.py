@@ -30,6 +30,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 # Byte-level pre-tokeniser (GPT-2 pattern, Unicode classes).
 BYTE_LEVEL_PATTERN = (r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
                       r"|\s+(?!\S)|\s+")
+# The same pre-tokeniser applied line by line (newline kept at the line end), as
+# one pattern over the whole text: only the whitespace alternatives could cross
+# a newline, so they stop at it (a run ending in "\n" is one piece).
+BYTE_LEVEL_LINES_PATTERN = (r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+                            r"|[^\S\n]*\n|[^\S\n]+(?!\S)|[^\S\n]+")
 # Word / punctuation pre-tokeniser.
 WORD_PATTERN = r"(?U)\w+|[^\w\s]+"
 # Characters outside U+0000..U+017F may change under NFC; inside, text is NFC-stable.

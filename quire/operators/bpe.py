@@ -47,8 +47,8 @@ def byte_level_words(df: DataFrame, text_col: str = "text", per_line: bool = Tru
     """TXT1 + TXT2 + AGG1: NFC, then byte-level pre-tokens (per line, newline kept,
     as a trainer reading files sees them), counted."""
     t = T.nfc_normalize(df.select(text_col), text_col)
-    lines = T.split_keep_newline(F.col(text_col)) if per_line else F.array(F.col(text_col))
-    pieces = F.flatten(F.transform(lines, lambda l: T.extract_all(l, T.BYTE_LEVEL_PATTERN)))
+    pieces = T.extract_all(F.col(text_col), T.BYTE_LEVEL_LINES_PATTERN if per_line
+                           else T.BYTE_LEVEL_PATTERN)
     return (t.select(F.explode(pieces).alias("word"))
              .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
 

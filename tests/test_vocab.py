@@ -85,3 +85,19 @@ def test_nfc_only_where_needed(spark):
     got = {r.id: r.text for r in T.nfc_normalize(df, "text").collect()}
     for i, t in rows:
         assert got[i] == (None if t is None else unicodedata.normalize("NFC", t))
+
+
+def test_line_pattern_equals_per_line_split(spark):
+    """Byte-level pre-tokens of each line (newline kept) == the one-pass line pattern."""
+    import random
+    from pyspark.sql import functions as F
+    from quire.functions import text as T
+    random.seed(7)
+    alpha = ["a", "b", " ", "  ", "\n", "\t", "\r", "1", "!", "'s", "\x0b", "\xa0", "x y", "\n\n", " \n "]
+    texts = ["".join(random.choice(alpha) for _ in range(random.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lines = T.split_keep_newline(F.col("text"))
+    per = F.flatten(F.transform(lines, lambda l: T.extract_all(l, T.BYTE_LEVEL_PATTERN)))
+    got = df.select("id", per.alias("a"), T.extract_all(F.col("text"), T.BYTE_LEVEL_LINES_PATTERN)
+                    .alias("b")).collect()
+    assert all(list(r.a) == list(r.b) for r in got)
