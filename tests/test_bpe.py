@@ -92,14 +92,6 @@ def test_batched_equals_sequential(spark, trained):
     assert seq.rounds == len(seq.merges)
 
 
-def test_incremental_equals_full(spark, trained):
-    from quire import config as C
-    from quire.operators import bpe as B
-    small, _, model, _ = trained
-    inc = B.train_bpe(small, vocab_size=260, specials=C.BPE_SPECIALS, incremental=True)
-    assert inc.merges == model.merges[:len(inc.merges)]
-
-
 def test_segment_encode_template_and_roundtrip(spark, trained):
     """ENC9 (per-segment encode: split on S, drop E), ENC10 (S ... E template),
     and decode(encode(x)) == NFC(x) when every byte is in the alphabet."""
