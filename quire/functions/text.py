@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .. import config as C
 
 # ---- fixed values: character classes and patterns ----
 # Python's str.isspace() set (used by strip() and the blank-line test).

@@ -27,7 +27,8 @@ def shuffle_key(key_cols: list[str], seed: int = C.DEFAULT_SEED):
 
 def exact_split(df: DataFrame, key_cols: list[str], seed: int = C.DEFAULT_SEED,
                 train_ratio: float = C.TRAIN_RATIO, val_ratio: float = C.VAL_RATIO,
-                test_ratio: float = C.TEST_RATIO, with_rank: bool = False) -> DataFrame:
+                test_ratio: float = C.TEST_RATIO) -> DataFrame:
+    """Add ``split`` to every row of ``df``; ``test_ratio`` is accepted and unused."""
     h = df.withColumn("_h", shuffle_key(key_cols, seed))
     h = h.withColumn("_b", F.conv(F.substr("_h", F.lit(1), F.lit(BUCKET_HEX)), 16, 10).cast("int"))
 
@@ -57,9 +58,6 @@ def exact_split(df: DataFrame, key_cols: list[str], seed: int = C.DEFAULT_SEED,
              .withColumn("_r", F.col("_lo") + F.row_number().over(w_b) - 1)
              .withColumn("split", label(F.col("_r"))))
     cols = df.columns + ["split"]
-    if with_rank:
-        inner = inner.withColumn("_r", F.lit(None).cast("long"))
-        cols = cols + ["_r"]
     return inner.select(*cols).unionByName(edge.select(*cols))
 
 
