@@ -90,8 +90,16 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _word_vocab(spark, sf_dir):
-    return VOC.word_vocab(_docs(spark, sf_dir))
+def _word_vocab(spark, sf_dir, materialise=False):
+    """The word vocabulary of all documents.  Where a query needs it more than
+    once (plan + size), it is materialised once with a reliable checkpoint (at
+    most 30,000 rows) instead of re-running the training plan."""
+    v = VOC.word_vocab(_docs(spark, sf_dir))
+    if materialise:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        v = v.checkpoint(eager=True)
+    return v
 
 
 @register("word_vocab")
@@ -141,9 +149,10 @@ def decode_roundtrip(spark, sf_dir):
                       F.md5("text").alias("text_md5"))
 
 
-def _turn_ids(spark, sf_dir):
+def _turn_ids(spark, sf_dir, vocab=None):
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    toks = ENC.word_encode(conv, ["conv_id", "turn"], "text", _word_vocab(spark, sf_dir))
+    vocab = vocab if vocab is not None else _word_vocab(spark, sf_dir)
+    toks = ENC.word_encode(conv, ["conv_id", "turn"], "text", vocab)
     return ENC.collect_ids(toks, ["conv_id", "turn"])
 
 
@@ -227,11 +236,12 @@ SAMPLE_T = 64
 SAMPLE_WINDOWS = 4 * C.BATCH_SIZE
 
 
-def _doc_word_ids(spark, sf_dir):
+def _doc_word_ids(spark, sf_dir, vocab=None):
     """Documents split 0.8/0.1/rest, word-level encoded with the vocabulary of all documents."""
     docs = _docs(spark, sf_dir)
     sp = SPL.exact_split(docs.select("doc_id"), ["doc_id"])
-    toks = ENC.word_encode(docs, ["doc_id"], "text", _word_vocab(spark, sf_dir))
+    vocab = vocab if vocab is not None else _word_vocab(spark, sf_dir)
+    toks = ENC.word_encode(docs, ["doc_id"], "text", vocab)
     ids = ENC.collect_ids(toks, ["doc_id"])
     return ids.join(sp, "doc_id")
 
@@ -475,16 +485,17 @@ from ..operators import lm as LM   # noqa: E402
 
 
 def _lm_inputs(spark, sf_dir):
-    ids = _doc_word_ids(spark, sf_dir)
+    vocab = _word_vocab(spark, sf_dir, materialise=True)
+    ids = _doc_word_ids(spark, sf_dir, vocab)
     counts = LM.fit_bigram(ids.where(F.col("split") == "train"), ["doc_id"])
-    v = _word_vocab(spark, sf_dir).count()   # a scalar, bounded by the vocabulary limit
-    return ids, counts, v
+    v = vocab.count()   # a scalar, bounded by the vocabulary limit
+    return ids, counts, v, vocab
 
 
 @register("bigram_model")
 def bigram_model(spark, sf_dir):
     """LM1: bigram counts on the train split with add-one probabilities."""
-    _, counts, v = _lm_inputs(spark, sf_dir)
+    _, counts, v, _ = _lm_inputs(spark, sf_dir)
     m = LM.smoothed(counts, v)
     return m.select("w", "nx", F.col("count").cast("long").alias("count"),
                     F.round("prob", 12).alias("prob"))
@@ -493,7 +504,7 @@ def bigram_model(spark, sf_dir):
 @register("bigram_cross_entropy")
 def bigram_cross_entropy(spark, sf_dir):
     """LM2: per-document mean cross-entropy (perplexity = exp) under the train model."""
-    ids, counts, v = _lm_inputs(spark, sf_dir)
+    ids, counts, v, _ = _lm_inputs(spark, sf_dir)
     ce = LM.cross_entropy(ids, ["doc_id", "split"], counts, v)
     return ce.select("doc_id", "split", F.col("n_bigrams").cast("long").alias("n_bigrams"),
                      F.round("cross_entropy", 9).alias("cross_entropy"))
@@ -503,8 +514,8 @@ def bigram_cross_entropy(spark, sf_dir):
 def next_token_draw(spark, sf_dir):
     """LM3 + SMP3: for every conversation turn as a prompt, draw the next token after its
     last word from the train bigram counts."""
-    _, counts, _ = _lm_inputs(spark, sf_dir)
-    turns = _turn_ids(spark, sf_dir).where(F.size("ids") > 0)
+    _, counts, _, vocab = _lm_inputs(spark, sf_dir)
+    turns = _turn_ids(spark, sf_dir, vocab).where(F.size("ids") > 0)
     prompts = turns.select("conv_id", "turn", F.element_at("ids", -1).alias("last_id"))
     d = LM.next_token_draw(prompts, ["conv_id", "turn"], "last_id", counts)
     return d.select("conv_id", "turn", F.col("last_id").cast("int").alias("last_id"),
