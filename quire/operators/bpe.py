@@ -23,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -104,7 +104,7 @@ def _sym_string(hex_arr, hex_to_id: dict[str, int]):
 
 
 _PAIR_RE = r"(?=(<\d+><\d+>))"
-WORDS_PER_PART = 20_000
+WORDS_PER_PART = 10_000
 CACHE_ROUNDS = True   # cache each round's word table (else merges chain until the checkpoint)
 
 
@@ -325,7 +325,6 @@ def bpe_decode(ids_df: DataFrame, keys: list[str], ids_col: str, vocab: DataFram
 
 def alphabet_ids(words: DataFrame, n_specials: int) -> DataFrame:
     """(byte, id): the seen bytes numbered after the reserved tokens (<= 256 rows)."""
-    from pyspark.sql import Window
     w = Window.orderBy("akey")
     return byte_alphabet(words).select("byte", (F.row_number().over(w) + n_specials - 1)
                                        .cast("int").alias("id"))
