@@ -247,7 +247,13 @@ def _doc_word_ids(spark, sf_dir, vocab=None):
 
 
 def _word_stream(spark, sf_dir):
-    return WIN.token_stream(_doc_word_ids(spark, sf_dir))
+    """The encoded corpus is the hand-off between tokenising and window sampling
+    (the reference writes it to files): it is written once to the shared
+    checkpoint folder, and offsets, stream and windows read it from there."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    ids = _doc_word_ids(spark, sf_dir).checkpoint(eager=True)
+    return WIN.token_stream(ids)
 
 
 @register("token_stream")
