@@ -139,3 +139,25 @@ def test_token_sink_rejects_ids_outside_uint16(spark, scratch):
     bad = spark.createDataFrame([("train", 0, 70000)], "split string, pos long, id int")
     with pytest.raises(Exception):
         TK.write_token_stream(bad, os.path.join(scratch, "bad"))
+
+
+def test_chunked_run_scan_equals_plain_window(spark):
+    """A hot run cut into many tiny chunks gives the same iter / best / lag as one window."""
+    import datetime as dt
+    import random
+    from pyspark.sql import Window, functions as F
+    from quire.operators import runs as R
+    random.seed(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(r, k, t0 + dt.timedelta(milliseconds=random.randint(0, 20000)), float(random.randint(0, 50)))
+            for k, r in enumerate([0] * 300 + [1] * 40 + [2] * 5)]
+    df = spark.createDataFrame(rows, "run long, k long, ts timestamp_ntz, loss double")
+    got = R.run_scan(df, "run", "ts", "k", "loss", chunk_seconds=1)
+    w = Window.partitionBy("run").orderBy("ts", "k")
+    ref = (df.withColumn("iter", F.row_number().over(w) - 1)
+             .withColumn("bb", F.coalesce(F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                          F.lit(1e9)))
+             .withColumn("prev", F.lag("ts").over(w)))
+    a = {r.k: (r.iter, r.best_before, r.prev_ts) for r in got.collect()}
+    b = {r.k: (r.iter, r.bb, r.prev) for r in ref.collect()}
+    assert a == b
