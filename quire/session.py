@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: (session, folder) of the tables written by ``written`` and not yet released.
+_scratch: list[tuple[SparkSession, str]] = []
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -51,3 +56,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder, released by ``release_scratch``."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    if not _scratch:
+        atexit.register(_release_at_exit)
+    path = f"{root}/quire-{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    w = df.write
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` made in this session."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in [x for x in _scratch if x[0] is spark]:
+        p = jvm.org.apache.hadoop.fs.Path(entry[1])
+        p.getFileSystem(conf).delete(p, True)
+        _scratch.remove(entry)
+
+
+def _release_at_exit() -> None:
+    for s in {id(s): s for s, _ in _scratch}.values():
+        try:
+            release_scratch(s)
+        except Exception:       # the session may have been stopped before the interpreter ends
+            pass
