@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import hilbert, pii
+from . import hilbert, multiset, pii
+
+
+def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_multiset_hash": op4_multiset_hash,
     "op9_hilbert": op9_hilbert,
     "op10_pii": op10_pii,
 }
