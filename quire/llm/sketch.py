@@ -2,13 +2,15 @@
 
 A partition adds its counts into a fixed-size array and hands out its blocks;
 Spark sums equal blocks in two steps (by block and a salt of the partition,
-then by block), so no task ever holds more than ``FAN_IN`` copies of a block
-at once however many partitions there are.  Only the merged array reaches the driver, and its size is a parameter.
+then by block), streaming over the copies: a task holds one block, however many
+partitions there are.  Only the merged array reaches the driver; its size is a
+parameter.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +34,25 @@ def dense_blocks(counts: np.ndarray, n_blocks: int):
         "data": pa.array([zlib.compress(np.ascontiguousarray(p).tobytes(), 1) for p in pieces], pa.binary())})
 
 
-def _summed(dtype: str, floor: int | None):
-    def add(key, table: pa.Table) -> pa.Table:
+def _block(key: tuple, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int64()),
+                                       "data": pa.array([data], pa.binary())})
+
+
+def _summed(dtype: str):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for chunk in table.column("data").chunks:
-            for v in chunk:
+        for b in batches:
+            for v in b.column("data"):
                 x = np.frombuffer(zlib.decompress(v.as_buffer()), dtype)
                 total = x.copy() if total is None else total + x
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()),
-                         "part": pa.array([0], pa.int64()),
-                         "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        yield _block(key, zlib.compress(total.tobytes(), 1))
     return add
 
 
 def merge_dense(rows: DataFrame, dtype: str, shape: tuple) -> np.ndarray:
     """Sum the block rows of all partitions into one array on the driver (its size is fixed)."""
-    add = _summed(dtype, None)
+    add = _summed(dtype)
     first = (rows.groupBy("block", F.expr(f"part div {FAN_IN}").alias("salt"))
                  .applyInArrow(add, BLOCK_SCHEMA))
     merged = first.groupBy("block").applyInArrow(add, BLOCK_SCHEMA)
@@ -68,8 +73,10 @@ class RepeatSketch:
     hash's cells, so it is never below the true count.
     """
 
-    def __init__(self, bits: int = 26, depth: int = 3, shards: int = 64):
+    def __init__(self, bits: int = 26, depth: int = 3, shards: int = 32):
+        """``shards``: blocks of each of the ``depth`` rows, a power of two."""
         self.bits, self.depth, self.shards = bits, depth, shards
+        self.width = (1 << bits) // shards
 
     def cells(self, h: np.ndarray) -> np.ndarray:
         """(depth, n) cell numbers; each depth has its own 2**bits cells."""
@@ -87,7 +94,7 @@ class RepeatSketch:
         h, c = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, int))
         cells = self.cells(h)
         part = TaskContext.get().partitionId()
-        width = (self.depth << self.bits) // self.shards
+        width = self.width
         blocks, data = [], []
         for d in range(self.depth):
             x = cells[d]
@@ -95,7 +102,7 @@ class RepeatSketch:
             x, n = x[order], c[order]
             u, first = np.unique(x, return_index=True)
             many = np.add.reduceat(n, first) > 1 if len(u) else np.zeros(0, bool)
-            for b in range((d << self.bits) // width, ((d + 1) << self.bits) // width):
+            for b in range(d * self.shards, (d + 1) * self.shards):
                 lo, hi = np.searchsorted(u, (b * width, (b + 1) * width))
                 if lo < hi:
                     blocks.append(b)
@@ -106,23 +113,25 @@ class RepeatSketch:
 
     def merge(self, rows: DataFrame) -> np.ndarray:
         """Bitmap of the cells that reached a count of two (fixed size: depth * 2**bits / 8 bytes)."""
-        width = (self.depth << self.bits) // self.shards
+        width = self.width
 
-        def join(key, table: pa.Table) -> pa.Table:
+        def joined(batches):
             seen, twice = np.zeros(width, bool), np.zeros(width, bool)
-            for chunk in table.column("data").chunks:
-                for v in chunk:
+            for b in batches:
+                for v in b.column("data"):
                     x, many = _unpack(v.as_py())
                     twice[x] |= seen[x] | many
                     seen[x] = True
+            return seen, twice
+
+        def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen, twice = joined(batches)
             x = np.flatnonzero(seen)
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int64()),
-                             "data": pa.array([_pack(x, twice[x])], pa.binary())})
+            yield _block(key, _pack(x, twice[x]))
 
-        def last(key, table: pa.Table) -> pa.Table:
-            x, many = _unpack(join(key, table).column("data")[0].as_py())
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int64()),
-                             "data": pa.array([_pack(x[many], many[many])], pa.binary())})
+        def last(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = np.flatnonzero(joined(batches)[1])
+            yield _block(key, _pack(x, np.ones(len(x), bool)))
 
         first = (rows.groupBy("block", F.expr(f"part div {FAN_IN}").alias("salt"))
                      .applyInArrow(join, BLOCK_SCHEMA))
