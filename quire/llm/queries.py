@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import hilbert, multiset, pii, substring
+from . import hilbert, multiset, ngram_join, pii, substring
 
 
 def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_multiset_hash": op4_multiset_hash,
+    "op5_ngram_join": op5_ngram_join,
     "op8_substring": op8_substring,
     "op9_hilbert": op9_hilbert,
     "op10_pii": op10_pii,
