@@ -55,8 +55,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def text_chunks(col: pa.Array):
-    """Slices of a string column of about ``CHUNK_BYTES`` each, as (first row, array)."""
+def text_chunks(col: pa.Array, size: int = CHUNK_BYTES):
+    """Slices of a string column of about ``size`` bytes each, as (first row, array)."""
     if pa.types.is_large_string(col.type):
         col = col.cast(pa.string())
     if col.null_count:
@@ -67,7 +67,7 @@ def text_chunks(col: pa.Array):
     off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + n + 1]
     at = 0
     while at < n:
-        to = int(np.searchsorted(off, int(off[at]) + CHUNK_BYTES, "right")) - 1
+        to = int(np.searchsorted(off, int(off[at]) + size, "right")) - 1
         to = min(n, max(at + 1, to))
         yield at, col.slice(at, to - at)
         at = to
