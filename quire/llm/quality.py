@@ -6,7 +6,9 @@
    result does not depend on the order of rows; the table has ``BUCKETS * DIM`` cells
    whatever the vocabulary.
 2. **Pooling.**  A document is the mean of its words' vectors, the mean over its
-   distinct words, the mean of its words' index vectors, and three pool sizes.
+   distinct words, the mean of its words' index vectors, the mean product of
+   the index vectors of words one to three apart (1 where a word repeats), and
+   three pool sizes.
 3. **Network.**  One hidden layer, trained by Adam on a bounded sample of labelled
    documents (``SAMPLE`` rows, those with the least hash of doc_id), then a
    temperature fitted on labelled documents that were kept out of training.
@@ -43,7 +45,8 @@ HIDDEN = 32
 SAMPLE = 12_000
 THRESHOLD = 0.7
 _POOL_BYTES = 1 << 19
-FEATURES = 3 * DIM + 3
+LAGS = (1, 2, 3)
+FEATURES = 3 * DIM + len(LAGS) + 3
 
 
 def index_vectors() -> np.ndarray:
@@ -107,6 +110,10 @@ def pooled(col: pa.Array, table: np.ndarray) -> np.ndarray:
             kinds = np.bincount(row[order][new], minlength=len(n))
             first = np.concatenate([[0], np.cumsum(kinds)])[some]
             f[some, 2 * DIM:3 * DIM] = np.add.reduceat(v[order][new][:, :DIM], first, axis=0) / kinds[some, None]
+            for j, lag in enumerate(LAGS):
+                near = np.flatnonzero(row[lag:] == row[:-lag])
+                alike = np.einsum("ij,ij->i", v[near, DIM:], v[near + lag, DIM:])
+                f[:, 3 * DIM + j] = np.bincount(row[near], alike, len(n)) / np.maximum(np.bincount(row[near], minlength=len(n)), 1)
             f[some, -3] = np.log1p(n[some])
             f[some, -2] = np.log1p(kinds[some])
             f[some, -1] = kinds[some] / n[some]

@@ -35,9 +35,9 @@ def test_context_sums_equal_a_plain_loop(spark):
 
 def test_gradient_training_separates_and_calibrates():
     rnd = np.random.default_rng(0)
-    x = rnd.normal(size=(1500, 10))
-    y = (x[:, 0] * x[:, 1] + 0.3 * rnd.normal(size=1500) > 0).astype(int)
-    cal = np.arange(1500) % 3 == 0
+    x = rnd.normal(size=(4000, 10))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rnd.normal(size=4000) > 0).astype(int)
+    cal = np.arange(4000) % 3 == 0
     net = quality.train(x, y, cal)
     assert np.mean((net.score(x[cal]) > 0.5) == y[cal]) > 0.85
     z = net.logits(x[cal])
