@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import hilbert, multiset, ngram_join, packing, pii, quality, substring
+from . import hilbert, multiset, ngram_join, packing, pii, pivot_index, quality, substring
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_multiset_hash": op4_multiset_hash,
     "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
+    "op7_pivot_index": op7_pivot_index,
     "op8_substring": op8_substring,
     "op9_hilbert": op9_hilbert,
     "op10_pii": op10_pii,
