@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import hilbert, multiset, ngram_join, packing, pii, pivot_index, quality, substring
+from . import hilbert, html_crf, multiset, ngram_join, packing, pii, pivot_index, quality, substring
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_html_crf": op2_html_crf,
     "op4_multiset_hash": op4_multiset_hash,
     "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
