@@ -25,7 +25,6 @@ import bisect
 import re
 import zlib
 from collections import defaultdict
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +33,12 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .hashing import text_chunks
+from .memory import WordMemory
 
 SIZE = 2048
 END_ID = 0
 UNITS = 128
 PARTS = 4
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
 
 # ---- encoding ------------------------------------------------------------------------------
 
@@ -63,32 +61,11 @@ class WordEncoder:
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex("\n"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self._forget()
-
-    def _forget(self):
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)        # word k has ids flat[at[k]:at[k + 1]]
-        self.used = 0
-
-    def _learn(self, new: list[str]):
-        if len(self.number) + len(new) > REMEMBERED and self.number:
-            return False
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            enc = self.words.encode("\n".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, np.uint32)
-            sizes = np.bincount(np.array(enc.word_ids, np.int64), minlength=len(part))
-            n = len(self.number)
-            while len(self.at) <= n + len(part):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            while len(self.flat) < self.used + len(ids):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.at[n + 1:n + 1 + len(part)] = self.used + np.cumsum(sizes)
-            self.used += len(ids)
-            self.number.update(zip(part, range(n, n + len(part))))
-        return True
+        self.memory = WordMemory(self._encode_words)
+
+    def _encode_words(self, words: list[str]):
+        enc = self.words.encode("\n".join(words), add_special_tokens=False)
+        return np.array(enc.ids, np.uint32), np.bincount(np.array(enc.word_ids, np.int64), minlength=len(words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32 arrays."""
@@ -101,19 +78,7 @@ class WordEncoder:
                 words += _SPLIT.findall(t.lower())
                 plain.append(i)
                 ends.append(len(words))
-        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        if len(miss := np.flatnonzero(numbers < 0)):
-            if not self._learn(list(dict.fromkeys(words[i] for i in miss))):
-                self._forget()
-                self._learn(list(dict.fromkeys(words)))
-                miss = range(len(words))
-            for i in miss:
-                numbers[i] = self.number[words[i]]
-        lo = self.at[numbers]
-        size = self.at[numbers + 1] - lo
-        end = np.cumsum(size)
-        ids = self.flat[np.repeat(lo - end + size, size) + np.arange(end[-1] if len(end) else 0)]
-        end = np.concatenate([[0], end])
+        ids, end = self.memory.ids(words)
         start = 0
         for i, e in zip(plain, ends):
             out[i] = ids[end[start]:end[e]]

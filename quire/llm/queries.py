@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import hilbert, html_crf, multiset, ngram_join, packing, pii, pivot_index, quality, substring
+from . import hilbert, html_crf, multiset, ngram_join, packing, pii, pivot_index, quality, substring, wfst
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_html_crf": op2_html_crf,
+    "op3_wfst": op3_wfst,
     "op4_multiset_hash": op4_multiset_hash,
     "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
