@@ -26,6 +26,22 @@ def brute(rows, k):
     return sorted(out, key=repr)
 
 
+def _removed(rows, k):
+    """Texts without covered words and the white space behind them."""
+    words = [(d, t, [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]) for d, t in rows]
+    least = {}
+    for d, t, w in words:
+        for i in range(len(w) - k + 1):
+            g = tuple(t[a:b] for a, b in w[i:i + k])
+            least[g] = min(d, least.get(g, d))
+    out = []
+    for d, t, w in words:
+        gone = {j for i in range(len(w) - k + 1) if least[tuple(t[a:b] for a, b in w[i:i + k])] < d for j in range(i, i + k)}
+        ends = [a for a, _ in w[1:]] + [len(t)]
+        out.append((d, t[:w[0][0]] + "".join(t[a:e] for i, ((a, _), e) in enumerate(zip(w, ends)) if i not in gone) if w else t))
+    return out
+
+
 def corpus(seed, n=120):
     rnd = random.Random(seed)
     word = lambda: rnd.choice("abcdefghijklmnop") + rnd.choice("xyzé")
