@@ -16,7 +16,8 @@ addition or subtraction.  The vector has two parts:
 
 Defined cases: null text counts as empty (one empty paragraph); a null doc_id
 orders first and its row comes back with a null doc_id; rows with equal doc_id
-are ordered by text hash and each is the other's neighbour; a single document is
+are ordered by text hash; rows equal in both count once in the order and all get
+the same result; a single document is
 its own next document; an empty table gives an empty result; other columns are
 not read.  Documents whose paragraphs are permuted have equal fingerprints.
 """
@@ -56,15 +57,17 @@ def _lane(h: Column) -> Column:
                     (sign * unit.cast("long")).alias("v"))
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+def fingerprints(docs: DataFrame, keys: list[str], text: str, copies: Column | None = None) -> DataFrame:
     """``keys`` plus ``digest`` (array of 32-bit numbers) and ``lanes`` (array of signed counts).
 
-    Keys must name a document; no shuffle happens if the input is already
-    partitioned by one of them.
+    Keys must name a document, which may stand in ``copies`` equal rows; no shuffle
+    happens if the input is already partitioned by one of the keys.
     """
-    paragraphs = docs.select(*keys, F.explode(F.split(F.col(text), "\n")).alias("p"))
-    parts = paragraphs.select(*keys, F.explode(_contributions(F.col("p"))).alias("c"))
-    sums = parts.groupBy(*keys, F.col("c.slot").alias("slot")).agg(F.sum("c.v").alias("v"))
+    copies = F.lit(1) if copies is None else copies
+    paragraphs = docs.select(*keys, copies.alias("w"), F.explode(F.split(F.col(text), "\n")).alias("p"))
+    parts = paragraphs.select(*keys, "w", F.explode(_contributions(F.col("p"))).alias("c"))
+    sums = (parts.groupBy(*keys, "w", F.col("c.slot").alias("slot")).agg(F.sum("c.v").alias("v"))
+                 .withColumn("v", F.expr("v div w")))
     wide = sums.groupBy(*keys).agg(*[F.sum(F.when(F.col("slot") == i, F.col("v")).otherwise(0)).alias(f"s{i}")
                                      for i in range(_SLOTS)])
     lanes = []
@@ -104,21 +107,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """(k, h, r, n) with the key of the row that follows in (k, h, r) order, the last one's being the first.
+    """(k, h, n, copies) with the key of the row that follows in (k, h) order, the last one's being the first.
 
     Rows are range-partitioned; a partition's last row takes the first row of the
     next partition from a table with one row per partition.
     """
-    ranged = written(keys.repartitionByRange("k", "h", "r").withColumn("pid", F.spark_partition_id()), "doc-order")
-    me = F.struct("k", "h", "r")
-    first = ranged.groupBy("pid").agg(F.min(me).alias("head"))
+    ranked = written(keys.repartitionByRange("k", "h").withColumn("pid", F.spark_partition_id()), "doc-order")
+    me = F.struct("k", "h")
+    first = ranked.groupBy("pid").agg(F.min(me).alias("head"))
     w = Window.orderBy("pid")
     first = first.select("pid", F.coalesce(F.lead("head").over(w), F.min("head").over(
         w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    nxt = F.lead(me).over(Window.partitionBy("pid").orderBy("k", "h", "r"))
-    return (ranged.withColumn("nxt", nxt).join(first, "pid")
+    nxt = F.lead(me).over(Window.partitionBy("pid").orderBy("k", "h"))
+    return (ranked.withColumn("nxt", nxt).join(first, "pid")
                   .withColumn("nxt", F.coalesce("nxt", "after"))
-                  .select("k", "h", "r", "n", F.col("nxt.k").alias("nk"), F.col("nxt.h").alias("nh"), F.col("nxt.r").alias("nr")))
+                  .select("k", "h", "n", "copies", F.col("nxt.k").alias("nk"), F.col("nxt.h").alias("nh")))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -130,32 +133,29 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     joined rows lie.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("k"), F.xxhash64(text).alias("h"),
-                       F.col("doc_id").alias("id"), text.alias("t"))
-    twin = Window.partitionBy("k", "h").orderBy("k")
-    keys = rows.select("k", "h", F.length("t").cast("long").alias("n")).withColumn("r", F.row_number().over(twin))
+    body = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("k"), F.xxhash64(text).alias("h"), text.alias("t"))
+    keys = body.groupBy("k", "h").agg(F.max(F.length("t")).cast("long").alias("n"), F.count("*").alias("copies"))
     order = written(next_documents(keys), "doc-next")
-    body = rows.withColumn("r", F.row_number().over(twin))
     quarter = F.expr("n div 4").cast("int")
     # Beginning of each document, addressed to the document before it.
-    before = order.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.col("nr").alias("r"),
-                          F.struct(F.col("k"), F.col("h"), F.col("r")).alias("to"), quarter.alias("q"))
-    heads = (body.join(before, ["k", "h", "r"])
-                 .select("to.*", F.substring(F.col("t"), F.lit(1), F.col("q")).alias("head")))
-    both = body.join(order, ["k", "h", "r"]).join(heads, ["k", "h", "r"])
+    before = order.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.struct("k", "h").alias("to"), quarter.alias("q"))
+    heads = (body.join(before, ["k", "h"])
+                 .groupBy("to").agg(F.max(F.substring(F.col("t"), F.lit(1), F.col("q"))).alias("head"))
+                 .select("to.*", "head"))
+    both = body.join(order, ["k", "h"]).join(heads, ["k", "h"])
     edited = F.concat(F.substring(F.col("t"), F.lit(1), F.col("n").cast("int") - quarter), F.col("head"))
-    both = both.select("k", "h", "r", F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("t").alias("x")),
-                                                        F.struct(F.lit(True).alias("e"), edited.alias("x")))).alias("v"))
-    both = both.select("k", "h", "r", "v.e", "v.x")
-    prints = fingerprints(both, ["k", "h", "r", "e"], "x")
-    sha = both.where("e").select("k", "h", "r", F.sha2(F.col("x").cast("binary"), 256).alias("edited_sha256"))
-    pair = prints.groupBy("k", "h", "r").agg(
+    both = both.select("k", "h", "copies", F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("t").alias("x")),
+                                                             F.struct(F.lit(True).alias("e"), edited.alias("x")))).alias("v"))
+    both = both.select("k", "h", "copies", "v.e", "v.x")
+    prints = fingerprints(both, ["k", "h", "e"], "x", F.col("copies"))
+    sha = (both.where("e").withColumn("sha", F.sha2(F.col("x").cast("binary"), 256))
+               .groupBy("k", "h").agg(F.max("sha").alias("edited_sha256")))
+    pair = prints.groupBy("k", "h").agg(
         *[F.first(F.when(F.col("e") == e, F.col(c)), ignorenulls=True).alias(c + s)
           for e, s in ((F.lit(False), ""), (F.lit(True), "_e")) for c in ("digest", "lanes")])
-    pair = written(pair.join(sha, ["k", "h", "r"]).join(order, ["k", "h", "r"]), "fingerprints")
-    following = pair.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("r").alias("nr"),
-                            F.col("lanes").alias("lanes_n"))
-    out = pair.join(following, ["nk", "nh", "nr"])
+    pair = written(pair.join(sha, ["k", "h"]).join(order, ["k", "h"]), "fingerprints")
+    following = pair.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("lanes").alias("lanes_n"))
+    out = pair.join(following, ["nk", "nh"]).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(F.when(F.col("k") != _LOWEST, F.col("k")).alias("doc_id"), F.col("n").alias("n_chars"),
                       "edited_sha256", as_text(F.col("digest"), F.col("lanes")).alias("fingerprint"),
                       as_text(F.col("digest_e"), F.col("lanes_e")).alias("edited_fingerprint"),
