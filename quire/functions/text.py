@@ -107,14 +107,11 @@ def nfc_normalize(df: DataFrame, col: str) -> DataFrame:
     """Unicode NFC of ``col``.
 
     Spark has no built-in normaliser.  Text made only of U+0000..U+017F is
-    already NFC, so only rows with other characters are sent through the
-    Arrow UDF; the rest never leave the JVM.  (A UDF inside CASE WHEN would
-    still be evaluated for every row, hence the two branches.)
+    already NFC, so only rows with other characters carry their text through the
+    Arrow UDF; the others send a null and keep what they have.  One scan.
     """
     needs = F.col(col).rlike(MAYBE_NOT_NFC)
-    stable = df.where(~needs | F.col(col).isNull())
-    other = df.where(needs).withColumn(col, _nfc_udf(F.col(col)))
-    return stable.unionByName(other)
+    return df.withColumn(col, F.coalesce(_nfc_udf(F.when(needs, F.col(col))), F.col(col)))
 
 
 def byte_hex_symbols(col: Column) -> Column:

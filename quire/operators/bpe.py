@@ -20,9 +20,11 @@ Vocabulary and merge list live on the driver; both are bounded by
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -256,71 +258,105 @@ def _loop(spark, cur, model, index, specials, vocab_size, top_k, checkpoint_ever
 
 # ---------------------------------------------------------------- encoding
 def _encode_word(word: str, byte_ids: dict[int, int], ranks: dict[tuple[int, int], tuple[int, int]]):
-    """Lowest-rank pair first, leftmost first; bytes outside the alphabet are dropped."""
-    syms = [byte_ids[b] for b in word.encode("utf-8") if b in byte_ids]
-    while len(syms) > 1:
-        best = None
-        for i in range(len(syms) - 1):
-            m = ranks.get((syms[i], syms[i + 1]))
-            if m is not None and (best is None or m[0] < best[0]):
-                best = (m[0], i, m[1])
-        if best is None:
-            break
-        _, i, out = best
-        syms[i:i + 2] = [out]
-    return syms
-
-
-def encode_words(words: DataFrame, model: BpeModel, word_col: str = "word") -> DataFrame:
-    """ENC3 dictionary: each *distinct* pre-token encoded once (Arrow batches).
-
-    The merge table travels in the closure; it is bounded by the vocab size."""
-    byte_ids = {t[0]: i for i, t in enumerate(model.tokens)
-                if i >= len(model.specials) and len(t) == 1}
-    ranks = {(l, r): (k, o) for k, (l, r, o) in enumerate(model.merges)}
+    """Lowest-rank pair first, leftmost first; bytes outside the alphabet are dropped.
 
-    def fn(batches):
-        for pdf in batches:
-            yield pd.DataFrame({word_col: pdf[word_col],
-                                "ids": [_encode_word(w, byte_ids, ranks) for w in pdf[word_col]]})
-
-    return words.select(word_col).mapInPandas(fn, f"{word_col} string, ids array<int>")
+    The symbols form a linked list and the mergeable pairs a heap of (rank, place);
+    an entry whose pair has changed meanwhile is skipped.  n log n in the word's length.
+    """
+    syms = [byte_ids[b] for b in word.encode("utf-8") if b in byte_ids]
+    n = len(syms)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(m[0], i) for i in range(n - 1) if (m := ranks.get((syms[i], syms[i + 1])))]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i] if syms[i] >= 0 else n
+        m = ranks.get((syms[i], syms[j])) if j < n else None
+        if m is None or m[0] != rank:
+            continue
+        syms[i], syms[j] = m[1], -1
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for a in (before[i], i):
+            if a >= 0 and after[a] < n and (m := ranks.get((syms[a], syms[after[a]]))):
+                heapq.heappush(heap, (m[0], a))
+    return [s for s in syms if s >= 0]
+
+
+#: Distinct words whose ids a task remembers; beyond that it starts anew.
+REMEMBERED = 500_000
 
 
 def bpe_encode(df: DataFrame, keys: list[str], text_col: str, model: BpeModel) -> DataFrame:
-    """ENC3 + TXT7: NFC, reserved tokens matched whole, byte-level pre-tokens encoded
-    through the distinct-word dictionary.  Returns (keys, ids array<int>) per row."""
+    """ENC3 + TXT7: NFC, reserved tokens matched whole, byte-level pre-tokens encoded in
+    place: (keys, ids array<int>), one row per input row; null text counts as empty.
+
+    A task encodes each distinct pre-token once and remembers it; nothing is
+    exploded or shuffled.  The model's size is bounded by its vocabulary."""
     specials = model.specials
-    t = T.nfc_normalize(df.select(*keys, text_col), text_col)
+    byte_ids = {t[0]: i for i, t in enumerate(model.tokens) if i >= len(specials) and len(t) == 1}
+    ranks = {(l, r): (k, o) for k, (l, r, o) in reversed(list(enumerate(model.merges)))}
+    shared = df.sparkSession.sparkContext.broadcast((byte_ids, ranks, {s: [i] for i, s in enumerate(specials)}))
+    t = T.nfc_normalize(df.select(*keys, F.coalesce(text_col, F.lit("")).alias(text_col)), text_col)
     parts = T.isolate_specials(F.col(text_col), specials)
-    pieces = F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials), F.array(p))
-                                   .otherwise(T.extract_all(p, T.BYTE_LEVEL_PATTERN))))
-    occ = t.select(*keys, F.posexplode(pieces).alias("wpos", "word"))
-    spec = F.create_map(*[x for i, s in enumerate(specials) for x in (F.lit(s), F.lit(i))])
-    plain = occ.where(~F.col("word").isin(specials))
-    dictionary = encode_words(plain.select("word").distinct(), model)
-    # Shuffle join on the word; AQE turns it into a broadcast when the dictionary is
-    # small at run time, and splits hot words (skew join) when it is not.
-    enc = plain.join(dictionary, "word").select(*keys, "wpos", "ids")
-    sp = (occ.where(F.col("word").isin(specials))
-             .select(*keys, "wpos", F.array(spec[F.col("word")]).alias("ids")))
-    allw = enc.unionByName(sp)
-    return (allw.groupBy(*keys)
-                .agg(F.array_sort(F.collect_list(F.struct("wpos", "ids"))).alias("_w"))
-                .select(*keys, F.flatten(F.transform("_w", lambda x: x["ids"])).alias("ids")))
-
-
-def bpe_decode(ids_df: DataFrame, keys: list[str], ids_col: str, vocab: DataFrame) -> DataFrame:
-    """ENC5 (byte-level): reserved ids skipped, token bytes concatenated, UTF-8 decoded."""
-    v = F.broadcast(vocab.where(~F.col("special"))
-                         .select(F.col("id").alias("_id"), F.hex("token").alias("_hx")))
-    ex = ids_df.select(*keys, F.posexplode(ids_col).alias("pos", "_id"))
-    j = ex.join(v, "_id")
-    s = (j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "_hx"))).alias("_s")))
-    hexed = F.array_join(F.transform("_s", lambda x: x["_hx"]), "")
-    # Invalid byte runs (a token cut inside a character) become U+FFFD, as a lossy
-    # UTF-8 decode would do, instead of failing the job.
-    return s.select(*keys, F.make_valid_utf8(F.unhex(hexed).cast("string")).alias("text"))
+    isolated = F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials), F.array(p))
+                                     .otherwise(T.extract_all(p, T.BYTE_LEVEL_PATTERN))))
+    has_special = F.lit(False)
+    for sp in specials:
+        has_special = has_special | F.col(text_col).contains(sp)
+    pieces = F.when(has_special, isolated).otherwise(T.extract_all(F.col(text_col), T.BYTE_LEVEL_PATTERN))
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        byte_ids, ranks, known = shared.value
+        seen = dict(known)
+        for lists in batches:
+            out = []
+            for v in lists:
+                ids = []
+                for w in v.as_py():
+                    x = seen.get(w)
+                    if x is None:
+                        if len(seen) > REMEMBERED:
+                            seen = dict(known)
+                        x = seen[w] = _encode_word(w, byte_ids, ranks)
+                    ids += x
+                out.append(ids)
+            yield pa.array(out, pa.list_(pa.int32()))
+    return t.select(*keys, run(pieces).alias("ids"))
+
+
+def segment_encode(scripts: DataFrame, key: str, text_col: str, model: BpeModel,
+                   template: bool = True) -> DataFrame:
+    """ENC9 + ENC10: marked texts split at the start marker, the end marker dropped, each
+    segment encoded by itself and wrapped as start, ids, end when ``template``.
+
+    (key, seg_id, ids); blank segments are dropped, as the loader drops them."""
+    start, end = C.START_MARKER, C.END_MARKER
+    bodies = F.filter(F.transform(F.split(F.col(text_col), T.quote_regex(start), -1),
+                                  lambda p: T.py_strip(F.replace(p, F.lit(end), F.lit("")))), lambda p: F.length(p) > 0)
+    seg = scripts.select(key, F.posexplode(bodies).alias("seg_id", "_body"))
+    enc = bpe_encode(seg, [key, "seg_id"], "_body", model)
+    if not template:
+        return enc
+    s, e = model.specials.index(start), model.specials.index(end)
+    return enc.withColumn("ids", F.concat(F.array(F.lit(s)), "ids", F.array(F.lit(e))))
+
+
+def bpe_decode(ids_df: DataFrame, keys: list[str], ids_col: str, model: BpeModel) -> DataFrame:
+    """ENC5 (byte-level): reserved ids skipped, token bytes concatenated, UTF-8 decoded;
+    invalid byte runs (a token cut inside a character) become U+FFFD.  In place, one row
+    per input row; null ids decode to an empty text."""
+    shared = ids_df.sparkSession.sparkContext.broadcast(
+        {i: bytes(t) for i, t in enumerate(model.tokens) if i >= len(model.specials)})
+
+    @F.arrow_udf("string")
+    def run(lists: pa.Array) -> pa.Array:
+        token = shared.value
+        return pa.array([b"".join([token.get(i, b"") for i in (v.as_py() or [])]).decode("utf-8", "replace")
+                         for v in lists], pa.string())
+    return ids_df.select(*keys, run(F.col(ids_col)).alias("text"))
 
 
 def alphabet_ids(words: DataFrame, n_specials: int) -> DataFrame:
@@ -341,6 +377,6 @@ def pair_counts(words: DataFrame, n_specials: int) -> DataFrame:
                                              F.conv(b, 16, 10).cast("int").alias("r")))
     c = (words.select(F.explode(pairs).alias("p"), "count")
               .groupBy("p.l", "p.r").agg(F.sum("count").alias("count")))
-    a = F.broadcast(alphabet_ids(words, n_specials))          # at most 256 rows
+    a = alphabet_ids(words, n_specials)                       # at most 256 rows
     return (c.join(a.toDF("l", "left"), "l").join(a.toDF("r", "right"), "r")
              .select("left", "right", F.col("count").cast("long").alias("count")))

@@ -1,14 +1,20 @@
 """Encoding texts to id tables and decoding them back (ENC1, ENC2, ENC4-ENC8, ENC10, JN2).
 
-Encoded text is a long table ``(keys..., pos long, id int)``: one row per
-token.  Vocabulary lookup is an equi join on the token string with the
-vocabulary; the vocabulary is bounded by its size limit, so it is broadcast.
+Encoded text is one id array per input row, made in place: pre-tokens are cut
+by built-in expressions and looked up in Arrow batches against a vocabulary
+whose size is checked.  No token is exploded or shuffled, and every input row
+comes back, with an empty array if its text is empty or null.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -32,69 +38,79 @@ def _pieces(text: Column, specials: list[str], pretok) -> Column:
     return F.when(has_special(text, specials), isolated).otherwise(pretok(text))
 
 
-def encode_with_vocab(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame,
-                      pretok, specials: list[str], unk_id: int = C.UNK_ID) -> DataFrame:
-    """Pre-tokenise, look up, map misses to UNK.  Returns (keys, pos, token, id)."""
-    toks = df.select(*keys, F.posexplode(_pieces(F.col(text_col), specials, pretok))
-                     .alias("pos", "token"))
-    v = F.broadcast(vocab.select("token", F.col("id").alias("_id")))   # bounded by the vocab limit
-    return (toks.join(v, "token", "left")
-                .select(*keys, F.col("pos").cast("long").alias("pos"), "token",
-                        F.coalesce("_id", F.lit(unk_id)).cast("int").alias("id")))
+#: Entries of a vocabulary that an in-place lookup carries to the tasks, at most.
+MAX_LOOKUP = 2_000_000
+
+
+def vocab_rows(vocab: DataFrame) -> list:
+    """The rows (id, token, special) of a vocabulary on the driver, its size checked."""
+    rows = vocab.select("id", "token", "special").limit(MAX_LOOKUP + 1).collect()
+    if len(rows) > MAX_LOOKUP:
+        raise ValueError(f"a vocabulary of more than {MAX_LOOKUP} entries needs a join, not an in-place lookup")
+    return rows
 
 
-def word_encode(df, keys, text_col, vocab, specials=C.WORD_SPECIALS):
-    """ENC1: word-level encode."""
-    return encode_with_vocab(df, keys, text_col, vocab, V.word_pretokens, specials)
+def _with_offsets(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """``values`` cut into lists as long as those of ``lists``."""
+    n = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), values)
 
 
-def char_encode(df, keys, text_col, vocab, specials=C.CHAR_SPECIALS):
-    """ENC2: character-level encode."""
-    return encode_with_vocab(df, keys, text_col, vocab, V.char_pretokens, specials)
+def lookup_ids(tokens: Column, vocab: DataFrame, unk_id: int = C.UNK_ID) -> Column:
+    """JN2: an array of tokens as an array of ids, misses as UNK.  In place: nothing is exploded or shuffled."""
+    rows = vocab_rows(vocab)
+    shared = vocab.sparkSession.sparkContext.broadcast((pa.array([r.token for r in rows], pa.string()),
+                                                        pa.array([r.id for r in rows], pa.int32())))
 
+    @F.arrow_udf("array<int>")
+    def run(lists: pa.Array) -> pa.Array:
+        known, ids = shared.value
+        at = pc.index_in(lists.flatten(), value_set=known)
+        return _with_offsets(lists, pc.fill_null(ids.take(at), unk_id))
+    return run(tokens)
 
-def collect_ids(tokens: DataFrame, keys: list[str], pos_col: str = "pos",
-                id_col: str = "id", out: str = "ids") -> DataFrame:
-    """Ordered id array per key (sorted by position, never bare collect_list order).
 
-    (pos, id) is packed into one long, pos in the high 32 bits, so the sort is a
-    primitive array sort; ids are non-negative ints."""
-    packed = F.shiftleft(F.col(pos_col).cast("long"), 32).bitwiseOR(
-        F.col(id_col).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return (tokens.groupBy(*keys)
-                  .agg(F.sort_array(F.collect_list(packed)).alias("_s"))
-                  .select(*keys, F.transform("_s", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
-                                             .cast("int")).alias(out)))
+def word_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame,
+                    specials: list[str] = C.WORD_SPECIALS) -> DataFrame:
+    """ENC1 + TXT7: (keys, ids), one row per input row; null text counts as empty."""
+    pieces = _pieces(F.coalesce(F.col(text_col), F.lit("")), specials, V.word_pretokens)
+    return df.select(*keys, lookup_ids(pieces, vocab).alias("ids"))
 
 
 def ids_digest(ids: Column) -> Column:
     return F.md5(F.array_join(ids, ","))
 
 
-def decode_joined(tokens: DataFrame, keys: list[str], vocab: DataFrame) -> DataFrame:
-    """ENC5 for word/char vocabularies: reserved tokens skipped, the rest joined by one space."""
-    v = F.broadcast(vocab.select(F.col("id").alias("_vid"), F.col("token").alias("_tok"),
-                                 "special"))
-    j = (tokens.join(v, tokens["id"] == v["_vid"])
-               .where(~F.col("special")))
-    s = (j.groupBy(*keys)
-          .agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"),
-                                                    F.col("_tok").alias("t")))).alias("_s")))
-    return s.select(*keys, F.array_join(F.transform("_s", lambda x: x["t"]), " ").alias("text"))
+def decode_joined(df: DataFrame, keys: list[str], ids_col: str, vocab: DataFrame) -> DataFrame:
+    """ENC5 for word/char vocabularies: reserved tokens skipped, the rest joined by one
+    space.  One row per input row; ids outside the vocabulary are skipped."""
+    rows = [r for r in vocab_rows(vocab) if not r.special]
+    shared = df.sparkSession.sparkContext.broadcast({r.id: r.token for r in rows})
 
+    @F.arrow_udf("string")
+    def run(lists: pa.Array) -> pa.Array:
+        token = shared.value
+        return pa.array([" ".join([token[i] for i in (v.as_py() or []) if i in token]) for v in lists], pa.string())
+    return df.select(*keys, run(F.col(ids_col)).alias("text"))
 
-def left_pad(ids: Column, length: int, pad_id: int = C.PAD_ID, keep_last: bool = True) -> Column:
-    """ENC7: left-pad to ``length`` with the pad id.  Longer input keeps its last
-    ``length`` ids when ``keep_last``; otherwise it raises, as the reference does."""
+
+def left_pad(ids: Column, length: int, pad_id: int = C.PAD_ID) -> Column:
+    """ENC7: left-pad to ``length`` with the pad id; longer input raises."""
     n = F.size(ids)
-    fitted = F.when(n <= length, ids)
-    if keep_last:
-        fitted = fitted.otherwise(F.slice(ids, n - length + 1, length))
-    else:
-        fitted = fitted.otherwise(F.raise_error(F.lit(f"input longer than {length} tokens")))
+    fitted = F.when(n <= length, ids).otherwise(F.raise_error(F.lit(f"input longer than {length} tokens")))
     return F.concat(F.array_repeat(F.lit(pad_id), F.greatest(F.lit(length) - n, F.lit(0))), fitted)
 
 
+def prompt_windows(ids: Column, length: int, pad_id: int = C.PAD_ID) -> Column:
+    """ENC7 for prompts of any length: the ids cut into windows of ``length`` that end with the
+    last id, the first one left-padded.  No id is lost; a prompt that fits is one window."""
+    n = F.size(ids)
+    count = F.greatest(F.lit(1), F.ceil(n / F.lit(length)).cast("int"))
+    full = F.concat(F.array_repeat(F.lit(pad_id), (count * length - n).cast("int")), ids)
+    return T.bind(full, lambda x: F.transform(F.sequence(F.lit(0), count - 1),
+                                              lambda k: F.slice(x, k * length + 1, F.lit(length))))
+
+
 def batch_right_pad(df: DataFrame, batch_col: str, ids_col: str, pad_id: int = C.PAD_ID,
                     out: str = "padded") -> DataFrame:
     """ENC6: pad every row on the right to the longest row of its batch.
@@ -117,19 +133,23 @@ SPAN_PATTERN = r"(?U)\s*(?:\w+|[^\w\s]+)"
 
 
 def word_spans(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """ENC8: (keys, pos, token, start, end) character offsets of word-level tokens.
+    """ENC8: (keys, spans) with the character offsets of word-level tokens, in order.
+
+    Each token is extracted together with the white space before it, so the
+    running sum of piece lengths gives a token's end and its own length the
+    start.  Lengths are built-in expressions; the running sum is one Arrow step."""
+    pieces = T.extract_all(F.coalesce(F.col(text_col), F.lit("")), SPAN_PATTERN)
+    whole = F.transform(pieces, F.length)
+    token = F.transform(pieces, lambda p: F.length(F.regexp_replace(p, r"^(?U)\s+", "")))
 
-    Each token is extracted together with the whitespace before it, so a running
-    sum of piece lengths gives every token's end offset; start = end - length.
-    The running sum is a window over one document's tokens."""
-    ex = df.select(*keys, F.posexplode(T.extract_all(F.col(text_col), SPAN_PATTERN))
-                   .alias("pos", "_piece"))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    tok = F.regexp_replace("_piece", r"^(?U)\s+", "")
-    return (ex.withColumn("token", tok)
-              .withColumn("end", F.sum(F.length("_piece")).over(w).cast("long"))
-              .withColumn("start", F.col("end") - F.length("token"))
-              .select(*keys, F.col("pos").cast("long").alias("pos"), "token", "start", "end"))
+    @F.arrow_udf("array<struct<start: long, end: long>>")
+    def run(whole: pa.Array, token: pa.Array) -> pa.Array:
+        n = np.concatenate([[0], np.cumsum(whole.value_lengths().to_numpy(zero_copy_only=False))])
+        end = np.concatenate([[0], np.cumsum(whole.flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+        end = end[1:] - np.repeat(end[n[:-1]], np.diff(n))
+        start = end - token.flatten().to_numpy(zero_copy_only=False)
+        return _with_offsets(whole, pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+    return df.select(*keys, run(whole, token).alias("spans"))
 
 
 def char_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame,
@@ -142,12 +162,7 @@ def char_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFr
     misses become UNK, reserved tokens are matched whole first.  The alphabet
     (the vocabulary's characters) travels in the closure and is bounded by the
     vocabulary.  No row explosion, no shuffle."""
-    import re
-
-    import numpy as np
-
-    rows = sorted((ord(r.token), r.id) for r in vocab.where(~F.col("special")).collect()
-                  if len(r.token) == 1)
+    rows = sorted((ord(r.token), r.id) for r in vocab_rows(vocab) if not r.special and len(r.token) == 1)
     cps = np.array([c for c, _ in rows], dtype=np.uint32)
     ids = np.array([i for _, i in rows], dtype=np.int32)
     spec = {s: i for i, s in enumerate(specials)}
@@ -162,7 +177,7 @@ def char_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFr
 
     def encode(t):
         if t is None:
-            return None
+            return np.zeros(0, dtype=np.int32)
         if not any(s in t for s in specials):
             return encode_plain(t)
         parts = [np.array([spec[p]], dtype=np.int32) if p in spec else encode_plain(p)

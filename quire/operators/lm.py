@@ -41,43 +41,60 @@ def smoothed(counts: DataFrame, vocab_size: int, k: float = 1.0) -> DataFrame:
                               / (F.col("ctx") + F.lit(k * vocab_size))))
 
 
-def cross_entropy(doc_ids: DataFrame, keys: list[str], counts: DataFrame, vocab_size: int,
-                  k: float = 1.0, ids_col: str = "ids") -> DataFrame:
-    """LM2: per document, number of bigrams and mean -ln p(nx | w) under add-k smoothing
-    (unseen pairs and contexts get k / (ctx + kV)).  Joins are shuffle joins on the
-    pair key, where AQE splits hot pairs; the context table has one row per token
-    id, bounded by the vocabulary, and is broadcast."""
+def pair_loss(pairs: DataFrame, counts: DataFrame, vocab_size: int, k: float = 1.0) -> DataFrame:
+    """``pairs`` (.., w, nx) with ``loss`` = -ln p(nx | w) under add-k smoothing (unseen
+    pairs and contexts get k / (ctx + kV)).  Shuffle joins on the pair and the
+    context; AQE splits hot keys and broadcasts small tables."""
     ctx = context_totals(counts).select("w", "ctx")
-    b = bigrams(doc_ids, keys, ids_col)
-    j = (b.join(counts, ["w", "nx"], "left")
-          .join(F.broadcast(ctx), "w", "left"))
+    j = pairs.join(counts, ["w", "nx"], "left").join(ctx, "w", "left")
     p = ((F.coalesce("count", F.lit(0)) + F.lit(k))
          / (F.coalesce("ctx", F.lit(0)) + F.lit(k * vocab_size)))
-    return j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bigrams"),
-                                F.avg(-F.log(p)).alias("cross_entropy"))
+    return j.withColumn("loss", -F.log(p)).drop("count", "ctx")
+
+
+def cross_entropy(doc_ids: DataFrame, keys: list[str], counts: DataFrame, vocab_size: int,
+                  k: float = 1.0, ids_col: str = "ids") -> DataFrame:
+    """LM2: per document, number of bigrams and mean -ln p(nx | w); a document of fewer
+    than two ids has 0 bigrams and a null mean.  Equal pairs of a document are
+    counted before the join, so hot pairs join once per document."""
+    b = bigrams(doc_ids, keys, ids_col).groupBy(*keys, "w", "nx").agg(F.count(F.lit(1)).alias("_times"))
+    j = pair_loss(b, counts, vocab_size, k).groupBy(*keys).agg(
+        F.sum("_times").alias("n_bigrams"), (F.sum(F.col("_times") * F.col("loss")) / F.sum("_times")).alias("cross_entropy"))
+    return (doc_ids.select(*keys).join(j, keys, "left")
+                   .withColumn("n_bigrams", F.coalesce("n_bigrams", F.lit(0))))
+
+
+#: Context under which the counts of all contexts are summed, for prompts never seen in training.
+ANY_CONTEXT = -1
 
 
 def next_token_draw(prompts: DataFrame, keys: list[str], last_col: str, counts: DataFrame,
                     seed: int = C.DEFAULT_SEED) -> DataFrame:
-    """LM3 + SMP3: one next-token draw per prompt from the observed bigram counts.
+    """LM3 + SMP3: one next-token draw per prompt from the observed bigram counts; a prompt
+    whose last token was never a context draws from the counts of all contexts.
 
     Inverse CDF on integers: r = hash(seed:keys) mod ctx(w); the drawn token is the
     successor whose cumulative interval [lo, hi) (successors in id order) holds r.
     Intervals are replicated into at most n_next(w) buckets of the range, and a
     prompt joins only its bucket, so a common last token neither pairs every
     prompt with every successor nor lands in one task."""
+    known = counts.select("w").distinct().withColumn("_known", F.lit(True))
+    counts = counts.union(counts.groupBy("nx").agg(F.sum("count").alias("count"))
+                                .select(F.lit(ANY_CONTEXT).alias("w"), "nx", "count"))
     ctx = context_totals(counts)
     w_cum = Window.partitionBy("w").orderBy("nx").rowsBetween(Window.unboundedPreceding, -1)
     iv = (counts.withColumn("lo", F.coalesce(F.sum("count").over(w_cum), F.lit(0)))
                 .withColumn("hi", F.col("lo") + F.col("count"))
                 .join(ctx, "w"))
-    bucket = lambda v: (v * F.col("n_next") / F.col("ctx")).cast("long")
+    bucket = lambda v: F.expr(f"({v}) * n_next div ctx")
     iv = iv.select("w", "nx", "lo", "hi",
-                   F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi") - 1))).alias("bk"))
+                   F.explode(F.sequence(bucket("lo"), bucket("hi - 1"))).alias("bk"))
     r = F.pmod(T.hash_int(F.concat_ws(":", F.lit(str(seed)), *[F.col(c) for c in keys])),
                F.col("ctx"))
-    p = (prompts.join(ctx, prompts[last_col] == ctx["w"])
-                .withColumn("r", r).withColumn("bk", bucket(F.col("r")))
+    prompts = prompts.join(known, prompts[last_col] == known["w"], "left").drop("w")
+    prompts = prompts.withColumn("w", F.when(F.col("_known"), F.col(last_col)).otherwise(F.lit(ANY_CONTEXT)))
+    p = (prompts.join(ctx, "w")
+                .withColumn("r", r).withColumn("bk", bucket("r"))
                 .select(*keys, F.col(last_col), "w", "r", "bk"))
     j = p.join(iv, ["w", "bk"]).where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     return j.select(*keys, last_col, F.col("nx").alias("next_id"))

@@ -13,13 +13,18 @@ from .. import config as C
 from ..functions import text as T
 
 
+def kept(key_cols: list[str], p_drop: float, seed: int = C.DEFAULT_SEED):
+    """SMP4: (whether a row is kept, with probability 1 - p_drop; its weight 1 / (1 - p_drop))."""
+    u = T.hash_uniform(F.concat_ws(":", F.lit(str(seed)), *[F.col(c) for c in key_cols]))
+    return u >= F.lit(p_drop), F.lit(1.0 / (1.0 - p_drop))
+
+
 def bernoulli_keep(df: DataFrame, key_cols: list[str], p_drop: float,
                    seed: int = C.DEFAULT_SEED, weight_col: str = "weight") -> DataFrame:
-    """SMP4 (dropout as row sampling): keep each row with probability 1 - p_drop and
-    give it weight 1 / (1 - p_drop), so weighted sums stay unbiased."""
-    u = T.hash_uniform(F.concat_ws(":", F.lit(str(seed)), *[F.col(c) for c in key_cols]))
-    return (df.where(u >= F.lit(p_drop))
-              .withColumn(weight_col, F.lit(1.0 / (1.0 - p_drop))))
+    """SMP4 (dropout as row sampling): the kept rows with their weight, so weighted sums
+    stay unbiased."""
+    keep, weight = kept(key_cols, p_drop, seed)
+    return df.where(keep).withColumn(weight_col, weight)
 
 
 def weighted_draw(df: DataFrame, group_cols: list[str], item_col: str, weight_col: str,

@@ -7,6 +7,8 @@ that partial aggregation runs map-side and no group is collected whole.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,13 @@ def clip(x: Column, eps: float = C.CLIP_EPS) -> Column:
 
 
 def cross_entropy_row(logits: Column, target: Column, clipped: bool = True) -> Column:
-    """AGG6 per row (JN4: the target is an element access, no one-hot table).
+    """AGG6 per row (JN4: the target is an element access, no one-hot table).  A target
+    outside the vector raises.
 
     ``clipped`` keeps the reference rule (logits clipped to [eps, 1-eps] before
     the softmax); otherwise the standard max-shifted log-softmax loss."""
+    target = F.when((target >= 0) & (target < F.size(logits)), target).otherwise(
+        F.raise_error(F.concat(F.lit("no score for target "), F.coalesce(target.cast("string"), F.lit("null")))))
     if clipped:
         return _bind(F.transform(logits, lambda x: clip(x)),
                      lambda y: F.log(vsum(F.transform(y, lambda v: F.exp(v)))) - F.get(y, target))
@@ -93,20 +98,33 @@ def elementwise_mean(df: DataFrame, keys: list[str], vec_col: str) -> DataFrame:
     return ex.groupBy(*keys, "dim").agg(F.avg(_d(F.col("_x"))).alias("mean"))
 
 
-def linear(df: DataFrame, keys: list[str], vec_col: str, weight: DataFrame,
-           bias: DataFrame | None = None) -> DataFrame:
-    """VEC4: y_j = sum_i x_i * W[i, j] (+ b_j), long form (keys, j, value).
+#: Weights (numbers) that a projection carries to the tasks, at most: 256 MB of doubles.
+MAX_WEIGHTS = 1 << 25
 
-    ``weight`` is a table (i, j, w).  Its size is in_dim x out_dim, fixed by
-    the model, not by the data, so it is broadcast; the vector side is never
-    shuffled except by the final (keys, j) aggregation, which combines map-side."""
-    ex = df.select(*keys, F.posexplode(vec_col).alias("i", "_x"))
-    j = ex.join(F.broadcast(weight), "i")
-    out = j.groupBy(*keys, "j").agg(F.sum(_d(F.col("_x")) * F.col("w")).alias("value"))
-    if bias is not None:
-        out = (out.join(F.broadcast(bias), "j")
-                  .select(*keys, "j", (F.col("value") + F.col("b")).alias("value")))
-    return out
+
+def weight_matrix(weight: DataFrame, bias: DataFrame | None = None):
+    """The weight table (i, j, w) and bias (j, b) as arrays, their size checked."""
+    n = weight.count()
+    if n > MAX_WEIGHTS:
+        raise ValueError(f"{n} weights; an in-place projection carries {MAX_WEIGHTS} at most")
+    t = weight.select("i", "j", "w").toPandas()
+    m = np.zeros((int(t["i"].max()) + 1, int(t["j"].max()) + 1))
+    m[t["i"].to_numpy(), t["j"].to_numpy()] = t["w"].to_numpy()
+    b = np.zeros(m.shape[1])
+    for r in (bias.collect() if bias is not None else []):
+        b[r["j"]] = r["b"]
+    return m, b
+
+
+def linear(vec: Column, weight: np.ndarray, bias: np.ndarray) -> Column:
+    """VEC4: y = x W + b for every vector, as one matrix product per Arrow batch; no
+    shuffle and no row per weight.  The weights' size is fixed by the model."""
+    @F.arrow_udf("array<double>")
+    def run(lists: pa.Array) -> pa.Array:
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(weight))
+        y = x @ weight + bias
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel()))
+    return run(vec)
 
 
 def last_per_sequence(df: DataFrame, seq_cols: list[str], order_cols: list[str],
@@ -123,10 +141,10 @@ def last_per_sequence(df: DataFrame, seq_cols: list[str], order_cols: list[str],
 
 def lookup_add(df: DataFrame, id_col: str, pos_col: str, table: DataFrame,
                key_col: str, vec_col: str, out: str = "vec") -> DataFrame:
-    """JN1: token vector + position vector, two equi joins with the vector table and
-    an elementwise sum."""
+    """JN1: token vector + position vector, elementwise.  Rows whose id or position has
+    no vector stay, with a null ``out``."""
     tok = table.select(F.col(key_col).alias("_tk"), F.col(vec_col).alias("_tv"))
     pos = table.select(F.col(key_col).alias("_pk"), F.col(vec_col).alias("_pv"))
-    j = (df.join(tok, df[id_col] == tok["_tk"]).join(pos, F.col(pos_col) == pos["_pk"]))
+    j = (df.join(tok, df[id_col] == tok["_tk"], "left").join(pos, F.col(pos_col) == pos["_pk"], "left"))
     return (j.withColumn(out, F.zip_with("_tv", "_pv", lambda a, b: a + b))
              .drop("_tk", "_tv", "_pk", "_pv"))

@@ -15,6 +15,7 @@ from .. import config as C
 from ..functions import text as T
 from ..operators import segment as SEG
 from ..operators import split as SPL
+from ..session import artefact, scratch_path
 from ..sources.tables import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,22 +91,15 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _word_vocab(spark, sf_dir, materialise=False):
-    """The word vocabulary of all documents.  Where a query needs it more than
-    once (plan + size), it is materialised once with a reliable checkpoint (at
-    most 30,000 rows) instead of re-running the training plan."""
-    v = VOC.word_vocab(_docs(spark, sf_dir))
-    if materialise:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        v = v.checkpoint(eager=True)
-    return v
+def _word_vocab(spark, sf_dir):
+    """The word vocabulary of all documents, trained once and read from its table (SNK4, SRC4)."""
+    return artefact(spark, (sf_dir, "word-vocab"), lambda: VOC.word_vocab(_docs(spark, sf_dir)))
 
 
 @register("word_vocab")
 def word_vocab(spark, sf_dir):
     """TXT4, AGG1, SRT4, VOC1: word-level vocabulary of the documents."""
-    return _word_vocab(spark, sf_dir)
+    return VOC.word_vocab(_docs(spark, sf_dir))
 
 
 @register("char_vocab")
@@ -114,8 +108,7 @@ def char_vocab(spark, sf_dir):
     return VOC.char_vocab(_docs(spark, sf_dir))
 
 
-def _doc_digest(tokens, keys):
-    ids = ENC.collect_ids(tokens, keys)
+def _digest(ids, *keys):
     return ids.select(*keys, F.size("ids").cast("long").alias("n_tokens"),
                       F.size(F.filter("ids", lambda i: i == C.UNK_ID)).cast("long").alias("n_unk"),
                       ENC.ids_digest(F.col("ids")).alias("ids_md5"))
@@ -123,47 +116,45 @@ def _doc_digest(tokens, keys):
 
 @register("word_encode")
 def word_encode(spark, sf_dir):
-    """ENC1, JN2, TXT7: word-level encode of every document, digest per document."""
-    toks = ENC.word_encode(_docs(spark, sf_dir), ["doc_id"], "text", _word_vocab(spark, sf_dir))
-    return _doc_digest(toks, ["doc_id"])
+    """ENC1, JN2: word-level encode of every document, digest per document."""
+    return _digest(ENC.word_encode_ids(_docs(spark, sf_dir), ["doc_id"], "text", _word_vocab(spark, sf_dir)), "doc_id")
+
+
+@register("marked_encode")
+def marked_encode(spark, sf_dir):
+    """TXT5, TXT7: scripts with segment markers, word-level encoded; the markers keep their reserved ids."""
+    marked = _segmented_scripts(spark, sf_dir)
+    return _digest(ENC.word_encode_ids(marked, ["conv_id"], "segmented", _word_vocab(spark, sf_dir)), "conv_id")
 
 
 @register("char_encode")
 def char_encode(spark, sf_dir):
     """ENC2: character-level encode with the character vocabulary."""
     docs = _docs(spark, sf_dir)
-    ids = ENC.char_encode_ids(docs, ["doc_id"], "text", VOC.char_vocab(docs))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                      F.size(F.filter("ids", lambda i: i == C.UNK_ID)).cast("long").alias("n_unk"),
-                      ENC.ids_digest(F.col("ids")).alias("ids_md5"))
+    return _digest(ENC.char_encode_ids(docs, ["doc_id"], "text", VOC.char_vocab(docs)), "doc_id")
 
 
 @register("decode_roundtrip")
 def decode_roundtrip(spark, sf_dir):
     """ENC5: word-level decode (reserved skipped, space-joined) of the encoded documents."""
-    docs = _docs(spark, sf_dir)
-    vocab = _word_vocab(spark, sf_dir)
-    toks = ENC.word_encode(docs, ["doc_id"], "text", vocab)
-    dec = ENC.decode_joined(toks, ["doc_id"], vocab)
+    dec = ENC.decode_joined(_doc_word_ids(spark, sf_dir), ["doc_id"], "ids", _word_vocab(spark, sf_dir))
     return dec.select("doc_id", F.length("text").cast("long").alias("n_chars"),
                       F.md5("text").alias("text_md5"))
 
 
-def _turn_ids(spark, sf_dir, vocab=None):
+def _turn_ids(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    vocab = vocab if vocab is not None else _word_vocab(spark, sf_dir)
-    toks = ENC.word_encode(conv, ["conv_id", "turn"], "text", vocab)
-    return ENC.collect_ids(toks, ["conv_id", "turn"])
+    return ENC.word_encode_ids(conv, ["conv_id", "turn"], "text", _word_vocab(spark, sf_dir))
 
 
 @register("left_pad")
 def left_pad(spark, sf_dir):
-    """ENC7: every turn as a prompt, left-padded with id 2 to the context length."""
-    ids = _turn_ids(spark, sf_dir)
-    padded = ENC.left_pad(F.col("ids"), C.CONTEXT_LENGTH)
-    return ids.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"),
-                      F.size(padded).cast("long").alias("n_padded"),
-                      ENC.ids_digest(padded).alias("padded_md5"))
+    """ENC7: every turn as a prompt, left-padded with id 2 to windows of the context length;
+    longer prompts give several windows and lose no id."""
+    ids = _turn_ids(spark, sf_dir).withColumn("w", ENC.prompt_windows(F.col("ids"), C.CONTEXT_LENGTH))
+    w = ids.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), F.posexplode("w").alias("win", "padded"))
+    return w.select("conv_id", "turn", F.col("win").cast("long").alias("win"), "n_ids",
+                    F.size("padded").cast("long").alias("n_padded"), ENC.ids_digest(F.col("padded")).alias("padded_md5"))
 
 
 @register("batch_pad")
@@ -210,62 +201,123 @@ def bpe_merges(spark, sf_dir):
 @register("bpe_vocab_4096")
 def bpe_vocab_4096(spark, sf_dir):
     """VOC3: the example byte-level vocabulary (4096 entries, reserved S and E)."""
-    model = BPE.train_bpe(_docs(spark, sf_dir), vocab_size=C.BPE_VOCAB_EXAMPLE,
-                          specials=C.BPE_SPECIALS_EXAMPLE)
+    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB_EXAMPLE, C.BPE_SPECIALS_EXAMPLE)
     return model.vocab_df(spark).select("id", F.hex("token").alias("token_hex"), "special")
 
 
-def _bpe_model_small(spark, sf_dir, vocab_size=512):
-    return BPE.train_bpe(_docs(spark, sf_dir), vocab_size=vocab_size)
+@register("bpe_vocab_8192")
+def bpe_vocab_8192(spark, sf_dir):
+    """VOC4: the production byte-level vocabulary (8192 entries, reserved S, E and PAD)."""
+    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB, C.BPE_SPECIALS)
+    return model.vocab_df(spark).select("id", F.hex("token").alias("token_hex"), "special")
+
+
+def _bpe_model(spark, sf_dir, size, specials):
+    """A model trained on all documents once per session, saved and loaded (SNK4, SRC4)."""
+    def train():
+        model = BPE.train_bpe(_docs(spark, sf_dir), vocab_size=size, specials=specials)
+        return TOK.model_table(model, spark)
+    return TOK.model_from_table(artefact(spark, (sf_dir, f"bpe-{size}-{len(specials)}"), train))
+
+
+def _bpe_ids(spark, sf_dir):
+    """Documents with their split and BPE ids, encoded once per session."""
+    def build():
+        model = _bpe_model(spark, sf_dir, C.BPE_VOCAB_EXAMPLE, C.BPE_SPECIALS_EXAMPLE)
+        docs = _docs(spark, sf_dir)
+        return BPE.bpe_encode(docs, ["doc_id"], "text", model).join(SPL.exact_split(docs.select("doc_id"), ["doc_id"]), "doc_id")
+    return artefact(spark, (sf_dir, "bpe-ids"), build)
 
 
 @register("bpe_encode")
 def bpe_encode(spark, sf_dir):
-    """ENC3, TXT7: every document encoded with a byte-level BPE model learnt on them."""
-    model = _bpe_model_small(spark, sf_dir)
-    ids = BPE.bpe_encode(_docs(spark, sf_dir), ["doc_id"], "text", model)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                      ENC.ids_digest(F.col("ids")).alias("ids_md5"))
+    """ENC3, ENC5: every document encoded with the 4096-entry model, and decoded again:
+    the decoded text is the document's NFC form."""
+    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB_EXAMPLE, C.BPE_SPECIALS_EXAMPLE)
+    text = BPE.bpe_decode(_bpe_ids(spark, sf_dir), ["doc_id"], "ids", model)
+    return text.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("segment_encode")
+def segment_encode(spark, sf_dir):
+    """ENC9, ENC10: every segment of the marked scripts encoded by itself in the S ... E template."""
+    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB_EXAMPLE, C.BPE_SPECIALS_EXAMPLE)
+    enc = BPE.segment_encode(_segmented_scripts(spark, sf_dir), "conv_id", "segmented", model)
+    dec = BPE.bpe_decode(enc.select("conv_id", "seg_id", "ids"), ["conv_id", "seg_id", "ids"], "ids", model)
+    return dec.select("conv_id", F.col("seg_id").cast("long").alias("seg_id"),
+                      F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"),
+                      F.md5("text").alias("text_md5"))
 
 
 # ---------------------------------------------------------------- token streams and windows
 from ..operators import windows as WIN   # noqa: E402
+from ..sources import corpus as COR   # noqa: E402
+from ..sources import tokens as TOK   # noqa: E402
 
-PACK_T = C.CONTEXT_LENGTH
-SAMPLE_T = 64
-SAMPLE_WINDOWS = 4 * C.BATCH_SIZE
+CONTEXT = C.CONTEXT_LENGTH
+SAMPLE_WINDOWS = C.EVAL_ITERS * C.BATCH_SIZE
 
 
-def _doc_word_ids(spark, sf_dir, vocab=None):
-    """Documents split 0.8/0.1/rest, word-level encoded with the vocabulary of all documents."""
-    docs = _docs(spark, sf_dir)
-    sp = SPL.exact_split(docs.select("doc_id"), ["doc_id"])
-    vocab = vocab if vocab is not None else _word_vocab(spark, sf_dir)
-    toks = ENC.word_encode(docs, ["doc_id"], "text", vocab)
-    ids = ENC.collect_ids(toks, ["doc_id"])
-    return ids.join(sp, "doc_id")
+def _doc_word_ids(spark, sf_dir):
+    """Documents split 0.8/0.1/rest, word-level encoded; written once per session.  The
+    encoded corpus is the hand-off between tokenising, streams, windows and the LM."""
+    def build():
+        docs = _docs(spark, sf_dir)
+        ids = ENC.word_encode_ids(docs, ["doc_id"], "text", _word_vocab(spark, sf_dir))
+        return ids.join(SPL.exact_split(docs.select("doc_id"), ["doc_id"]), "doc_id")
+    return artefact(spark, (sf_dir, "word-ids"), build)
 
 
 def _word_stream(spark, sf_dir):
-    """The encoded corpus is the hand-off between tokenising and window sampling
-    (the reference writes it to files): it is written once to the shared
-    checkpoint folder, and offsets, stream and windows read it from there."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    ids = _doc_word_ids(spark, sf_dir).checkpoint(eager=True)
-    return WIN.token_stream(ids)
+    return artefact(spark, (sf_dir, "word-stream"), lambda: WIN.token_stream(_doc_word_ids(spark, sf_dir)))
 
 
 @register("token_stream")
 def token_stream(spark, sf_dir):
-    """ENC4 + SRT5: per split, stream length and the first 100 ids (head preview)."""
+    """ENC4: the whole stream, one row per document: split, position of its first id, ids."""
+    return _word_stream(spark, sf_dir).select(
+        "split", "doc_id", "offset", F.size("ids").cast("long").alias("n_tokens"), ENC.ids_digest(F.col("ids")).alias("ids_md5"))
+
+
+@register("stream_head")
+def stream_head(spark, sf_dir):
+    """SRT5: stream length and the first 100 ids of every split (a preview)."""
     s = _word_stream(spark, sf_dir)
-    head = (s.where(F.col("pos") < 100).groupBy("split")
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_h")))
-    n = WIN.stream_sizes(s)
-    return (n.join(head, "split")
-             .select("split", F.col("n_tokens").cast("long").alias("n_tokens"),
-                     ENC.ids_digest(F.transform("_h", lambda e: e["id"])).alias("head_md5")))
+    head = (WIN.stream_tokens(s.where(F.col("offset") < 100)).where(F.col("pos") < 100).groupBy("split")
+               .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_h")))
+    return (WIN.stream_sizes(s).join(head, "split")
+               .select("split", "n_tokens", ENC.ids_digest(F.transform("_h", lambda e: e["id"])).alias("head_md5")))
+
+
+@register("bpe_stream_windows")
+def bpe_stream_windows(spark, sf_dir):
+    """ENC3 -> ENC4 -> WIN6: windows over the BPE stream; their sizes and starts."""
+    w = WIN.packed_windows(WIN.token_stream(_bpe_ids(spark, sf_dir)), CONTEXT)
+    return w.select("split", "win_id", "start", F.col("n").cast("long").alias("n"), *_arr_digests(w, "x", "y"))
+
+
+@register("token_sink")
+def token_sink(spark, sf_dir):
+    """SNK3, SRC3: the word stream written in chunks of 4096 per split and scanned back."""
+    path = scratch_path(spark, "token-sink")
+    TOK.write_token_stream(_word_stream(spark, sf_dir), path)
+    r = TOK.read_token_stream(spark, path)
+    return r.select("split", F.col("offset").alias("start"), F.size("ids").cast("long").alias("n"),
+                    ENC.ids_digest(F.col("ids")).alias("ids_md5"))
+
+
+@register("corpus_files")
+def corpus_files(spark, sf_dir):
+    """SRC1, PRJ1, SNK1, SRC2, SNK2: scripts as text files, scanned, segmented, written, loaded,
+    split, written per split; the train and val splits scanned back."""
+    raw, seg, out = (scratch_path(spark, n) for n in ("raw-files", "segmented", "splits"))
+    scripts = SEG.conversation_scripts(table(spark, sf_dir, "conversations"))
+    COR.write_corpus_dir(scripts, raw, "conv_id", "text")
+    COR.write_segmented(SEG.mark_segments(COR.read_corpus_dir(spark, raw)), seg)
+    segs = SEG.load_segments(spark.read.parquet(seg).withColumnRenamed("text", "segmented"), "file_name")
+    segs = segs.withColumn("conv_id", F.regexp_extract("file_name", r"^(\d+)", 1).cast("long"))
+    COR.write_splits(SPL.exact_split(segs.select("conv_id", "seg_id", "body"), ["conv_id", "seg_id"]), out)
+    return COR.read_splits(spark, out, ["train", "val"]).select("split", "conv_id", "seg_id", "body")
 
 
 def _arr_digests(df, *cols):
@@ -274,24 +326,39 @@ def _arr_digests(df, *cols):
 
 @register("packed_windows")
 def packed_windows(spark, sf_dir):
-    """WIN6 + WIN3: non-overlapping context windows with next-token targets."""
-    w = WIN.packed_windows(_word_stream(spark, sf_dir), PACK_T)
-    return w.select("split", "win_id", "start", *_arr_digests(w, "x", "y"))
+    """WIN6 + WIN3: non-overlapping context windows with next-token targets, the short tail included."""
+    w = WIN.packed_windows(_word_stream(spark, sf_dir), CONTEXT)
+    return w.select("split", "win_id", "start", F.col("n").cast("long").alias("n"), *_arr_digests(w, "x", "y"))
+
+
+def _sampled_windows(spark, sf_dir):
+    s = _word_stream(spark, sf_dir)
+    return WIN.gather_windows(s, WIN.window_starts(WIN.stream_sizes(s), SAMPLE_WINDOWS, CONTEXT), CONTEXT)
 
 
 @register("random_windows")
 def random_windows(spark, sf_dir):
-    """SMP1 + SMP2 + JN3: hash-seeded random windows per split, batched."""
-    s = _word_stream(spark, sf_dir)
-    starts = WIN.window_starts(WIN.stream_sizes(s), SAMPLE_WINDOWS, SAMPLE_T)
-    w = WIN.gather_windows(s, starts, SAMPLE_T)
+    """SMP1 + SMP2 + JN3: 200 batches of 16 hash-seeded random windows per split."""
+    w = _sampled_windows(spark, sf_dir)
     return w.select("split", "win_id", "batch", "start", *_arr_digests(w, "x", "y"))
 
 
+@register("eval_batches")
+def eval_batches(spark, sf_dir):
+    """SMP2 + AGG5: mean loss per split over 200 batches of 16 windows under the train bigram model."""
+    _, counts, v = _lm_inputs(spark, sf_dir)
+    pairs = F.zip_with("x", "y", lambda a, b: F.struct(a.alias("w"), b.alias("nx")))
+    w = _sampled_windows(spark, sf_dir).select("split", "batch", F.explode(pairs).alias("p"))
+    w = w.groupBy("split", "batch", "p.w", "p.nx").agg(F.count(F.lit(1)).alias("times"))
+    per = LM.pair_loss(w, counts, v).groupBy("split", "batch").agg(
+        (F.sum(F.col("times") * F.col("loss")) / F.sum("times")).alias("loss"), F.sum("times").alias("n"))
+    return per.groupBy("split").agg(F.count(F.lit(1)).alias("n_batches"), F.sum("n").cast("long").alias("n_targets"),
+                                    F.round(F.avg("loss"), 9).alias("mean_loss"))
+
+
 # ---------------------------------------------------------------- vector jobs
 from ..operators import vectors as VEC   # noqa: E402
 
-N_CLASSES = 10
 PROJ_OUT = 16
 
 
@@ -306,17 +373,14 @@ def _r(c, d=9):
 @register("cross_entropy")
 def cross_entropy(spark, sf_dir):
     """AGG6 + JN4: embeddings as logits, label as target; clipped (reference) and
-    standard loss, averaged per label and overall (label -1)."""
+    standard loss, averaged per label and overall (label -1).  One scan."""
     e = _emb(spark, sf_dir).select(
         "label", VEC.cross_entropy_row(F.col("embedding"), F.col("label")).alias("ce_clip"),
         VEC.cross_entropy_row(F.col("embedding"), F.col("label"), clipped=False).alias("ce"))
-    per = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("ce_clip").alias("ce_clip"),
-                                 F.avg("ce").alias("ce"))
-    tot = e.agg(F.lit(-1).alias("label"), F.count(F.lit(1)).alias("n"),
-                F.avg("ce_clip").alias("ce_clip"), F.avg("ce").alias("ce"))
-    u = per.unionByName(tot)
-    return u.select(F.col("label").cast("int").alias("label"), F.col("n").cast("long").alias("n"),
-                    _r(F.col("ce_clip")).alias("ce_clip"), _r(F.col("ce")).alias("ce"))
+    u = e.rollup("label").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("ce_clip")).alias("ce_clip"),
+                              _r(F.avg("ce")).alias("ce"))
+    return u.select(F.coalesce("label", F.lit(-1)).cast("int").alias("label"), F.col("n").cast("long").alias("n"),
+                    "ce_clip", "ce")
 
 
 @register("softmax_scores")
@@ -349,13 +413,10 @@ def layer_norm(spark, sf_dir):
 
 @register("one_hot_counts")
 def one_hot_counts(spark, sf_dir):
-    """VEC2: one-hot targets summed per predicted class (argmax): a confusion table."""
-    e = _emb(spark, sf_dir).select(VEC.argmax(F.col("embedding")).alias("pred"),
-                                   VEC.one_hot(F.col("label"), N_CLASSES).alias("oh"))
-    ex = e.select("pred", F.posexplode("oh").alias("k", "v"))
-    p = ex.groupBy("pred").pivot("k", list(range(N_CLASSES))).agg(F.sum("v"))
-    return p.select(F.col("pred").cast("int").alias("pred"),
-                    *[F.col(str(k)).cast("long").alias(f"c{k}") for k in range(N_CLASSES)])
+    """VEC2: one-hot targets summed per predicted class (argmax): a confusion table over
+    the classes of the data, one row per pair that occurs."""
+    e = _emb(spark, sf_dir).select(VEC.argmax(F.col("embedding")).alias("pred"), "label")
+    return e.groupBy("pred", F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("residual_by_class")
@@ -379,7 +440,7 @@ def label_centroids(spark, sf_dir):
 def projection_weights(spark, in_dim=64, out_dim=PROJ_OUT):
     """A rule-derived weight table (i, j, w) and bias (j, b) for VEC4."""
     w = (spark.range(in_dim * out_dim)
-              .select((F.col("id") / out_dim).cast("int").alias("i"),
+              .select(F.expr(f"id div {out_dim}").cast("int").alias("i"),
                       (F.col("id") % out_dim).cast("int").alias("j"))
               .withColumn("w", (((F.col("i") * 7 + F.col("j") * 13) % 17) - 8).cast("double") / 8.0))
     b = spark.range(out_dim).select(F.col("id").cast("int").alias("j"),
@@ -390,8 +451,8 @@ def projection_weights(spark, in_dim=64, out_dim=PROJ_OUT):
 @register("linear_projection")
 def linear_projection(spark, sf_dir):
     """VEC4: every vector times a 64 x 16 weight plus bias, long form."""
-    w, b = projection_weights(spark)
-    out = VEC.linear(_emb(spark, sf_dir), ["vec_id"], "embedding", w, b)
+    w, b = VEC.weight_matrix(*projection_weights(spark))
+    out = _emb(spark, sf_dir).select("vec_id", F.posexplode(VEC.linear(F.col("embedding"), w, b)).alias("j", "value"))
     return out.select("vec_id", F.col("j").cast("int").alias("j"), _r(F.col("value")).alias("value"))
 
 
@@ -403,7 +464,8 @@ def embedding_lookup(spark, sf_dir):
     last = VEC.last_per_sequence(ev, ["user_id"], ["ts", "event_id"], ["value"])
     last = last.withColumn("last_pos", F.col("length") - 1)
     j = VEC.lookup_add(last, "user_id", "last_pos", _emb(spark, sf_dir), "vec_id", "embedding")
-    ex = j.select("user_id", "event_id", F.posexplode("vec").alias("dim", "v"))
+    # a run without a vector keeps one row with a null dimension
+    ex = j.select("user_id", "event_id", F.posexplode_outer("vec").alias("dim", "v"))
     return ex.select("user_id", "event_id", F.col("dim").cast("int").alias("dim"),
                      _r(F.col("v").cast("double"), 6).alias("value"))
 
@@ -468,15 +530,11 @@ def weighted_sample(spark, sf_dir):
 def sample_estimate(spark, sf_dir):
     """SMP4: weighted totals from the sample next to the true totals, per status."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    s = SMP.bernoulli_keep(o, ["o_orderkey"], P_DROP)
-    est = s.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_kept"),
-                                         F.sum(F.col("weight") * F.col("o_totalprice")).alias("est"))
-    tru = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_all"),
-                                         F.sum("o_totalprice").alias("total"))
-    return est.join(tru, "o_orderstatus").select(
-        "o_orderstatus", F.col("n_kept").cast("long").alias("n_kept"),
-        F.col("n_all").cast("long").alias("n_all"), F.round("est", 2).alias("est_total"),
-        F.round("total", 2).alias("true_total"))
+    keep, weight = SMP.kept(["o_orderkey"], P_DROP)
+    return o.groupBy("o_orderstatus").agg(
+        F.count(F.when(keep, 1)).alias("n_kept"), F.count(F.lit(1)).alias("n_all"),
+        F.round(F.sum(F.when(keep, weight * F.col("o_totalprice"))), 2).alias("est_total"),
+        F.round(F.sum("o_totalprice"), 2).alias("true_total"))
 
 
 @register("weighted_draw")
@@ -491,17 +549,16 @@ from ..operators import lm as LM   # noqa: E402
 
 
 def _lm_inputs(spark, sf_dir):
-    vocab = _word_vocab(spark, sf_dir, materialise=True)
-    ids = _doc_word_ids(spark, sf_dir, vocab)
-    counts = LM.fit_bigram(ids.where(F.col("split") == "train"), ["doc_id"])
-    v = vocab.count()   # a scalar, bounded by the vocabulary limit
-    return ids, counts, v, vocab
+    """The encoded corpus, the train bigram counts (both written once) and the vocabulary's size."""
+    ids = _doc_word_ids(spark, sf_dir)
+    counts = artefact(spark, (sf_dir, "bigrams"), lambda: LM.fit_bigram(ids.where(F.col("split") == "train"), ["doc_id"]))
+    return ids, counts, _word_vocab(spark, sf_dir).count()
 
 
 @register("bigram_model")
 def bigram_model(spark, sf_dir):
     """LM1: bigram counts on the train split with add-one probabilities."""
-    _, counts, v, _ = _lm_inputs(spark, sf_dir)
+    _, counts, v = _lm_inputs(spark, sf_dir)
     m = LM.smoothed(counts, v)
     return m.select("w", "nx", F.col("count").cast("long").alias("count"),
                     F.round("prob", 12).alias("prob"))
@@ -510,7 +567,7 @@ def bigram_model(spark, sf_dir):
 @register("bigram_cross_entropy")
 def bigram_cross_entropy(spark, sf_dir):
     """LM2: per-document mean cross-entropy (perplexity = exp) under the train model."""
-    ids, counts, v, _ = _lm_inputs(spark, sf_dir)
+    ids, counts, v = _lm_inputs(spark, sf_dir)
     ce = LM.cross_entropy(ids, ["doc_id", "split"], counts, v)
     return ce.select("doc_id", "split", F.col("n_bigrams").cast("long").alias("n_bigrams"),
                      F.round("cross_entropy", 9).alias("cross_entropy"))
@@ -519,10 +576,10 @@ def bigram_cross_entropy(spark, sf_dir):
 @register("next_token_draw")
 def next_token_draw(spark, sf_dir):
     """LM3 + SMP3: for every conversation turn as a prompt, draw the next token after its
-    last word from the train bigram counts."""
-    _, counts, _, vocab = _lm_inputs(spark, sf_dir)
-    turns = _turn_ids(spark, sf_dir, vocab).where(F.size("ids") > 0)
-    prompts = turns.select("conv_id", "turn", F.element_at("ids", -1).alias("last_id"))
+    last word from the train bigram counts; an empty prompt ends with padding."""
+    _, counts, _ = _lm_inputs(spark, sf_dir)
+    prompts = _turn_ids(spark, sf_dir).select(
+        "conv_id", "turn", F.coalesce(F.try_element_at("ids", F.lit(-1)), F.lit(C.PAD_ID)).alias("last_id"))
     d = LM.next_token_draw(prompts, ["conv_id", "turn"], "last_id", counts)
     return d.select("conv_id", "turn", F.col("last_id").cast("int").alias("last_id"),
                     F.col("next_id").cast("int").alias("next_id"))
@@ -532,18 +589,15 @@ def next_token_draw(spark, sf_dir):
 def token_spans(spark, sf_dir):
     """ENC8: character spans of word-level tokens, digested per document."""
     sp = ENC.word_spans(_docs(spark, sf_dir), ["doc_id"])
-    g = (sp.groupBy("doc_id")
-           .agg(F.count(F.lit(1)).alias("n_tokens"), F.max("end").alias("last_end"),
-                F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("-", "start", "end")
-                                                     .alias("s")))).alias("_s")))
-    return g.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"),
-                    F.col("last_end").cast("long").alias("last_end"),
-                    F.md5(F.array_join(F.transform("_s", lambda x: x["s"]), ",")).alias("spans_md5"))
+    text = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return sp.select("doc_id", F.size("spans").cast("long").alias("n_tokens"),
+                     F.coalesce(F.try_element_at("spans", F.lit(-1))["end"], F.lit(0)).cast("long").alias("last_end"),
+                     F.md5(text).alias("spans_md5"))
 
 
 @register("nfc_text")
 def nfc_text(spark, sf_dir):
-    """TXT1: NFC of every document (JVM check first; only candidate rows reach Python)."""
+    """TXT1: NFC of every document (JVM check first; only candidate rows carry text to Python)."""
     d = T.nfc_normalize(_docs(spark, sf_dir), "text")
     return d.select("doc_id", F.length("text").cast("long").alias("n_chars"),
                     F.md5("text").alias("text_md5"))

@@ -116,10 +116,10 @@ enc AS (
 
 
 DIGEST = f"""
-SELECT {{keys}}, count(*)::BIGINT AS n_tokens,
-       count(*) FILTER (WHERE id = {C.UNK_ID})::BIGINT AS n_unk,
-       md5(string_agg(id::VARCHAR, ',' ORDER BY pos)) AS ids_md5
-FROM enc GROUP BY {{keys}}"""
+SELECT {{keys}}, count(e.pos)::BIGINT AS n_tokens,
+       count(*) FILTER (WHERE e.id = {C.UNK_ID})::BIGINT AS n_unk,
+       md5(coalesce(string_agg(e.id::VARCHAR, ',' ORDER BY e.pos), '')) AS ids_md5
+FROM {{src}} s LEFT JOIN enc e USING ({{keys}}) GROUP BY {{keys}}"""
 
 ORACLES["word_vocab"] = f"WITH {WORD_VOCAB}\nSELECT id, token, special FROM vocab"
 
@@ -131,37 +131,44 @@ r AS (SELECT (row_number() OVER (ORDER BY token) + 2)::INTEGER AS id, token, fal
 {SPECIAL_ROWS} UNION ALL SELECT * FROM r"""
 
 ORACLES["word_encode"] = (f"WITH {WORD_VOCAB},{encoded('documents', 'doc_id', WORD_RE2)}"
-                          + DIGEST.format(keys="doc_id"))
+                          + DIGEST.format(keys="doc_id", src="documents"))
+
+MARKED = SCRIPTS + ",\nmarked_texts AS (SELECT conv_id, segmented AS text FROM segmented)"
+ORACLES["marked_encode"] = (f"WITH {MARKED},{WORD_VOCAB},{encoded('marked_texts', 'conv_id', WORD_RE2).replace('pieces AS', 'mpieces AS').replace('FROM pieces', 'FROM mpieces')}"
+                            + DIGEST.format(keys="conv_id", src="marked_texts"))
 
 ORACLES["char_encode"] = f"""WITH
 ch AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS token FROM documents),
 vocab AS ({SPECIAL_ROWS} UNION ALL
   SELECT (row_number() OVER (ORDER BY token) + 2)::INTEGER AS id, token, false FROM ch
   WHERE token NOT IN ({WORD_SPECIALS_SQL})),
-{encoded('documents', 'doc_id', '(?s).')}""" + DIGEST.format(keys="doc_id")
+{encoded('documents', 'doc_id', '(?s).')}""" + DIGEST.format(keys="doc_id", src="documents")
 
 ORACLES["decode_roundtrip"] = f"""WITH {WORD_VOCAB},{encoded('documents', 'doc_id', WORD_RE2)},
 dec AS (SELECT doc_id, string_agg(vtok, ' ' ORDER BY pos) AS text FROM enc
         WHERE vtok IS NOT NULL AND NOT special GROUP BY doc_id)
-SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM dec"""
+SELECT doc_id, length(coalesce(d.text, ''))::BIGINT AS n_chars, md5(coalesce(d.text, '')) AS text_md5
+FROM documents LEFT JOIN dec d USING (doc_id)"""
 
 TURN_IDS = f"""WITH {WORD_VOCAB},{encoded('conversations', 'conv_id, turn', WORD_RE2)},
-turns AS (SELECT conv_id, turn, count(*) AS n,
-                 string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids_all FROM enc GROUP BY conv_id, turn)"""
+turns AS (SELECT c.conv_id, c.turn, count(e.pos)::INTEGER AS n,
+                 coalesce(list(e.id ORDER BY e.pos) FILTER (WHERE e.pos IS NOT NULL), []) AS ids
+          FROM conversations c LEFT JOIN enc e USING (conv_id, turn) GROUP BY c.conv_id, c.turn)"""
 
+# every id of a prompt is in one of its windows; the pads stand in front of the first
 ORACLES["left_pad"] = TURN_IDS + f""",
-lastk AS (SELECT e.conv_id, e.turn,
-                 string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids_last
-          FROM enc e JOIN turns t USING (conv_id, turn)
-          WHERE e.pos >= t.n - {C.CONTEXT_LENGTH} GROUP BY e.conv_id, e.turn)
-SELECT conv_id, turn, n::BIGINT AS n_ids, {C.CONTEXT_LENGTH}::BIGINT AS n_padded,
-       md5(repeat('{C.PAD_ID},', greatest({C.CONTEXT_LENGTH} - n, 0)::INTEGER) || ids_last) AS padded_md5
-FROM turns JOIN lastk USING (conv_id, turn)"""
+sized AS (SELECT *, greatest(1, (n + {C.CONTEXT_LENGTH - 1}) // {C.CONTEXT_LENGTH}) AS w FROM turns),
+padded AS (SELECT conv_id, turn, n, w,
+                  list_concat(list_transform(range(w * {C.CONTEXT_LENGTH} - n), lambda i: {C.PAD_ID}), ids) AS p FROM sized),
+wins AS (SELECT *, unnest(range(w)) AS win FROM padded)
+SELECT conv_id, turn, win::BIGINT AS win, n::BIGINT AS n_ids, {C.CONTEXT_LENGTH}::BIGINT AS n_padded,
+       md5(array_to_string(p[win * {C.CONTEXT_LENGTH} + 1 : (win + 1) * {C.CONTEXT_LENGTH}], ',')) AS padded_md5
+FROM wins"""
 
 ORACLES["batch_pad"] = TURN_IDS + f""",
 mx AS (SELECT conv_id, max(n) AS L FROM turns GROUP BY conv_id)
 SELECT conv_id, turn, L::BIGINT AS n_padded,
-       md5(ids_all || repeat(',{C.PAD_ID}', (L - n)::INTEGER)) AS padded_md5
+       md5(array_to_string(list_concat(ids, list_transform(range(L - n), lambda i: {C.PAD_ID})), ',')) AS padded_md5
 FROM turns JOIN mx USING (conv_id)"""
 
 # ---------------------------------------------------------------- byte-level BPE
@@ -229,6 +236,21 @@ w{i + 1} AS (SELECT replace(sym, '<' || l || '><' || r || '>', '<' || out || '>'
 
 ORACLES["bpe_merges_8"] = _merges_sql(8)
 
+# encoding loses nothing: decoding gives the NFC form back
+ORACLES["bpe_encode"] = """
+SELECT doc_id, length(nfc_normalize(text))::BIGINT AS n_chars, md5(nfc_normalize(text)) AS text_md5 FROM documents"""
+
+ORACLES["segment_encode"] = f"""WITH {SCRIPTS},
+bodies AS (
+  SELECT conv_id, list_filter(list_transform(string_split(segmented, {S}), lambda p: trim(replace(p, {E}, ''), {WS_SQL})),
+                              lambda p: p <> '') AS b FROM segmented)
+SELECT conv_id, seg_id, 0 AS first_id, 1 AS last_id, md5(nfc_normalize(body)) AS text_md5
+FROM (SELECT conv_id, unnest(b) AS body, (generate_subscripts(b, 1) - 1)::BIGINT AS seg_id FROM bodies)"""
+
+ORACLES["corpus_files"] = f"""WITH {SEGMENTS},
+{split_cte('segs', "conv_id || ':' || seg_id", 'conv_id, seg_id')}
+SELECT split, conv_id, seg_id, body FROM splitted WHERE split IN ('train', 'val')"""
+
 # ---------------------------------------------------------------- token streams and windows
 WORD_STREAM = f"""WITH {WORD_VOCAB},{encoded('documents', 'doc_id', WORD_RE2)},
 {split_cte('documents', 'doc_id', 'doc_id')},
@@ -242,32 +264,43 @@ stream AS (SELECT d.split, (coalesce(d.off, 0) + e.pos)::BIGINT AS pos, e.id
 sizes AS (SELECT split, count(*) AS n_tokens FROM stream GROUP BY split)"""
 
 ORACLES["token_stream"] = WORD_STREAM + """
+SELECT p.split, d.doc_id, coalesce(o.off, 0)::BIGINT AS "offset", count(e.pos)::BIGINT AS n_tokens,
+       md5(coalesce(string_agg(e.id::VARCHAR, ',' ORDER BY e.pos), '')) AS ids_md5
+FROM documents d JOIN splitted p USING (doc_id) LEFT JOIN doff o USING (doc_id) LEFT JOIN enc e USING (doc_id)
+GROUP BY p.split, d.doc_id, o.off"""
+
+ORACLES["stream_head"] = WORD_STREAM + """
 SELECT s.split, s.n_tokens::BIGINT AS n_tokens,
        md5(string_agg(t.id::VARCHAR, ',' ORDER BY t.pos)) AS head_md5
 FROM sizes s JOIN stream t ON t.split = s.split AND t.pos < 100
 GROUP BY s.split, s.n_tokens"""
 
+ORACLES["token_sink"] = WORD_STREAM + """
+SELECT split, (pos // 4096 * 4096)::BIGINT AS start, count(*)::BIGINT AS n,
+       md5(string_agg(id::VARCHAR, ',' ORDER BY pos)) AS ids_md5
+FROM stream GROUP BY split, pos // 4096"""
+
+# every id with a successor is an input once, its successor a target once
 ORACLES["packed_windows"] = WORD_STREAM + f""",
-xw AS (SELECT split, pos // {C.CONTEXT_LENGTH} AS win_id, string_agg(id::VARCHAR, ',' ORDER BY pos) AS x, count(*) AS nx
-       FROM stream GROUP BY split, pos // {C.CONTEXT_LENGTH}),
-yw AS (SELECT split, (pos - 1) // {C.CONTEXT_LENGTH} AS win_id, string_agg(id::VARCHAR, ',' ORDER BY pos) AS y, count(*) AS ny
-       FROM stream WHERE pos >= 1 GROUP BY split, (pos - 1) // {C.CONTEXT_LENGTH})
-SELECT split, win_id::BIGINT AS win_id, (win_id * {C.CONTEXT_LENGTH})::BIGINT AS start,
-       md5(x) AS x_md5, md5(y) AS y_md5
-FROM xw JOIN yw USING (split, win_id)
-WHERE nx = {C.CONTEXT_LENGTH} AND ny = {C.CONTEXT_LENGTH}"""
-
-ORACLES["random_windows"] = WORD_STREAM + f""",
-idx AS (SELECT range AS i FROM range({4 * C.BATCH_SIZE})),
+pairs AS (SELECT split, pos, id, lead(id) OVER (PARTITION BY split ORDER BY pos) AS nx FROM stream)
+SELECT split, (pos // {C.CONTEXT_LENGTH})::BIGINT AS win_id, (pos // {C.CONTEXT_LENGTH} * {C.CONTEXT_LENGTH})::BIGINT AS start,
+       count(*)::BIGINT AS n, md5(string_agg(id::VARCHAR, ',' ORDER BY pos)) AS x_md5,
+       md5(string_agg(nx::VARCHAR, ',' ORDER BY pos)) AS y_md5
+FROM pairs WHERE nx IS NOT NULL GROUP BY split, pos // {C.CONTEXT_LENGTH}"""
+
+STARTS = f""",
+idx AS (SELECT range AS i FROM range({C.EVAL_ITERS * C.BATCH_SIZE})),
 starts AS (SELECT s.split, i AS win_id, i // {C.BATCH_SIZE} AS batch,
                   ('0x' || substr(md5('{C.DEFAULT_SEED}:' || s.split || ':' || i), 1, 15))::BIGINT
-                    % (s.n_tokens - 64) AS start
-           FROM sizes s, idx WHERE s.n_tokens > 64)
-SELECT w.split, w.win_id::BIGINT AS win_id, w.batch::BIGINT AS batch, w.start::BIGINT AS start,
-       md5(string_agg(t.id::VARCHAR, ',' ORDER BY t.pos) FILTER (WHERE t.pos < w.start + 64)) AS x_md5,
-       md5(string_agg(t.id::VARCHAR, ',' ORDER BY t.pos) FILTER (WHERE t.pos > w.start)) AS y_md5
-FROM starts w JOIN stream t ON t.split = w.split AND t.pos BETWEEN w.start AND w.start + 64
-GROUP BY w.split, w.win_id, w.batch, w.start"""
+                    % (s.n_tokens - {C.CONTEXT_LENGTH}) AS start
+           FROM sizes s, idx),
+pairs AS (SELECT split, pos, id, lead(id) OVER (PARTITION BY split ORDER BY pos) AS nx FROM stream),
+wpos AS (SELECT split, win_id, batch, start, start + unnest(range({C.CONTEXT_LENGTH})) AS pos FROM starts)"""
+
+ORACLES["random_windows"] = WORD_STREAM + STARTS + """
+SELECT split, win_id::BIGINT AS win_id, batch::BIGINT AS batch, start::BIGINT AS start,
+       md5(string_agg(id::VARCHAR, ',' ORDER BY pos)) AS x_md5, md5(string_agg(nx::VARCHAR, ',' ORDER BY pos)) AS y_md5
+FROM wpos JOIN pairs USING (split, pos) GROUP BY ALL"""
 
 # ---------------------------------------------------------------- vector jobs
 EPS = C.CLIP_EPS
@@ -311,10 +344,8 @@ SELECT vec_id, dim::INTEGER AS dim,
 FROM x"""
 
 ORACLES["one_hot_counts"] = """
-WITH p AS (SELECT list_position(embedding, list_max(embedding)) - 1 AS pred, label FROM embeddings)
-SELECT pred::INTEGER AS pred, """ + ", ".join(
-    f"sum(CASE WHEN label = {k} THEN 1 ELSE 0 END)::BIGINT AS c{k}" for k in range(10)) + """
-FROM p GROUP BY pred"""
+SELECT (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS pred, label::INTEGER AS label, count(*)::BIGINT AS n
+FROM embeddings GROUP BY ALL"""
 
 ORACLES["residual_by_class"] = """
 WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
@@ -337,10 +368,12 @@ FROM x JOIN w USING (i) GROUP BY vec_id, j"""
 ORACLES["embedding_lookup"] = """
 WITH l AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) - 1 AS last_pos
            FROM events GROUP BY user_id),
-j AS (SELECT l.user_id, l.event_id, list_transform(list_zip(a.embedding, b.embedding), lambda t: t[1] + t[2]) AS v
-      FROM l JOIN embeddings a ON a.vec_id = l.user_id JOIN embeddings b ON b.vec_id = l.last_pos),
-x AS (SELECT user_id, event_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM j)
-SELECT user_id, event_id, dim::INTEGER AS dim, round(x::DOUBLE, 6) AS value FROM x"""
+j AS (SELECT l.user_id, l.event_id, list_transform(list_zip(a.embedding, b.embedding), lambda t: t[1] + t[2]) AS v,
+             a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL AS found
+      FROM l LEFT JOIN embeddings a ON a.vec_id = l.user_id LEFT JOIN embeddings b ON b.vec_id = l.last_pos),
+x AS (SELECT user_id, event_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM j WHERE found)
+SELECT user_id, event_id, dim::INTEGER AS dim, round(x::DOUBLE, 6) AS value FROM x
+UNION ALL SELECT user_id, event_id, NULL, NULL FROM j WHERE NOT found"""
 
 # ---------------------------------------------------------------- run metrics
 RUN_ROWS = f"""
@@ -400,23 +433,40 @@ SELECT w, nx, c::BIGINT AS count, round((c + 1.0) / (ctx + (SELECT V FROM vs)),
 FROM cnt JOIN ctx USING (w)"""
 
 ORACLES["bigram_cross_entropy"] = LM_BASE + """
-SELECT b.doc_id, b.split, count(*)::BIGINT AS n_bigrams,
-       round(avg(-ln((coalesce(c.c, 0) + 1.0) / (coalesce(x.ctx, 0) + (SELECT V FROM vs)))), 9) AS cross_entropy
-FROM big b LEFT JOIN cnt c USING (w, nx) LEFT JOIN ctx x USING (w)
-GROUP BY b.doc_id, b.split"""
+SELECT s.doc_id, s.split, count(b.w)::BIGINT AS n_bigrams,
+       round(avg(CASE WHEN b.w IS NOT NULL THEN -ln((coalesce(c.c, 0) + 1.0) / (coalesce(x.ctx, 0) + (SELECT V FROM vs))) END), 9) AS cross_entropy
+FROM splitted s LEFT JOIN big b ON b.doc_id = s.doc_id LEFT JOIN cnt c ON c.w = b.w AND c.nx = b.nx LEFT JOIN ctx x ON x.w = b.w
+GROUP BY s.doc_id, s.split"""
 
+ORACLES["eval_batches"] = WORD_STREAM + STARTS + f""",
+big AS (SELECT a.doc_id, s.split, a.id AS w, b.id AS nx
+        FROM enc a JOIN enc b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN splitted s ON s.doc_id = a.doc_id),
+cnt AS (SELECT w, nx, count(*) AS c FROM big WHERE split = 'train' GROUP BY w, nx),
+ctx AS (SELECT w, sum(c) AS ctx FROM cnt GROUP BY w),
+vs AS (SELECT count(*) AS V FROM vocab),
+wp AS (SELECT split, batch, id AS w, nx FROM wpos JOIN pairs USING (split, pos)),
+per AS (SELECT p.split, p.batch, count(*) AS n,
+               avg(-ln((coalesce(c.c, 0) + 1.0) / (coalesce(x.ctx, 0) + (SELECT V FROM vs)))) AS loss
+        FROM wp p LEFT JOIN cnt c USING (w, nx) LEFT JOIN ctx x USING (w) GROUP BY p.split, p.batch)
+SELECT split, count(*)::BIGINT AS n_batches, sum(n)::BIGINT AS n_targets, round(avg(loss), 9) AS mean_loss FROM per GROUP BY split"""
+
+# a prompt without tokens ends with padding; a context never seen draws from all contexts (-1)
 ORACLES["next_token_draw"] = LM_BASE.replace(
     encoded('documents', 'doc_id', WORD_RE2),
     encoded('documents', 'doc_id', WORD_RE2) + ",\n" + encoded('conversations', 'conv_id, turn', WORD_RE2)
     .replace("pieces AS", "cpieces AS").replace("toks AS", "ctoks AS").replace("enc AS", "cenc AS")
-    .replace("FROM pieces", "FROM cpieces").replace("FROM toks", "FROM ctoks")) + """,
+    .replace("FROM pieces", "FROM cpieces").replace("FROM toks", "FROM ctoks")) + f""",
+allc AS (SELECT w, nx, c FROM cnt UNION ALL SELECT -1, nx, sum(c) FROM cnt GROUP BY nx),
+actx AS (SELECT w, sum(c) AS ctx FROM allc GROUP BY w),
 iv AS (SELECT w, nx, coalesce(sum(c) OVER (PARTITION BY w ORDER BY nx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
-              c FROM cnt),
-last AS (SELECT conv_id, turn, arg_max(id, pos) AS last_id FROM cenc GROUP BY conv_id, turn),
-pr AS (SELECT l.conv_id, l.turn, l.last_id, ('0x' || substr(md5('42:' || l.conv_id || ':' || l.turn), 1, 15))::BIGINT % x.ctx AS r
-       FROM last l JOIN ctx x ON x.w = l.last_id)
+              c FROM allc),
+last AS (SELECT c.conv_id, c.turn, coalesce(arg_max(e.id, e.pos), {C.PAD_ID}) AS last_id
+         FROM conversations c LEFT JOIN cenc e USING (conv_id, turn) GROUP BY c.conv_id, c.turn),
+ctxt AS (SELECT l.*, CASE WHEN EXISTS (SELECT 1 FROM ctx x WHERE x.w = l.last_id) THEN l.last_id ELSE -1 END AS w FROM last l),
+pr AS (SELECT l.conv_id, l.turn, l.last_id, l.w, ('0x' || substr(md5('42:' || l.conv_id || ':' || l.turn), 1, 15))::BIGINT % x.ctx AS r
+       FROM ctxt l JOIN actx x ON x.w = l.w)
 SELECT p.conv_id, p.turn, p.last_id::INTEGER AS last_id, i.nx::INTEGER AS next_id
-FROM pr p JOIN iv i ON i.w = p.last_id AND p.r >= i.lo AND p.r < i.lo + i.c"""
+FROM pr p JOIN iv i ON i.w = p.w AND p.r >= i.lo AND p.r < i.lo + i.c"""
 
 SPAN_RE2 = "[" + UNI_WS + "]*(?:" + WORD_RE2 + ")"
 ORACLES["token_spans"] = f"""
@@ -424,9 +474,9 @@ WITH p AS (SELECT doc_id, regexp_extract_all(text, {lit(SPAN_RE2)}) AS ps FROM d
 x AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS pos FROM p),
 e AS (SELECT doc_id, pos, piece, regexp_replace(piece, {lit('^[' + UNI_WS + ']+')}, '') AS token,
              sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS "end" FROM x)
-SELECT doc_id, count(*)::BIGINT AS n_tokens, max("end")::BIGINT AS last_end,
-       md5(string_agg(("end" - length(token)) || '-' || "end", ',' ORDER BY pos)) AS spans_md5
-FROM e GROUP BY doc_id"""
+SELECT doc_id, count(e.pos)::BIGINT AS n_tokens, coalesce(max(e."end"), 0)::BIGINT AS last_end,
+       md5(coalesce(string_agg((e."end" - length(e.token)) || '-' || e."end", ',' ORDER BY e.pos), '')) AS spans_md5
+FROM documents LEFT JOIN e USING (doc_id) GROUP BY doc_id"""
 
 ORACLES["nfc_text"] = """
 SELECT doc_id, length(nfc_normalize(text))::BIGINT AS n_chars, md5(nfc_normalize(text)) AS text_md5

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: (session, folder) of the tables written by ``written`` and not yet released.
 _scratch: list[tuple[SparkSession, str]] = []
+#: (session, key) -> table, of ``artefact``.
+_artefacts: dict[tuple, DataFrame] = {}
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -79,8 +81,18 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def artefact(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A table written once per session and key, and read by every later caller."""
+    found = _artefacts.get((id(spark), key))
+    if found is None:
+        found = _artefacts[id(spark), key] = written(build(), str(key[-1]))
+    return found
+
+
 def release_scratch(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made in this session."""
+    """Delete the tables that ``written`` and ``artefact`` made in this session."""
+    for k in [k for k in _artefacts if k[0] == id(spark)]:
+        del _artefacts[k]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for entry in [x for x in _scratch if x[0] is spark]:

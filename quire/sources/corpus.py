@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 from ..operators import segment as SEG
 
 
+def write_corpus_dir(df: DataFrame, path: str, name_col: str, text_col: str) -> None:
+    """A folder of text files, one per row, as ``file_name=<name>.txt/part-*.txt``."""
+    (df.select(F.concat(F.col(name_col).cast("string"), F.lit(".txt")).alias("file_name"), text_col)
+       .write.partitionBy("file_name").text(path))
+
+
 def read_corpus_dir(spark: SparkSession, path: str, skip_processed: bool = True) -> DataFrame:
-    """SRC1 (+PRJ1): every ``*.txt`` file under ``path`` as one row (file_name, text).
+    """SRC1 (+PRJ1): every ``*.txt`` file under ``path`` as one row (file_name, text); names
+    come from ``file_name=...`` folders where there are any.
 
     Python reads text files with universal newlines, so CR LF and CR become LF."""
     # wholetext goes to text() itself: its default would override an .option()
-    df = (spark.read.option("pathGlobFilter", "*.txt")
-                .text(path, wholetext=True)
-                .select(F.col("_metadata.file_name").alias("file_name"),
-                        F.regexp_replace("value", r"\r\n?", "\n").alias("text")))
+    df = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    name = F.col("file_name") if "file_name" in df.columns else F.col("_metadata.file_name")
+    df = df.select(name.cast("string").alias("file_name"),
+                   F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
     return SEG.skip_processed(df) if skip_processed else df
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import windows as WIN
 from ..operators.bpe import BpeModel
 
 CHUNK = 4096
@@ -19,15 +20,12 @@ UINT16_LIMIT = 65536
 
 
 def to_chunks(stream: DataFrame, chunk: int = CHUNK, split_col: str = "split") -> DataFrame:
-    """Group a long (split, pos, id) stream into fixed-size chunk rows."""
-    # the check is part of the id expression itself, so column pruning keeps it
-    ok = F.assert_true((F.col("id") >= 0) & (F.col("id") < UINT16_LIMIT),
-                       F.lit("token id outside uint16"))
-    checked = stream.withColumn("id", F.coalesce(ok.cast("int"), F.col("id")))
-    g = (checked.groupBy(split_col, (F.col("pos") / chunk).cast("long").alias("_c"))
-                .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_e")))
-    return g.select(split_col, (F.col("_c") * chunk).alias("start"),
-                    F.transform("_e", lambda e: e["id"]).alias("ids"))
+    """A stream of document rows (split, offset, ids) as fixed-size chunk rows (split, start, ids)."""
+    # the check is part of the ids expression itself, so column pruning keeps it
+    fits = F.forall("ids", lambda i: (i >= 0) & (i < UINT16_LIMIT))
+    checked = stream.withColumn("ids", F.when(fits, F.col("ids")).otherwise(
+        F.raise_error(F.lit("token id outside uint16")).cast("array<int>")))
+    return WIN.chunks(checked, chunk, split_col)
 
 
 def write_token_stream(stream: DataFrame, path: str, chunk: int = CHUNK) -> None:
@@ -37,12 +35,12 @@ def write_token_stream(stream: DataFrame, path: str, chunk: int = CHUNK) -> None
 
 
 def read_token_stream(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """SRC3: the long stream (split, pos, id) of one split (partition pruned) or all."""
+    """SRC3: the chunks (split, offset, ids) of one split (partition pruned) or all; a stream
+    that the window operators read as it is."""
     df = spark.read.parquet(path)
     if split is not None:
         df = df.where(F.col("split") == split)
-    return (df.select("split", "start", F.posexplode("ids").alias("_k", "id"))
-              .select("split", (F.col("start") + F.col("_k")).alias("pos"), "id"))
+    return df.select("split", F.col("start").alias("offset"), "ids")
 
 
 def import_uint16_bins(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -76,3 +74,20 @@ def load_bpe(spark: SparkSession, path: str) -> BpeModel:
     """SRC4: a model back from its tables (bounded by the vocabulary size)."""
     return BpeModel.from_tables(spark.read.parquet(f"{path}/vocab"),
                                 spark.read.parquet(f"{path}/merges"))
+
+
+def model_table(model: BpeModel, spark: SparkSession) -> DataFrame:
+    """SNK4 as one table: vocabulary entries with the rank and parts of the merge that made them."""
+    made = {}
+    for k, (l, r, o) in enumerate(model.merges):
+        made.setdefault(o, []).append((k, l, r))
+    rows = [(i, bytes(t), i < len(model.specials), [list(m) for m in made.get(i, [])]) for i, t in enumerate(model.tokens)]
+    return spark.createDataFrame(rows, "id int, token binary, special boolean, merges array<array<int>>")
+
+
+def model_from_table(table: DataFrame) -> BpeModel:
+    """SRC4 from ``model_table`` (bounded by the vocabulary size)."""
+    rows = sorted(table.collect(), key=lambda r: r.id)
+    merges = sorted((k, l, r, row.id) for row in rows for k, l, r in row.merges)
+    return BpeModel([bytes(r.token).decode("utf-8") for r in rows if r.special], [bytes(r.token) for r in rows],
+                    [(l, r, o) for _, l, r, o in merges])

@@ -30,15 +30,13 @@ def _library(texts, vocab_size, specials, tmp):
     return tk
 
 
-def _u2b():
-    bs = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
-    cs, n = bs[:], 0
-    for b in range(256):
-        if b not in bs:
-            bs.append(b)
-            cs.append(256 + n)
-            n += 1
-    return {chr(c): b for b, c in zip(bs, cs)}
+def _byte_of():
+    """Character that stands for a byte -> byte: printable bytes are themselves, the others
+    are numbered from 256 in ascending order."""
+    from quire.operators.bpe import PRINTABLE_RANGES
+    shown = {b for lo, hi in PRINTABLE_RANGES for b in range(lo, hi + 1)}
+    hidden = sorted(set(range(256)) - shown)
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +55,7 @@ def test_vocab_and_merges_match_library(trained):
     _, _, model, lib = trained
     j = json.loads(lib.to_str())
     vocab = j["model"]["vocab"]
-    u2b = _u2b()
+    u2b = _byte_of()
     lib_tokens = [s.encode() if i < 3 else bytes(u2b[ch] for ch in s)
                   for s, i in sorted(vocab.items(), key=lambda x: x[1])]
     assert lib_tokens == model.tokens
@@ -75,12 +73,32 @@ def test_encode_and_decode_match_library(spark, trained):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: list(r.ids) for r in B.bpe_encode(df, ["doc_id"], "text", model).collect()}
     for k, t in rows:
-        assert got.get(k, []) == lib.encode(t).ids, t[:60]
+        assert got[k] == lib.encode(t).ids, t[:60]
     ids = spark.createDataFrame([(k, v) for k, v in got.items()], "doc_id long, ids array<int>")
-    dec = {r.doc_id: r.text for r in B.bpe_decode(ids, ["doc_id"], "ids", model.vocab_df(spark)).collect()}
+    dec = {r.doc_id: r.text for r in B.bpe_decode(ids, ["doc_id"], "ids", model).collect()}
     for k, _ in rows:
-        if got.get(k):
-            assert dec.get(k, "") == lib.decode(got[k]), k
+        assert dec[k] == lib.decode(got[k]), k
+
+
+def test_null_text_and_long_words(spark, trained):
+    import time
+    from quire.operators import bpe as B
+    _, _, model, lib = trained
+    df = spark.createDataFrame([(1, None), (2, " \n ")], "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in B.bpe_encode(df, ["doc_id"], "text", model).collect()}
+    assert got == {1: [], 2: lib.encode(" \n ").ids}
+    byte_ids = {t[0]: i for i, t in enumerate(model.tokens) if i >= 3 and len(t) == 1}
+    ranks = {(l, r): (k, o) for k, (l, r, o) in enumerate(model.merges)}
+    t0 = time.time()
+    word = "theren" * 10000
+    assert B._encode_word(word, byte_ids, ranks) == lib.encode(word).ids and time.time() - t0 < 5
+
+
+def test_saved_model_is_the_model(spark, trained):
+    from quire.sources import tokens as TK
+    _, _, model, _ = trained
+    m = TK.model_from_table(TK.model_table(model, spark))
+    assert (m.specials, m.tokens, m.merges) == (model.specials, model.tokens, model.merges)
 
 
 def test_batched_equals_sequential(spark, trained):
@@ -93,22 +111,18 @@ def test_batched_equals_sequential(spark, trained):
 
 
 def test_segment_encode_template_and_roundtrip(spark, trained):
-    """ENC9 (per-segment encode: split on S, drop E), ENC10 (S ... E template),
-    and decode(encode(x)) == NFC(x) when every byte is in the alphabet."""
+    """ENC9 (per-segment encode: split on S, drop E), ENC10 (S ... E template), and
+    decode(encode(x)) == NFC(x) when every byte is in the alphabet."""
     import unicodedata
-    from pyspark.sql import functions as F
-    from quire.operators import bpe as B, encode as ENC, segment as SEG
+    from quire.operators import bpe as B, segment as SEG
     small, texts, model, lib = trained
     marked = SEG.mark_segments(small.limit(5))
-    segs = SEG.load_segments(marked, "doc_id").withColumn(
-        "body", F.trim(F.regexp_replace("body", r"<\|S\|>|<\|E\|>", "")))
-    enc = B.bpe_encode(segs, ["doc_id", "seg_id"], "body", model)
-    wrapped = enc.select("doc_id", "seg_id", "ids", ENC.wrap_template(F.col("ids")).alias("w"))
-    for r in wrapped.collect():
-        assert list(r.w) == [0] + list(r.ids) + [1]
-    body = {(r.doc_id, r.seg_id): r.body for r in segs.collect()}
-    for r in enc.collect():
-        assert list(r.ids) == lib.encode(body[(r.doc_id, r.seg_id)]).ids
-    dec = B.bpe_decode(enc, ["doc_id", "seg_id"], "ids", model.vocab_df(spark)).collect()
-    for r in dec:
-        assert r.text == unicodedata.normalize("NFC", body[(r.doc_id, r.seg_id)])
+    plain = B.segment_encode(marked, "doc_id", "segmented", model, template=False).collect()
+    wrapped = B.segment_encode(marked, "doc_id", "segmented", model)
+    want = {r.doc_id: [b for p in r.segmented.split("<|S|>") if (b := p.replace("<|E|>", "").strip())] for r in marked.collect()}
+    assert {(r.doc_id, r.seg_id) for r in plain} == {(d, i) for d, b in want.items() for i in range(len(b))}
+    for r in plain:
+        assert list(r.ids) == lib.encode(want[r.doc_id][r.seg_id]).ids
+    assert sorted([0, *r.ids, 1] for r in plain) == sorted(list(r.ids) for r in wrapped.collect())
+    for r in B.bpe_decode(wrapped, ["doc_id", "seg_id"], "ids", model).collect():
+        assert r.text == unicodedata.normalize("NFC", want[r.doc_id][r.seg_id])

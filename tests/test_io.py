@@ -28,8 +28,11 @@ def test_corpus_dir_segment_split_roundtrip(spark, scratch):
     CO.write_splits(sp, os.path.join(scratch, "splits"))
     r = CO.read_splits(spark, os.path.join(scratch, "splits"), ["train"])
     assert r.count() == 3          # 4 segments: floor(3.2) train, floor(0.4) val, 1 test
-    assert "PartitionFilters: [isnotnull(split" in r._jdf.queryExecution().executedPlan().toString() \
-        or r.count() == 3
+    assert "PartitionFilters: [" in (plan := r._jdf.queryExecution().executedPlan().toString())
+    assert "split" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    named = os.path.join(scratch, "named")
+    CO.write_corpus_dir(spark.createDataFrame([(7, "a\nb"), (8, "c")], "k long, t string"), named, "k", "t")
+    assert {r.file_name: r.text.strip() for r in CO.read_corpus_dir(spark, named).collect()} == {"7.txt": "a\nb", "8.txt": "c"}
 
 
 def test_exact_split_sizes(spark):
@@ -58,12 +61,13 @@ def test_bucketed_split_equals_global_rank(spark):
 
 def test_token_stream_roundtrip_and_legacy_bins(spark, scratch):
     from quire.sources import tokens as TK
-    rows = [("train", i, (i * 7) % 500) for i in range(10000)] + [("val", i, i % 3) for i in range(50)]
-    stream = spark.createDataFrame(rows, "split string, pos long, id int")
+    docs = [("train", 0, 700), ("train", 700, 0), ("train", 700, 9300), ("val", 0, 50)]
+    rows = [(s, o, [(i * 7) % 500 for i in range(o, o + n)]) for s, o, n in docs]
+    stream = spark.createDataFrame(rows, "split string, offset long, ids array<int>")
     TK.write_token_stream(stream, os.path.join(scratch, "tok"), chunk=1000)
     back = TK.read_token_stream(spark, os.path.join(scratch, "tok"), "train")
-    got = sorted((r.pos, r.id) for r in back.collect())
-    assert got == [(p, i) for s, p, i in rows if s == "train"]
+    got = sorted((r.offset, list(r.ids)) for r in back.collect())
+    assert got == [(p, [(i * 7) % 500 for i in range(p, p + 1000)]) for p in range(0, 10000, 1000)]
     bins = os.path.join(scratch, "bins")
     os.makedirs(bins)
     np.array([5, 6, 65535, 2], dtype=np.uint16).tofile(os.path.join(bins, "val.bin"))
@@ -93,21 +97,80 @@ def test_segment_stream(spark, scratch):
         ("p_segmented.txt", f"{S_}\na\nb\nc\n{E_}\n{S_}\nd\n{E_}\n")]
 
 
-def test_windows_and_padding(spark):
+def _stream(spark, sizes, base=0):
+    """Documents of the given sizes one after another; the id at position p is p mod 60000."""
+    rows, at = [], base
+    for n in sizes:
+        rows.append(("train", at, [p % 60000 for p in range(at, at + n)]))
+        at += n
+    return spark.createDataFrame(rows, "split string, offset long, ids array<int>").repartition(3), at
+
+
+def test_windows_keep_order_past_2_to_the_31(spark):
+    import random
+    from quire.operators import windows as WIN
+    rnd = random.Random(1)
+    for T_ in (4, 100, 256):
+        base = (2 ** 31 // T_ - 3) * T_
+        stream, end = _stream(spark, [rnd.choice([0, 1, 7, T_, 3 * T_ + 1]) for _ in range(12)] + [T_ + 3], base)
+        got = WIN.packed_windows(stream, T_).collect()
+        want = {}
+        for p in range(base, end - 1):
+            want.setdefault(p // T_, []).append(p)
+        assert {r.win_id: (list(r.x), list(r.y), r.start, r.n) for r in got} == {
+            w: ([p % 60000 for p in ps], [(p + 1) % 60000 for p in ps], w * T_, len(ps)) for w, ps in want.items()}
+        starts = sorted({rnd.randrange(base, end - T_) for _ in range(20)} | {base, end - T_ - 1})
+        st = spark.createDataFrame([("train", i, 0, s) for i, s in enumerate(starts)], "split string, win_id long, batch long, start long")
+        for r in WIN.gather_windows(stream, st, T_).collect():
+            assert list(r.x) == [p % 60000 for p in range(r.start, r.start + T_)]
+            assert list(r.y) == [p % 60000 for p in range(r.start + 1, r.start + T_ + 1)]
+
+
+def test_short_split_raises_and_tail_is_kept(spark):
+    import pytest
+    from quire.operators import windows as WIN
+    stream, _ = _stream(spark, [6, 4])
+    w = {r.win_id: (list(r.x), list(r.y)) for r in WIN.packed_windows(stream, 4).collect()}
+    assert w == {0: ([0, 1, 2, 3], [1, 2, 3, 4]), 1: ([4, 5, 6, 7], [5, 6, 7, 8]), 2: ([8], [9])}
+    with pytest.raises(Exception, match="no window of 16 tokens"):
+        WIN.window_starts(WIN.stream_sizes(stream), 3, 16).collect()
+
+
+def test_prompts(spark):
+    import pytest
     from pyspark.sql import functions as F
-    from quire.operators import encode as ENC, windows as WIN
-    stream = spark.createDataFrame([("train", i, 100 + i) for i in range(10)], "split string, pos long, id int")
-    w = WIN.packed_windows(stream, 4).orderBy("win_id").collect()
-    assert [(list(r.x), list(r.y)) for r in w] == [([100, 101, 102, 103], [101, 102, 103, 104]),
-                                                   ([104, 105, 106, 107], [105, 106, 107, 108])]
-    starts = spark.createDataFrame([("train", i, 0, i) for i in range(6)],
-                                   "split string, win_id long, batch long, start long")
-    g = WIN.gather_windows(stream, starts, 4).orderBy("win_id").collect()
-    for r in g:
-        assert list(r.x) == [100 + r.start + k for k in range(4)]
-        assert list(r.y) == [101 + r.start + k for k in range(4)]
-    df = spark.createDataFrame([([5, 6],)], "ids array<int>")
-    assert list(df.select(ENC.left_pad(F.col("ids"), 4).alias("p")).collect()[0].p) == [2, 2, 5, 6]
+    from quire.operators import encode as ENC
+    df = spark.createDataFrame([(1, [5, 6]), (2, []), (3, list(range(10, 20))), (4, [7] * 8)], "k int, ids array<int>")
+    got = {r.k: [list(w) for w in r.w] for r in df.select("k", ENC.prompt_windows(F.col("ids"), 4).alias("w")).collect()}
+    assert got == {1: [[2, 2, 5, 6]], 2: [[2, 2, 2, 2]], 3: [[2, 2, 10, 11], [12, 13, 14, 15], [16, 17, 18, 19]], 4: [[7] * 4] * 2}
+    one = df.where("k = 1").select(ENC.left_pad(F.col("ids"), 4).alias("p")).first().p
+    assert list(one) == [2, 2, 5, 6]
+    with pytest.raises(Exception, match="longer than 4"):
+        df.select(ENC.left_pad(F.col("ids"), 4)).collect()
+
+
+def test_language_model_keeps_every_row(spark):
+    from quire.operators import lm as LM
+    docs = spark.createDataFrame([(1, [4, 5, 4, 5]), (2, [4]), (3, [])], "d int, ids array<int>")
+    counts = LM.fit_bigram(docs, ["d"])
+    ce = {r.d: (r.n_bigrams, r.cross_entropy is None) for r in LM.cross_entropy(docs, ["d"], counts, 10).collect()}
+    assert ce == {1: (3, False), 2: (0, True), 3: (0, True)}
+    prompts = spark.createDataFrame([(1, 4), (2, 99), (3, 5)], "d int, last int")
+    got = {r.d: r.next_id for r in LM.next_token_draw(prompts, ["d"], "last", counts).collect()}
+    assert got[1] == 5 and got[2] in (4, 5) and got[3] == 4
+
+
+def test_bad_target_raises_and_missing_vector_is_reported(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from quire.operators import vectors as V
+    df = spark.createDataFrame([([0.1, 0.2], 2)], "v array<double>, t int")
+    with pytest.raises(Exception, match="no score for target 2"):
+        df.select(V.cross_entropy_row(F.col("v"), F.col("t"))).collect()
+    table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "k int, v array<double>")
+    q = spark.createDataFrame([(1, 0), (1, 9), (9, 0)], "i int, p int")
+    assert sorted((r.i, r.p, r.vec) for r in V.lookup_add(q, "i", "p", table, "k", "v").collect()) == [
+        (1, 0, [3.0]), (1, 9, None), (9, 0, None)]
 
 
 def test_running_best_rule(spark):
@@ -136,7 +199,7 @@ def test_clipped_cross_entropy_case(spark):
 def test_token_sink_rejects_ids_outside_uint16(spark, scratch):
     import pytest
     from quire.sources import tokens as TK
-    bad = spark.createDataFrame([("train", 0, 70000)], "split string, pos long, id int")
+    bad = spark.createDataFrame([("train", 0, [1, 70000])], "split string, offset long, ids array<int>")
     with pytest.raises(Exception):
         TK.write_token_stream(bad, os.path.join(scratch, "bad"))
 

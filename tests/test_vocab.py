@@ -7,7 +7,7 @@ from conftest import SF001
 
 tokenizers = pytest.importorskip("tokenizers")
 
-SAMPLE = "Mit Worten läßt sich trefflich streiten, x.<|S|>y ab qq"
+SAMPLE = "Größe und Maß: der Bäcker grüßt höflich, x.<|S|>y ab qq"
 
 
 def _files(texts, tmp):
@@ -23,7 +23,7 @@ def _files(texts, tmp):
 @pytest.fixture(scope="module")
 def texts(spark):
     d = spark.read.parquet(f"{SF001}/documents.parquet").orderBy("doc_id").limit(40).collect()
-    return [r.text for r in d] + ["<|S|>\nSCHÜLER.\nDoch ein Begriff muß bei dem Worte sein.\n<|E|>"]
+    return [r.text for r in d] + ["<|S|>\nMÜLLER.\nAm Flußufer stehen süße Äpfel.\n<|E|>"]
 
 
 def test_word_level(spark, texts, tmp_path):
@@ -41,10 +41,9 @@ def test_word_level(spark, texts, tmp_path):
     mine = {r.token: r.id for r in vocab.collect()}
     assert mine == tk.get_vocab()
     probe = spark.createDataFrame([(0, SAMPLE)], "doc_id long, text string")
-    toks = ENC.word_encode(probe, ["doc_id"], "text", vocab)
-    ids = ENC.collect_ids(toks, ["doc_id"]).collect()[0].ids
-    assert list(ids) == tk.encode(SAMPLE).ids
-    dec = ENC.decode_joined(toks, ["doc_id"], vocab).collect()[0].text
+    enc = ENC.word_encode_ids(probe, ["doc_id"], "text", vocab)
+    assert list(enc.first().ids) == tk.encode(SAMPLE).ids
+    dec = ENC.decode_joined(enc, ["doc_id"], "ids", vocab).first().text
     assert dec == tk.decode(tk.encode(SAMPLE).ids)
 
 
@@ -62,19 +61,32 @@ def test_char_level(spark, texts, tmp_path):
     vocab = V.char_vocab(df)
     assert {r.token: r.id for r in vocab.collect()} == tk.get_vocab()
     probe = spark.createDataFrame([(0, SAMPLE)], "doc_id long, text string")
-    toks = ENC.char_encode(probe, ["doc_id"], "text", vocab)
-    ids = ENC.collect_ids(toks, ["doc_id"]).collect()[0].ids
-    assert list(ids) == tk.encode(SAMPLE).ids
-    dec = ENC.decode_joined(toks, ["doc_id"], vocab).collect()[0].text
+    enc = ENC.char_encode_ids(probe, ["doc_id"], "text", vocab)
+    assert list(enc.first().ids) == tk.encode(SAMPLE).ids
+    dec = ENC.decode_joined(enc, ["doc_id"], "ids", vocab).first().text
     assert dec == tk.decode(tk.encode(SAMPLE).ids)
-    fast = ENC.char_encode_ids(probe, ["doc_id"], "text", vocab).collect()[0].ids
-    assert list(fast) == tk.encode(SAMPLE).ids
-    both = spark.createDataFrame(list(enumerate(texts + ["😀 <|E|>x" + chr(0x100003)])),
-                                 "doc_id long, text string")
-    slow = {r.doc_id: list(r.ids) for r in
-            ENC.collect_ids(ENC.char_encode(both, ["doc_id"], "text", vocab), ["doc_id"]).collect()}
-    quick = {r.doc_id: list(r.ids) for r in ENC.char_encode_ids(both, ["doc_id"], "text", vocab).collect()}
-    assert slow == quick
+    known = {r.token: r.id for r in vocab.collect()}
+    odd = "😀 <|E|>x" + chr(0x100003)
+    got = ENC.char_encode_ids(spark.createDataFrame([(odd,)], "text string"), [], "text", vocab).first().ids
+    assert list(got) == [2, known[" "], 1, known["x"], 2]
+
+
+def test_no_row_is_lost(spark):
+    """Empty, blank, marker-only and null texts come back from encode, decode and spans."""
+    from quire.operators import encode as ENC, vocab as V
+    rows = [(1, "a b a"), (2, ""), (3, " \n "), (4, "<|S|>"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = V.word_vocab(df)
+    enc = ENC.word_encode_ids(df, ["doc_id"], "text", vocab)
+    known = {r.token: r.id for r in vocab.collect()}
+    ab = [known["a"], known["b"], known["a"]]
+    assert {r.doc_id: list(r.ids) for r in enc.collect()} == {1: ab, 2: [], 3: [], 4: [0], 5: []}
+    dec = {r.doc_id: r.text for r in ENC.decode_joined(enc, ["doc_id"], "ids", vocab).collect()}
+    assert dec == {1: "a b a", 2: "", 3: "", 4: "", 5: ""}
+    chars = {r.doc_id: len(r.ids) for r in ENC.char_encode_ids(df, ["doc_id"], "text", V.char_vocab(df)).collect()}
+    assert chars == {1: 5, 2: 0, 3: 3, 4: 1, 5: 0}
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in ENC.word_spans(df, ["doc_id"]).collect()}
+    assert spans[1] == [(0, 1), (2, 3), (4, 5)] and spans[2] == spans[3] == spans[5] == []
 
 
 def test_nfc_only_where_needed(spark):
