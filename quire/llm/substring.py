@@ -157,7 +157,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, sketch: RepeatSketch |
     Where words go, the white space behind them goes too; texts without
     covered words stay as they are, byte for byte.
     """
-    d = _with_covered(docs, window, sketch, F.struct(*docs.columns).alias("row"))
+    d = _with_covered(docs, window, sketch, F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, starts: pa.Array) -> pa.Array:
