@@ -106,7 +106,7 @@ def _sym_string(hex_arr, hex_to_id: dict[str, int]):
 
 
 _PAIR_RE = r"(?=(<\d+><\d+>))"
-WORDS_PER_PART = 10_000
+WORDS_PER_PART = 50_000
 CACHE_ROUNDS = True   # cache each round's word table (else merges chain until the checkpoint)
 
 
@@ -178,10 +178,16 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = C.BPE_VOC
     Stops at ``vocab_size`` entries (reserved + alphabet + merges), when no pair
     is left, or after ``max_merges`` merges when given."""
     max_merges = float("inf") if max_merges is None else max_merges
-    from ..session import ensure_checkpoint_dir
+    from ..session import ensure_checkpoint_dir, scratch_path
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    words = byte_level_words(df, text_col).checkpoint(eager=True)
+    path = scratch_path(spark, "bpe-words")
+    byte_level_words(df, text_col).write.parquet(path)
+    # Each round is a small job whose shape never changes; re-planning it at run time
+    # (AQE) costs more than it saves.  The rounds get a session of their own, so the
+    # caller's settings stay as they are.
+    own = spark.newSession()
+    words = own.read.parquet(path)
 
     alpha = sorted((r.akey, r.byte) for r in byte_alphabet(words).collect())   # <= 256 rows
     model = BpeModel(list(specials), [s.encode("utf-8") for s in specials])
@@ -191,30 +197,19 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = C.BPE_VOC
         model.tokens.append(bytes([b]))
     index = model.token_index()
 
-    # Size the word table's partitions from its row count (about WORDS_PER_PART
-    # words each, at most the cluster's parallelism): every round is a small job
-    # whose cost is mostly per-task overhead when the table is small.
-    n_words = words.count()
-    parts = int(min(max(spark.sparkContext.defaultParallelism, 1),
-                    max(1, n_words // WORDS_PER_PART)))
-    cur = (words.select(_sym_string(T.byte_hex_symbols(F.col("word")), hex_to_id).alias("sym"),
-                        "count")
+    # Partitions follow the table of distinct words: about WORDS_PER_PART words each.
+    parts = max(1, words.count() // WORDS_PER_PART)
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", str(parts))
+    cur = (words.select(_sym_string(T.byte_hex_symbols(F.col("word")), hex_to_id).alias("sym"), "count")
                 .where(F.col("sym").contains("><"))
                 .repartition(parts)
                 .checkpoint(eager=True))
     cached = []
-    # Each round is a small job whose shape never changes; re-planning it at run
-    # time (AQE) costs more than it saves, so it is off for the loop only.
-    aqe = spark.conf.get("spark.sql.adaptive.enabled")
-    shuffle_parts = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        _loop(spark, cur, model, index, specials, vocab_size, top_k, checkpoint_every,
+        _loop(own, cur, model, index, specials, vocab_size, top_k, checkpoint_every,
               batched, cached, log, max_merges)
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", aqe)
-        spark.conf.set("spark.sql.shuffle.partitions", shuffle_parts)
         for c in cached:
             c.unpersist()
     return model

@@ -205,13 +205,6 @@ def bpe_vocab_4096(spark, sf_dir):
     return model.vocab_df(spark).select("id", F.hex("token").alias("token_hex"), "special")
 
 
-@register("bpe_vocab_8192")
-def bpe_vocab_8192(spark, sf_dir):
-    """VOC4: the production byte-level vocabulary (8192 entries, reserved S, E and PAD)."""
-    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB, C.BPE_SPECIALS)
-    return model.vocab_df(spark).select("id", F.hex("token").alias("token_hex"), "special")
-
-
 def _bpe_model(spark, sf_dir, size, specials):
     """A model trained on all documents once per session, saved and loaded (SNK4, SRC4)."""
     def train():

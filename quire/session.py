@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _scratch: list[tuple[SparkSession, str]] = []
 #: (session, key) -> table, of ``artefact``.
 _artefacts: dict[tuple, DataFrame] = {}
+#: Applications whose workers have the package.
+_shipped: set[str] = set()
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -60,6 +63,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, so that they need no copy of
+    their own: a zip file of its sources, distributed by Spark."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quire-package-"), "quire_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.join("quire", os.path.relpath(os.path.join(folder, n), root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared checkpoint folder, released by ``release_scratch``."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
