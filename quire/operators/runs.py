@@ -3,7 +3,8 @@
 Ordered scans per run (iteration number, best-so-far, step duration) are
 two-level: rows are cut into (run, time-chunk) pieces, a small per-chunk table
 carries counts, minima and last timestamps forward, and each piece scans only
-its own rows.  A run holding a third of all rows is spread over its chunks.
+its own rows.  The length of a chunk follows the busiest run, so a run holding a
+third of all rows is spread over pieces of about ``PIECE_ROWS`` rows.
 """
 
 from __future__ import annotations
@@ -20,12 +21,26 @@ def _micros(col: str):
     return F.expr(EPOCH_US.format(c=col))
 
 
+#: Rows of the busiest run in one piece, about.
+PIECE_ROWS = 100_000
+
+
+def piece_micros(df: DataFrame, run_col: str, ts_col: str, rows: int = PIECE_ROWS) -> int:
+    """Length of a time piece that holds about ``rows`` rows of the busiest run (one small
+    aggregate over the run and time columns)."""
+    t = _micros(ts_col)
+    per = df.groupBy(run_col).agg((F.count(F.lit(1)) / (F.max(t) - F.min(t) + 1)).alias("rate"))
+    rate = per.agg(F.max("rate")).first()[0]
+    return max(1, int(rows / rate)) if rate else 1
+
+
 def run_scan(df: DataFrame, run_col: str, ts_col: str, tie_col: str, loss_col: str,
-             chunk_seconds: int = 3600, best_init: float = C.BEST_LOSS_INIT) -> DataFrame:
+             chunk_seconds: float | None = None, best_init: float = C.BEST_LOSS_INIT) -> DataFrame:
     """Adds ``iter`` (0-based), ``best_before`` (running minimum of earlier losses,
     ``best_init`` when none), ``is_best`` (strictly below it), ``save_checkpoint``
     (best and iter > 0), ``prev_ts`` and ``dt_ms`` (WIN4, WIN5)."""
-    d = df.withColumn("_chunk", F.floor(_micros(ts_col) / F.lit(chunk_seconds * 1_000_000)))
+    piece = piece_micros(df, run_col, ts_col) if chunk_seconds is None else int(chunk_seconds * 1_000_000)
+    d = df.withColumn("_chunk", F.floor(_micros(ts_col) / F.lit(piece)))
     chunks = d.groupBy(run_col, "_chunk").agg(F.count(F.lit(1)).alias("_n"),
                                               F.min(loss_col).alias("_min"),
                                               F.max(ts_col).alias("_last"))

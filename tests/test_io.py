@@ -224,3 +224,14 @@ def test_chunked_run_scan_equals_plain_window(spark):
     a = {r.k: (r.iter, r.best_before, r.prev_ts) for r in got.collect()}
     b = {r.k: (r.iter, r.bb, r.prev) for r in ref.collect()}
     assert a == b
+
+
+def test_pieces_follow_the_busiest_run(spark):
+    import datetime as dt
+    from quire.operators import runs as R
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0 + dt.timedelta(seconds=i)) for i in range(1000)] + [(2, t0 + dt.timedelta(hours=i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "run long, ts timestamp_ntz")
+    assert abs(R.piece_micros(df, "run", "ts", rows=100) - 100_000_000) < 1_000_000
+    assert R.piece_micros(df.where("false"), "run", "ts") == 1
+    assert R.piece_micros(df.where("run = 2").limit(1), "run", "ts", rows=10) == 10
