@@ -1,8 +1,8 @@
 """quire: corpus preparation and evaluation jobs expressed as Spark DataFrame plans.
 
-Every operator is a function ``(DataFrame, ...) -> DataFrame`` that stays lazy;
-the only driver round trips are bounded scalars (split sizes, one BPE round's
-ranked candidates).
+Operators are functions ``(DataFrame, ...) -> DataFrame``.  Training, in-place
+lookups (a vocabulary of checked size) and tables written to the shared folder
+run jobs when called; everything else stays lazy.
 """
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
