@@ -8,7 +8,8 @@ is 0.8 or more.  Documents with equal sets are one representative from the start
    passages out of the inverted lists unless a document holds little else.
 2. **Lists.**  Two sets that link share a shingle among the first
    ``n - ceil(0.8 n) + 1`` of each.  Shingles that a count-min sketch estimates in
-   one document only are left out; the others make the inverted lists.
+   one document only are left out, and so are places in the order behind which a
+   set has too little left; the others make the inverted lists.
 3. **Search.**  A block is a set of documents indexed by their shingles; a query
    is a T-occurrence search in it (DivideSkip): the short lists are merged by a
    heap, survivors are probed by binary search in the long ones, and documents
@@ -45,7 +46,10 @@ WORDS = 5
 NUM, DEN = 80, 100                   # similarity NUM / DEN
 #: Cells of the counter array that orders shingles (4 bytes each while counting, 1 byte when used).
 ORDER_BITS = 22
-SKETCH_BITS = 25
+#: Two rows of 2**27 cells: a bitmap of 32 MB for the shingles in two documents or more.
+SKETCH_BITS, SKETCH_DEPTH = 27, 2
+#: Sketch of the doc_ids whose whole sets a round of searches needs.
+ID_BITS = 25
 #: Shingles of one search block's index, about.
 BLOCK_TOKENS = 1 << 18
 
@@ -83,7 +87,7 @@ def least_overlap(n):
 
 
 def shingle_classes(docs: DataFrame, k: int) -> np.ndarray:
-    """log2 class of every cell of the counter array over all shingles."""
+    """Rank (0 to 255, by quantiles of the counts) of every cell of the counter array over all shingles."""
     def count(batches):
         c = np.zeros(1 << ORDER_BITS, np.uint32)
         for b in batches:
@@ -92,7 +96,8 @@ def shingle_classes(docs: DataFrame, k: int) -> np.ndarray:
                 c += np.bincount(_cell(s), minlength=1 << ORDER_BITS).astype(np.uint32)
         yield dense_blocks(c, 64)
     total = merge_dense(docs.select("text").mapInArrow(count, BLOCK_SCHEMA), "uint32", (1 << ORDER_BITS,))
-    return np.frexp(total.astype(np.float64))[1].astype(np.uint8)
+    bounds = np.unique(np.quantile(total, np.arange(1, 256) / 256, method="higher"))
+    return np.searchsorted(bounds, total, "right").astype(np.uint8)
 
 
 _PREFIX = f"doc_id long, n long, d1 long, d2 long, prefix array<long>, {BLOCK_SCHEMA}"
@@ -136,7 +141,7 @@ def prefixes(docs: DataFrame, k: int, classes, sketch: RepeatSketch) -> DataFram
 
 
 def postings(rows: DataFrame, sketch: RepeatSketch, bitmap) -> DataFrame:
-    """(token, rep, n) of the prefix shingles that the sketch estimates in two documents or more."""
+    """(token, rep, n, i) of the prefix shingles that the sketch estimates in two documents or more; i is the place in the order."""
     def build(batches):
         for b in batches:
             lists = b.column(2)
@@ -144,21 +149,41 @@ def postings(rows: DataFrame, sketch: RepeatSketch, bitmap) -> DataFrame:
             size = np.diff(lists.offsets.to_numpy())
             hit = sketch.repeated(bitmap.value, v.view(np.uint64))
             r = np.repeat(np.arange(len(size)), size)[hit]
+            i = (np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size))[hit]
             yield pa.RecordBatch.from_pydict({"token": pa.array(v[hit]), "rep": b.column(0).take(pa.array(r)),
-                                              "n": b.column(1).take(pa.array(r))})
-    return rows.select("doc_id", "n", "prefix").mapInArrow(build, "token long, rep long, n long")
+                                              "n": b.column(1).take(pa.array(r)), "i": pa.array(i)})
+    return rows.select("doc_id", "n", "prefix").mapInArrow(build, "token long, rep long, n long, i long")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(rep, n, tokens) of whole texts."""
+def _hashed(ids: pa.Array) -> np.ndarray:
+    return H.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(rep, n, tokens) of the whole texts of the documents named by ``ids`` (column rep).
+
+    The ids are sketched into a bitmap of fixed size, and other texts are passed over
+    where they are read, so no text is shuffled.  A few documents more than asked for
+    may come back; joins on ``rep`` leave them out.
+    """
+    sketch = RepeatSketch(ID_BITS, 2)
+
+    def name(batches):
+        for b in batches:
+            h = _hashed(b.column(0))
+            yield sketch.partition_rows([h, h])            # twice: every id counts as repeated
+    bitmap = docs.sparkSession.sparkContext.broadcast(sketch.merge(ids.select("rep").mapInArrow(name, BLOCK_SCHEMA)))
+
     def build(batches):
         for b in batches:
+            b = b.filter(pa.array(sketch.repeated(bitmap.value, _hashed(b.column(0)))))
             for first, col in H.text_chunks(b.column(1)):
                 s, at = _sets(col, k)
                 yield pa.RecordBatch.from_pydict({
                     "rep": b.column(0).slice(first, len(at) - 1), "n": pa.array(np.diff(at).astype(np.int64)),
                     "tokens": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(s.view(np.int64)))})
-    return docs.select("doc_id", "text").mapInArrow(build, "rep long, n long, tokens array<long>")
+    return (docs.where("doc_id is not null").select("doc_id", "text")
+                .mapInArrow(build, "rep long, n long, tokens array<long>"))
 
 
 class Index:
@@ -254,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(shingle_classes(d, words))
-    sketch = RepeatSketch(SKETCH_BITS)
+    sketch = RepeatSketch(SKETCH_BITS, SKETCH_DEPTH)
     rows = written(prefixes(d, words, classes, sketch), "prefixes")
     mine = rows.where("block is null")
     bitmap = spark.sparkContext.broadcast(sketch.merge(rows.where("block is not null").select("block", "part", "data")))
@@ -263,12 +288,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # Inverted lists over the representatives, each with its smallest document.
     posts = postings(some, sketch, bitmap).join(equal.select("rep").distinct(), "rep")
     posts = written(posts, "postings")
-    heads = posts.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
-    lists = written(posts.join(heads.select("token", "lead"), "token").distinct(), "lists")
-    sets = written(shingle_sets(d.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words), "sets")
+    # The first shingle that two sets share has all they share behind it: at places i and j
+    # their overlap is at most min(n - i, m - j).  A row stays if the list's smallest set allows it.
+    sizes = posts.groupBy("token").agg(F.min("n").alias("least"), F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
+    room = F.expr(f"{DEN + NUM} * (n - i) >= {NUM} * n + {NUM} * greatest(least, ({NUM} * n + {DEN - 1}) div {DEN})")
+    posts = written(posts.join(sizes.select("token", "least"), "token").where(room).drop("least").distinct(), "near-postings")
+    heads = (posts.groupBy("token").agg(F.min(F.struct("rep", "n", "i")).alias("head"), F.max("rep").alias("last"))
+                  .where("head.rep < last").select("token", F.col("head.rep").alias("lead"), F.col("head.n").alias("m"), F.col("head.i").alias("j")))
+    lists = written(posts.join(heads, "token"), "lists")
     # Round one: each list's smallest document against the others.
-    pairs = lists.where("rep != lead").groupBy(F.col("lead").alias("block"), "rep").agg(F.max("n").alias("n"))
+    fits = F.expr(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m) and {DEN + NUM} * least(n - i, m - j) >= {NUM} * (n + m)")
+    pairs = lists.where("rep != lead").where(fits).groupBy(F.col("lead").alias("block"), "rep").agg(F.max("n").alias("n"))
+    pairs = written(pairs, "pairs")
     leads = pairs.select("block").distinct()
+    sets = written(shingle_sets(d, pairs.select("rep").union(leads), words), "sets")
     links = written(search_blocks(pairs.select("block", "rep", F.col("rep").alias("comp"), "n"),
                                   leads.select("block", F.col("block").alias("rep"), F.col("block").alias("comp")), sets), "links")
     one = components(links)
@@ -281,6 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
                                            F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     open_lists = open_lists.groupBy(*same).agg(F.min("token").alias("token"))
     blocks = written(rest.join(open_lists.select("token", "low"), "token").withColumnRenamed("token", "block"), "blocks")
+    sets = written(shingle_sets(d, blocks.select("rep"), words), "sets")
     more = search_blocks(blocks.select("block", "rep", "comp", "n"),
                          blocks.where("comp != low").select("block", "rep", "comp"), sets)
     label = components(links.union(more)).select(F.col("id").alias("rep"), "component")
