@@ -6,9 +6,8 @@
    result does not depend on the order of rows; the table has ``BUCKETS * DIM`` cells
    whatever the vocabulary.
 2. **Pooling.**  A document is the mean of its words' vectors, the mean over its
-   distinct words, the mean of its words' index vectors, the mean product of
-   the index vectors of words one to three apart (1 where a word repeats), and
-   three pool sizes.
+   distinct words, the mean of its words' index vectors, the shares of
+   words that stand again one to three places on, and three pool sizes.
 3. **Network.**  One hidden layer, trained by Adam on a bounded sample of labelled
    documents (``SAMPLE`` rows, those with the least hash of doc_id), then a
    temperature fitted on labelled documents that were kept out of training.
@@ -73,11 +72,14 @@ def context_sums(docs: DataFrame) -> np.ndarray:
                 if not len(h):
                     continue
                 b, row = _buckets(h), H.row_of(bounds)
+                v = index[b]
                 around = np.zeros((len(b), DIM), np.int8)
                 for j in range(1, REACH + 1):
-                    near = (row[j:] == row[:-j])[:, None]
-                    around[:-j] += index[b[j:]] * near
-                    around[j:] += index[b[:-j]] * near
+                    around[:-j] += v[j:]
+                    around[j:] += v[:-j]
+                    over = np.flatnonzero(row[j:] != row[:-j])      # neighbours in another text
+                    around[over] -= v[over + j]
+                    around[over + j] -= v[over]
                 order = np.argsort(b, kind="stable")
                 u, first = np.unique(b[order], return_index=True)
                 total[u] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
@@ -101,19 +103,22 @@ def pooled(col: pa.Array, table: np.ndarray) -> np.ndarray:
         f = np.zeros((len(n), FEATURES), np.float32)
         some = np.flatnonzero(n)
         if len(some):
-            v = table[_buckets(h)]
-            f[some, :2 * DIM] = np.add.reduceat(v, bounds[some], axis=0) / n[some, None]
             row = H.row_of(bounds)
             order = np.lexsort((h, row))
             new = np.ones(len(h), bool)
             new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-            kinds = np.bincount(row[order][new], minlength=len(n))
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(h))).astype(np.float32)
+            kinds = np.bincount(row[order[at]], minlength=len(n))
             first = np.concatenate([[0], np.cumsum(kinds)])[some]
-            f[some, 2 * DIM:3 * DIM] = np.add.reduceat(v[order][new][:, :DIM], first, axis=0) / kinds[some, None]
+            v = table[_buckets(h[order[at]])]                       # one row per distinct word of a text
+            f[some, 2 * DIM:3 * DIM] = np.add.reduceat(v[:, :DIM], first, axis=0) / kinds[some, None]
+            v *= times[:, None]
+            f[some, :2 * DIM] = np.add.reduceat(v, first, axis=0) / n[some, None]
             for j, lag in enumerate(LAGS):
-                near = np.flatnonzero(row[lag:] == row[:-lag])
-                alike = np.einsum("ij,ij->i", v[near, DIM:], v[near + lag, DIM:])
-                f[:, 3 * DIM + j] = np.bincount(row[near], alike, len(n)) / np.maximum(np.bincount(row[near], minlength=len(n)), 1)
+                near = row[lag:] == row[:-lag]
+                again = np.bincount(row[lag:], near & (h[lag:] == h[:-lag]), len(n))
+                f[:, 3 * DIM + j] = again / np.maximum(np.bincount(row[lag:], near, len(n)), 1)
             f[some, -3] = np.log1p(n[some])
             f[some, -2] = np.log1p(kinds[some])
             f[some, -1] = kinds[some] / n[some]

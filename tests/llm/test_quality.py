@@ -39,7 +39,8 @@ def test_gradient_training_separates_and_calibrates():
     y = (x[:, 0] * x[:, 1] + 0.3 * rnd.normal(size=4000) > 0).astype(int)
     cal = np.arange(4000) % 3 == 0
     net = quality.train(x, y, cal)
-    assert np.mean((net.score(x[cal]) > 0.5) == y[cal]) > 0.85
+    best = np.mean((x[cal, 0] * x[cal, 1] > 0) == y[cal])           # what the noise allows
+    assert np.mean((net.score(x[cal]) > 0.5) == y[cal]) > best - 0.05
     z = net.logits(x[cal])
     assert quality._nll(z, y[cal], net.temperature) <= quality._nll(z, y[cal], 1.0) + 1e-9
 
