@@ -10,7 +10,10 @@ is 0.8 or more.  Documents with equal sets are one representative from the start
    ``n - ceil(0.8 n) + 1`` of each.  Shingles that a count-min sketch estimates in
    one document only are left out, and so are places in the order behind which a
    set has too little left; the others make the inverted lists.
-3. **Search.**  A block is a set of documents indexed by their shingles; a query
+3. **Screen.**  Each set has a bitmap of twice its size, the parity of its shingles per
+   bit.  Two bitmaps differ in no more bits than the sets in shingles, so pairs whose
+   bitmaps differ too much cannot link and are dropped before any set is read.
+4. **Search.**  A block is a set of documents indexed by their shingles; a query
    is a T-occurrence search in it (DivideSkip): the short lists are merged by a
    heap, survivors are probed by binary search in the long ones, and documents
    that reach the overlap which 0.8 asks for are linked, exactly.
@@ -19,7 +22,7 @@ is 0.8 or more.  Documents with equal sets are one representative from the start
    searches those outside the first component among all the others.  Pairs that
    are connected already are not searched again, so a group of near copies costs
    one search each and never all pairs; large blocks are cut by size.
-4. **Components** of the links.
+5. **Components** of the links.
 
 Defined cases: null or empty text has no shingles and links with nothing; a text
 under five words is one shingle; rows with a null doc_id get a null component and
@@ -46,10 +49,12 @@ WORDS = 5
 NUM, DEN = 80, 100                   # similarity NUM / DEN
 #: Cells of the counter array that orders shingles (4 bytes each while counting, 1 byte when used).
 ORDER_BITS = 22
-#: Two rows of 2**27 cells: a bitmap of 32 MB for the shingles in two documents or more.
-SKETCH_BITS, SKETCH_DEPTH = 27, 2
+#: Three rows of 2**27 cells: a bitmap of 48 MB for the shingles in two documents or more.
+SKETCH_BITS, SKETCH_DEPTH = 27, 3
 #: Sketch of the doc_ids whose whole sets a round of searches needs.
 ID_BITS = 25
+#: Documents of one screening block's index, at most about.
+BLOCK_ROWS = 2000
 #: Shingles of one search block's index, about.
 BLOCK_TOKENS = 1 << 18
 
@@ -100,12 +105,30 @@ def shingle_classes(docs: DataFrame, k: int) -> np.ndarray:
     return np.searchsorted(bounds, total, "right").astype(np.uint8)
 
 
-_PREFIX = f"doc_id long, n long, d1 long, d2 long, prefix array<long>, {BLOCK_SCHEMA}"
+_PREFIX = f"doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary, {BLOCK_SCHEMA}"
+
+
+def parity_bitmaps(s: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Per row, the parity of its shingles in each of ``2**ceil(log2(2 n))`` bits (64 at least)."""
+    n = np.diff(at)
+    size = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(size)])
+    where = np.repeat(base[:-1], n) + (s & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(where, minlength=base[-1]).astype(np.uint8) & 1, bitorder="little")
+    return [packed[a // 8:b // 8].tobytes() for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) brought down to ``size`` bytes: the parity bitmap of fewer bits."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def prefixes(docs: DataFrame, k: int, classes, sketch: RepeatSketch) -> DataFrame:
     """One row per document (size, digest of the set, prefix), and each partition's sketch of the prefixes."""
-    names = ["doc_id", "n", "d1", "d2", "prefix", "block", "part", "data"]
+    names = ["doc_id", "n", "d1", "d2", "prefix", "bits", "block", "part", "data"]
 
     def build(batches):
         seen, size = [], 0
@@ -113,7 +136,7 @@ def prefixes(docs: DataFrame, k: int, classes, sketch: RepeatSketch) -> DataFram
         def sketched():
             s = sketch.partition_rows(seen)
             m = s.num_rows
-            cols = [pa.nulls(m, pa.int64())] * 4 + [pa.nulls(m, pa.list_(pa.int64()))] + s.columns
+            cols = [pa.nulls(m, pa.int64())] * 4 + [pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary())] + s.columns
             return pa.RecordBatch.from_arrays(cols, names)
         for b in batches:
             for first, col in H.text_chunks(b.column(1)):
@@ -131,6 +154,7 @@ def prefixes(docs: DataFrame, k: int, classes, sketch: RepeatSketch) -> DataFram
                     b.column(0).slice(first, m), pa.array(n.astype(np.int64)),
                     pa.array((run1[at[1:]] - run1[at[:-1]]).view(np.int64)), pa.array((run2[at[1:]] - run2[at[:-1]]).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(p.view(np.int64))),
+                    pa.array(parity_bitmaps(s, at), pa.binary()),
                     pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
             if size > 1 << 22:
                 yield sketched()
@@ -255,23 +279,76 @@ def _search_blocks(batches):
                                           "b": pa.array([x for _, x in out], pa.int64())})
 
 
+def _blocks(index: DataFrame, queries: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Rows (block, piece, q, rep, comp): a block's index dealt by hash into pieces, its queries to every piece."""
+    left = index.join(pieces, "block").select(
+        "block", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int").alias("piece"), F.lit(False).alias("q"), "rep", "comp")
+    right = queries.join(pieces, "block").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("q"), "rep", "comp")
+    return left.union(right)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("block", "piece").sortWithinPartitions("block", "piece", "q", "rep")
+
+
+def _screen(batches):
+    """Rows sorted by block, index before queries: pairs (a, ca, b, cb, n) whose bitmaps allow a link."""
+    block, rows, groups, folded = None, [], None, {}
+    for batch in batches:
+        out: dict[str, list] = {c: [] for c in ("a", "ca", "b", "cb", "n")}
+        for key, piece, query, rep, comp, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, piece) != block:
+                block, rows, groups, folded = (key, piece), [], None, {}
+            if not query:
+                rows.append((len(bits), rep, comp, n, bits))
+                continue
+            if groups is None:
+                groups = {}
+                for r in rows:
+                    groups.setdefault(r[0], []).append(r)
+                groups = {m: (np.array([r[1] for r in g]), np.array([r[2] for r in g]), np.array([r[3] for r in g]),
+                              np.frombuffer(b"".join(r[4] for r in g), np.uint8).reshape(len(g), m)) for m, g in groups.items()}
+            mine = np.frombuffer(bits, np.uint8)
+            for m, (ids, comps, sizes, mat) in groups.items():
+                width = min(m, len(bits))
+                if (m, width) not in folded:
+                    folded[m, width] = fold(mat, width)
+                apart = np.bitwise_count(folded[m, width] ^ fold(mine, width)).sum(axis=1, dtype=np.int64)
+                ok = (comps != comp) & (ids != rep) & ((DEN + NUM) * apart <= (DEN - NUM) * (sizes + n))
+                ok &= DEN * np.minimum(sizes, n) >= NUM * np.maximum(sizes, n)
+                for i in np.flatnonzero(ok):
+                    for c, x in zip(out, (rep, comp, int(ids[i]), int(comps[i]), int(sizes[i]))):
+                        out[c].append(x)
+        yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in out.items()})
+
+
+def screen_blocks(index: DataFrame, queries: DataFrame, bits: DataFrame) -> DataFrame:
+    """Distinct pairs (a, ca, b, cb, n) of a query and a document of its block that may link."""
+    pieces = index.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("pieces"))
+    rows = _blocks(index, queries, pieces).join(bits, "rep").select("block", "piece", "q", "rep", "comp", "n", "bits")
+    return _dealt(rows).mapInArrow(_screen, "a long, ca long, b long, cb long, n long").distinct()
+
+
 def search_blocks(index: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between each block's queries and its index.
 
     ``index``: (block, rep, comp, n); ``queries``: (block, rep, comp).  A block's index
-    is dealt by hash into pieces of about ``BLOCK_TOKENS`` shingles; every piece gets
-    the block's queries.
+    is cut into pieces of about ``BLOCK_TOKENS`` shingles.
     """
-    pieces = index.groupBy("block").agg(F.sum("n").alias("n")).select(
-        "block", F.ceil(F.col("n") / BLOCK_TOKENS).cast("int").alias("pieces"))
-    left = index.join(pieces, "block").select(
-        "block", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int").alias("piece"), F.lit(False).alias("q"), "rep", "comp")
-    right = queries.join(pieces, "block").select(
-        "block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("q"), "rep", "comp")
-    rows = (left.union(right).join(sets.select("rep", "tokens"), "rep")
-                .select("block", "piece", "q", "rep", "comp", "tokens"))
-    return (rows.repartition("block", "piece").sortWithinPartitions("block", "piece", "q", "rep")
-                .mapInArrow(_search_blocks, "a long, b long"))
+    pieces = index.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("pieces"))
+    rows = (_blocks(index, queries, pieces).join(sets.select("rep", "tokens"), "rep")
+            .select("block", "piece", "q", "rep", "comp", "tokens"))
+    return _dealt(rows).mapInArrow(_search_blocks, "a long, b long")
+
+
+def _linked(index: DataFrame, queries: DataFrame, bits: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Links between queries and documents of their blocks: screened by bitmaps, searched by whole sets."""
+    pairs = written(screen_blocks(index, queries, bits), "pairs")
+    asked = pairs.select(F.col("a").alias("block"), F.col("a").alias("rep"), F.col("ca").alias("comp")).distinct()
+    found = pairs.select(F.col("a").alias("block"), F.col("b").alias("rep"), F.col("cb").alias("comp"), "n")
+    sets = written(shingle_sets(docs, found.select("rep").union(asked.select("rep")), k), "sets")
+    return written(search_blocks(found, asked, sets), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -298,12 +375,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     lists = written(posts.join(heads, "token"), "lists")
     # Round one: each list's smallest document against the others.
     fits = F.expr(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m) and {DEN + NUM} * least(n - i, m - j) >= {NUM} * (n + m)")
-    pairs = lists.where("rep != lead").where(fits).groupBy(F.col("lead").alias("block"), "rep").agg(F.max("n").alias("n"))
-    pairs = written(pairs, "pairs")
-    leads = pairs.select("block").distinct()
-    sets = written(shingle_sets(d, pairs.select("rep").union(leads), words), "sets")
-    links = written(search_blocks(pairs.select("block", "rep", F.col("rep").alias("comp"), "n"),
-                                  leads.select("block", F.col("block").alias("rep"), F.col("block").alias("comp")), sets), "links")
+    pairs = lists.where("rep != lead").where(fits).select(F.col("lead").alias("block"), "rep").distinct()
+    bits = some.select(F.col("doc_id").alias("rep"), "n", "bits")
+    pairs = pairs.select("block", "rep", F.col("rep").alias("comp"))
+    leads = pairs.select("block", F.col("block").alias("rep"), F.col("block").alias("comp")).distinct()
+    links = _linked(pairs, leads, bits, d, words)
     one = components(links)
     # Round two: lists whose documents are not all connected; pairs with the smallest document are done.
     rest = lists.where("rep != lead").join(one.withColumnRenamed("id", "rep"), "rep", "left")
@@ -314,9 +390,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
                                            F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     open_lists = open_lists.groupBy(*same).agg(F.min("token").alias("token"))
     blocks = written(rest.join(open_lists.select("token", "low"), "token").withColumnRenamed("token", "block"), "blocks")
-    sets = written(shingle_sets(d, blocks.select("rep"), words), "sets")
-    more = search_blocks(blocks.select("block", "rep", "comp", "n"),
-                         blocks.where("comp != low").select("block", "rep", "comp"), sets)
+    more = _linked(blocks.select("block", "rep", "comp"), blocks.where("comp != low").select("block", "rep", "comp"), bits, d, words)
     label = components(links.union(more)).select(F.col("id").alias("rep"), "component")
     member = some.select("doc_id", "n", "d1", "d2").join(equal, ["n", "d1", "d2"]).join(label, "rep", "left")
     return (member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

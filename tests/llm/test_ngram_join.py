@@ -54,6 +54,7 @@ def corpus(seed):
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_TOKENS", 400)      # several pieces per block
+    monkeypatch.setattr(J, "BLOCK_ROWS", 3)
     rows = corpus(1)
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, n int, rep int").repartition(5)
     got = sorted((tuple(r) for r in J.near_duplicates(df).collect()), key=repr)
@@ -76,6 +77,17 @@ def test_search_counts_overlaps():
         assert index.search(q) == want
 
 
+def test_bitmaps_never_differ_more_than_the_sets():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 3000, rnd.integers(0, 900)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(40)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    maps = [np.frombuffer(b, np.uint8) for b in J.parity_bitmaps(np.concatenate(sets), at)]
+    for a, x in zip(sets, maps):
+        for b, y in zip(sets, maps):
+            w = min(len(x), len(y))
+            assert np.bitwise_count(J.fold(x, w) ^ J.fold(y, w)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_components_of_chains_and_stars(spark):
     rnd = random.Random(4)
     names = rnd.sample(range(10 ** 6), 300)
