@@ -3,8 +3,9 @@
 1. **Representatives.**  Equal vectors are one from the start.
 2. **Permutation.**  Reference points ("pivots") are vectors of the table, the first
    in hash order; their number grows with the square root of the table, so lists
-   and pivots stay in balance.  A vector is described by its ``NEAREST`` pivots
-   from near to far.
+   and pivots stay in balance.  A vector is described by its nearest pivots
+   from near to far: ``NEAREST``, and one more for each doubling of the pivots
+   beyond ``NEAREST_UP_TO``, as two close vectors share fewer of them the more there are.
 3. **Inverted lists.**  A vector is entered in the list of each of its nearest pivots.
    Inside a list, vectors that share at least ``SHARED`` of those pivots are
    candidates (one small matrix product counts them), and candidates are verified
@@ -25,6 +26,8 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +37,8 @@ from ..session import written
 from .components import components
 
 COSINE = 0.9
-NEAREST = 8
-SHARED = 3
+NEAREST, NEAREST_UP_TO = 8, 128
+SHARED = 2
 #: Pivots are ``PIVOT_RATE * sqrt(rows)``, between the two bounds (4,096 x 64 doubles are 2 MB).
 PIVOT_RATE, PIVOTS_LEAST, PIVOTS_MOST = 1.5, 16, 4096
 BLOCK = 2000
@@ -68,6 +71,11 @@ def choose_pivots(reps: DataFrame, count: int) -> dict[int, np.ndarray]:
     return {d: _unit(np.array(v, float).ravel(), len(v)) for d, v in got.items()}
 
 
+def nearest(pivots: int) -> int:
+    """How many nearest pivots describe a vector."""
+    return NEAREST + max(0, math.ceil(math.log2(pivots / NEAREST_UP_TO)))
+
+
 def _entries(pivots):
     """Rows (rep, n, v) into rows (pivot, rep, n, near, v): one for each of a vector's nearest pivots."""
     def build(batches):
@@ -77,7 +85,7 @@ def _entries(pivots):
                 part = b.filter(pa.array(size == d))
                 p = pivots.value.get(int(d), np.eye(1, int(d)))
                 unit = _unit(_matrix(part.column(2)), part.num_rows)
-                near = np.argsort(-(unit @ p.T), axis=1, kind="stable")[:, :NEAREST].astype(np.int32)
+                near = np.argsort(-(unit @ p.T), axis=1, kind="stable")[:, :nearest(len(p))].astype(np.int32)
                 m = near.shape[1]
                 row = pa.array(np.repeat(np.arange(part.num_rows), m))
                 yield pa.RecordBatch.from_pydict({

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quire.llm import pivot_index as P
 
@@ -60,3 +61,19 @@ def test_odd_vectors(spark):
     assert {(i, 0, i, True) for i in (0, 1, 2, 3, 4, 5, 9, 11)} <= by and (None, 0, None, False) in by
     assert {(6, 3, 6, True), (7, 3, 6, False), (10, 3, 6, False)} <= by
     assert P.near_vectors(rows_of(spark, [], [])).count() == 0
+
+
+@pytest.mark.parametrize("count", [150, 474, 1500, 4096])
+def test_recall_with_the_pivots_of_large_tables(spark, monkeypatch, count):
+    rnd = np.random.default_rng(count)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = unit(rnd.normal(size=(count, 64)))
+    monkeypatch.setattr(P, "choose_pivots", lambda reps, n: {64: pivots})
+    a, g = unit(rnd.normal(size=(1500, 64))), rnd.normal(size=(1500, 64))
+    g = unit(g - (g * a).sum(axis=1, keepdims=True) * a)
+    cos = rnd.uniform(0.9001, 0.92, size=(1500, 1))
+    vecs = np.concatenate([a, cos * a + np.sqrt(1 - cos ** 2) * g]).astype(np.float32).tolist()
+    ids = list(range(3000))
+    want = int(brute(ids, vecs).sum()) - 3000
+    have = sum(r["n_links"] for r in P.near_vectors(rows_of(spark, ids, vecs).repartition(4)).collect())
+    assert want >= 3000 and 0.985 * want <= have <= want
