@@ -13,7 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Contraction by rounds: each node hooks to its smallest smaller neighbour,
     parents are shortened by pointer doubling, the edges move to the parents and
-    those inside one node vanish.  Aggregates combine before the shuffle and a
+    those inside one node vanish.  Parents of a long chain may stay end points of
+    edges after they got their row; later rounds move that row and add none.  Aggregates combine before the shuffle and a
     hub's rows meet only joins (which the adaptive skew join splits); each round
     is written, so a lost executor costs one round at most.
     """
@@ -31,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         else:
             moved = (found.join(p.select(F.col("id").alias("component"), "up"), "component", "left")
                           .select("id", F.coalesce("up", "component").alias("component")))
-            found = written(moved.union(p.select("id", F.col("up").alias("component"))), "labels")
+            new = p.join(found.select("id"), "id", "left_anti")
+            found = written(moved.union(new.select("id", F.col("up").alias("component"))), "labels")
         for c in "ab":
             e = (e.join(p.select(F.col("id").alias(c), "up"), c, "left")
                   .withColumn(c, F.coalesce("up", c)).drop("up"))

@@ -96,3 +96,11 @@ def test_components_of_chains_and_stars(spark):
     for part in (names[:121], names[150:250]):
         assert {got.get(x, x) for x in part} == {min(part)}
     assert not got.keys() & set(names[121:150] + names[250:])
+
+
+def test_components_give_one_row_per_node(spark):
+    rnd = random.Random(5)
+    chain = [(i, i + 1) for i in range(1, 10)]                              # increasing: parents stay end points
+    tree = [(1000 + rnd.randrange(i), 1000 + i) for i in range(1, 400)]     # copies of copies
+    rows = C.components(spark.createDataFrame(chain + tree, "a long, b long")).collect()
+    assert sorted(map(tuple, rows)) == [(i, 1) for i in range(2, 11)] + [(i, 1000) for i in range(1001, 1400)]
