@@ -13,7 +13,9 @@ Scripts, styles, templates, the document head and comments of the markup never
 yield blocks.  ``<br>`` is white space.
 
 Defined cases: null html counts as empty; a page without blocks has empty text;
-markup that ends early is read as far as it goes; a ``<`` that opens no tag is
+markup that ends early is read as far as it goes: a head ends at the first thing
+that cannot stand in one, a skipped element without its own end tag is read, and only
+script, style and textarea take the rest of the page; a ``<`` that opens no tag is
 text; repeated rows get equal texts; an empty table gives an empty result; other
 columns are not read.
 """
@@ -34,9 +36,16 @@ from pyspark.sql import functions as F
 
 # ---- fixed values (element classes of HTML) ----
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-                    "small span strike strong sub sup time tt u var wbr br").split())
+                    "small span strike strong sub sup time tt u var wbr br "
+                    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup "
+                    "msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style head template noscript svg math iframe object canvas audio video select textarea".split())
+#: Without an end tag, these take the rest of the page.
+RAW = frozenset("script style textarea".split())
+#: Dropped when their own end tag closes them, else read.
+SKIPPED = frozenset("template noscript svg iframe object canvas audio video select annotation annotation-xml".split())
+#: What can stand in a head; anything else ends it.
+IN_HEAD = frozenset("head title base basefont bgsound link meta script style noscript noframes template".split())
 CLOSES_P = frozenset(("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
                       "header hr main menu nav ol p pre section table ul").split())
 CUES = ("cookie", "subscribe", "newsletter", "comment", "reply", "share", "copyright", "advert", "sponsor", "log in", "sign",
@@ -60,6 +69,36 @@ class Block:
 class _Open:
     tag: str
     names: tuple[str, ...] = field(default=())
+    mark: int = 0                   # blocks before a skipped element
+    in_link: int = 0
+
+
+def _closing(page: str, tag: str, at: int) -> re.Match | None:
+    return re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
+
+
+def _head_end(page: str, at: int) -> int:
+    """Where a head that starts before ``at`` ends: its end tag may be left out."""
+    unclosed = set()
+    while True:
+        m = _TOKEN.search(page, at)
+        if page[at:m.start() if m else len(page)].strip() or not m:
+            return at
+        tag = (m[2] or "").lower()
+        if m[1] and tag == "head":
+            return m.end()
+        if tag in ("body", "html", "br") if m[1] else tag and tag not in IN_HEAD:
+            return m.start()
+        at = m.end()
+        if not m[1] and tag in ("title", "script", "style", "noscript", "noframes", "template"):
+            if tag not in unclosed and (end := _closing(page, tag, at)):
+                at = end.end()
+                continue
+            unclosed.add(tag)
+            if tag in RAW:
+                return len(page)
+            if tag == "title":
+                at = (m.start() if (m := _TOKEN.search(page, at)) else len(page))
 
 
 def blocks(page: str) -> list[Block]:
@@ -105,14 +144,23 @@ def blocks(page: str) -> list[Block]:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == tag:
+                    if tag in SKIPPED:
+                        del out[stack[i].mark:]
+                        in_link = stack[i].in_link
                     del stack[i:]
                     break
             continue
-        if tag in SKIPPED:
+        if tag == "head" or tag in RAW or tag in SKIPPED:
             flush()
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)|\Z", re.I).search(page, at)
-                at = end.end()
+            if m[3].endswith("/"):
+                continue
+            if tag == "head":
+                at = _head_end(page, at)
+            elif tag in RAW:
+                end = _closing(page, tag, at)
+                at = end.end() if end else len(page)
+            else:
+                stack.append(_Open(tag, (), len(out), in_link))
             continue
         if tag == "br" or tag in ("img", "wbr"):
             parts.append(" " if tag == "br" else "")
@@ -162,7 +210,7 @@ def features(page: list[Block]) -> list[tuple[int, ...]]:
     out = []
     for i, b in enumerate(page):
         t = b.text
-        low = t[:400].lower()
+        low = t.lower()
         n = len(t)
         f = [f"size {min(9, n.bit_length())}", f"links {round(4 * b.linked / n)}",
              f"ends {'.' if t[-1] in '.!?:;…\"' else 'x'}", f"stops {min(4, t.count('. '))}", f"commas {min(3, t.count(','))}",

@@ -14,6 +14,25 @@ def test_blocks_of_broken_markup():
     assert got[0].names == {"ad", "big"} and got[4].linked == 2 and got[4].tags[-1] == "li" and got[2].tags == ("html", "body", "p")
 
 
+def test_elements_without_end_tag_lose_no_text():
+    texts = lambda page: [b.text for b in X.blocks(page)]
+    assert texts("<html><head><title>x</title><meta a=b><body><p>one</p><p>two") == ["one", "two"]
+    assert texts("<head><title>x</title><script>a</script>text<p>one") == ["text", "one"]
+    assert texts("<head><title>x<p>one") == texts("<head><noscript><link></noscript></head><p>one") == ["one"]
+    for tag in ("select", "svg", "object", "audio", "video", "noscript", "template", "iframe", "canvas"):
+        assert texts(f"<div><{tag} a=b></div><p>one</p><{tag}>no <p>no</{tag}><p>two") == ["one", "two"]
+        assert texts(f"<p>one</p><{tag}><p>two") == ["one", "two"]
+    assert texts("<p>one</p><script>if (a) '<p>two'") == ["one"]
+    assert texts("<p>if <math><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></math> holds") == ["if a=b2 holds"]
+    assert texts("<svg><a href=q></svg><p>one") == ["one"] and X.blocks("<svg><a href=q></svg><p>one")[0].linked == 0
+
+
+def test_cues_are_read_in_the_whole_block():
+    long = "word " * 200
+    with_cue, without = (X.features(X.blocks(f"<p>{long}{t}"))[0] for t in ("\u00a9 2020", "x 2020"))
+    assert set(with_cue) - set(without) == {X._slot("cue \u00a9 False")}
+
+
 def test_viterbi_equals_enumeration():
     rnd = np.random.default_rng(0)
     m = X.Chain(rnd.normal(size=(X.DIMENSION, 2)), rnd.normal(size=(2, 2)) * 2)
