@@ -81,7 +81,7 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int,
             if at >= ip_done:
                 ip_done = _IP_RUN.match(text, at).end()
                 for m in _IP.finditer(text, at, ip_done):
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
                         found["ip"].append(m.span())
             if at >= card_done:
                 card_done = _CARD_RUN.match(text, at).end()

@@ -38,6 +38,11 @@ def test_cards_phones_and_ips():
     assert got == brute(t) and {k for k, *_ in got} == {"ip", "card", "phone"}
 
 
+def test_very_long_runs_of_zeros():
+    t = "0" * 5000 + ".1.1.1 and " + "0" * 5000 + "256.1.1.1"
+    assert pii.spans_of(t, pii.automaton()) == [("ip", 0, 5006)]
+
+
 def test_added_kinds_and_redaction():
     a = pii.automaton()
     t = 'see https://bob:pw1@ex.org/x and token = "24be64439e3e49cf", password: short, plain token words'
