@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import hilbert, html_crf, multiset, ngram_join, oracles, packing, pii, pivot_index, quality, substring, wfst
+from . import divergence, hilbert, html_crf, multiset, ngram_join, oracles, packing, pii, pivot_index, quality, substring, wfst
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_hilbert": op9_hilbert,
     "op10_pii": op10_pii,
+    "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
 
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op8_substring": oracles.SUBSTRING,
+    "op13_divergence": oracles.DIVERGENCE,
 }
