@@ -52,3 +52,57 @@ SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION B
 UNION ALL
 SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM term
 QUALIFY rank <= 200"""
+
+_BYTES = "list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)"
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+# States: e nothing kept yet, s, u, a the last role.  An edge is one row's letters.
+TURNS = f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT *, ({_CRC}) % 20 AS k FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM k, range(CASE WHEN k = 0 THEN 0 WHEN k = 3 THEN 2 ELSE 1 END) r(copy)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             left(role, 1) AS initial,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM d),
+f AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM n),
+step(s, x, t) AS (VALUES ('e', 's', 's'), ('e', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+reach(s, x, t, paid, ins) AS (SELECT s, x, t, 0, '' FROM step UNION ALL
+  SELECT p.s, q.x, q.t, 3, 'I' FROM step p JOIN step q ON p.t = q.s WHERE p.x <> 's'),
+edge AS (
+  SELECT s, '' AS x, s AS t, 4 AS paid, 'D' AS letters, '' AS put, '' AS role FROM (VALUES ('e'), ('s'), ('u'), ('a')) v(s)
+  UNION ALL SELECT s, x, t, paid, ins || 'K', CASE WHEN ins = '' THEN '' WHEN s = 'u' THEN 'assistant:' ELSE 'user:' END, '' FROM reach
+  UNION ALL SELECT s, '', t, paid + 3, ins || 'R', CASE WHEN ins = '' THEN '' WHEN s = 'u' THEN 'assistant:' ELSE 'user:' END,
+                   CASE WHEN x = 'u' THEN 'user' ELSE 'assistant' END FROM reach WHERE x <> 's'),
+best AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 'e' AS s, 0 AS cost, '' AS audit, [''] AS said FROM f
+  UNION ALL
+  SELECT conv_id, i, s, cost, audit, said FROM (
+    SELECT b.conv_id, f.i, e.t AS s, b.cost + e.paid + CASE WHEN f.fault = 'truncated' AND letters <> 'D' THEN 3 ELSE 0 END AS cost, b.audit || letters AS audit,
+           CASE WHEN letters = 'D' THEN b.said
+                ELSE list_concat(b.said, CASE WHEN put = '' THEN [] ELSE [put] END, [CASE WHEN e.role = '' THEN f.role ELSE e.role END || ':' || f.text]) END AS said,
+           row_number() OVER (PARTITION BY b.conv_id, e.t
+             ORDER BY b.cost + e.paid + CASE WHEN f.fault = 'truncated' AND letters <> 'D' THEN 3 ELSE 0 END, b.audit || letters) AS choice
+    FROM best b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1
+         JOIN edge e ON e.s = b.s AND (letters = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (e.role <> '' OR e.x = f.initial))))
+  WHERE choice = 1),
+last AS (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id),
+fin AS (
+  SELECT b.conv_id, b.cost + CASE s WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END AS total, b.audit || CASE s WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS whole,
+         list_concat(b.said, CASE s WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE [] END) AS said
+  FROM best b JOIN last l ON b.conv_id IS NOT DISTINCT FROM l.conv_id AND b.i = l.i
+  QUALIFY row_number() OVER (PARTITION BY b.conv_id ORDER BY total, whole) = 1),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(total, 0)::BIGINT AS cost,
+       coalesce(whole, '') AS audit, sha256(coalesce(array_to_string(said[2:], chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM ids.conv_id"""

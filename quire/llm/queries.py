@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import divergence, hilbert, html_crf, multiset, ngram_join, oracles, packing, pii, pivot_index, quality, substring, wfst
+from . import divergence, hilbert, html_crf, multiset, ngram_join, oracles, packing, pii, pivot_index, quality, substring, turns, wfst
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns.damaged(table(spark, sf_dir, "conversations"))
+    return turns.repair_report(rows, rows["gone"])
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_hilbert": op9_hilbert,
     "op10_pii": op10_pii,
+    "op11_turns": op11_turns,
     "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
@@ -87,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op8_substring": oracles.SUBSTRING,
+    "op11_turns": oracles.TURNS,
     "op13_divergence": oracles.DIVERGENCE,
 }
