@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import divergence, hilbert, html_crf, multiset, ngram_join, oracles, packing, pii, pivot_index, quality, substring, turns, wfst
+from . import divergence, hilbert, html_crf, multiset, ngram_join, oracles, packing, pii, pivot_index, quality, substring, toxicity, turns, wfst
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair_report(rows, rows["gone"])
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hilbert": op9_hilbert,
     "op10_pii": op10_pii,
     "op11_turns": op11_turns,
+    "op12_toxicity": op12_toxicity,
     "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
