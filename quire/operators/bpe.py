@@ -1,21 +1,7 @@
-"""Byte-level BPE: training (VOC3, VOC4, VOC5, AGG2, SRT3) and encoding (ENC3).
-
-Training state is the table of *distinct* pre-tokens with their counts, each
-word held as a delimited id string ``<12><7><33>``.  A merge of (l, r) into
-``x`` is ``replace(sym, '<l><r>', '<x>')``: a built-in, codegen-friendly
-expression with the right left-to-right, non-overlapping rule (every id
-carries its own delimiters, so matches can only start at symbol boundaries).
-
-Each round is one Spark job: apply the previous round's merges, count
-adjacent pairs (partial + final aggregation), keep the top ``top_k`` pairs
-(TakeOrderedAndProject), and bring those bounded rows to the driver.  The
-driver picks a *batch* of merges that the one-merge-at-a-time greedy would
-pick in the same order (rule in ``choose_batch``), so the result is identical
-to the sequential trainer with fewer jobs.  Lineage is cut with reliable
-checkpoints in the session's checkpoint folder.
-
-Vocabulary and merge list live on the driver; both are bounded by
-``vocab_size``.
+"""Byte-level BPE: the model, its pre-tokens and pairs (TXT1-3, AGG2), encoding and decoding (ENC3, ENC5, ENC9, ENC10).
+
+Training is in ``bpe_train``.  Vocabulary and merge list live on the driver; both are
+bounded by the vocabulary size.
 """
 
 from __future__ import annotations
@@ -77,6 +63,7 @@ class BpeModel:
     tokens: list[bytes] = field(default_factory=list)          # id -> token bytes
     merges: list[tuple[int, int, int]] = field(default_factory=list)  # (left, right, out)
     rounds: int = 0
+    counts: list[int] = field(default_factory=list)            # count of each merged pair, when it was merged
 
     def token_index(self) -> dict[bytes, int]:
         return {t: i for i, t in enumerate(self.tokens) if i >= len(self.specials)}
@@ -98,159 +85,6 @@ class BpeModel:
         return cls(specials, [t for _, t, _ in v], [(l, r, o) for _, l, r, o in m])
 
 
-def _sym_string(hex_arr, hex_to_id: dict[str, int]):
-    m = F.create_map(*[x for h, i in sorted(hex_to_id.items()) for x in (F.lit(h), F.lit(i))])
-    ids = F.transform(F.filter(hex_arr, lambda h: m[h].isNotNull()),
-                      lambda h: m[h].cast("string"))
-    return F.concat(F.lit("<"), F.array_join(ids, "><"), F.lit(">"))
-
-
-_PAIR_RE = r"(?=(<\d+><\d+>))"
-WORDS_PER_PART = 50_000
-CACHE_ROUNDS = True   # cache each round's word table (else merges chain until the checkpoint)
-
-
-class _PairExprs:
-    """Column expressions of a round, built once per training run (each PySpark
-    expression is a round trip to the JVM; the loop reuses them)."""
-
-    def __init__(self):
-        self.explode = F.explode(F.regexp_extract_all("sym", F.lit(_PAIR_RE), F.lit(1))).alias("p")
-        self.total = F.sum("count").alias("c")
-        self.left = F.regexp_extract("p", r"^<(\d+)>", 1).cast("int").alias("l")
-        self.right = F.regexp_extract("p", r"<(\d+)>$", 1).cast("int").alias("r")
-        self.order = [F.desc("c"), F.col("l"), F.col("r")]
-
-
-def _top_pairs(words: DataFrame, k: int, ex: "_PairExprs | None" = None):
-    ex = ex or _PairExprs()
-    pairs = words.select(ex.explode, "count").groupBy("p").agg(ex.total)
-    top = pairs.select(ex.left, ex.right, "c").orderBy(*ex.order).limit(k)
-    return [(r.l, r.r, r.c) for r in top.collect()]
-
-
-def choose_batch(top, complete: bool, tokens: list[bytes], index: dict[bytes, int]):
-    """Longest prefix of the ranked pairs that sequential greedy merging would also
-    take, in this order.  ``top`` is sorted by count desc, (left, right) asc.
-
-    A later pair p is taken only if
-      * every pair with count >= count(p) is in ``top`` (count(p) > the cut-off),
-      * p shares no symbol with the pairs already taken and is not a self-pair,
-      * no pair with count >= count(p) has a taken *left* symbol on its right or a
-        taken *right* symbol on its left: after merging (a, b) into x, a new pair
-        (w, x) counts at most count(w, a) and (x, y) at most count(b, y); every
-        other pair touching a or b can only lose counts,
-      * the previous merge created a new token string (a reused token would
-        raise the counts of pairs around an existing symbol).
-    """
-    if not top or top[0][2] < 1:
-        return []
-    floor = 0 if complete else top[-1][2]
-    batch = [top[0]]
-    used = {top[0][0], top[0][1]}
-    lefts, rights = {top[0][0]}, {top[0][1]}
-    made = {tokens[top[0][0]] + tokens[top[0][1]]}
-    if tokens[top[0][0]] + tokens[top[0][1]] in index:
-        return batch
-    for k in range(1, len(top)):
-        l, r, c = top[k]
-        if c <= floor or c < 1 or l == r or l in used or r in used:
-            break
-        if any(q[2] >= c and (q[1] in lefts or q[0] in rights) for q in top):
-            break
-        new = tokens[l] + tokens[r]
-        if new in index or new in made:
-            break
-        batch.append(top[k])
-        used |= {l, r}
-        lefts.add(l)
-        rights.add(r)
-        made.add(new)
-    return batch
-
-
-def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = C.BPE_VOCAB,
-              specials: list[str] = C.BPE_SPECIALS, top_k: int = 512,
-              checkpoint_every: int = 16, batched: bool = True, log=None,
-              max_merges: int | None = None) -> BpeModel:
-    """VOC3/VOC4: learn a byte-level BPE vocabulary and merge list.
-
-    Stops at ``vocab_size`` entries (reserved + alphabet + merges), when no pair
-    is left, or after ``max_merges`` merges when given."""
-    max_merges = float("inf") if max_merges is None else max_merges
-    from ..session import ensure_checkpoint_dir, scratch_path
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, "bpe-words")
-    byte_level_words(df, text_col).write.parquet(path)
-    # Each round is a small job whose shape never changes; re-planning it at run time
-    # (AQE) costs more than it saves.  The rounds get a session of their own, so the
-    # caller's settings stay as they are.
-    own = spark.newSession()
-    words = own.read.parquet(path)
-
-    alpha = sorted((r.akey, r.byte) for r in byte_alphabet(words).collect())   # <= 256 rows
-    model = BpeModel(list(specials), [s.encode("utf-8") for s in specials])
-    hex_to_id = {}
-    for _, b in alpha:
-        hex_to_id[f"{b:02X}"] = len(model.tokens)
-        model.tokens.append(bytes([b]))
-    index = model.token_index()
-
-    # Partitions follow the table of distinct words: about WORDS_PER_PART words each.
-    parts = max(1, words.count() // WORDS_PER_PART)
-    own.conf.set("spark.sql.adaptive.enabled", "false")
-    own.conf.set("spark.sql.shuffle.partitions", str(parts))
-    cur = (words.select(_sym_string(T.byte_hex_symbols(F.col("word")), hex_to_id).alias("sym"), "count")
-                .where(F.col("sym").contains("><"))
-                .repartition(parts)
-                .checkpoint(eager=True))
-    cached = []
-    try:
-        _loop(own, cur, model, index, specials, vocab_size, top_k, checkpoint_every,
-              batched, cached, log, max_merges)
-    finally:
-        for c in cached:
-            c.unpersist()
-    return model
-
-
-def _loop(spark, cur, model, index, specials, vocab_size, top_k, checkpoint_every, batched,
-          cached, log, max_merges):
-    ex = _PairExprs()
-    while len(index) + len(specials) < vocab_size and len(model.merges) < max_merges:
-        top = _top_pairs(cur, top_k, ex)
-        batch = (choose_batch(top, len(top) < top_k, model.tokens, index) if batched
-                 else top[:1] if top and top[0][2] >= 1 else [])
-        if not batch:
-            break
-        model.rounds += 1
-        sym = F.col("sym")
-        for l, r, _ in batch:
-            if len(index) + len(specials) >= vocab_size or len(model.merges) >= max_merges:
-                break
-            tok = model.tokens[l] + model.tokens[r]
-            out = index.get(tok)
-            if out is None:
-                out = len(model.tokens)
-                model.tokens.append(tok)
-                index[tok] = out
-            model.merges.append((l, r, out))
-            sym = F.replace(sym, F.lit(f"<{l}><{r}>"), F.lit(f"<{out}>"))
-        nxt = cur.select(sym.alias("sym"), "count").where(F.col("sym").contains("><"))
-        if model.rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-            for c in cached:
-                c.unpersist()
-            cached.clear()
-        elif CACHE_ROUNDS:
-            nxt = nxt.persist()
-            cached.append(nxt)
-        cur = nxt
-        if log:
-            log(model.rounds, len(model.merges), batch[0][2])
-
-
 # ---------------------------------------------------------------- encoding
 def _encode_word(word: str, byte_ids: dict[int, int], ranks: dict[tuple[int, int], tuple[int, int]]):
     """Lowest-rank pair first, leftmost first; bytes outside the alphabet are dropped.

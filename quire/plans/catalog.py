@@ -167,6 +167,7 @@ def batch_pad(spark, sf_dir):
 
 # ---------------------------------------------------------------- byte-level BPE
 from ..operators import bpe as BPE   # noqa: E402
+from ..operators import bpe_train as TRAIN   # noqa: E402
 
 BPE_QUERY_MERGES = 8
 
@@ -194,7 +195,7 @@ def bpe_pair_counts(spark, sf_dir):
 @register(f"bpe_merges_{BPE_QUERY_MERGES}")
 def bpe_merges(spark, sf_dir):
     """VOC5, SRT3: the first merges of the byte-level trainer over all documents."""
-    model = BPE.train_bpe(_docs(spark, sf_dir), max_merges=BPE_QUERY_MERGES)
+    model = TRAIN.train_bpe(_docs(spark, sf_dir), max_merges=BPE_QUERY_MERGES)
     return model.merges_df(spark)
 
 
@@ -205,10 +206,25 @@ def bpe_vocab_4096(spark, sf_dir):
     return model.vocab_df(spark).select("id", F.hex("token").alias("token_hex"), "special")
 
 
+@register("bpe_vocab_8192")
+def bpe_vocab_8192(spark, sf_dir):
+    """VOC4: the production byte-level vocabulary (8192 entries, reserved S, E and PAD)."""
+    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB, C.BPE_SPECIALS)
+    return model.vocab_df(spark).select("id", F.hex("token").alias("token_hex"), "special")
+
+
+@register("bpe_merges")
+def bpe_merge_list(spark, sf_dir):
+    """SRT3, VOC5: every merge of the 4096-entry model in order, with the count of its pair when it ranked first."""
+    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB_EXAMPLE, C.BPE_SPECIALS_EXAMPLE)
+    rows = [(k, l, r, o, n) for k, ((l, r, o), n) in enumerate(zip(model.merges, model.counts))]
+    return spark.createDataFrame(rows, "rank int, left int, right int, out int, count long")
+
+
 def _bpe_model(spark, sf_dir, size, specials):
     """A model trained on all documents once per session, saved and loaded (SNK4, SRC4)."""
     def train():
-        model = BPE.train_bpe(_docs(spark, sf_dir), vocab_size=size, specials=specials)
+        model = TRAIN.train_bpe(_docs(spark, sf_dir), vocab_size=size, specials=specials)
         return TOK.model_table(model, spark)
     return TOK.model_from_table(artefact(spark, (sf_dir, f"bpe-{size}-{len(specials)}"), train))
 
@@ -224,13 +240,31 @@ def _bpe_ids(spark, sf_dir):
 
 @register("bpe_encode")
 def bpe_encode(spark, sf_dir):
-    """ENC3, ENC5: every document encoded with the 4096-entry model, and decoded again:
-    the decoded text is the document's NFC form."""
+    """ENC3: every document encoded with the 4096-entry model: number and digest of its ids, and the
+    NFC text they decode to."""
+    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB_EXAMPLE, C.BPE_SPECIALS_EXAMPLE)
+    text = BPE.bpe_decode(_bpe_ids(spark, sf_dir), ["doc_id", "ids"], "ids", model)
+    return text.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ENC.ids_digest(F.col("ids")).alias("ids_md5"),
+                       F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("bpe_decode")
+def bpe_decode(spark, sf_dir):
+    """ENC5: the encoded documents decoded: the NFC form of each document."""
     model = _bpe_model(spark, sf_dir, C.BPE_VOCAB_EXAMPLE, C.BPE_SPECIALS_EXAMPLE)
     text = BPE.bpe_decode(_bpe_ids(spark, sf_dir), ["doc_id"], "ids", model)
     return text.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@register("segment_ids")
+def segment_ids(spark, sf_dir):
+    """ENC9, ENC10: the ids of every segment of the marked scripts, in the S ... E template."""
+    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB_EXAMPLE, C.BPE_SPECIALS_EXAMPLE)
+    enc = BPE.segment_encode(_segmented_scripts(spark, sf_dir), "conv_id", "segmented", model)
+    return enc.select("conv_id", F.col("seg_id").cast("long").alias("seg_id"), F.size("ids").cast("long").alias("n_tokens"),
+                      ENC.ids_digest(F.col("ids")).alias("ids_md5"))
+
+
 @register("segment_encode")
 def segment_encode(spark, sf_dir):
     """ENC9, ENC10: every segment of the marked scripts encoded by itself in the S ... E template."""

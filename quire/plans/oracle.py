@@ -237,7 +237,7 @@ w{i + 1} AS (SELECT replace(sym, '<' || l || '><' || r || '>', '<' || out || '>'
 ORACLES["bpe_merges_8"] = _merges_sql(8)
 
 # encoding loses nothing: decoding gives the NFC form back
-ORACLES["bpe_encode"] = """
+ORACLES["bpe_decode"] = """
 SELECT doc_id, length(nfc_normalize(text))::BIGINT AS n_chars, md5(nfc_normalize(text)) AS text_md5 FROM documents"""
 
 ORACLES["segment_encode"] = f"""WITH {SCRIPTS},

@@ -77,17 +77,18 @@ def load_bpe(spark: SparkSession, path: str) -> BpeModel:
 
 
 def model_table(model: BpeModel, spark: SparkSession) -> DataFrame:
-    """SNK4 as one table: vocabulary entries with the rank and parts of the merge that made them."""
+    """SNK4 as one table: vocabulary entries with the rank, parts and pair count of the
+    merges that made them."""
     made = {}
     for k, (l, r, o) in enumerate(model.merges):
-        made.setdefault(o, []).append((k, l, r))
+        made.setdefault(o, []).append((k, l, r, model.counts[k] if k < len(model.counts) else 0))
     rows = [(i, bytes(t), i < len(model.specials), [list(m) for m in made.get(i, [])]) for i, t in enumerate(model.tokens)]
-    return spark.createDataFrame(rows, "id int, token binary, special boolean, merges array<array<int>>")
+    return spark.createDataFrame(rows, "id int, token binary, special boolean, merges array<array<long>>")
 
 
 def model_from_table(table: DataFrame) -> BpeModel:
     """SRC4 from ``model_table`` (bounded by the vocabulary size)."""
     rows = sorted(table.collect(), key=lambda r: r.id)
-    merges = sorted((k, l, r, row.id) for row in rows for k, l, r in row.merges)
+    merges = sorted((k, l, r, row.id, n) for row in rows for k, l, r, n in row.merges)
     return BpeModel([bytes(r.token).decode("utf-8") for r in rows if r.special], [bytes(r.token) for r in rows],
-                    [(l, r, o) for _, l, r, o in merges])
+                    [(l, r, o) for _, l, r, o, _ in merges], counts=[m[4] for m in merges])

@@ -42,11 +42,11 @@ def _byte_of():
 @pytest.fixture(scope="module")
 def trained(spark, tmp_path_factory):
     from quire import config as C
-    from quire.operators import bpe as B
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
     texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
     small = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = B.train_bpe(small, vocab_size=350, specials=C.BPE_SPECIALS)
+    from quire.operators.bpe_train import train_bpe
+    model = train_bpe(small, vocab_size=350, specials=C.BPE_SPECIALS)
     lib = _library(texts, 350, C.BPE_SPECIALS, str(tmp_path_factory.mktemp("bpe")))
     return small, texts, model, lib
 
@@ -101,13 +101,93 @@ def test_saved_model_is_the_model(spark, trained):
     assert (m.specials, m.tokens, m.merges) == (model.specials, model.tokens, model.merges)
 
 
-def test_batched_equals_sequential(spark, trained):
+def _library_merges(lib):
+    j = json.loads(lib.to_str())["model"]
+    return [(j["vocab"][a], j["vocab"][b]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in j["merges"])]
+
+
+@pytest.mark.parametrize("size,specials", [(4096, 2), (8192, 3)])
+def test_full_size_models_match_library(spark, tmp_path, size, specials):
     from quire import config as C
-    from quire.operators import bpe as B
+    from quire.operators.bpe_train import train_bpe
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("text").where("length(text) < 3000").coalesce(1)
+    model = train_bpe(docs, vocab_size=size, specials=C.BPE_SPECIALS[:specials])
+    lib = _library([r.text for r in docs.collect()], size, C.BPE_SPECIALS[:specials], str(tmp_path))
+    assert _library_merges(lib) == [(l, r) for l, r, _ in model.merges]
+    assert len(model.counts) == len(model.merges) > 1000 and model.rounds < len(model.merges) / 4
+    assert model.counts == sorted(model.counts, reverse=True)
+
+
+def test_few_kept_pairs_and_small_plans_change_nothing(spark, trained, monkeypatch):
+    from quire import config as C
+    from quire.operators import bpe_train as TR
+    small, _, model, _ = trained
+    monkeypatch.setattr(TR, "PLAN", (1, 3))
+    monkeypatch.setattr(TR, "REBASE", 4)
+    monkeypatch.setattr(TR, "WORDS_PER_TASK", 300)
+    first = TR.Trainer.__post_init__
+
+    def few(self):
+        first(self)
+        self.pairs_kept = 40
+    monkeypatch.setattr(TR.Trainer, "__post_init__", few)
+    got = TR.train_bpe(small, vocab_size=200, specials=C.BPE_SPECIALS)
+    assert got.merges == model.merges[:len(got.merges)] and len(got.tokens) == 200
+
+
+def test_training_goes_on_where_it_ended(spark, trained, scratch, monkeypatch):
+    from quire import config as C
+    from quire.operators import bpe_train as TR
     small, _, model, _ = trained
-    seq = B.train_bpe(small, vocab_size=200, specials=C.BPE_SPECIALS, batched=False)
-    assert seq.merges == model.merges[:len(seq.merges)]
-    assert seq.rounds == len(seq.merges)
+    monkeypatch.setattr(TR, "REBASE", 3)
+    monkeypatch.setattr(TR, "PLAN", (4, 8))
+    ended = TR.train_bpe(small, vocab_size=350, specials=C.BPE_SPECIALS, state=f"{scratch}/bpe", stop_after=10)
+    assert 0 < len(ended.merges) < len(model.merges)
+    states = TR._states(spark, f"{scratch}/bpe")
+    os.remove(f"{states[-1].removeprefix('file:')}/model/_SUCCESS")         # ended while it was being written
+    rounds = []
+    on = TR.train_bpe(small.limit(0), vocab_size=350, specials=C.BPE_SPECIALS, state=f"{scratch}/bpe", log=lambda r, *_: rounds.append(r))
+    assert rounds[0] == 7 and (on.tokens, on.merges, on.counts) == (model.tokens, model.merges, model.counts)
+
+
+@pytest.mark.parametrize("words", [{"aaaaa": 3, "aaa": 1, "baab": 2}, {"abab": 5, "ababab": 1, "ba": 7}, {"abc": 4, "bc": 4, "ab": 1, "aabcc": 2}])
+def test_linked_merges_equal_rewritten_words(words):
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+    from quire.operators import bpe_train as TR
+    block = list(TR._first_blocks({97: 1, 98: 2, 99: 3})(iter([pa.RecordBatch.from_pydict(
+        {"word": list(words), "count": list(words.values())})])))
+    plan = [(1, 2, 4), (1, 1, 5), (4, 4, 6), (2, 3, 7), (5, 1, 8), (4, 3, 9)]
+    step = [dict() for _ in plan]
+    for r in TR._try([], plan)(iter(block)):
+        for k, code, d in zip(*(c.to_pylist() for c in r.columns)):
+            step[k][code >> 32, code & 0xFFFFFFFF] = d
+    state = [([ord(c) - 96 for c in w], n) for w, n in words.items()]
+
+    def pairs():
+        out = Counter()
+        for w, n in state:
+            for p in zip(w, w[1:]):
+                out[p] += n
+        return out
+    for k, (l, r, x) in enumerate(plan):
+        before = pairs()
+        for i, (w, n) in enumerate(state):
+            new, j = [], 0
+            while j < len(w):
+                if w[j:j + 2] == [l, r]:
+                    new.append(x)
+                    j += 2
+                else:
+                    new.append(w[j])
+                    j += 1
+            state[i] = (new, n)
+        after = pairs()
+        assert step[k] == {p: after[p] - before[p] for p in before | after if after[p] != before[p]}
+    done = [np.frombuffer(s.as_py(), "<u2").tolist() for b in TR._apply(plan)(iter(block)) for s in b.column(0)]
+    assert done == ([[x for w, _ in state if len(w) > 1 for x in (TR.SEP, *w)]] if any(len(w) > 1 for w, _ in state) else [])
 
 
 def test_segment_encode_template_and_roundtrip(spark, trained):
