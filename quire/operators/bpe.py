@@ -1,4 +1,5 @@
-"""Byte-level BPE: the model, its pre-tokens and pairs (TXT1-3, AGG2), encoding and decoding (ENC3, ENC5, ENC9, ENC10).
+"""Byte-level BPE: the model, its pre-tokens and pairs (TXT1-3, AGG2), encoding, decoding
+and spans (ENC3, ENC5, ENC8-10).
 
 Training is in ``bpe_train``.  Vocabulary and merge list live on the driver; both are
 bounded by the vocabulary size.
@@ -7,11 +8,13 @@ bounded by the vocabulary size.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -113,6 +116,17 @@ def _encode_word(word: str, byte_ids: dict[int, int], ranks: dict[tuple[int, int
     return [s for s in syms if s >= 0]
 
 
+def _pieces(text: Column, specials: list[str]) -> Column:
+    """Reserved tokens whole, byte-level pre-tokens between them, in order; they make up the text."""
+    parts = T.isolate_specials(text, specials)
+    isolated = F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials), F.array(p))
+                                     .otherwise(T.extract_all(p, T.BYTE_LEVEL_PATTERN))))
+    has_special = F.lit(False)
+    for sp in specials:
+        has_special = has_special | text.contains(sp)
+    return F.when(has_special, isolated).otherwise(T.extract_all(text, T.BYTE_LEVEL_PATTERN))
+
+
 #: Distinct words whose ids a task remembers; beyond that it starts anew.
 REMEMBERED = 500_000
 
@@ -128,13 +142,7 @@ def bpe_encode(df: DataFrame, keys: list[str], text_col: str, model: BpeModel) -
     ranks = {(l, r): (k, o) for k, (l, r, o) in reversed(list(enumerate(model.merges)))}
     shared = df.sparkSession.sparkContext.broadcast((byte_ids, ranks, {s: [i] for i, s in enumerate(specials)}))
     t = T.nfc_normalize(df.select(*keys, F.coalesce(text_col, F.lit("")).alias(text_col)), text_col)
-    parts = T.isolate_specials(F.col(text_col), specials)
-    isolated = F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials), F.array(p))
-                                     .otherwise(T.extract_all(p, T.BYTE_LEVEL_PATTERN))))
-    has_special = F.lit(False)
-    for sp in specials:
-        has_special = has_special | F.col(text_col).contains(sp)
-    pieces = F.when(has_special, isolated).otherwise(T.extract_all(F.col(text_col), T.BYTE_LEVEL_PATTERN))
+    pieces = _pieces(F.col(text_col), specials)
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -156,6 +164,86 @@ def bpe_encode(df: DataFrame, keys: list[str], text_col: str, model: BpeModel) -
     return t.select(*keys, run(pieces).alias("ids"))
 
 
+def nfc_alignment(text: str) -> list[int] | None:
+    """For each character of the NFC form, the character of ``text`` it comes from; None if the text is NFC.
+
+    Inside a run of a character and its marks the first character comes from the first one and the last
+    ones pair up: what was composed counts as its first character; what was decomposed is the last one."""
+    if unicodedata.is_normalized("NFC", text):
+        return None
+    out, at = [], 0
+    while at < len(text):
+        end, run = at + 1, text[at]
+        while end < len(text) and (unicodedata.combining(text[end]) or _joins(run, text[end])):
+            run += text[end]
+            end += 1
+        n, m = len(run), len(unicodedata.normalize("NFC", run))
+        out += [at + (min(k, n - 1) if m > n else k + n - m if k else 0) for k in range(m)]
+        at = end
+    return out
+
+
+def _joins(run: str, c: str) -> bool:
+    """A character without combining class that still composes with what is before it (Hangul)."""
+    return ord(c) > 0x2FF and unicodedata.normalize("NFC", run + c) != unicodedata.normalize("NFC", run) + unicodedata.normalize("NFC", c)
+
+
+def bpe_spans(df: DataFrame, keys: list[str], text_col: str, model: BpeModel) -> DataFrame:
+    """ENC8: the ids of ``bpe_encode`` with their places: (keys, spans array of (id, start, end)).
+
+    Places are code points of the text as it is (before NFC), end exclusive.  A token of some bytes of a
+    character has that character's place; reserved tokens have theirs.  Null text counts as empty."""
+    specials = model.specials
+    byte_ids = {t[0]: i for i, t in enumerate(model.tokens) if i >= len(specials) and len(t) == 1}
+    ranks = {(l, r): (k, o) for k, (l, r, o) in reversed(list(enumerate(model.merges)))}
+    shared = df.sparkSession.sparkContext.broadcast((byte_ids, ranks, [len(t) for t in model.tokens], {s: i for i, s in enumerate(specials)}))
+    t = T.nfc_normalize(df.select(*keys, F.coalesce(text_col, F.lit("")).alias(text_col), F.coalesce(text_col, F.lit("")).alias("_text")), text_col)
+
+    def placed(word, byte_ids, ranks, size, reserved):
+        """(ids, first bytes, ends) of a pre-token; bytes outside the alphabet have no token."""
+        data = word.encode("utf-8")
+        if word in reserved:
+            return np.array([reserved[word]]), np.array([0]), np.array([len(data)]), len(data)
+        ids = np.array(_encode_word(word, byte_ids, ranks), np.int64)
+        kept = np.array([k for k, b in enumerate(data) if b in byte_ids], np.int64)
+        end = np.cumsum([size[i] for i in ids], dtype=np.int64)
+        return ids, kept[end - [size[i] for i in ids]] if len(ids) else end, kept[end - 1] + 1 if len(ids) else end, len(data)
+
+    @F.arrow_udf("array<struct<id: int, start: int, end: int>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = shared.value
+        seen = {}
+        for texts, lists in batches:
+            found = []
+            for text, words in zip(texts.to_pylist(), lists.to_pylist()):
+                if len(seen) > REMEMBERED:
+                    seen = {}
+                parts = []
+                for w in words:
+                    x = seen.get(w)
+                    if x is None:
+                        x = seen[w] = placed(w, *model)
+                    parts.append(x)
+                if not parts:
+                    found.append(np.zeros((3, 0), np.int64))
+                    continue
+                n = np.array([len(p[0]) for p in parts])
+                base = np.repeat(np.cumsum([0, *(p[3] for p in parts[:-1])]), n)
+                ids, first, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                data = np.frombuffer("".join(words).encode("utf-8"), np.uint8)
+                char = np.cumsum((data & 0xC0) != 0x80) - 1               # character of each byte
+                first, last = char[first + base], char[end + base - 1]
+                aligned = nfc_alignment(text)
+                if aligned is not None:
+                    aligned = np.array(aligned)
+                    first, last = aligned[first], aligned[last]
+                found.append(np.array([ids, first, last + 1]))
+            flat = np.concatenate(found, axis=1).astype(np.int32) if found else np.zeros((3, 0), np.int32)
+            at = np.concatenate([[0], np.cumsum([f.shape[1] for f in found])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(c) for c in flat], ["id", "start", "end"]))
+    return t.select(*keys, run(F.col("_text"), _pieces(F.col(text_col), specials)).alias("spans"))
+
+
 def segment_encode(scripts: DataFrame, key: str, text_col: str, model: BpeModel,
                    template: bool = True) -> DataFrame:
     """ENC9 + ENC10: marked texts split at the start marker, the end marker dropped, each

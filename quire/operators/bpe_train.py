@@ -38,7 +38,7 @@ SEP = 65535                      # before each word in a block; no symbol has th
 #: Pairs whose counts the driver keeps, at most; merges planned for a round, at least and at most.
 PAIRS_KEPT, PLAN = 1 << 18, (32, 256)
 #: Rounds between written states; distinct words of a task (some milliseconds of work a round).
-REBASE, WORDS_PER_TASK = 32, 25_000
+REBASE, WORDS_PER_TASK = 32, 50_000
 _BLOCK = "symbols binary, counts binary"
 
 

@@ -622,6 +622,17 @@ def token_spans(spark, sf_dir):
                      F.md5(text).alias("spans_md5"))
 
 
+@register("bpe_spans")
+def bpe_spans(spark, sf_dir):
+    """ENC8 for the 4096-entry model: ids with their places in the text as it is, digested per document."""
+    model = _bpe_model(spark, sf_dir, C.BPE_VOCAB_EXAMPLE, C.BPE_SPECIALS_EXAMPLE)
+    sp = BPE.bpe_spans(_docs(spark, sf_dir), ["doc_id"], "text", model)
+    text = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["id"], x["start"], x["end"])), ",")
+    return sp.select("doc_id", F.size("spans").cast("long").alias("n_tokens"),
+                     F.coalesce(F.try_element_at("spans", F.lit(-1))["end"], F.lit(0)).cast("long").alias("last_end"),
+                     F.md5(text).alias("spans_md5"))
+
+
 @register("nfc_text")
 def nfc_text(spark, sf_dir):
     """TXT1: NFC of every document (JVM check first; only candidate rows carry text to Python)."""

@@ -9,6 +9,11 @@ from conftest import SF001
 tokenizers = pytest.importorskip("tokenizers")
 
 
+#: Marks to compose, reorder and decompose, Hangul parts, reserved tokens, odd white space.
+ODD = ["e\u0301x <|S|>a\u0301\u0323b<|E|> z", "\u1112\u1161\u11ab! \u212b z", "q\u0307\u0323 w \u0344x", "\u1100\u1161\u1100\u1161o\u0302\u0301 n",
+       "a\u0327\u0301\u0323z", "  e\u0301 \u0301", "x\u0000y \U0001F600 !", "", " \n\t "]
+
+
 def _library(texts, vocab_size, specials, tmp):
     from tokenizers import Tokenizer
     from tokenizers.decoders import ByteLevel as BLD
@@ -44,6 +49,7 @@ def trained(spark, tmp_path_factory):
     from quire import config as C
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
     texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    texts += [t.replace("<|S|>", "").replace("<|E|>", "") for t in ODD]     # so that the alphabet has their bytes
     small = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     from quire.operators.bpe_train import train_bpe
     model = train_bpe(small, vocab_size=350, specials=C.BPE_SPECIALS)
@@ -80,6 +86,19 @@ def test_encode_and_decode_match_library(spark, trained):
         assert dec[k] == lib.decode(got[k]), k
 
 
+def test_spans_match_library(spark, trained):
+    """Ids and places in the text before NFC, reserved tokens and cut characters included.  (Bytes that
+    the alphabet lacks have no token; the library then moves the places behind them, bpe_spans does not.)"""
+    from quire.operators import bpe as B
+    small, texts, model, lib = trained
+    rows = list(enumerate(texts + ODD)) + [(999, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in B.bpe_spans(df, ["doc_id"], "text", model).collect()}
+    for k, t in rows:
+        want = lib.encode(t or "")
+        assert got[k] == [(i, *o) for i, o in zip(want.ids, want.offsets)], (t or "")[:60]
+
+
 def test_null_text_and_long_words(spark, trained):
     import time
     from quire.operators import bpe as B
