@@ -1,10 +1,10 @@
 """Run-metric analytics (AGG5, WIN4, WIN5, PRJ5) over ``(run, ts, tie, loss)`` rows.
 
 Ordered scans per run (iteration number, best-so-far, step duration) are
-two-level: rows are cut into (run, time-chunk) pieces, a small per-chunk table
+two-level: rows are cut into (run, time) pieces, a small per-piece table
 carries counts, minima and last timestamps forward, and each piece scans only
-its own rows.  The length of a chunk follows the busiest run, so a run holding a
-third of all rows is spread over pieces of about ``PIECE_ROWS`` rows.
+its own rows.  Pieces follow the rows (``time_pieces``), so a run holding a
+third of all rows is spread over pieces of ``PIECE_ROWS`` rows at most.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import written
 
 EPOCH_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({c} AS TIMESTAMP_NTZ))"
 
@@ -21,26 +22,48 @@ def _micros(col: str):
     return F.expr(EPOCH_US.format(c=col))
 
 
-#: Rows of the busiest run in one piece, about.
+#: Rows of a piece, at most (unless they all have one timestamp).
 PIECE_ROWS = 100_000
+#: Lengths of time cells, as bits of a microsecond count: 12.7 days, 18 minutes, 1 second, 1 millisecond, 1 microsecond.
+CELL_BITS = (40, 30, 20, 10, 0)
 
 
-def piece_micros(df: DataFrame, run_col: str, ts_col: str, rows: int = PIECE_ROWS) -> int:
-    """Length of a time piece that holds about ``rows`` rows of the busiest run (one small
-    aggregate over the run and time columns)."""
+def time_pieces(df: DataFrame, run_col: str, ts_col: str, rows: int = PIECE_ROWS) -> DataFrame:
+    """Adds ``_chunk``: runs of up to ``rows`` rows are one piece; longer ones are cut into time cells, and
+    cells that hold more into the next finer cells.  So pieces follow the rows and not the clock: neither
+    runs of one event nor a burst inside a run makes others small or itself large.
+
+    One small aggregate over run and time per level that is needed; heavy runs and cells are at most one in
+    ``rows`` rows, light cells at most 1024 for each heavy one."""
     t = _micros(ts_col)
-    per = df.groupBy(run_col).agg((F.count(F.lit(1)) / (F.max(t) - F.min(t) + 1)).alias("rate"))
-    rate = per.agg(F.max("rate")).first()[0]
-    return max(1, int(rows / rate)) if rate else 1
+    found = df.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    heavy = written(found.select(run_col), "heavy-runs")
+    if heavy.isEmpty():
+        return df.withColumn("_chunk", F.lit(0).cast("long"))
+    cell = lambda bits: F.shiftright(t, bits)       # noqa: E731
+    start = lambda bits: F.shiftleft(cell(bits), bits)      # noqa: E731
+    rest = df.select(run_col, ts_col).join(heavy, run_col, "left_semi")
+    out = df.join(heavy.withColumn("_heavy", F.lit(True)), run_col, "left")
+    out = out.withColumn("_chunk", F.when(F.col("_heavy"), start(CELL_BITS[0])).otherwise(F.lit(0).cast("long"))).drop("_heavy")
+    for bits, finer in zip(CELL_BITS, CELL_BITS[1:]):
+        cells = rest.withColumn("_cell", cell(bits))
+        found = cells.groupBy(run_col, "_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+        heavy = written(found.select(run_col, "_cell"), "heavy-cells")
+        if heavy.isEmpty():
+            break
+        rest = cells.join(heavy, [run_col, "_cell"], "left_semi").drop("_cell")
+        out = out.withColumn("_cell", cell(bits)).join(heavy.withColumn("_heavy", F.lit(True)), [run_col, "_cell"], "left")
+        out = out.withColumn("_chunk", F.when(F.col("_heavy"), start(finer)).otherwise(F.col("_chunk"))).drop("_heavy", "_cell")
+    return out
 
 
 def run_scan(df: DataFrame, run_col: str, ts_col: str, tie_col: str, loss_col: str,
-             chunk_seconds: float | None = None, best_init: float = C.BEST_LOSS_INIT) -> DataFrame:
+             chunk_seconds: float | None = None, best_init: float = C.BEST_LOSS_INIT, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Adds ``iter`` (0-based), ``best_before`` (running minimum of earlier losses,
     ``best_init`` when none), ``is_best`` (strictly below it), ``save_checkpoint``
     (best and iter > 0), ``prev_ts`` and ``dt_ms`` (WIN4, WIN5)."""
-    piece = piece_micros(df, run_col, ts_col) if chunk_seconds is None else int(chunk_seconds * 1_000_000)
-    d = df.withColumn("_chunk", F.floor(_micros(ts_col) / F.lit(piece)))
+    d = (time_pieces(df, run_col, ts_col, piece_rows) if chunk_seconds is None
+         else df.withColumn("_chunk", F.floor(_micros(ts_col) / F.lit(int(chunk_seconds * 1_000_000)))))
     chunks = d.groupBy(run_col, "_chunk").agg(F.count(F.lit(1)).alias("_n"),
                                               F.min(loss_col).alias("_min"),
                                               F.max(ts_col).alias("_last"))

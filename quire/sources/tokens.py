@@ -7,8 +7,6 @@ min/max statistics on ``start`` let a reader prune row groups.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,25 +41,71 @@ def read_token_stream(spark: SparkSession, path: str, split: str | None = None)
     return df.select("split", F.col("start").alias("offset"), "ids")
 
 
-def import_uint16_bins(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
-    """SRC3 for legacy headerless little-endian uint16 ``*.bin`` files (one per split,
-    named ``<split>.bin``), as chunk rows.  Each file is one binaryFile row, so a
-    file must stay under the 2 GB row limit."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-                  .select(F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("split"), "content"))
-
-    def fn(batches):
-        for pdf in batches:
-            out = {"split": [], "start": [], "ids": []}
-            for s, b in zip(pdf["split"], pdf["content"]):
-                a = np.frombuffer(bytes(b), dtype="<u2").astype(np.int32)
-                for k in range(0, len(a), chunk):
-                    out["split"].append(s)
-                    out["start"].append(k)
-                    out["ids"].append(a[k:k + chunk].tolist())
-            yield pd.DataFrame(out)
-
-    return files.mapInPandas(fn, "split string, start long, ids array<int>")
+#: Bytes of a legacy file that one task reads, about; bytes read at once.
+TASK_BYTES, READ_BYTES = 64 << 20, 4 << 20
+
+
+def _uint16_source():
+    """A Python data source for headerless files of 16-bit ids: byte ranges of the files are the tasks.
+
+    Defined in a function, so that it travels to the workers by value."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    def opened(path: str):
+        import re
+
+        from pyarrow import fs
+        return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path) if "://" in path or path.startswith("file:") else "file://" + path)
+
+    class Uint16Reader(DataSourceReader):
+        def __init__(self, options):
+            self.path, self.chunk, self.task = options["path"], int(options["chunk"]), int(options["task"])
+
+        def partitions(self):
+            from pyarrow import fs
+            system, root = opened(self.path)
+            files = [f for f in system.get_file_info(fs.FileSelector(root)) if f.is_file and f.path.endswith(".bin")]
+            odd = [f.path for f in files if f.size % 2]
+            if odd:
+                raise ValueError(f"not a whole number of 16-bit ids: {odd[0]}")
+            step = max(1, self.task // (2 * self.chunk)) * 2 * self.chunk       # whole chunks
+            return [InputPartition((f.path, at, min(step, f.size - at))) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, step)]
+
+        def read(self, partition):
+            import numpy as np
+            import pyarrow as pa
+            path, at, length = partition.value
+            split, end = path.rsplit("/", 1)[-1][:-4], at + length
+            most = max(1, READ_BYTES // (2 * self.chunk)) * 2 * self.chunk
+            with opened(self.path)[0].open_input_file(path) as f:
+                f.seek(at)
+                while at < end:
+                    ids = np.frombuffer(f.read(min(most, end - at)), "<u2").astype(np.int32)
+                    first = np.append(np.arange(0, len(ids), self.chunk), len(ids))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([split] * (len(first) - 1)), pa.array(at // 2 + first[:-1]), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))],
+                        ["split", "start", "ids"])
+                    at += 2 * len(ids)
+
+    class Uint16Source(DataSource):
+        @classmethod
+        def name(cls):
+            return "uint16_tokens"
+
+        def schema(self):
+            return "split string, start long, ids array<int>"
+
+        def reader(self, schema):
+            return Uint16Reader(self.options)
+    return Uint16Source
+
+
+def import_uint16_bins(spark: SparkSession, path: str, chunk: int = CHUNK, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """SRC3 for legacy headerless little-endian uint16 ``*.bin`` files (one per split, named
+    ``<split>.bin``), as chunk rows (split, start, ids).  Files of any size are read in ranges of whole chunks, one
+    per task; an empty file has no rows."""
+    spark.dataSource.register(_uint16_source())
+    return spark.read.format("uint16_tokens").option("chunk", chunk).option("task", task_bytes).load(path)
 
 
 def save_bpe(model: BpeModel, spark: SparkSession, path: str) -> None:

@@ -75,6 +75,31 @@ def test_token_stream_roundtrip_and_legacy_bins(spark, scratch):
     assert sorted((r.start, list(r.ids)) for r in imp) == [(0, [5, 6, 65535]), (3, [2])]
 
 
+def test_legacy_files_are_read_in_ranges(spark, scratch):
+    import numpy as np
+    import pytest
+    from quire.sources import tokens as TK
+    bins = os.path.join(scratch, "bins")
+    os.makedirs(bins)
+    ids = {s: np.random.default_rng(k).integers(0, 65536, n).astype("<u2") for k, (s, n) in enumerate([("train", 100_003), ("val", 64), ("test", 0)])}
+    for s, a in ids.items():
+        a.tofile(os.path.join(bins, f"{s}.bin"))
+    df = TK.import_uint16_bins(spark, bins, chunk=32, task_bytes=10_000)
+    assert df.rdd.getNumPartitions() >= 20
+    rows = sorted((r.split, r.start, list(r.ids)) for r in df.collect())
+    for s, a in ids.items():
+        mine = [(start, x) for t, start, x in rows if t == s]
+        assert [start for start, _ in mine] == list(range(0, len(a), 32)) and [i for _, x in mine for i in x] == a.tolist()
+    large = os.path.join(scratch, "large")
+    os.makedirs(large)
+    with open(os.path.join(large, "train.bin"), "wb") as f:
+        f.truncate(3 << 30)                                   # sparse: 3 GB
+    assert TK.import_uint16_bins(spark, large).rdd.getNumPartitions() == 48
+    open(os.path.join(bins, "odd.bin"), "wb").write(b"abc")
+    with pytest.raises(Exception, match="16-bit"):
+        TK.import_uint16_bins(spark, bins).count()
+
+
 def test_bpe_tables_roundtrip(spark, scratch):
     from quire.operators.bpe import BpeModel
     from quire.sources import tokens as TK
@@ -226,12 +251,25 @@ def test_chunked_run_scan_equals_plain_window(spark):
     assert a == b
 
 
-def test_pieces_follow_the_busiest_run(spark):
+def test_pieces_follow_the_rows(spark):
+    """One-event runs, a long even run and a burst inside a run: no piece above the limit, few pieces, same scan."""
     import datetime as dt
+    import random
+    from pyspark.sql import Window, functions as F
     from quire.operators import runs as R
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(1, t0 + dt.timedelta(seconds=i)) for i in range(1000)] + [(2, t0 + dt.timedelta(hours=i)) for i in range(5)]
-    df = spark.createDataFrame(rows, "run long, ts timestamp_ntz")
-    assert abs(R.piece_micros(df, "run", "ts", rows=100) - 100_000_000) < 1_000_000
-    assert R.piece_micros(df.where("false"), "run", "ts") == 1
-    assert R.piece_micros(df.where("run = 2").limit(1), "run", "ts", rows=10) == 10
+    rnd, t0 = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [(r, t0 + dt.timedelta(days=r)) for r in range(500)]                                     # one event each
+    rows += [(1000, t0 + dt.timedelta(hours=k)) for k in range(900)]                                 # 37 days, evenly
+    rows += [(1001, t0 + dt.timedelta(days=k)) for k in range(30)]
+    rows += [(1001, t0 + dt.timedelta(days=3, microseconds=rnd.randrange(200_000))) for _ in range(1500)]   # a burst
+    rows += [(1002, t0 - dt.timedelta(days=20_000, seconds=k)) for k in range(40)]                   # before 1970
+    data = [(r, k, t, float(rnd.randrange(50))) for k, (r, t) in enumerate(rows)]
+    df = spark.createDataFrame(data, "run long, k long, ts timestamp_ntz, loss double").repartition(4)
+    sizes = R.time_pieces(df, "run", "ts", 50).groupBy("run", "_chunk").count().collect()
+    assert sum(r["count"] for r in sizes) == len(rows) and max(r["count"] for r in sizes) <= 100
+    assert sum(r["run"] < 1000 for r in sizes) == 500 and sum(r["run"] == 1002 for r in sizes) == 1
+    got = R.run_scan(df, "run", "ts", "k", "loss", piece_rows=50)
+    w = Window.partitionBy("run").orderBy("ts", "k")
+    ref = (df.withColumn("iter", F.row_number().over(w) - 1).withColumn("prev", F.lag("ts").over(w))
+             .withColumn("bb", F.coalesce(F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1e9))))
+    assert {r.k: (r.iter, r.best_before, r.prev_ts) for r in got.collect()} == {r.k: (r.iter, r.bb, r.prev) for r in ref.collect()}
