@@ -8,19 +8,24 @@ from itertools import repeat
 import numpy as np
 
 
+#: What a remembered word takes besides its letters and ids: string and dictionary entry.
+WORD_BYTES = 150
+
+
 class WordMemory:
     """Encodes lists of words, each distinct word once while it is remembered.
 
     ``encode`` turns a list of new words into (all ids, ids per word).  Beyond
-    ``most`` words the memory starts anew, so its size is bounded.
+    ``most`` bytes, about, the memory starts anew, so its size is bounded; ``forget`` frees it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 160 << 20):
         self.encode, self.most = encode, most
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self):
         self.number: dict[str, int] = {}
+        self.bytes = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)        # word k has ids flat[at[k]:at[k + 1]]
         self.used = 0
@@ -38,6 +43,7 @@ class WordMemory:
             self.at[n + 1:n + 1 + len(part)] = self.used + np.cumsum(sizes)
             self.used += len(ids)
             self.number.update(zip(part, range(n, n + len(part))))
+            self.bytes += sum(map(len, part)) + 4 * len(ids) + WORD_BYTES * len(part)
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, running ends per word with a leading 0)."""
@@ -45,8 +51,8 @@ class WordMemory:
         miss = np.flatnonzero(numbers < 0)
         if len(miss):
             new = list(dict.fromkeys(words[i] for i in miss))
-            if self.number and len(self.number) + len(new) > self.most:
-                self._forget()
+            if self.number and self.bytes + WORD_BYTES * len(new) > self.most:
+                self.forget()
                 new, miss = list(dict.fromkeys(words)), range(len(words))
             self._learn(new)
             for i in miss:

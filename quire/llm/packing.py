@@ -39,6 +39,8 @@ SIZE = 2048
 END_ID = 0
 UNITS = 128
 PARTS = 4
+#: Bytes of words that a task remembers, about.
+REMEMBERED_BYTES = 48 << 20
 
 # ---- encoding ------------------------------------------------------------------------------
 
@@ -61,7 +63,7 @@ class WordEncoder:
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex("\n"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.memory = WordMemory(self._encode_words)
+        self.memory = WordMemory(self._encode_words, REMEMBERED_BYTES)
 
     def _encode_words(self, words: list[str]):
         enc = self.words.encode("\n".join(words), add_special_tokens=False)
@@ -124,6 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_ids: boo
                 if keep_ids:
                     out["ids"] = pa.array(kept, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
+        enc.memory.forget()         # workers are used again by other stages
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
     return docs.select("doc_id", "text").mapInArrow(build, schema)
 
