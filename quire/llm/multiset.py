@@ -100,7 +100,7 @@ def as_text(digest: Column, lanes: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Cosine of two lane vectors, clipped to 0..1; 1 for two all-zero vectors, 0 if only one is."""
     def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, v: s + v)
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     aa, bb = dot(a, a), dot(b, b)
     return F.when((aa == 0) & (bb == 0), F.lit(1.0)).when((aa == 0) | (bb == 0), F.lit(0.0)).otherwise(
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / F.sqrt(aa * bb))))

@@ -46,3 +46,10 @@ def test_null_empty_equal_long_and_repeated_rows(spark):
     one = run(spark, ["abcd efgh"], [7])[0]
     assert one["edited_sha256"] == hashlib.sha256(b"abcd efab").hexdigest() and one["near_next"] == 1
     assert run(spark, []) == []
+
+
+def test_likeness_of_a_long_repetitive_text(spark):
+    """More than 46,341 equal word pairs in one lane: the products need more than 32 bits."""
+    docs = spark.createDataFrame([(1, "a " * 90_000), (2, "a " * 90_000), (3, "b c d")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in multiset.fingerprint_documents(docs).collect()}
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] and got[1]["near_next"] == 1.0 and got[2]["near_next"] < 0.2
