@@ -26,7 +26,8 @@ import html
 import random
 import re
 import zlib
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -51,26 +52,61 @@ CLOSES_P = frozenset(("address article aside blockquote center details div dl fi
 CUES = ("cookie", "subscribe", "newsletter", "comment", "reply", "share", "copyright", "advert", "sponsor", "log in", "sign",
         "related", "privacy", "terms", "all rights", "read more", "menu", "search", "follow", "posted", "©")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
+# A quote opens a value only behind an equals sign; elsewhere it is a character like any other.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+                    r"((?:[^>=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=\s*+[^\s\"'>][^\s>]*+|=)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class _Open:
+    """An open element.  What blocks ask of the elements above them is kept here, shared with
+    the element above where nothing new comes, so a block costs the same at any depth."""
+    __slots__ = ("tag", "up", "mark", "in_link", "base", "inside", "names", "pair", "depth")
+
+    def __init__(self, tag: str, up: "_Open | None", at: int, names: tuple[str, ...] = (), mark: int = 0, in_link: int = 0):
+        self.tag, self.up = tag, up
+        self.mark, self.in_link = mark, in_link         # blocks and link state before a skipped element
+        if up is None:
+            self.base, self.inside, self.names, self.pair, self.depth = -1, frozenset(), frozenset(), (), 0
+            return
+        #: Distinct block-level tags and class, id and role words from the root to here.
+        self.inside, self.names = up.inside, up.names
+        if tag in INLINE:
+            #: Place on the stack of the innermost element that is not inline.
+            self.base, self.pair, self.depth = up.base, up.pair, up.depth
+        else:
+            self.base, self.pair, self.depth = at, (*up.pair[-1:], tag), up.depth + 1
+            if tag not in self.inside:
+                self.inside |= {tag}
+        if names and not self.names.issuperset(names):
+            self.names = self.names.union(names)
+
+
+_ROOT = _Open("", None, -1)
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]           # block-level ancestors, outermost first
-    names: frozenset[str]           # class, id and role words of the ancestors
+    place: _Open                    # the innermost open element
     linked: int                     # characters inside links
 
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """Block-level ancestors, outermost first."""
+        out, o = [], self.place
+        while o is not _ROOT:
+            if o.tag not in INLINE:
+                out.append(o.tag)
+            o = o.up
+        return tuple(out[::-1])
 
-@dataclass
-class _Open:
-    tag: str
-    names: tuple[str, ...] = field(default=())
-    mark: int = 0                   # blocks before a skipped element
-    in_link: int = 0
+    @property
+    def names(self) -> frozenset[str]:
+        """Class, id and role words of the ancestors."""
+        return self.place.names
 
 
 def _closing(page: str, tag: str, at: int) -> re.Match | None:
@@ -105,6 +141,7 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
     stack: list[_Open] = []
+    count: Counter[str] = Counter()              # open elements by tag
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -114,8 +151,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                up = [o for o in stack if o.tag not in INLINE]
-                out.append(Block(text, tuple(o.tag for o in up), frozenset(n for o in stack for n in o.names), min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else _ROOT, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -127,6 +163,14 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
+    def enter(tag: str, *about):
+        stack.append(_Open(tag, stack[-1] if stack else _ROOT, len(stack), *about))
+        count[tag] += 1
+
+    def leave(to: int):
+        count.subtract(o.tag for o in stack[to:])
+        del stack[to:]
+
     at = 0
     while True:
         m = _TOKEN.search(page, at)
@@ -142,13 +186,14 @@ def blocks(page: str) -> list[Block]:
                 in_link = 0
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    if tag in SKIPPED:
-                        del out[stack[i].mark:]
-                        in_link = stack[i].in_link
-                    del stack[i:]
-                    break
+            if count[tag] > 0:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                if tag in SKIPPED:
+                    del out[stack[i].mark:]
+                    in_link = stack[i].in_link
+                leave(i)
             continue
         if tag == "head" or tag in RAW or tag in SKIPPED:
             flush()
@@ -160,7 +205,7 @@ def blocks(page: str) -> list[Block]:
                 end = _closing(page, tag, at)
                 at = end.end() if end else len(page)
             else:
-                stack.append(_Open(tag, (), len(out), in_link))
+                enter(tag, (), len(out), in_link)
             continue
         if tag == "br" or tag in ("img", "wbr"):
             parts.append(" " if tag == "br" else "")
@@ -168,21 +213,18 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
             if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        in_link = 0
-                    elif stack[i].tag in INLINE:
-                        continue
-                    break
+                base = (stack[-1] if stack else _ROOT).base
+                if base >= 0 and stack[base].tag == "p":
+                    leave(base)
+                    in_link = 0
             elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1].tag == tag:
-                stack.pop()
+                leave(len(stack) - 1)
         if tag in VOID:
             continue
         if tag == "a":
             in_link = 1
         names = tuple(n for a in _ATTR.finditer(m[3]) for n in _NAME.findall((a[2] or a[3] or a[4] or "").lower())) if m[3] else ()
-        stack.append(_Open(tag, names))
+        enter(tag, names)
     flush()
     return out
 
@@ -197,11 +239,11 @@ def _slot(name: str) -> int:
 
 
 @lru_cache(maxsize=200_000)
-def _ancestor_slots(tags: tuple[str, ...], names: frozenset[str]) -> tuple[int, ...]:
-    f = {f"in {t}" for t in tags} | {f"named {n}" for n in names}
-    f.add(f"leaf {tags[-1] if tags else '-'}")
-    f.add(f"pair {' '.join(tags[-2:])}")
-    f.add(f"depth {min(len(tags), 8)}")
+def _ancestor_slots(inside: frozenset[str], names: frozenset[str], pair: tuple[str, ...], depth: int) -> tuple[int, ...]:
+    f = {f"in {t}" for t in inside} | {f"named {n}" for n in names}
+    f.add(f"leaf {pair[-1] if pair else '-'}")
+    f.add(f"pair {' '.join(pair)}")
+    f.add(f"depth {depth}")
     return tuple(sorted({_slot(x) for x in f}))
 
 
@@ -209,14 +251,14 @@ def features(page: list[Block]) -> list[tuple[int, ...]]:
     """Feature slots of every block of a page."""
     out = []
     for i, b in enumerate(page):
-        t = b.text
+        t, o = b.text, b.place
         low = t.lower()
         n = len(t)
         f = [f"size {min(9, n.bit_length())}", f"links {round(4 * b.linked / n)}",
              f"ends {'.' if t[-1] in '.!?:;…\"' else 'x'}", f"stops {min(4, t.count('. '))}", f"commas {min(3, t.count(','))}",
              f"first {min(i, 3)}", f"last {min(len(page) - 1 - i, 3)}", "any"]
         f += [f"cue {c} {n < 120}" for c in CUES if c in low]
-        out.append(tuple(dict.fromkeys(_ancestor_slots(b.tags, b.names) + tuple(map(_slot, f)))))
+        out.append(tuple(dict.fromkeys(_ancestor_slots(o.inside, o.names, o.pair, min(o.depth, 8)) + tuple(map(_slot, f)))))
     return out
 
 

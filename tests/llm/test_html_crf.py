@@ -1,5 +1,6 @@
 import itertools
 import re
+import time
 
 import numpy as np
 
@@ -27,6 +28,26 @@ def test_elements_without_end_tag_lose_no_text():
     assert texts("<svg><a href=q></svg><p>one") == ["one"] and X.blocks("<svg><a href=q></svg><p>one")[0].linked == 0
 
 
+def test_quotes_open_values_only_behind_an_equals_sign():
+    texts = lambda page: [b.text for b in X.blocks(page)]
+    assert texts("<p title=it's>one</p><p>isn't two</p><p>three</p>") == ["one", "isn't two", "three"]
+    assert texts("<p it's>one</p><p \"x>two</p><p a=b\"c>three</p>") == ["one", "two", "three"]
+    assert texts("<p a = '>'>one<p a=\"x > y\" b='\"'>two<p a==\"q>three") == ["one", "two", "three"]
+    assert X.blocks("<p title=it's class=ad>one</p>")[0].names == {"ad"}
+
+
+def test_time_follows_the_page():
+    n = 100_000
+    pages = ["<div class=x>word " * n, "<b>" * n + "<div>a</div>" * n, "<div>" * n + "</section>" * n + "x",
+             "<p><table>" + "<i>" * n + "<ul>a</ul>" * n, "<p a='" * n, "<span>" * n + "<p>a" * n]
+    start = time.process_time()
+    got = [X.blocks(p) for p in pages]
+    assert time.process_time() - start < 5 * len(pages)          # the quadratic reading took minutes
+    assert [len(b) for b in got][:3] == [n, n, 1] and got[0][0].tags == ("div",) and len(got[0][-1].tags) == n
+    start = time.process_time()
+    assert len(X.features(got[0])) == n and time.process_time() - start < 3
+
+
 def test_cues_are_read_in_the_whole_block():
     long = "word " * 200
     with_cue, without = (X.features(X.blocks(f"<p>{long}{t}"))[0] for t in ("\u00a9 2020", "x 2020"))

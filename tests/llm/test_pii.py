@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,16 @@ def test_very_long_runs_of_zeros():
     assert pii.spans_of(t, pii.automaton()) == [("ip", 0, 5006)]
 
 
+def test_time_follows_the_text():
+    a = pii.automaton()
+    n = 1_000_000
+    long = ["7" * n, "7" * n + ".1.1.1", "1.1.1 " * (n // 6), "1.2." * (n // 4), "1 1-" * (n // 4), "+1" * (n // 2), "a@" * (n // 2)]
+    start = time.process_time()
+    found = [[k for k, *_ in pii.spans_of(t, a)] for t in long]
+    assert time.process_time() - start < 2 * len(long)
+    assert found[:3] == [[], [], []] and found[3] == ["ip"] * (n // 8) and found[6] == []
+
+
 def test_added_kinds_and_redaction():
     a = pii.automaton()
     t = 'see https://bob:pw1@ex.org/x and token = "24be64439e3e49cf", password: short, plain token words'
