@@ -1,9 +1,14 @@
 """Vectorised word hashing over Arrow string batches.
 
 Words and shingles are hashed straight from the UTF-8 buffer of an Arrow
-column: no Python string is made per word.  A word's hash is a polynomial over
-per-byte random values, cut out of one running sum, then mixed; it depends on
-the word's bytes alone, so it is the same in every task and on every retry.
+column: no Python string is made per word.  A word's hash depends on the word's bytes
+alone, so it is the same in every task and on every retry.  There are two:
+
+* ``word_keys``, by which words are told apart: the sum, over the bytes, of a mixed
+  value of the byte and its place in the word (a random number for each pair of the
+  two).  Two different words have equal keys with a chance of 2**-64, however they are built.
+* ``words``, cheaper, for the buckets of a model's vector table: a polynomial over
+  per-byte random values, which some long alternating words share.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ CHUNK_BYTES = 2 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)      # odd multiplier of the byte polynomial
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STEP = np.uint64(0xE7037ED1A0B428DB)   # odd; multiples of it number the places in a word
+_PLACE = np.uint64(0x8EBC6AF09C88C6E3)  # odd multiplier that mixes byte and place
 _Q = np.uint64(0xD6E8FEB86659FD93)      # odd multiplier of the word polynomial
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -82,8 +89,32 @@ def buffers(col: pa.Array):
     return data, off - off[0]
 
 
+def _spans(data: np.ndarray, off: np.ndarray, classes: np.ndarray):
+    """(byte starts, byte ends) of the maximal runs of bytes of one non-zero class inside one row."""
+    n = len(data)
+    c = classes[data]
+    edge = np.empty(n + 1, bool)
+    edge[0] = edge[n] = True
+    np.not_equal(c[1:], c[:-1], out=edge[1:n])
+    edge[off] = True
+    inside = c != 0
+    return np.flatnonzero(inside & edge[:n]), np.flatnonzero(inside & edge[1:]) + 1
+
+
+def _running(v: np.ndarray) -> np.ndarray:
+    out = np.empty(len(v) + 1, np.uint64)
+    out[0] = 0
+    np.cumsum(v, out=out[1:])
+    return out
+
+
+def _no_words(off: np.ndarray):
+    z = np.zeros(0, np.int64)
+    return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), z, z
+
+
 def words(col: pa.Array, classes: np.ndarray = SPACED, fold: bool = False):
-    """Hash the words of a chunk.
+    """Hash the words of a chunk into buckets.
 
     Returns (hashes, row bounds into them, byte starts, byte ends): row ``r``
     owns the words ``bounds[r]:bounds[r + 1]``.  A word is a maximal run of
@@ -92,22 +123,30 @@ def words(col: pa.Array, classes: np.ndarray = SPACED, fold: bool = False):
     data, off = buffers(col)
     n = len(data)
     if not n:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), z, z
-    c = classes[data]
-    edge = np.empty(n + 1, bool)
-    edge[0] = edge[n] = True
-    np.not_equal(c[1:], c[:-1], out=edge[1:n])
-    edge[off] = True
-    inside = c != 0
-    s = np.flatnonzero(inside & edge[:n])
-    e = np.flatnonzero(inside & edge[1:]) + 1
+        return _no_words(off)
+    s, e = _spans(data, off, classes)
     up, down = _power_tables(n + 1)
-    run = np.empty(n + 1, np.uint64)
-    run[0] = 0
-    np.cumsum((_FOLD if fold else _BYTE)[data] * up[:n], out=run[1:])
-    h = mix((run[e] - run[s]) * down[s])
-    return h, np.searchsorted(s, off), s, e
+    run = _running((_FOLD if fold else _BYTE)[data] * up[:n])
+    return mix((run[e] - run[s]) * down[s]), np.searchsorted(s, off), s, e
+
+
+def word_keys(col: pa.Array, fold: bool = False):
+    """As ``words`` over runs without white space, with hashes that tell words apart."""
+    data, off = buffers(col)
+    n = len(data)
+    if not n:
+        return _no_words(off)
+    s, e = _spans(data, off, SPACED)
+    place = np.zeros(n, np.int64)                # of each byte in its word, from 1
+    place[s] = np.diff(s, prepend=0)
+    place = np.arange(1, n + 1) - np.cumsum(place, out=place)
+    v = mix(place.view(np.uint64) * _STEP)
+    v ^= (_FOLD if fold else _BYTE)[data]
+    v ^= v >> np.uint64(32)
+    v *= _PLACE
+    v ^= v >> np.uint64(29)
+    run = _running(v)
+    return mix(run[e] - run[s]), np.searchsorted(s, off), s, e
 
 
 def row_of(bounds: np.ndarray) -> np.ndarray:

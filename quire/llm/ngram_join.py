@@ -16,7 +16,8 @@ is 0.8 or more.  Documents with equal sets are one representative from the start
 4. **Search.**  A block is a set of documents indexed by their shingles; a query
    is a T-occurrence search in it (DivideSkip): the short lists are merged by a
    heap, survivors are probed by binary search in the long ones, and documents
-   that reach the overlap which 0.8 asks for are linked, exactly.
+   that reach the overlap which 0.8 asks for are linked.  Overlaps are exact but for
+   shingles being compared by 64-bit hashes (equal for two different ones with a chance of 2**-64).
    Round one searches every list's smallest document among the list's others.
    Round two takes the lists whose documents are not all connected yet and
    searches those outside the first component among all the others.  Pairs that
@@ -61,7 +62,7 @@ BLOCK_TOKENS = 1 << 18
 
 def _sets(col: pa.Array, k: int, classes: np.ndarray | None = None):
     """Distinct shingles of a chunk's rows: (hashes, row bounds), each row in (class, hash) order."""
-    h, bounds, _, _ = H.words(col, fold=True)
+    h, bounds, _, _ = H.word_keys(col, fold=True)
     s, _, row = H.shingles(h, bounds, k)
     size = np.diff(bounds)
     few = np.flatnonzero((size > 0) & (size < k))

@@ -14,7 +14,8 @@ A window is ``window`` consecutive words of one document.  Three steps:
    hashes (adaptive skew join), so a passage in a third of all documents is fine.
 3. **Removal.**  Marked positions are gathered per document and its words taken out.
 
-No window is lost: the sketch never under-estimates, whatever its size; a sketch
+Windows are compared by 64-bit hashes, equal for two different ones with a chance of
+2**-64.  No window is lost: the sketch never under-estimates, whatever its size; a sketch
 that is small for the corpus only lets more windows through to step 2.
 
 Defined cases: null text counts as empty; documents under ``window`` words lose
@@ -47,7 +48,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def _windows(col: pa.Array, window: int):
     """(hash, anchor, first word, row) of every window of a chunk."""
-    h, bounds, _, _ = H.words(col)
+    h, bounds, _, _ = H.word_keys(col)
     w, at, row = H.shingles(h, bounds, window)
     if not len(w):
         return w, w, at, row

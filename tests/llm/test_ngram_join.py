@@ -104,3 +104,11 @@ def test_components_give_one_row_per_node(spark):
     tree = [(1000 + rnd.randrange(i), 1000 + i) for i in range(1, 400)]     # copies of copies
     rows = C.components(spark.createDataFrame(chain + tree, "a long, b long")).collect()
     assert sorted(map(tuple, rows)) == [(i, 1) for i in range(2, 11)] + [(i, 1000) for i in range(1001, 1400)]
+
+
+def test_long_alternating_words_are_told_apart(spark):
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, f"x {one} x y z"), (4, f"x {other} x y z"), (5, other)]
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == brute(rows)

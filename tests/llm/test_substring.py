@@ -84,3 +84,11 @@ def test_removed_text_keeps_its_layout(spark):
                                "doc_id long, text string, starts string")
     got = {r["doc_id"]: (r["text"], r["starts"]) for r in substring.remove_repeats(df).collect()}
     assert got == {1: (f"a\n{p}\nb", "s"), 2: ("  c  d\ne\n f", "s"), 3: (None, "s")}
+
+
+def test_long_alternating_words_are_told_apart(spark):
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([one] * 13)), (2, " ".join([other] * 13)), (3, f"c {' '.join([one] * 13)} d")]
+    got = substring.removal_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == brute(rows, 13)
