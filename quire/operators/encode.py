@@ -16,10 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from .. import config as C
 from ..functions import text as T
 from . import vocab as V
+from .blocks import look_up, with_offsets
 
 
 def has_special(text: Column, specials: list[str]) -> Column:
@@ -38,27 +40,27 @@ def _pieces(text: Column, specials: list[str], pretok) -> Column:
     return F.when(has_special(text, specials), isolated).otherwise(pretok(text))
 
 
-#: Entries of a vocabulary that an in-place lookup carries to the tasks, at most.
+#: Entries of a vocabulary that an in-place lookup carries to the tasks, at most; larger ones are joined.
 MAX_LOOKUP = 2_000_000
 
 
-def vocab_rows(vocab: DataFrame) -> list:
-    """The rows (id, token, special) of a vocabulary on the driver, its size checked."""
+def vocab_rows(vocab: DataFrame) -> list | None:
+    """The rows (id, token, special) of a vocabulary on the driver, or None if there are more than ``MAX_LOOKUP``."""
     rows = vocab.select("id", "token", "special").limit(MAX_LOOKUP + 1).collect()
-    if len(rows) > MAX_LOOKUP:
-        raise ValueError(f"a vocabulary of more than {MAX_LOOKUP} entries needs a join, not an in-place lookup")
-    return rows
+    return rows if len(rows) <= MAX_LOOKUP else None
 
 
-def _with_offsets(lists: pa.Array, values: pa.Array) -> pa.Array:
-    """``values`` cut into lists as long as those of ``lists``."""
-    n = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-    return pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), values)
+def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids", unk_id: int = C.UNK_ID) -> DataFrame:
+    """JN2: ``out``, the ids of an array of tokens, misses as UNK.
 
-
-def lookup_ids(tokens: Column, vocab: DataFrame, unk_id: int = C.UNK_ID) -> Column:
-    """JN2: an array of tokens as an array of ids, misses as UNK.  In place: nothing is exploded or shuffled."""
+    Up to ``MAX_LOOKUP`` entries in place: nothing is exploded or shuffled.  A larger
+    vocabulary is joined with the distinct tokens of each block of rows."""
     rows = vocab_rows(vocab)
+    if rows is None:
+        known = vocab.select(F.col("token").alias("_element"), F.col("id").cast("int").alias("_value"))
+        found = look_up(df, tokens_col, lambda asked: asked.join(known, "_element"), "_ids", IntegerType())
+        return (found.withColumn(out, F.transform("_ids", lambda i: F.coalesce(i, F.lit(unk_id))))
+                     .select(*df.columns, out))
     shared = vocab.sparkSession.sparkContext.broadcast((pa.array([r.token for r in rows], pa.string()),
                                                         pa.array([r.id for r in rows], pa.int32())))
 
@@ -66,15 +68,15 @@ def lookup_ids(tokens: Column, vocab: DataFrame, unk_id: int = C.UNK_ID) -> Colu
     def run(lists: pa.Array) -> pa.Array:
         known, ids = shared.value
         at = pc.index_in(lists.flatten(), value_set=known)
-        return _with_offsets(lists, pc.fill_null(ids.take(at), unk_id))
-    return run(tokens)
+        return with_offsets(lists, pc.fill_null(ids.take(at), unk_id))
+    return df.withColumn(out, run(F.col(tokens_col)))
 
 
 def word_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame,
                     specials: list[str] = C.WORD_SPECIALS) -> DataFrame:
     """ENC1 + TXT7: (keys, ids), one row per input row; null text counts as empty."""
     pieces = _pieces(F.coalesce(F.col(text_col), F.lit("")), specials, V.word_pretokens)
-    return df.select(*keys, lookup_ids(pieces, vocab).alias("ids"))
+    return lookup_ids(df.select(*keys, pieces.alias("_tokens")), "_tokens", vocab).drop("_tokens")
 
 
 def ids_digest(ids: Column) -> Column:
@@ -83,15 +85,22 @@ def ids_digest(ids: Column) -> Column:
 
 def decode_joined(df: DataFrame, keys: list[str], ids_col: str, vocab: DataFrame) -> DataFrame:
     """ENC5 for word/char vocabularies: reserved tokens skipped, the rest joined by one
-    space.  One row per input row; ids outside the vocabulary are skipped."""
-    rows = [r for r in vocab_rows(vocab) if not r.special]
-    shared = df.sparkSession.sparkContext.broadcast({r.id: r.token for r in rows})
-
-    @F.arrow_udf("string")
+    space.  One row per input row; ids outside the vocabulary are skipped.  Beyond
+    ``MAX_LOOKUP`` entries the tokens are joined by blocks of rows."""
+    rows = vocab_rows(vocab)
+    if rows is None:
+        known = vocab.where("not special").select(F.col("id").cast("int").alias("_element"), F.col("token").alias("_value"))
+        ids = df.select(*keys, F.col(ids_col).cast("array<int>").alias("_ids"))
+        found = look_up(ids, "_ids", lambda asked: asked.join(known, "_element"), "_tokens", StringType())
+        return found.select(*keys, F.array_join("_tokens", " ").alias("text"))
+    table = pa.array([r.id for r in rows if not r.special], pa.int32()), pa.array([r.token for r in rows if not r.special], pa.string())
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("array<string>")
     def run(lists: pa.Array) -> pa.Array:
-        token = shared.value
-        return pa.array([" ".join([token[i] for i in (v.as_py() or []) if i in token]) for v in lists], pa.string())
-    return df.select(*keys, run(F.col(ids_col)).alias("text"))
+        ids, tokens = shared.value
+        return with_offsets(lists, tokens.take(pc.index_in(lists.flatten().cast(pa.int32()), value_set=ids)))
+    return df.select(*keys, F.array_join(run(F.col(ids_col)), " ").alias("text"))
 
 
 def left_pad(ids: Column, length: int, pad_id: int = C.PAD_ID) -> Column:
@@ -148,7 +157,7 @@ def word_spans(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
         end = np.concatenate([[0], np.cumsum(whole.flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
         end = end[1:] - np.repeat(end[n[:-1]], np.diff(n))
         start = end - token.flatten().to_numpy(zero_copy_only=False)
-        return _with_offsets(whole, pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+        return with_offsets(whole, pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
     return df.select(*keys, run(whole, token).alias("spans"))
 
 
@@ -162,7 +171,7 @@ def char_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFr
     misses become UNK, reserved tokens are matched whole first.  The alphabet
     (the vocabulary's characters) travels in the closure and is bounded by the
     vocabulary.  No row explosion, no shuffle."""
-    rows = sorted((ord(r.token), r.id) for r in vocab_rows(vocab) if not r.special and len(r.token) == 1)
+    rows = sorted((ord(r.token), r.id) for r in vocab.select("id", "token", "special").where("char_length(token) = 1").collect() if not r.special and len(r.token) == 1)
     cps = np.array([c for c, _ in rows], dtype=np.uint32)
     ids = np.array([i for _, i in rows], dtype=np.int32)
     spec = {s: i for i, s in enumerate(specials)}

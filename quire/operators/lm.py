@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import config as C
 from ..functions import text as T
+from .blocks import look_up
 
 
 def bigrams(doc_ids: DataFrame, keys: list[str], ids_col: str = "ids") -> DataFrame:
@@ -54,14 +56,22 @@ def pair_loss(pairs: DataFrame, counts: DataFrame, vocab_size: int, k: float = 1
 
 def cross_entropy(doc_ids: DataFrame, keys: list[str], counts: DataFrame, vocab_size: int,
                   k: float = 1.0, ids_col: str = "ids") -> DataFrame:
-    """LM2: per document, number of bigrams and mean -ln p(nx | w); a document of fewer
-    than two ids has 0 bigrams and a null mean.  Equal pairs of a document are
-    counted before the join, so hot pairs join once per document."""
-    b = bigrams(doc_ids, keys, ids_col).groupBy(*keys, "w", "nx").agg(F.count(F.lit(1)).alias("_times"))
-    j = pair_loss(b, counts, vocab_size, k).groupBy(*keys).agg(
-        F.sum("_times").alias("n_bigrams"), (F.sum(F.col("_times") * F.col("loss")) / F.sum("_times")).alias("cross_entropy"))
-    return (doc_ids.select(*keys).join(j, keys, "left")
-                   .withColumn("n_bigrams", F.coalesce("n_bigrams", F.lit(0))))
+    """LM2: per row, number of bigrams and mean -ln p(nx | w); a row of fewer than two
+    ids has 0 bigrams and a null mean.  Pairs stay in their row: each block of rows asks
+    for the loss of its distinct pairs once (``blocks.look_up``)."""
+    n = F.size(ids_col)
+    pair = F.zip_with(F.slice(ids_col, 1, F.greatest(n - 1, F.lit(0))), F.slice(ids_col, 2, F.greatest(n - 1, F.lit(0))),
+                      lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")))
+    pairs = doc_ids.select(*keys, F.coalesce(pair, F.array().cast("array<long>")).alias("_pairs"))
+
+    def losses(asked: DataFrame) -> DataFrame:
+        asked = asked.select("_block", "_element", F.shiftright("_element", 32).cast("int").alias("w"),
+                             F.col("_element").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("nx"))
+        return pair_loss(asked, counts, vocab_size, k).withColumnRenamed("loss", "_value")
+    found = look_up(pairs, "_pairs", losses, "_losses", DoubleType())
+    size = F.size("_losses")
+    return found.select(*keys, size.cast("long").alias("n_bigrams"), F.when(size > 0, F.aggregate(
+        "_losses", F.lit(0.0), lambda acc, x: acc + x) / size).alias("cross_entropy"))
 
 
 #: Context under which the counts of all contexts are summed, for prompts never seen in training.
