@@ -7,6 +7,8 @@ with TakeOrderedAndProject and numbers only that bounded result.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +50,36 @@ def word_vocab(df: DataFrame, text_col: str = "text", limit: int = C.WORD_VOCAB_
     return specials_frame(spark, specials).unionByName(ranked)
 
 
-def char_vocab(df: DataFrame, text_col: str = "text",
-               specials: list[str] = C.CHAR_SPECIALS) -> DataFrame:
-    """VOC2: reserved tokens, then distinct characters ascending by code point (SET2)."""
+def char_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """TXT6 + AGG1: (token, count) of every character; added up in the task, which shuffles one
+    row per kind of character."""
+    def count(batches):
+        total = np.zeros(0x110000, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                text = t.as_py() or ""
+                for at in range(0, len(text), 1 << 20):
+                    kinds, n = np.unique(np.frombuffer(text[at:at + (1 << 20)].encode("utf-32-le"), np.uint32), return_counts=True)
+                    total[kinds] += n
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([chr(k) for k in seen], pa.string()), pa.array(total[seen])], ["token", "count"])
+    return df.select(text_col).mapInArrow(count, "token string, count long").groupBy("token").agg(F.sum("count").alias("count"))
+
+
+def char_vocab(df: DataFrame, text_col: str = "text", specials: list[str] = C.CHAR_SPECIALS,
+               alphabet_limit: int | None = None) -> DataFrame:
+    """VOC2: reserved tokens, then distinct characters ascending by code point (SET2).
+
+    ``alphabet_limit`` keeps the characters that occur most often, the lower code point
+    where counts are equal; characters beyond it are unknown to the encoder."""
     spark = df.sparkSession
-    # distinct within each row first: one row per character kind, not per character
-    chars = (df.select(F.explode(F.array_distinct(char_pretokens(F.col(text_col)))).alias("token"))
-               .distinct().where(~F.col("token").isin(specials)))
+    if alphabet_limit is None:
+        # distinct within each row first: one row per character kind, not per character
+        chars = (df.select(F.explode(F.array_distinct(char_pretokens(F.col(text_col)))).alias("token"))
+                   .distinct().where(~F.col("token").isin(specials)))
+    else:
+        chars = (char_counts(df, text_col).where(~F.col("token").isin(specials))
+                 .orderBy(F.desc("count"), F.asc("token")).limit(alphabet_limit).select("token"))
     w = Window.orderBy("token")   # the alphabet: a few thousand rows at most for real text
     ranked = chars.select((F.row_number().over(w) + len(specials) - 1).cast("int").alias("id"),
                           "token", F.lit(False).alias("special"))

@@ -108,6 +108,16 @@ def char_vocab(spark, sf_dir):
     return VOC.char_vocab(_docs(spark, sf_dir))
 
 
+#: Characters that ``char_vocab_limited`` keeps: below the number of kinds in the documents, so that some are unknown.
+ALPHABET_LIMIT = 40
+
+
+@register("char_vocab_limited")
+def char_vocab_limited(spark, sf_dir):
+    """VOC2 with the trainer's alphabet limit: the characters that occur most often in the documents."""
+    return VOC.char_vocab(_docs(spark, sf_dir), alphabet_limit=ALPHABET_LIMIT)
+
+
 def _digest(ids, *keys):
     return ids.select(*keys, F.size("ids").cast("long").alias("n_tokens"),
                       F.size(F.filter("ids", lambda i: i == C.UNK_ID)).cast("long").alias("n_unk"),
@@ -478,11 +488,21 @@ def projection_weights(spark, in_dim=64, out_dim=PROJ_OUT):
 @register("linear_projection")
 def linear_projection(spark, sf_dir):
     """VEC4: every vector times a 64 x 16 weight plus bias, long form."""
-    w, b = VEC.weight_matrix(*projection_weights(spark))
-    out = _emb(spark, sf_dir).select("vec_id", F.posexplode(VEC.linear(F.col("embedding"), w, b)).alias("j", "value"))
+    y = VEC.project(_emb(spark, sf_dir), "embedding", *projection_weights(spark))
+    out = y.select("vec_id", F.posexplode("projected").alias("j", "value"))
     return out.select("vec_id", F.col("j").cast("int").alias("j"), _r(F.col("value")).alias("value"))
 
 
+@register("centroid_scores")
+def centroid_scores(spark, sf_dir):
+    """AGG7 -> VEC4 by blocks: every vector times the table of the labels' mean vectors, long form."""
+    emb = _emb(spark, sf_dir)
+    weight = (VEC.elementwise_mean(emb.where("label is not null"), ["label"], "embedding")
+              .select(F.col("dim").alias("i"), F.col("label").alias("j"), F.col("mean").alias("w")))
+    y = VEC.linear_blocks(emb, "embedding", weight, out="scores").select("vec_id", F.posexplode("scores").alias("label", "score"))
+    return y.select("vec_id", F.col("label").cast("int").alias("label"), _r(F.col("score"), 6).alias("score"))
+
+
 @register("embedding_lookup")
 def embedding_lookup(spark, sf_dir):
     """PRJ6 + JN1: last event of every user (run) -> vector of the user id plus the

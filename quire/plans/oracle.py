@@ -130,6 +130,13 @@ r AS (SELECT (row_number() OVER (ORDER BY token) + 2)::INTEGER AS id, token, fal
       FROM ch WHERE token NOT IN ({WORD_SPECIALS_SQL}))
 {SPECIAL_ROWS} UNION ALL SELECT * FROM r"""
 
+ORACLES["char_vocab_limited"] = f"""
+WITH ch AS (SELECT unnest(regexp_extract_all(text, '(?s).')) AS token FROM documents),
+k AS (SELECT token FROM ch WHERE token NOT IN ({WORD_SPECIALS_SQL})
+      GROUP BY token ORDER BY count(*) DESC, token LIMIT 40),
+r AS (SELECT (row_number() OVER (ORDER BY token) + 2)::INTEGER AS id, token, false AS special FROM k)
+{SPECIAL_ROWS} UNION ALL SELECT * FROM r"""
+
 ORACLES["word_encode"] = (f"WITH {WORD_VOCAB},{encoded('documents', 'doc_id', WORD_RE2)}"
                           + DIGEST.format(keys="doc_id", src="documents"))
 
@@ -365,6 +372,15 @@ w AS (SELECT i, j, (((i * 7 + j * 13) % 17) - 8)::DOUBLE / 8.0 AS w
 SELECT vec_id, j::INTEGER AS j, round(sum(x::DOUBLE * w) + (j % 4)::DOUBLE / 4.0, 9) AS value
 FROM x JOIN w USING (i) GROUP BY vec_id, j"""
 
+ORACLES["centroid_scores"] = """
+WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+w AS (SELECT i, label, avg(x::DOUBLE) AS w FROM x WHERE label IS NOT NULL GROUP BY i, label),
+v AS (SELECT vec_id, i, x FROM x),
+every AS (SELECT unnest(range((SELECT max(label) + 1 FROM w))) AS label),
+s AS (SELECT vec_id, w.label, sum(x::DOUBLE * w) AS score FROM v JOIN w USING (i) GROUP BY vec_id, w.label)
+SELECT e.vec_id, every.label::INTEGER AS label, round(coalesce(score, 0), 6) AS score
+FROM (SELECT DISTINCT vec_id FROM x) e CROSS JOIN every LEFT JOIN s ON s.vec_id = e.vec_id AND s.label = every.label"""
+
 ORACLES["embedding_lookup"] = """
 WITH l AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) - 1 AS last_pos
            FROM events GROUP BY user_id),

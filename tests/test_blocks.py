@@ -47,3 +47,32 @@ def test_cross_entropy_equals_a_plain_loop(spark):
         want.append((k, len(loss), round(sum(loss) / len(loss), 9) if loss else None))
     got = [(r.doc_id, r.n_bigrams, r.cross_entropy and round(r.cross_entropy, 9)) for r in LM.cross_entropy(df, ["doc_id"], counts, 10).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_projection_by_blocks_equals_the_product(spark, monkeypatch):
+    """Any edge, weights left out of the table, null vectors, clashing names, repeated and no rows."""
+    import numpy as np
+    import pytest
+    from quire.operators import vectors as VEC
+    rng = np.random.default_rng(3)
+    x, w, b = rng.normal(size=(23, 11)), rng.normal(size=(11, 7)), rng.normal(size=7)
+    w[4:8, 3:6] = 0
+    rows = [(i, [float(v) for v in r], f"r{i}") for i, r in enumerate(x)] + [(0, [float(v) for v in x[0]], "r0"), (99, None, None), (None, None, "n")]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>, _w string").repartition(3)
+    weight = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(11) for j in range(7) if w[i, j]], "i int, j int, w double")
+    bias = spark.createDataFrame([(j, float(b[j])) for j in range(7)], "j int, b double")
+
+    def result(y):
+        assert y.columns == ["vec_id", "v", "_w", "projected"]
+        return sorted([(r.vec_id, r["_w"], r.projected and [round(e, 9) for e in r.projected]) for r in y.collect()], key=repr)
+    for use, offset in ((bias, b), (None, 0 * b)):
+        want = sorted([(k, n, v and [round(float(e), 9) for e in np.array(v) @ w + offset]) for k, v, n in rows], key=repr)
+        assert result(VEC.project(df, "v", weight, use)) == want
+        for edge in (3, 1024):
+            assert result(VEC.linear_blocks(df, "v", weight, use, edge=edge)) == want
+    monkeypatch.setattr(VEC, "BLOCK_NUMBERS", 20)
+    monkeypatch.setattr(VEC, "MAX_WEIGHTS", 1)
+    assert result(VEC.project(df, "v", weight)) == want
+    assert VEC.project(df.where("false"), "v", weight).count() == 0
+    with pytest.raises(Exception, match="11 weights a column"):
+        VEC.linear_blocks(df.withColumn("v", F.slice("v", 1, 3)), "v", weight).collect()

@@ -73,7 +73,7 @@ def test_vocab_and_merges_match_library(trained):
 def test_encode_and_decode_match_library(spark, trained):
     from quire.operators import bpe as B
     small, texts, model, lib = trained
-    extra = ["Mit Worten läßt sich trefflich streiten,", "<|S|>\nSPRECHER.\nDa steht es nun!\n<|E|>",
+    extra = ["Im März fließt der Bach schneller, grün und kühl.", "<|S|>\nFÄHRMANN.\nDas Boot liegt schräg.\n<|E|>",
              "x.<|S|>y  ab !", "été Å"]
     rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(extra)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -71,6 +71,31 @@ def test_char_level(spark, texts, tmp_path):
     assert list(got) == [2, known[" "], 1, known["x"], 2]
 
 
+def test_alphabet_limit_equals_the_library(spark, tmp_path):
+    """The most frequent characters stay (no two here are equally frequent); the others are unknown."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordPiece
+    from tokenizers.pre_tokenizers import Split
+    from tokenizers.trainers import WordPieceTrainer
+    from quire.operators import encode as ENC, vocab as V
+    kinds = "zäa\u4e2d😀 \nqß.Xe"
+    texts = ["".join(c * (k + 1) for k, c in enumerate(kinds)), "", kinds]
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string").repartition(2)
+    assert {r.token: r["count"] for r in V.char_counts(df).collect()} == {c: k + 2 for k, c in enumerate(kinds)}
+    for limit in (1, 5, len(kinds), 100):
+        tk = Tokenizer(WordPiece(unk_token="<|UNK|>", max_input_chars_per_word=1))
+        tk.pre_tokenizer = Split("", behavior="isolated")
+        tk.train_from_iterator(texts, WordPieceTrainer(special_tokens=["<|S|>", "<|E|>", "<|UNK|>"], limit_alphabet=limit))
+        vocab = V.char_vocab(df, alphabet_limit=limit)
+        assert {r.token: r.id for r in vocab.collect()} == tk.get_vocab()
+        got = ENC.char_encode_ids(df.where("doc_id = 2"), ["doc_id"], "text", vocab).first().ids
+        assert list(got) == tk.encode(kinds).ids
+    assert V.char_vocab(df, alphabet_limit=100).orderBy("id").collect() == V.char_vocab(df).orderBy("id").collect()
+    tied = spark.createDataFrame([("ba",), ("cab",), ("c",)], "text string")
+    assert [r.token for r in V.char_vocab(tied, alphabet_limit=2).orderBy("id").collect()][3:] == ["a", "b"]
+    assert V.char_vocab(tied.where("false"), alphabet_limit=2).count() == 3
+
+
 def test_no_row_is_lost(spark):
     """Empty, blank, marker-only and null texts come back from encode, decode and spans."""
     from quire.operators import encode as ENC, vocab as V
