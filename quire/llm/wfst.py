@@ -68,12 +68,19 @@ class Transducer:
         self.text = [p for p, _, _ in pieces]
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
-        self.longest = max(map(len, self.id))
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN
                     else p.replace(MARK, " ").encode() for p, _, t in pieces]
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.weights: dict[tuple[int, int], float] = {}
         if self.kind == BPE:               # pieces that merging never builds have no arc
             self.id = {p: i for p, i in self.id.items() if self._merged(list(p)) == [p]}
+        self.longest = max(map(len, self.id))
+        # the pieces as a tree of letters: letter -> [piece or -1, the letters that go on]
+        self.arcs: dict[str, list] = {}
+        for p, i in self.id.items():
+            node = [-1, self.arcs]
+            for c in p:
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
         chars = {c for p in self.id for c in p}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             self.parts = None
@@ -103,18 +110,18 @@ class Transducer:
         return symbols
 
     def _weight(self, last: int, piece: int) -> float:
-        """Weight of an arc behind the piece ``last`` (-1: none, or a byte)."""
+        """Weight of an arc behind the piece ``last`` (-1: none, a byte, or a unigram model), to be remembered."""
         if self.kind == UNIGRAM:
-            return -self.score[piece]
-        if last < 0:
-            return 0.0
-        ok = self.follows.get((last, piece))
-        if ok is None:
+            w = -self.score[piece]
+        elif last < 0:
+            w = 0.0
+        else:
             a, b = self.text[last], self.text[piece]
-            ok = self.follows[last, piece] = self._merged(list(a + b)) == [a, b]
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-        return 0.0 if ok else _INF
+            w = 0.0 if self._merged(list(a + b)) == [a, b] else _INF
+        if len(self.weights) > 2_000_000:
+            self.weights.clear()
+        self.weights[last, piece] = w
+        return w
 
     # ---- shortest path
 
@@ -123,16 +130,26 @@ class Transducer:
         n = len(part)
         cost, last, back = [0.0] + [_INF] * n, [-1] * (n + 1), [0] * (n + 1)
         low = min(self.score) - 10 if self.kind == UNIGRAM else 0.0
-        get = self.id.get
+        arcs, weight, bpe = self.arcs, self.weights.get, self.kind == BPE
         for i in range(n):
             c = cost[i]
             if c == _INF:
                 continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = get(part[i:j])
-                if p is not None and c < cost[j] and (w := c + self._weight(last[i], p)) < cost[j]:
-                    cost[j], last[j], back[j] = w, p, i
-            if get(part[i]) is None and (w := c - low + 1) < cost[i + 1]:      # byte fallback
+            before, go_on, j = last[i] if bpe else -1, arcs, i
+            for letter in part[i:i + self.longest]:
+                node = go_on.get(letter)
+                if node is None:
+                    break
+                p, go_on = node
+                j += 1
+                if p < 0 or c >= cost[j]:
+                    continue
+                w = weight((before, p))
+                if w is None:
+                    w = self._weight(before, p)
+                if c + w < cost[j]:
+                    cost[j], last[j], back[j] = c + w, p, i
+            if (j == i or arcs[part[i]][0] < 0) and (w := c - low + 1) < cost[i + 1]:      # byte fallback
                 cost[i + 1], last[i + 1], back[i + 1] = w, -1, i
         out: list[int] = []
         at = n

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import duckdb
@@ -56,3 +57,12 @@ def test_rows(spark):
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
     assert {(r["doc_id"], r["text"]) for r in wfst.decode_documents(enc, PATH).collect()} == {(d, t or "") for d, t, _ in rows}
     assert wfst.encode_documents(df.where("false"), PATH).count() == 0
+
+
+def test_arcs_end_where_no_piece_goes_on():
+    """One long piece must not make every place try as many letters."""
+    pieces = [("<unk>", 0.0, 2), ("b", -1.0, 1), ("a" * 5_000, -1.0, 1)]
+    t = wfst.Transducer({"pieces": pieces, "kind": wfst.UNIGRAM, "prefix": False, "unknown": 0})
+    t0 = time.process_time()
+    assert t.encode(["b" * 20_000 + "a" * 5_000])[0].tolist() == [1] * 20_000 + [2]
+    assert time.process_time() - t0 < 5
