@@ -14,8 +14,10 @@ the plan as far as each next pair really ranks first (count, then smaller ids),
 planned again; what the rest changed makes the next plan better.  The result is that of merging one
 pair at a time.
 
-**State.**  Every ``REBASE`` rounds the blocks with all merges done are written to the state folder,
-then the model so far.  Training that was ended goes on from the last complete state there.
+A task scans its symbols for planned pairs and links only the words that hold one (``_concerned``).
+
+**State.**  Every ``REBASE`` rounds, with many words also after ``REBASE_MERGES`` merges, the blocks with all merges
+done are written to the state folder, then the model so far.  Training that was ended goes on from the last complete state there.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ from .bpe import BpeModel, byte_alphabet, byte_level_words
 SEP = 65535                      # before each word in a block; no symbol has this id
 #: Pairs whose counts the driver keeps, at most; merges planned for a round, at least and at most.
 PAIRS_KEPT, PLAN = 1 << 18, (32, 256)
-#: Rounds between written states; distinct words of a task (some milliseconds of work a round).
-REBASE, WORDS_PER_TASK = 32, 50_000
+#: Rounds between written states, at most; with many words the merges since the last state are as many at most.
+REBASE, REBASE_MERGES, MANY_WORDS = 32, 256, 1_000_000
+#: Distinct words of a task (some milliseconds of work a round); symbols of a block, about.
+WORDS_PER_TASK, BLOCK_SYMBOLS = 50_000, 1 << 21
 _BLOCK = "symbols binary, counts binary"
 
 
@@ -58,6 +62,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield np.frombuffer(s.as_buffer(), "<u2").astype(np.int32), np.frombuffer(c.as_buffer(), "<i8")
 
 
+def _joined(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Small blocks as blocks of about ``BLOCK_SYMBOLS``: what a step costs is paid per block."""
+    kept, size = [], 0
+    for block in blocks:
+        if kept and size + len(block[0]) > BLOCK_SYMBOLS:
+            yield tuple(map(np.concatenate, zip(*kept)))
+            kept, size = [], 0
+        kept.append(block)
+        size += len(block[0])
+    if kept:
+        yield tuple(map(np.concatenate, zip(*kept)))
+
+
 def _longer(symbols: np.ndarray, counts: np.ndarray):
     """The words of two symbols and more; the others can have no pair."""
     starts = np.flatnonzero(symbols == SEP)
@@ -66,11 +83,11 @@ def _longer(symbols: np.ndarray, counts: np.ndarray):
 
 
 def _first_blocks(ids: dict[int, int]):
-    """Words and counts as blocks of symbols, one per Arrow batch."""
+    """Words and counts as blocks of symbols."""
     table = np.zeros(256, np.int32)
     table[list(ids)] = list(ids.values())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
             words = b.column(0).cast(pa.large_binary())
             off = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
@@ -80,7 +97,11 @@ def _first_blocks(ids: dict[int, int]):
             symbols[at] = table[data]
             symbols, counts = _longer(symbols, b.column(1).to_numpy(zero_copy_only=False))
             if len(counts):
-                yield _block(symbols, counts)
+                yield symbols, counts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _joined(parts(batches)):
+            yield _block(*block)
     return run
 
 
@@ -91,6 +112,25 @@ def _summed(codes: np.ndarray, values: np.ndarray):
     return codes[first], np.add.reduceat(values, first) if len(first) else values
 
 
+def _concerned(symbols: np.ndarray, counts: np.ndarray, merges: list[tuple[int, int, int]]):
+    """Of a block, whether each word holds a pair of ``merges``; the symbols and counts of those that do.
+
+    The first merge that changes a word is of two symbols it has now, so the others stay as they are."""
+    left, right = np.zeros(SEP + 1, bool), np.zeros(SEP + 1, bool)
+    left[[m[0] for m in merges]] = True
+    right[[m[1] for m in merges]] = True
+    at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]])
+    known = np.unique(np.array([m[0] << 32 | m[1] for m in merges], np.int64))
+    codes = _code(symbols[at], symbols[at + 1])
+    k = np.searchsorted(known, codes)
+    k[k == len(known)] = 0
+    at = at[known[k] == codes] if len(known) else at[:0]
+    starts = np.flatnonzero(symbols == SEP)
+    hit = np.zeros(len(starts), bool)
+    hit[np.searchsorted(starts, at, "right") - 1] = True
+    return hit, symbols[np.repeat(hit, np.diff(np.append(starts, len(symbols))))], counts[hit]
+
+
 class _Words:
     """A block as a linked list, with the places of the pairs that are to be merged.
 
@@ -172,20 +212,28 @@ class _Words:
 def _apply(done: list[tuple[int, int, int]]):
     """Blocks with the merges ``done``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for symbols, counts in _blocks(batches):
-            words = _Words(symbols, counts, done)
+        for block in _joined(merged(batches)):
+            yield _block(*block)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for symbols, counts in _joined(_blocks(batches)):
+            hit, mine, weight = _concerned(symbols, counts, done)
+            words = _Words(mine, weight, done)
             for m in done:
                 words.merge(*m)
-            symbols, counts = _longer(words.alive(), counts)
-            if len(counts):
-                yield _block(symbols, counts)
+            changed = _longer(words.alive(), weight)
+            rest = symbols[np.repeat(~hit, np.diff(np.append(np.flatnonzero(symbols == SEP), len(symbols))))], counts[~hit]
+            for part in (changed, rest):
+                if len(part[1]):
+                    yield part
     return run
 
 
 def _try(done: list[tuple[int, int, int]], plan: list[tuple[int, int, int]]):
     """Changes of the pairs' counts at each step of the plan, after the merges ``done``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for symbols, counts in _blocks(batches):
+        for symbols, counts in _joined(_blocks(batches)):
+            _, symbols, counts = _concerned(symbols, counts, done + plan)
             words = _Words(symbols, counts, done + plan)
             for m in done:
                 words.merge(*m)
@@ -200,7 +248,7 @@ def _try(done: list[tuple[int, int, int]], plan: list[tuple[int, int, int]]):
 def _count(done: list[tuple[int, int, int]]):
     """(code, count) of all pairs of a block after the merges ``done``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for symbols, counts in _blocks(batches):
+        for symbols, counts in _joined(_blocks(batches)):
             words = _Words(symbols, counts, done)
             for m in done:
                 words.merge(*m)
@@ -274,6 +322,7 @@ class Trainer:
         self.blocks: DataFrame | None = None
         self.cached: DataFrame | None = None
         self.done: list[tuple[int, int, int]] = []
+        self.many = False               # whether the blocks hold MANY_WORDS
         self.index = self.model.token_index()
         self.table: PairTable | None = None
         self.size = PLAN[0]
@@ -397,12 +446,13 @@ class Trainer:
             self.cached.unpersist()
         self.blocks = self.cached = self.spark.read.schema(_BLOCK).parquet(path).persist()
         self.done = []
+        self.many = (self.blocks.agg(F.sum(F.length("counts"))).first()[0] or 0) >= 8 * MANY_WORDS
 
     def run(self, log=None, stop_after: int | None = None) -> BpeModel:
         while self._room() > 0 and (stop_after is None or self.model.rounds < stop_after):
             if not self.round():
                 break
-            if self.model.rounds % REBASE == 0 and self.done:
+            if self.done and (self.model.rounds % REBASE == 0 or len(self.done) >= REBASE_MERGES and self.many):
                 self.save()
             if log:
                 log(self.model.rounds, len(self.model.merges), self.model.counts[-1])

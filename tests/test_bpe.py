@@ -209,6 +209,27 @@ def test_linked_merges_equal_rewritten_words(words):
     assert done == ([[x for w, _ in state if len(w) > 1 for x in (TR.SEP, *w)]] if any(len(w) > 1 for w, _ in state) else [])
 
 
+def test_a_round_links_only_the_words_of_its_merges(monkeypatch):
+    """Few merges in many words, which come in many batches: one list of the words that hold them."""
+    import pyarrow as pa
+    from quire.operators import bpe_train as TR
+    words = ["cacaca"] * 500 + ["cab"] * 3
+    first = list(TR._first_blocks({97: 1, 98: 2, 99: 3})(pa.RecordBatch.from_pydict({"word": [w], "count": [2]}) for w in words))
+    linked = []
+
+    class Counted(TR._Words):
+        def __init__(self, symbols, *rest):
+            linked.append(len(symbols))
+            super().__init__(symbols, *rest)
+    monkeypatch.setattr(TR, "_Words", Counted)
+    got = [r for b in TR._try([], [(1, 2, 4), (3, 4, 5)])(iter(first)) for r in b.to_pylist()]
+    assert linked == [12]
+    change = {(r["step"], r["code"] >> 32, r["code"] & 0xFFFFFFFF): r["delta"] for r in got}
+    assert change == {(0, 1, 2): -6, (0, 3, 1): -6, (0, 3, 4): 6, (1, 3, 4): -6}
+    done = [b for x in TR._apply([(1, 2, 4)])(iter(first)) for b in x.to_pylist()]
+    assert len(done) == 1 and len(done[0]["counts"]) == 8 * 503 and linked == [12, 12]
+
+
 def test_segment_encode_template_and_roundtrip(spark, trained):
     """ENC9 (per-segment encode: split on S, drop E), ENC10 (S ... E template), and
     decode(encode(x)) == NFC(x) when every byte is in the alphabet."""
