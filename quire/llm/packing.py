@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .hashing import text_chunks
-from .memory import WordMemory
+from ..functions.memory import WordMemory
 
 SIZE = 2048
 END_ID = 0

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .hashing import text_chunks
-from .memory import WordMemory
+from ..functions.memory import WordMemory
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6

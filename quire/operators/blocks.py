@@ -36,6 +36,26 @@ def with_offsets(lists: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), values)
 
 
+#: Elements that an in-place lookup works on at once, about.
+CHUNK_ELEMENTS = 1 << 20
+
+
+def pieces_of(sizes: pa.Array, most: int):
+    """(first, end) of runs of rows whose sizes add up to ``most``, about; a run has one row at least."""
+    total = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at, n = 0, len(sizes)
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1))
+        yield at, to
+        at = to
+
+
+def list_chunks(lists: pa.Array):
+    """Slices of about ``CHUNK_ELEMENTS`` elements, or of one row: a batch has many long rows at times."""
+    for first, end in pieces_of(lists.value_lengths(), CHUNK_ELEMENTS):
+        yield lists.slice(first, end - first)
+
+
 def blocked(df: DataFrame, list_col: str, size: int = BLOCK_ELEMENTS) -> DataFrame:
     """The rows with a block number, written: neighbours of a partition share a block of about ``size`` elements."""
     schema = StructType([*df.schema.fields, StructField(_BLOCK, LongType())])

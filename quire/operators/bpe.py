@@ -14,11 +14,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
+from ..functions.memory import WordMemory
+from .blocks import pieces_of
 
 # ---- fixed values: byte alphabet order of the byte-level model ----
 # Printable bytes (33-126, 161-172, 174-255) stand for themselves and sort
@@ -127,15 +130,34 @@ def _pieces(text: Column, specials: list[str]) -> Column:
     return F.when(has_special, isolated).otherwise(T.extract_all(text, T.BYTE_LEVEL_PATTERN))
 
 
-#: Distinct words whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+#: Bytes of pre-tokens (or ids) that a task works on at once, about; bytes of words it remembers.
+CHUNK_BYTES, REMEMBERED_BYTES = 4 << 20, 64 << 20
+
+
+def _word_chunks(lists: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(words, row ends from 0) of slices of an array of word lists, of about ``CHUNK_BYTES`` each or one row."""
+    rows = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    words = lists.flatten()
+    size = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)])[rows]
+    for at, to in pieces_of(pa.array(np.diff(size)), CHUNK_BYTES):
+        yield words.slice(rows[at], rows[to] - rows[at]), rows[at:to + 1] - rows[at]
+
+
+def _remembered(memory: WordMemory, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What ``memory`` knows of all words in a row, and running ends per word with a leading 0."""
+    coded = words.dictionary_encode()
+    known, end = memory.ids(coded.dictionary.to_pylist())
+    k = coded.indices.to_numpy(zero_copy_only=False)
+    size = np.diff(end)[k]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return known[np.repeat(end[k] - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 def bpe_encode(df: DataFrame, keys: list[str], text_col: str, model: BpeModel) -> DataFrame:
     """ENC3 + TXT7: NFC, reserved tokens matched whole, byte-level pre-tokens encoded in
     place: (keys, ids array<int>), one row per input row; null text counts as empty.
 
-    A task encodes each distinct pre-token once and remembers it; nothing is
+    A task encodes each distinct pre-token once and remembers it, up to ``REMEMBERED_BYTES``; nothing is
     exploded or shuffled.  The model's size is bounded by its vocabulary."""
     specials = model.specials
     byte_ids = {t[0]: i for i, t in enumerate(model.tokens) if i >= len(specials) and len(t) == 1}
@@ -147,20 +169,15 @@ def bpe_encode(df: DataFrame, keys: list[str], text_col: str, model: BpeModel) -
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         byte_ids, ranks, known = shared.value
-        seen = dict(known)
+
+        def encode(words):
+            ids = [known.get(w) or _encode_word(w, byte_ids, ranks) for w in words]
+            return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
+        memory = WordMemory(encode, REMEMBERED_BYTES)
         for lists in batches:
-            out = []
-            for v in lists:
-                ids = []
-                for w in v.as_py():
-                    x = seen.get(w)
-                    if x is None:
-                        if len(seen) > REMEMBERED:
-                            seen = dict(known)
-                        x = seen[w] = _encode_word(w, byte_ids, ranks)
-                    ids += x
-                out.append(ids)
-            yield pa.array(out, pa.list_(pa.int32()))
+            for words, rows in _word_chunks(lists):
+                ids, ends = _remembered(memory, words)
+                yield pa.ListArray.from_arrays(pa.array(ends[rows].astype(np.int32)), pa.array(ids.astype(np.int32)))
     return t.select(*keys, run(pieces).alias("ids"))
 
 
@@ -199,48 +216,54 @@ def bpe_spans(df: DataFrame, keys: list[str], text_col: str, model: BpeModel) ->
     shared = df.sparkSession.sparkContext.broadcast((byte_ids, ranks, [len(t) for t in model.tokens], {s: i for i, s in enumerate(specials)}))
     t = T.nfc_normalize(df.select(*keys, F.coalesce(text_col, F.lit("")).alias(text_col), F.coalesce(text_col, F.lit("")).alias("_text")), text_col)
 
-    def placed(word, byte_ids, ranks, size, reserved):
-        """(ids, first bytes, ends) of a pre-token; bytes outside the alphabet have no token."""
-        data = word.encode("utf-8")
-        if word in reserved:
-            return np.array([reserved[word]]), np.array([0]), np.array([len(data)]), len(data)
-        ids = np.array(_encode_word(word, byte_ids, ranks), np.int64)
-        kept = np.array([k for k, b in enumerate(data) if b in byte_ids], np.int64)
-        end = np.cumsum([size[i] for i in ids], dtype=np.int64)
-        return ids, kept[end - [size[i] for i in ids]] if len(ids) else end, kept[end - 1] + 1 if len(ids) else end, len(data)
-
     @F.arrow_udf("array<struct<id: int, start: int, end: int>>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        model = shared.value
-        seen = {}
-        for texts, lists in batches:
+        byte_ids, ranks, size, reserved = shared.value
+        size = np.array(size, np.int64)
+        all_known = len(byte_ids) == 256
+
+        def place(words):
+            """(id, first byte, end) of each token in its pre-token; bytes outside the alphabet have no token."""
             found = []
-            for text, words in zip(texts.to_pylist(), lists.to_pylist()):
-                if len(seen) > REMEMBERED:
-                    seen = {}
-                parts = []
-                for w in words:
-                    x = seen.get(w)
-                    if x is None:
-                        x = seen[w] = placed(w, *model)
-                    parts.append(x)
-                if not parts:
-                    found.append(np.zeros((3, 0), np.int64))
+            for w in words:
+                data = w.encode("utf-8")
+                if w in reserved:
+                    found.append(np.array([[reserved[w], 0, len(data)]]))
                     continue
-                n = np.array([len(p[0]) for p in parts])
-                base = np.repeat(np.cumsum([0, *(p[3] for p in parts[:-1])]), n)
-                ids, first, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                data = np.frombuffer("".join(words).encode("utf-8"), np.uint8)
-                char = np.cumsum((data & 0xC0) != 0x80) - 1               # character of each byte
-                first, last = char[first + base], char[end + base - 1]
-                aligned = nfc_alignment(text)
-                if aligned is not None:
-                    aligned = np.array(aligned)
-                    first, last = aligned[first], aligned[last]
-                found.append(np.array([ids, first, last + 1]))
-            flat = np.concatenate(found, axis=1).astype(np.int32) if found else np.zeros((3, 0), np.int32)
-            at = np.concatenate([[0], np.cumsum([f.shape[1] for f in found])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(c) for c in flat], ["id", "start", "end"]))
+                ids = np.array(_encode_word(w, byte_ids, ranks), np.int64)
+                end = np.cumsum(size[ids])
+                first = end - size[ids]
+                if not all_known and len(ids) and end[-1] < len(data):
+                    kept = np.array([k for k, b in enumerate(data) if b in byte_ids], np.int64)
+                    first, end = kept[first], kept[end - 1] + 1
+                found.append(np.stack([ids, first, end], axis=1))
+            n = np.array([len(f) for f in found], np.int64)
+            return np.concatenate(found).astype(np.uint32).ravel() if found else np.zeros(0, np.uint32), 3 * n
+        memory = WordMemory(place, REMEMBERED_BYTES)
+        for texts, lists in batches:
+            at = 0
+            for words, rows in _word_chunks(lists):
+                flat, ends = _remembered(memory, words)
+                ids, first, end = flat.astype(np.int64).reshape(-1, 3).T
+                ends = ends // 3
+                begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+                data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[begin[0]:begin[-1]]
+                begin -= begin[0]
+                base = np.repeat(begin[:-1], np.diff(ends))
+                char = np.cumsum((data & 0xC0) != 0x80)                   # characters up to each byte
+                before = np.concatenate([[0], char])[begin[rows]]         # characters before each row
+                tokens = ends[rows]
+                own = np.repeat(before[:-1], np.diff(tokens))
+                first, last = char[first + base] - 1 - own, char[end + base - 1] - 1 - own
+                for k in np.flatnonzero(np.diff(rows)):
+                    aligned = nfc_alignment(texts[at + int(k)].as_py())
+                    if aligned is not None:
+                        mine = slice(tokens[k], tokens[k + 1])
+                        aligned = np.array(aligned)
+                        first[mine], last[mine] = aligned[first[mine]], aligned[last[mine]]
+                at += len(rows) - 1
+                columns = [pa.array(c.astype(np.int32)) for c in (ids, first, last + 1)]
+                yield pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.StructArray.from_arrays(columns, ["id", "start", "end"]))
     return t.select(*keys, run(F.col("_text"), _pieces(F.col(text_col), specials)).alias("spans"))
 
 
@@ -265,14 +288,21 @@ def bpe_decode(ids_df: DataFrame, keys: list[str], ids_col: str, model: BpeModel
     """ENC5 (byte-level): reserved ids skipped, token bytes concatenated, UTF-8 decoded;
     invalid byte runs (a token cut inside a character) become U+FFFD.  In place, one row
     per input row; null ids decode to an empty text."""
-    shared = ids_df.sparkSession.sparkContext.broadcast(
-        {i: bytes(t) for i, t in enumerate(model.tokens) if i >= len(model.specials)})
+    tokens = [b"" if i < len(model.specials) else bytes(t) for i, t in enumerate(model.tokens)]
+    shared = ids_df.sparkSession.sparkContext.broadcast(tokens)
 
     @F.arrow_udf("string")
-    def run(lists: pa.Array) -> pa.Array:
-        token = shared.value
-        return pa.array([b"".join([token.get(i, b"") for i in (v.as_py() or [])]).decode("utf-8", "replace")
-                         for v in lists], pa.string())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        token, none = pa.array([*shared.value, b""], pa.large_binary()), len(shared.value)
+        for lists in batches:
+            rows = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            for at, to in pieces_of(lists.value_lengths(), CHUNK_BYTES // 4):
+                mine = ids[rows[at]:rows[to]]
+                parts = token.take(pa.array(np.where((mine >= 0) & (mine < none), mine, none)))
+                off = np.frombuffer(parts.buffers()[1], np.int64)[:len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
+                data, end = parts.buffers()[2].to_pybytes() if len(parts) and off[-1] else b"", off[rows[at:to + 1] - rows[at]]
+                yield pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(end[:-1], end[1:])], pa.string())
     return ids_df.select(*keys, run(F.col(ids_col)).alias("text"))
 
 

@@ -9,9 +9,9 @@ comes back, with an empty array if its text is empty or null.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,7 @@ from pyspark.sql.types import IntegerType, StringType
 from .. import config as C
 from ..functions import text as T
 from . import vocab as V
-from .blocks import look_up, with_offsets
+from .blocks import list_chunks, look_up, pieces_of, with_offsets
 
 
 def has_special(text: Column, specials: list[str]) -> Column:
@@ -65,10 +65,13 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids
                                                         pa.array([r.id for r in rows], pa.int32())))
 
     @F.arrow_udf("array<int>")
-    def run(lists: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, ids = shared.value
-        at = pc.index_in(lists.flatten(), value_set=known)
-        return with_offsets(lists, pc.fill_null(ids.take(at), unk_id))
+        for whole in batches:
+            for lists in list_chunks(whole):
+                kinds = lists.flatten().dictionary_encode()
+                found = pc.fill_null(ids.take(pc.index_in(kinds.dictionary, value_set=known)), unk_id)
+                yield with_offsets(lists, pc.fill_null(found.take(kinds.indices), unk_id))
     return df.withColumn(out, run(F.col(tokens_col)))
 
 
@@ -97,9 +100,11 @@ def decode_joined(df: DataFrame, keys: list[str], ids_col: str, vocab: DataFrame
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf("array<string>")
-    def run(lists: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids, tokens = shared.value
-        return with_offsets(lists, tokens.take(pc.index_in(lists.flatten().cast(pa.int32()), value_set=ids)))
+        for whole in batches:
+            for lists in list_chunks(whole):
+                yield with_offsets(lists, tokens.take(pc.index_in(lists.flatten().cast(pa.int32()), value_set=ids)))
     return df.select(*keys, F.array_join(run(F.col(ids_col)), " ").alias("text"))
 
 
@@ -161,14 +166,18 @@ def word_spans(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
     return df.select(*keys, run(whole, token).alias("spans"))
 
 
+#: Bytes of text that the character encoder works on at once, about.
+CHAR_BYTES = 4 << 20
+
+
 def char_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame,
                     specials: list[str] = C.CHAR_SPECIALS, unk_id: int = C.UNK_ID,
                     out: str = "ids") -> DataFrame:
     """ENC2 without exploding characters: each document becomes its id array in place.
 
-    An Arrow UDF turns a batch of texts into code points (``np.frombuffer`` on
-    UTF-32) and looks them up with ``np.searchsorted`` in the sorted alphabet;
-    misses become UNK, reserved tokens are matched whole first.  The alphabet
+    An Arrow UDF turns texts into code points (``np.frombuffer`` on UTF-32), about
+    ``CHAR_BYTES`` of text at once, and looks them up with ``np.searchsorted`` in the sorted
+    alphabet; misses become UNK, reserved tokens are matched whole first.  The alphabet
     (the vocabulary's characters) travels in the closure and is bounded by the
     vocabulary.  No row explosion, no shuffle."""
     rows = sorted((ord(r.token), r.id) for r in vocab.select("id", "token", "special").where("char_length(token) = 1").collect() if not r.special and len(r.token) == 1)
@@ -193,8 +202,12 @@ def char_encode_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFr
                  for p in splitter.split(t) if p]
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
 
-    @F.pandas_udf("array<int>")
-    def udf(texts: pd.Series) -> pd.Series:
-        return texts.map(encode)
+    @F.arrow_udf("array<int>")
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for first, last in pieces_of(pc.binary_length(texts), CHAR_BYTES):
+                out = [encode(t.as_py()) for t in texts[first:last]]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in out])])
+                yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(out)))
 
     return df.select(*keys, udf(F.col(text_col)).alias(out))

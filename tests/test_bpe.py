@@ -246,3 +246,21 @@ def test_segment_encode_template_and_roundtrip(spark, trained):
     assert sorted([0, *r.ids, 1] for r in plain) == sorted(list(r.ids) for r in wrapped.collect())
     for r in B.bpe_decode(wrapped, ["doc_id", "seg_id"], "ids", model).collect():
         assert r.text == unicodedata.normalize("NFC", want[r.doc_id][r.seg_id])
+
+
+def test_words_are_worked_on_in_bounded_pieces(monkeypatch):
+    """One batch of many rows is cut by bytes, and what is remembered of its words is bounded."""
+    import numpy as np
+    import pyarrow as pa
+    from quire.functions.memory import WordMemory
+    from quire.operators import bpe as B
+    monkeypatch.setattr(B, "CHUNK_BYTES", 10)
+    lists = pa.array([["zz"], ["abcd", "ab"], None, [], ["abcd"], ["abcd" * 9, "c"], ["ab"]]).slice(1)
+    memory = WordMemory(lambda words: (np.array([ord(c) for w in words for c in w], np.uint32), np.array([len(w) for w in words])), 400)
+    got = []
+    for words, rows in B._word_chunks(lists):
+        flat, ends = B._remembered(memory, words)
+        assert len(rows) == 2 or sum(map(len, words.to_pylist())) <= 10
+        assert memory.bytes <= 500
+        got += ["".join(map(chr, flat[ends[a]:ends[b]])) for a, b in zip(rows[:-1], rows[1:])]
+    assert got == ["abcdab", "", "", "abcd", "abcd" * 9 + "c", "ab"]
