@@ -76,3 +76,28 @@ def test_projection_by_blocks_equals_the_product(spark, monkeypatch):
     assert VEC.project(df.where("false"), "v", weight).count() == 0
     with pytest.raises(Exception, match="11 weights a column"):
         VEC.linear_blocks(df.withColumn("v", F.slice("v", 1, 3)), "v", weight).collect()
+
+
+def test_batches_are_cut_by_elements(monkeypatch):
+    """An in-place lookup works on bounded slices of a batch; a longer row stands alone."""
+    import pyarrow as pa
+    from quire.operators import blocks as BL
+    monkeypatch.setattr(BL, "CHUNK_ELEMENTS", 4)
+    lists = pa.array([[1, 2], [3], None, [4, 5], [], [6] * 9, [7]])
+    assert [c.to_pylist() for c in BL.list_chunks(lists)] == [[[1, 2], [3], None], [[4, 5], []], [[6] * 9], [[7]]]
+    assert list(BL.pieces_of(pa.array([], pa.int32()), 4)) == []
+
+
+def test_elements_are_answered_without_a_shuffle_for_distinct_ones(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType
+    from quire.operators import blocks as BL
+    rows = spark.createDataFrame([(k, [k % 3, 7, k % 3]) for k in range(50)], "k long, e array<long>").repartition(2)
+    plans = []
+
+    def answer(asked):
+        plans.append(asked._jdf.queryExecution().executedPlan().toString())
+        return asked.withColumn("_value", F.col("_element") * 10)
+    got = BL.look_up(rows, "e", answer, "v", LongType(), size=20).collect()
+    assert sorted((r.k, r.v) for r in got) == [(k, [k % 3 * 10, 70, k % 3 * 10]) for k in range(50)]
+    assert "Exchange" not in plans[0]
