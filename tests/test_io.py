@@ -273,3 +273,28 @@ def test_pieces_follow_the_rows(spark):
     ref = (df.withColumn("iter", F.row_number().over(w) - 1).withColumn("prev", F.lag("ts").over(w))
              .withColumn("bb", F.coalesce(F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1e9))))
     assert {r.k: (r.iter, r.best_before, r.prev_ts) for r in got.collect()} == {r.k: (r.iter, r.bb, r.prev) for r in ref.collect()}
+
+
+def test_corpus_dir_names_and_layouts(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from quire.sources import corpus as CO
+    rows = [("a", "one"), ("a", "one"), ("b/c: 100%+é", "x\r\ny"), ("", None), ("_d", "d"), ("=e", "e"), ("null", "n"), (None, "none")]
+    df = spark.createDataFrame(rows, "k string, t string").coalesce(1)
+    path = os.path.join(scratch, "own")
+    CO.write_corpus_dir(df, path, "k", "t")
+    # a folder per text costs a listing each, and processes for its rights
+    assert [d for d, _, _ in os.walk(path)] == [path, os.path.join(path, "writer_task=0")]
+    assert os.path.exists(os.path.join(path, "writer_task=0", "a.txt"))
+    got = CO.read_corpus_dir(spark, path, skip_processed=False).collect()
+    want = {"a.txt": "one\none\n", "b/c: 100%+é.txt": "x\ny\n", ".txt": "\n", "_d.txt": "d\n", "=e.txt": "e\n",
+            "null.txt": "n\n", None: "none\n"}
+    assert len(got) == len(want) and {r.file_name: r.text for r in got} == want
+    # folders by name, as Spark's writer makes them
+    other = os.path.join(scratch, "spark")
+    named = df.select(F.concat("k", F.lit(".txt")).alias("file_name"), "t").where("k is null or k != 'b/c: 100%+é'")
+    named.write.partitionBy("file_name").text(other)
+    del want["b/c: 100%+é.txt"]
+    assert {r.file_name: r.text for r in CO.read_corpus_dir(spark, other, skip_processed=False).collect()} == want
+    CO.write_corpus_dir(df.limit(0), empty := os.path.join(scratch, "empty"), "k", "t")
+    assert CO.read_corpus_dir(spark, empty).count() == 0
