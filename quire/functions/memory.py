@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+
+
+def give_back():
+    """Hand memory that was freed back to the system: Spark's workers live on and run other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
 
 
 #: What a remembered word takes besides its letters and ids: string and dictionary entry.

@@ -44,7 +44,7 @@ _powers = {"n": 0}
 
 def _power_tables(n: int):
     if _powers["n"] < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = 1 << n.bit_length()           # by doubling: a caller of short chunks keeps short tables
         for name, p in (("up", _P), ("down", _P_INV)):
             t = np.full(size, p, np.uint64)
             t[0] = 1

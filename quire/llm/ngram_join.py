@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import give_back
 from ..session import written
 from . import hashing as H
 from .components import components
@@ -101,6 +102,7 @@ def shingle_classes(docs: DataFrame, k: int) -> np.ndarray:
                 s, _ = _sets(col, k)
                 c += np.bincount(_cell(s), minlength=1 << ORDER_BITS).astype(np.uint32)
         yield dense_blocks(c, 64)
+        give_back()
     total = merge_dense(docs.select("text").mapInArrow(count, BLOCK_SCHEMA), "uint32", (1 << ORDER_BITS,))
     bounds = np.unique(np.quantile(total, np.arange(1, 256) / 256, method="higher"))
     return np.searchsorted(bounds, total, "right").astype(np.uint8)
@@ -162,6 +164,8 @@ def prefixes(docs: DataFrame, k: int, classes, sketch: RepeatSketch) -> DataFram
                 seen.clear()
                 size = 0
         yield sketched()
+        seen.clear()
+        give_back()
     return docs.select("doc_id", "text").mapInArrow(build, _PREFIX)
 
 
@@ -207,6 +211,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "rep": b.column(0).slice(first, len(at) - 1), "n": pa.array(np.diff(at).astype(np.int64)),
                     "tokens": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(s.view(np.int64)))})
+        give_back()
     return (docs.where("doc_id is not null").select("doc_id", "text")
                 .mapInArrow(build, "rep long, n long, tokens array<long>"))
 

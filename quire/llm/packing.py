@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .hashing import text_chunks
-from ..functions.memory import WordMemory
+from ..functions.memory import WordMemory, give_back
 
 SIZE = 2048
 END_ID = 0
@@ -58,15 +58,19 @@ class WordEncoder:
 
     def __init__(self, spec: str):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
-        self.whole = Tokenizer.from_str(spec)
-        self.words = Tokenizer.from_str(spec)
-        self.words.normalizer = None
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([
+        self.whole = Tokenizer.from_str(spec)            # one for texts and words: its vocabulary is large
+        self.splitter = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex("\n"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memory = WordMemory(self._encode_words, REMEMBERED_BYTES)
 
     def _encode_words(self, words: list[str]):
-        enc = self.words.encode("\n".join(words), add_special_tokens=False)
+        t = self.whole
+        steps = t.normalizer, t.pre_tokenizer
+        t.normalizer, t.pre_tokenizer = None, self.splitter
+        try:
+            enc = t.encode("\n".join(words), add_special_tokens=False)
+        finally:
+            t.normalizer, t.pre_tokenizer = steps
         return np.array(enc.ids, np.uint32), np.bincount(np.array(enc.word_ids, np.int64), minlength=len(words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -127,6 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_ids: boo
                     out["ids"] = pa.array(kept, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
         enc.memory.forget()         # workers are used again by other stages
+        give_back()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
     return docs.select("doc_id", "text").mapInArrow(build, schema)
 

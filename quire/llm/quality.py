@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import give_back
 from . import hashing as H
 from .sketch import BLOCK_SCHEMA, dense_blocks, merge_dense
 
@@ -84,6 +85,8 @@ def context_sums(docs: DataFrame) -> np.ndarray:
                 u, first = np.unique(b[order], return_index=True)
                 total[u] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
         yield dense_blocks(total, 64)
+        del index, total
+        give_back()
     return merge_dense(docs.select("text").mapInArrow(build, BLOCK_SCHEMA), "int64", (BUCKETS, DIM))
 
 
@@ -206,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
             x = pooled(b.column(2), shared.value)
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "y": b.column(1),
                                               "x": pa.array([r.tobytes() for r in x], pa.binary())})
+        give_back()
     got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(features, "id long, y int, x binary").collect())
     x = np.array([np.frombuffer(b, np.float32) for _, _, b in got], np.float32).reshape(-1, FEATURES)
     y = np.array([q for _, q, _ in got], int)
@@ -219,8 +223,10 @@ def scored(text: Column, model) -> Column:
 
     @F.arrow_udf("double")
     def run(col: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([net.score(pooled(col.slice(i, 2000), shared.value)) for i in range(0, len(col), 2000)]
-                                       or [np.zeros(0)]))
+        out = pa.array(np.concatenate([net.score(pooled(col.slice(i, 2000), shared.value)) for i in range(0, len(col), 2000)]
+                                      or [np.zeros(0)]))
+        give_back()
+        return out
     return run(text)
 
 

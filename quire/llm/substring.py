@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import give_back
 from ..session import written
 from . import hashing as H
 from .sketch import BLOCK_SCHEMA, RepeatSketch
@@ -81,6 +82,8 @@ def window_sketch(docs: DataFrame, window: int, sketch: RepeatSketch) -> np.ndar
                 yield sketch.partition_rows(kept)
                 kept, size = [], 0
         yield sketch.partition_rows(kept)
+        kept.clear()
+        give_back()
     return sketch.merge(docs.where("doc_id is not null").select("text").mapInArrow(build, BLOCK_SCHEMA))
 
 
@@ -98,6 +101,7 @@ def repeated_windows(docs: DataFrame, window: int, sketch: RepeatSketch, bitmap)
                 r = row[hit] + first
                 yield pa.RecordBatch.from_pydict({"w": pa.array(w[hit].view(np.int64)), "doc_id": pa.array(ids[r]),
                                                   "tkey": pa.array(keys[r]), "pos": pa.array(pos[hit].astype(np.int32))})
+        give_back()
     return (docs.where("doc_id is not null").select("doc_id", "tkey", "text")
                 .mapInArrow(build, "w long, doc_id long, tkey long, pos int"))
 

@@ -87,3 +87,11 @@ def test_pack_rows(spark):
         rooms[i:i + 1] = [(rooms[i] if i < len(rooms) else 2048) - n]
     assert len(seqs) <= len(rooms) + 1
     assert packing.pack(df.where("false"), PATH).count() == 0
+
+
+def test_words_and_texts_share_one_vocabulary(encoder):
+    from tokenizers import Tokenizer
+    assert sum(isinstance(v, Tokenizer) for v in vars(encoder).values()) == 1       # two took 50 MB of each worker
+    spec = Tokenizer.from_file(PATH)
+    texts = ["plain words", "odd 中文 text", "new plainer words", "odd 中文 text"]
+    assert [g.tolist() for g in encoder.encode(texts)] == [spec.encode(t, add_special_tokens=False).ids for t in texts]

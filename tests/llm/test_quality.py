@@ -53,3 +53,14 @@ def test_odd_rows_and_no_labels(spark):
     assert len(got) == 4 and {r["score"] for r in got} == {0.5} and not any(r["held_out"] for r in got if r["doc_id"] is None)
     assert quality.score_documents(docs.where("false"), labels).count() == 0
     assert set(quality.keep_good(docs, labels).columns) == {"doc_id", "text", "score"}
+
+
+def test_short_chunks_keep_short_tables(monkeypatch):
+    import pyarrow as pa
+
+    from quire.llm import hashing as H
+    monkeypatch.setattr(H, "_powers", {"n": 0})
+    few = H.words(pa.array(["some words of a text"]))[0]
+    assert len(H._powers["up"]) < 100                   # were 32 MB a worker whatever the chunk
+    H.words(pa.array(["w " * 5000]))
+    assert (H.words(pa.array(["some words of a text"]))[0] == few).all() and len(H._powers["up"]) >= 10_001
