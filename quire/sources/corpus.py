@@ -70,7 +70,7 @@ def write_corpus_dir(df: DataFrame, path: str, name_col: str, text_col: str) ->
     """A folder of text files, one per name, for ``read_corpus_dir``.
 
     In a mounted folder (file:) the tasks write ``writer_task=<task>/<name>.txt`` themselves: Spark's writer
-    makes a folder per text there and starts processes per file for its access rights.
+    makes a folder per text, which is slow to write there, and each is listed by a task of its own.
     Elsewhere Spark writes ``file_name=<name>.txt/part-*.txt``.
     """
     spark = df.sparkSession

@@ -283,7 +283,7 @@ def test_corpus_dir_names_and_layouts(spark, scratch):
     df = spark.createDataFrame(rows, "k string, t string").coalesce(1)
     path = os.path.join(scratch, "own")
     CO.write_corpus_dir(df, path, "k", "t")
-    # a folder per text costs a listing each, and processes for its rights
+    # a folder per text is slow to write and costs a listing each
     assert [d for d, _, _ in os.walk(path)] == [path, os.path.join(path, "writer_task=0")]
     assert os.path.exists(os.path.join(path, "writer_task=0", "a.txt"))
     got = CO.read_corpus_dir(spark, path, skip_processed=False).collect()
